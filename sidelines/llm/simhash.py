@@ -122,8 +122,8 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
             yield run(rest)
 
     rows = nodes.select("node", "fingerprint").mapInArrow(ball, "key long, node long, fingerprint long")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key")
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    rows = rows.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("n") > BLOCK, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))))
