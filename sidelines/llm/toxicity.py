@@ -11,7 +11,7 @@ from sidelines.llm.common import held_out, learning_rows
 from sidelines.llm.text import ALNUM, Words, parts
 
 #: A fit uses at most about so many labelled texts of each class, whole.
-MOST_TEXTS = 1500
+MOST_TEXTS = 1000
 WINDOW, STRIDE = 24, 12
 GRAMS = (3, 4)
 _WIDTH, _HIDDEN = 8, 8
@@ -68,7 +68,8 @@ class Text:
         start, doc = _windows(self.first)
         place = start[:, None] + np.arange(WINDOW)[None, :]
         there = place < self.first[doc + 1][:, None]
-        return np.where(there, self.ids[np.where(there, place, 0)] if len(self.ids) else 0, len(self.hashes)), there, doc
+        ids = self.ids.astype(np.int32)[np.where(there, place, 0)] if len(self.ids) else np.int32(0)
+        return np.where(there, ids, np.int32(len(self.hashes))), there, doc
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
