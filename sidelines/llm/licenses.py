@@ -3,8 +3,6 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidelines.llm.common import any_of
-
 #: Notices of common licenses. Numbers inside stand for any version with as many parts.
 NOTICES = [
     ("MIT", "Released under the MIT License."),
@@ -44,9 +42,11 @@ def shingles(text: str = "words") -> Column:
     return F.when(n > 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _keys(values: list[Column]) -> list[Column]:
-    """The least of the values under each band's permutation of hashes."""
-    return [F.least(*(v.bitwiseXOR(F.lit(m)) for v in values)) for m in MASKS]
+def _keys(hashes: str) -> Column:
+    """The least of an array of hashes in each band's order. Lambdas, as 14 x 8 terms spelled out make a method too long
+    for the JVM to compile."""
+    masks = F.array(*(F.lit(m) for m in MASKS))
+    return F.transform(masks, lambda m: F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(m))))
 
 
 def templates(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -76,24 +76,18 @@ def license_matches(docs: DataFrame, notices: list[tuple[str, str]] | None = Non
     """
     spark = docs.sparkSession
     wanted = templates(spark, notices)
-    band_keys = _pieces(wanted).withColumn("size", F.size("piece"))
-    slots = [F.element_at("piece", F.least(F.lit(i), F.col("size"))) for i in range(1, STEP + 2)]
-    band_keys = band_keys.select("license", F.posexplode(F.array(*_keys(slots))).alias("band", "key")).distinct()
-    listed = [set() for _ in range(BANDS)]
-    for band, key in band_keys.select("band", "key").distinct().collect():
-        listed[band].add(key)
+    band_keys = _pieces(wanted).select("license", F.posexplode(_keys("piece")).alias("band", "key")).distinct()
+    listed = sorted(r[0] for r in band_keys.select("key").distinct().collect())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text").cast("string")).alias("words"))
     hashed = texts.select("doc_id", "text_key", shingles().alias("h"))
     # No filter or inner explode on these arrays: it would be pushed below them and split each text once for each of its words.
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("h") - STEP), F.lit(STEP))
     windows = hashed.select("doc_id", "text_key", F.explode_outer(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("h", i, 2 * STEP).alias("window")))).alias("w"))
-    windows = windows.select("doc_id", "text_key", F.col("w.at").alias("at"), F.col("w.window").alias("window"), F.size("w.window").alias("size")).where("size > 0")
-    values = [F.element_at("window", F.least(F.lit(i), F.col("size"))) for i in range(1, 2 * STEP + 1)]
-    keyed = windows.select("doc_id", "text_key", "at", "window", *(k.alias(f"k{i}") for i, k in enumerate(_keys(values))))
-    kept = keyed.where(any_of([F.col(f"k{i}").isin(sorted(keys)) for i, keys in enumerate(listed) if keys]))
+    windows = windows.select("doc_id", "text_key", F.col("w.at").alias("at"), F.col("w.window").alias("window")).where("size(window) > 0")
+    kept = windows.withColumn("keys", _keys("window")).where(F.exists("keys", lambda k: k.isin(listed)))
     met = (
-        kept.select("doc_id", "text_key", "at", "window", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(BANDS)))).alias("band", "key"))
+        kept.select("doc_id", "text_key", "at", "window", F.posexplode("keys").alias("band", "key"))
         .join(F.broadcast(band_keys), ["band", "key"])
         .select("doc_id", "text_key", "at", "window", "license")
         .distinct()
