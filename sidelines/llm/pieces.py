@@ -99,12 +99,16 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """What merging the best pair again and again, the first on ties, makes of a text."""
-        out = list(text)
-        while len(out) > 1:
-            best, at = max((self.scores.get(out[i] + out[i + 1], -np.inf), -i) for i in range(len(out) - 1))
-            if best == -np.inf:
-                break
-            out[-at : 2 - at] = [out[-at] + out[1 - at]]
+        out, score, none = list(text), self.scores.get, -np.inf
+        pairs = [score(a + b, none) for a, b in zip(out, out[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            i = pairs.index(best)
+            out[i : i + 2] = [out[i] + out[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(out[i - 1] + out[i], none)
+            if i < len(pairs):
+                pairs[i] = score(out[i] + out[i + 1], none)
         return out
 
     def weight(self, last: str, piece: str) -> float:
