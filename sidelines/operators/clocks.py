@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 
@@ -43,7 +44,7 @@ def repair_clock(frames: DataFrame) -> DataFrame:
             times.append(now if not times or now > times[-1] else times[-1] + native)
         return rows.assign(ts_ms=pd.Series(times, index=rows.index, dtype="int64"))
 
-    return frames.groupBy("seg").applyInPandas(walk, frames.schema.add("ts_ms", "long"))
+    return frames.groupBy("seg").applyInPandas(walk, T.StructType([*frames.schema.fields, T.StructField("ts_ms", T.LongType())]))
 
 
 def to_match_time(rows: DataFrame, periods: DataFrame) -> DataFrame:

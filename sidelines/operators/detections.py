@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sidelines.functions.columns import distance, ordered
 
@@ -181,7 +182,7 @@ def compose_homographies(camera: DataFrame) -> DataFrame:
             out.append(total.ravel().tolist())
         return part.assign(total=out)
 
-    return rows.groupBy("seg", "shot").applyInPandas(walk, rows.schema.add("total", "array<double>"))
+    return rows.groupBy("seg", "shot").applyInPandas(walk, T.StructType([*rows.schema.fields, T.StructField("total", T.ArrayType(T.DoubleType()))]))
 
 
 def camera_summary(camera: DataFrame, by: str = "seg") -> DataFrame:

@@ -1,18 +1,20 @@
 """Registered queries against their SQL on the smallest tables."""
 
+from pathlib import Path
+
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from sidelines.plans.oracles import ORACLE_SQL
-from sidelines.plans.queries import QUERIES
+from sidelines.plans.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
 
 def rows(df):
     def text(v):
-        return "null" if v is None or v != v else f"{v + 0.0:.6f}" if isinstance(v, float) else str(v)
+        return "null" if pd.isna(v) else f"{v + 0.0:.6f}" if isinstance(v, float) else str(v)
 
     return sorted(tuple(text(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
@@ -20,7 +22,8 @@ def rows(df):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    c.execute(f"create view events as select * from read_parquet('{DATA}/events.parquet')")
+    for path in Path(DATA).glob("*.parquet"):
+        c.execute(f"create view {path.stem} as select * from read_parquet('{path}')")
     return c
 
 
