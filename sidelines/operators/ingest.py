@@ -73,7 +73,8 @@ def validate_frames(raw: DataFrame, meta: DataFrame, matches: DataFrame) -> tupl
 
 
 def check_objects(rows: DataFrame) -> DataFrame:
-    """Exploded objects of known roles in the library's columns, with `rule` where one is broken."""
+    """Exploded objects of known roles in the library's columns, with `rule` where one is broken. A track_id of 0 counts as
+    missing; as ids are read as text, the text "0" does too."""
     role = F.lower(F.trim("role"))
     track = F.trim("track_id")
     ltwh = F.when(F.size("bbox_ltwh") == 4, F.expr("array(bbox_ltwh[0], bbox_ltwh[1], bbox_ltwh[0] + bbox_ltwh[2], bbox_ltwh[1] + bbox_ltwh[3])"))

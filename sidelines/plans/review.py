@@ -32,7 +32,7 @@ def imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 IMPORTED = """
 with lines as (select l_orderkey as ts, 'm' || l_orderkey % 10 as match_id, case when l_orderkey % 2 = 1 and l_orderkey % 29 = 3 then 'timestamp_missing' when l_orderkey % 31 = 0 then 'out_of_range' end as frame_rule, l_partkey as p, l_suppkey, l_linenumber, l_quantity, l_discount from lineitem),
-objects as (select *, trim(['player', ' goalkeeper', 'referee', 'ball'][p % 4 + 1]) as role, case when p % 37 = 0 then 'track_id' when p % 2 = 1 and p % 41 = 1 then 'box_shape' when p % 1900 + 40 > 1920 then 'box_range' end as rule from lines where frame_rule is null and p % 4 <> 3)"""
+objects as (select *, trim(['player', ' goalkeeper', 'referee', 'ball'][p % 4 + 1]) as role, case when p % 37 = 0 or l_suppkey = 0 then 'track_id' when p % 2 = 1 and p % 41 = 1 then 'box_shape' when p % 1900 + 40 > 1920 then 'box_range' end as rule from lines where frame_rule is null and p % 4 <> 3)"""
 
 
 @query(IMPORTED + """, every as (select match_id, frame_rule as rule from (select distinct ts, match_id, frame_rule from lines where frame_rule is not null) union all select match_id, rule from objects where rule is not null)
