@@ -2,6 +2,10 @@
 
 A frame holds tens of boxes at most, so per-frame arrays stay small."""
 
+from collections.abc import Iterator
+from itertools import groupby
+from math import hypot
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,25 +79,30 @@ def ball_candidates(balls: DataFrame, athletes: DataFrame, width: int = 1920, he
     return rows.join(feet, "frame", "left").withColumn("gain", gain).withColumn("near", F.col("gain").isNotNull()).withColumn("gain", F.coalesce("gain", F.lit(0.0))).drop("feet")
 
 
+def follow_ball(rows: pd.DataFrame, before: tuple | None) -> Iterator:
+    """The candidate chosen at each time; before: (ts_ms, cx, cy) of the choice before these rows."""
+    for ts, group in groupby(rows.sort_values(["ts_ms", "det_id"]).itertuples(), key=lambda r: r.ts_ms):
+        best, most = None, 0.0
+        for r in group:
+            score, fits = r.confidence + r.gain, r.near
+            if before is not None and ts - before[0] <= 1500:
+                away = hypot(r.cx - before[1], r.cy - before[2])
+                limit = min(360.0, max(85.0, max(1, ts - before[0]) * 1.1))
+                if away <= limit:
+                    score, fits = score + 0.5 * (1 - away / limit), True
+            if fits and (best is None or score > most):
+                best, most = r, score
+        if best is not None:
+            before = (ts, best.cx, best.cy)
+            yield best
+
+
 def select_ball(candidates: DataFrame) -> DataFrame:
     """At most one of candidates(seg, ts_ms, det_id, cx, cy, confidence, gain, near) per time: near an athlete or near the
     ball chosen before, whose place raises the score. The choice feeds the next one, so a segment is one ordered pass."""
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        chosen, before = [], None
-        for ts, group in rows.sort_values(["ts_ms", "det_id"]).groupby("ts_ms", sort=True):
-            score = group["confidence"] + group["gain"]
-            fits = group["near"].astype(bool)
-            if before is not None and ts - before[0] <= 1500:
-                away = ((group["cx"] - before[1]) ** 2 + (group["cy"] - before[2]) ** 2) ** 0.5
-                limit = min(360.0, max(85.0, max(1, ts - before[0]) * 1.1))
-                score = score + (0.5 * (1 - away / limit)).where(away <= limit, 0.0)
-                fits = fits | (away <= limit)
-            if fits.any():
-                best = score.where(fits).idxmax()
-                before = (ts, group.at[best, "cx"], group.at[best, "cy"])
-                chosen.append(best)
-        return rows.loc[chosen]
+        return rows.loc[[r.Index for r in follow_ball(rows, None)]]
 
     return candidates.groupBy("seg").applyInPandas(walk, candidates.schema)
 

@@ -137,12 +137,12 @@ objects as (select frame // 500 as seg, frame * 40 as ts_ms, l_linenumber as tra
   case when l_partkey % 5 <> 0 then l_partkey % 30 end as shirt_number, (l_partkey % 1000) / 1000.0::double as image_x, (l_suppkey % 97) / 97.0::double as image_y, case when l_partkey % 3 = 0 then (l_partkey % 105)::double end as pitch_x, case when l_partkey % 3 = 0 then (l_suppkey % 68)::double end as pitch_y from best)"""
 
 
-@query(OBJECTS + """, sums as (select seg, track_id, arg_min(role, ts_ms) as role, min(ts_ms) as start_ms, max(ts_ms) as end_ms, count(*) as samples, round(avg(confidence), 6) as confidence, round(avg(least(confidence, team_confidence, 1)), 6) as identity_confidence from objects group by seg, track_id),
+@query(OBJECTS + """, sums as (select seg, track_id, arg_min(role, ts_ms) as role, min(ts_ms) as start_ms, max(ts_ms) as end_ms, count(*) as samples, round(avg(confidence), 9) as confidence, round(avg(least(confidence, team_confidence, 1)), 9) as identity_confidence from objects group by seg, track_id),
 teams as (select * from (select seg, track_id, team_key, row_number() over (partition by seg, track_id order by count(*) desc, min(ts_ms)) as rn from objects where team_key is not null group by all) where rn = 1),
 shirts as (select * from (select seg, track_id, shirt_number, row_number() over (partition by seg, track_id order by count(*) desc, min(ts_ms)) as rn from objects where shirt_number is not null group by all) where rn = 1)
 select s.*, t.team_key, coalesce(h.shirt_number, -1) as shirt_number from sums s left join teams t using (seg, track_id) left join shirts h using (seg, track_id)""".replace("group by all) where", "group by seg, track_id, {0}) where").replace("{0}", "team_key", 1).replace("{0}", "shirt_number", 1))
 def track_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(tracks.track_summary(objects(spark, sf_dir)).fillna(-1, ["shirt_number"]))
+    return shown(tracks.track_summary(objects(spark, sf_dir)).fillna(-1, ["shirt_number"]), 9)
 
 
 @query(OBJECTS + """, points as (select *, row_number() over (partition by seg, track_id order by ts_ms) as i, coalesce(pitch_x, image_x) as x, coalesce(pitch_y, image_y) as y from objects)

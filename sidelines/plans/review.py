@@ -43,11 +43,11 @@ def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(IMPORTED + """ select match_id, ts as ts_ms, 'gsr-' || l_suppkey as track_id, role, round(case when p % 11 <= 1 then 1.0::double else 1.0::double - l_discount end, 6) as confidence,
   case p % 5 when 0 then case when match_id < 'm5' then 'home' else 'away' end when 1 then case when match_id < 'm5' then 'away' else 'home' end when 2 then case when match_id < 'm5' then 'home' else 'away' end when 3 then 'home' end as team_key,
-  case when p % 130 <= 99 then p % 130 else -1 end::int as shirt_number, round((p % 1900 + 20) / 1920.0::double, 6) as image_x, round((90 + l_quantity) / 1080.0::double, 6) as image_y,
+  case when p % 130 <= 99 then p % 130 else -1 end::int as shirt_number, round((p % 1900 + 20) / 1920.0::double, 9) as image_x, round((90 + l_quantity) / 1080.0::double, 9) as image_y,
   case when p % 3 < 2 then l_suppkey::double end as pitch_x, case when p % 3 < 2 then l_linenumber::double end as pitch_y from objects where rule is null""")
 def imported_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = imported(spark, sf_dir)[1].drop("obj_ord", "x1", "y1", "x2", "y2")
-    return shown(rows.fillna(-1, ["shirt_number"]))
+    return shown(rows.fillna(-1, ["shirt_number"]), 9)
 
 
 @query(IMPORTED + """ select match_id, count(distinct ts) as frames, count(distinct l_suppkey) as tracks, min(ts) as first_ms, max(ts) as last_ms, count(*) filter (role = 'player') as players, count(*) filter (role = 'goalkeeper') as goalkeepers, count(*) filter (role = 'referee') as referees

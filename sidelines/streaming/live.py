@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sidelines.functions.columns import distance
+from sidelines.operators.detections import follow_ball
 
 SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, confidence double"
 STATE = "seen_ms long, team string, player string, next_team string, next_player string, since_ms long"
@@ -71,23 +72,10 @@ def live_ball(candidates: DataFrame) -> DataFrame:
 
     def choose(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = state.get if state.exists else None
-        chosen = []
-        for ts, group in pd.concat(list(batches)).sort_values(["ts_ms", "det_id"]).groupby("ts_ms", sort=True):
-            group = group.reset_index(drop=True)
-            score, fits = group["confidence"] + group["gain"], group["near"].astype(bool)
-            if before is not None and ts - before[0] <= 1500:
-                away = ((group["cx"] - before[1]) ** 2 + (group["cy"] - before[2]) ** 2) ** 0.5
-                limit = min(360.0, max(85.0, max(1, ts - before[0]) * 1.1))
-                score = score + (0.5 * (1 - away / limit)).where(away <= limit, 0.0)
-                fits = fits | (away <= limit)
-            if fits.any():
-                best = group.loc[score.where(fits).idxmax()]
-                before = (int(ts), float(best["cx"]), float(best["cy"]))
-                chosen.append((key[0], int(ts), int(best["det_id"])))
-        if before is not None:
-            state.update(before)
+        chosen = [(key[0], r.ts_ms, r.det_id, r.cx, r.cy) for r in follow_ball(pd.concat(list(batches)), before)]
         if chosen:
-            yield pd.DataFrame(chosen, columns=["seg", "ts_ms", "det_id"])
+            state.update((int(chosen[-1][1]), *map(float, chosen[-1][3:])))
+            yield pd.DataFrame([c[:3] for c in chosen], columns=["seg", "ts_ms", "det_id"])
 
     return candidates.groupBy("seg").applyInPandasWithState(choose, "seg long, ts_ms long, det_id long", "ts_ms long, cx double, cy double", "append", GroupStateTimeout.NoTimeout)
 
