@@ -92,7 +92,8 @@ class Transducer:
         if any(MARK in text.lstrip(MARK) for text in self.ids):
             raise ValueError("a piece holds a space after another character")
         self.begins = {text[:k] for text in self.ids for k in range(1, len(text) + 1)}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
         sizes = np.array([len(x) for x in self.bytes_of])
         self.sizes, self.starts, self.flat = sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -112,12 +113,14 @@ class Transducer:
         return out
 
     def weight(self, last: str, piece: str) -> float:
-        pair = (last, piece)
-        found = self.apart.get(pair)
+        if self.pairs > 4 * REMEMBER:
+            self.apart.clear()
+            self.pairs = 0
+        near = self.apart.setdefault(last, {})
+        found = near.get(piece)
         if found is None:
-            if len(self.apart) > 4 * REMEMBER:
-                self.apart.clear()
-            found = self.apart[pair] = self.merged(last + piece) == ([last, piece] if last else [piece])
+            self.pairs += 1
+            found = near[piece] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return 1.0 if found else float("inf")
 
     def path(self, chunk: str) -> list[str]:
@@ -130,12 +133,13 @@ class Transducer:
             last = states[i]
             if last is None:
                 continue
+            near = apart.setdefault(last, {}).get
             end = i + 1
             piece = chunk[i]
             while True:
                 if piece in ids or end == i + 1:
-                    near = apart.get((last, piece))
-                    if near if near is not None else self.weight(last, piece) < float("inf"):
+                    fits = near(piece)
+                    if fits if fits is not None else self.weight(last, piece) < float("inf"):
                         states[end] = piece
                 if end == n:
                     break
@@ -159,7 +163,13 @@ class Transducer:
 
     def chunk(self, text: str) -> bytes:
         """Ids (little-endian, 4 bytes each) of a chunk, in which spaces may stand for marks."""
-        out = np.array([i for piece in self.path(text.replace(" ", MARK)) for i in self.written(piece)], "<i4").tobytes()
+        numbers, ids = [], self.ids
+        for piece in self.path(text.replace(" ", MARK)):
+            if piece in ids:
+                numbers.append(ids[piece])
+            else:
+                numbers += self.written(piece)
+        out = struct.pack(f"<{len(numbers)}i", *numbers)
         if len(text) <= LONGEST:
             if len(self.known) >= REMEMBER:
                 self.known.clear()
