@@ -88,3 +88,12 @@ def test_sampling_and_decimation_of_the_survey(spark):
         assert got[0] == 360 and got[1] >= last
     frames = spark.range(26).selectExpr("1L as seg", "id * 40 as ts_ms")
     assert [r.ts_ms for r in clocks.decimate(frames, 8).orderBy("ts_ms").collect()] == [0, 160, 280, 400, 520, 640, 760, 880, 1000]
+
+
+def test_confirmed_periods_win_unless_prepared_again(spark):
+    kinds = "match_id long, number int, start_ms long, end_ms long"
+    found, by_hand = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 20, 30)], kinds), spark.createDataFrame([(1, 2, 21, 31)], kinds)
+    for again, second in ((False, (21, "manual")), (True, (20, "automatic"))):
+        rows = {r.number: r for r in periods.with_clocks(found, by_hand, again).collect()}
+        assert (rows[1].start_ms, rows[1].clock_start_ms) == (0, 0)
+        assert (rows[2].start_ms, rows[2].source, rows[2].clock_start_ms) == (*second, 2_700_000)
