@@ -26,18 +26,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
+    """Of each group of linked documents the one with the smallest doc_id, and one row of each doc_id. Rows without a
+    doc_id stay."""
     groups = near_duplicates(docs)
-    return _drop(docs, groups.where("component_id < doc_id")).dropDuplicates(["doc_id"])
+    kept = _drop(docs, groups.where("component_id < doc_id"))
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("_own_row", own).dropDuplicates(["doc_id", "_own_row"]).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that smaller doc_ids hold too; a text of which nothing goes stays as it is. n_chars
     follows the text; a document that loses all words stays with an empty text."""
-    kept = remove_repeats(docs).where("n_removed > 0").select("doc_id", "key", "kept").dropDuplicates(["doc_id", "key"])
-    rows = docs.withColumn("key", text_key(F.col("text"))).join(kept, ["doc_id", "key"], "left")
-    rows = rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType)))
-    return rows.withColumn("text", F.coalesce("kept", "text")).select(docs.columns)
+    found = remove_repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "key"])
+    kept = found.select("doc_id", F.col("key").alias("_text_key"), F.col("kept").alias("_kept"))
+    rows = docs.withColumn("_text_key", text_key(F.col("text"))).join(kept, ["doc_id", "_text_key"], "left")
+    rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(docs.schema["n_chars"].dataType)))
+    return rows.withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
