@@ -101,7 +101,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     """
     stats = cut(statistics(docs), "stats")
     values = ratios()
-    sample = stats.join(F.broadcast(learning_rows(labels, "quality", most)), "doc_id").select("label", *(c.cast("double").alias(k) for k, c in values.items())).orderBy("label", *values).toPandas()
+    sample = stats.join(F.broadcast(learning_rows(labels, "quality", most)), "doc_id").select("label", *(c.cast("double").alias(k) for k, c in values.items())).toPandas()
+    sample = sample.sort_values(["label", *values], ignore_index=True)  # the order decides what is grown on and what pruned on
     rules = learn({k: sample[k].to_numpy(float) for k in values}, sample["label"].to_numpy() == 0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
