@@ -87,6 +87,6 @@ def live_progress(frames: DataFrame) -> DataFrame:
 
 def live_checks(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Frames(match_id, arrived, ts_ms, width, height) that keep the rules, each time of a match once. Repeats are found
-    within the watermark; frames later than it go."""
+    within the watermark; frames later than it go, where a batch counts the watermark of the batch before the last."""
     good = frames.where("ts_ms >= 0 and width > 0 and height > 0")
     return good.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["match_id", "ts_ms"])

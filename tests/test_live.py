@@ -13,15 +13,15 @@ from sidelines.streaming import live
 DATA = "/root/testdata/sf0.001"
 
 
-def drained(spark, rows, parts, tmp_path, make, key="seg"):
-    """What `make` of a stream gives when the rows arrive in `parts` batches by ts_ms."""
+def drained(spark, rows, parts, tmp_path, make, by="ts_ms", mode="append"):
+    """What `make` of a stream gives when the rows arrive in `parts` batches by the column `by`."""
     path = tmp_path / "in"
-    edges = rows.approxQuantile("ts_ms", [i / parts for i in range(1, parts)], 0.0)
+    edges = rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.0)
     for i, (low, high) in enumerate(itertools.pairwise([-1.0, *edges, 1e18])):
-        rows.where((F.col("ts_ms") > low) & (F.col("ts_ms") <= high)).coalesce(1).write.mode("append").parquet(str(path / f"p{i}"))
+        rows.where((F.col(by) > low) & (F.col(by) <= high)).coalesce(1).write.mode("append").parquet(str(path / f"p{i}"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
     name = f"sink_{tmp_path.name.replace('-', '_')}"
-    query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     query.awaitTermination(120)
     return spark.table(name)
 
@@ -41,6 +41,27 @@ def test_live_ball_equals_table(spark, tmp_path):
     assert found and sorted(map(tuple, found)) == sorted(map(tuple, detections.select_ball(rows).select("seg", "ts_ms", "det_id").collect()))
 
 
+def test_live_progress_equals_table(spark, tmp_path):
+    rows = fx.frames(spark, DATA).selectExpr("seg as run_id", "ts_ms")
+    found = drained(spark, rows, 3, tmp_path, live.live_progress, mode="update")
+    last = found.groupBy("run_id").agg(F.max("frames"), F.max("done_ms")).collect()
+    assert found.count() > len(last) and sorted(map(tuple, last)) == sorted(map(tuple, live.live_progress(rows).collect()))
+
+
+def test_live_checks_drop_bad_repeated_and_late_frames(spark, tmp_path):
+    def frame(i):  # six batches: three bring the same times again, two are hours on, the last is late (Spark tells a batch after the next)
+        hours = 3 if 60 <= i < 100 else 0
+        ts = i % 20 * 40 if i < 60 else i * 40
+        return i, i % 2, hours * 3600 + i, -40 if i == 7 else ts, 0 if i in (11, 100) else 1280, 720
+
+    frames = [frame(i) for i in range(120)]
+    rows = spark.createDataFrame(frames, "ord long, match_id long, second long, ts_ms long, width int, height int")
+    rows = rows.withColumn("arrived", F.timestamp_seconds("second"))
+    found = [(r.match_id, r.ts_ms) for r in drained(spark, rows, 6, tmp_path, live.live_checks, by="ord").collect()]
+    in_time = {(m, ts) for i, m, _, ts, width, _ in frames if ts >= 0 and width > 0 and i < 100}
+    assert len(found) == len(set(found)) and set(found) == in_time
+
+
 def overlap(a, b):
     i = max(0, min(a.x2, b.x2) - max(a.x1, b.x1)) * max(0, min(a.y2, b.y2) - max(a.y1, b.y1))
     p, q = ((o.x2 - o.x1) * (o.y2 - o.y1) for o in (a, b))
