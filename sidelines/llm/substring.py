@@ -214,7 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     plain = _search(_fetch(known, wanted.where(f"units <= {MANY}"), window, single=False), window)
     single = _fetch(known, wanted.where(f"units > {MANY}"), window, single=True)
     least = single.groupBy("anchor", "value").agg(F.min("doc_id").alias("first"))
-    many = single.join(least, ["anchor", "value"]).groupBy("anchor", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "first"))), lambda x: x["first"]).alias("least"))
+    many = single.join(least, ["anchor", "value"]).groupBy("anchor", "unit").agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "first"))), lambda x: x["first"]).alias("least"))
     gone = (
         found.join(plain.unionByName(many), ["anchor", "unit"])
         .where(F.col("doc_id") > F.array_min("least"))

@@ -111,6 +111,17 @@ def test_substring(docs, rows, many, monkeypatch):
     assert sum(x[2] for x in expected) > 0
 
 
+@pytest.mark.parametrize("many", [1000, 0])
+def test_substring_with_repeated_rows_that_hold_a_shared_passage(spark, many, monkeypatch):
+    monkeypatch.setattr(substring, "MANY", many)
+    shared = [f"s{i}" for i in range(70)]
+    before, after = ([f"{x}{i}" for i in range(30)] for x in "ba")
+    rows = [(1, " ".join(shared))] * 3 + [(2, " ".join(before + shared + after))] * 3 + [(3, " ".join(before[:9] + shared[5:]))] * 2
+    expected = [(1, 0, " ".join(shared))] * 3 + [(2, 70, " ".join(before + after))] * 3 + [(3, 65, " ".join(before[:9]))] * 2
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in found.collect()) == expected
+
+
 def test_fm_index_finds_shared_windows():
     rng = np.random.default_rng(3)
     sequences = [rng.integers(1, 4, 30).astype(np.uint64) for _ in range(8)]
