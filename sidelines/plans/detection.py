@@ -152,6 +152,14 @@ def track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.groupBy("seg", "track_id").agg(F.count("*").alias("points"), F.round(F.sum("p.x"), 4).alias("sum_x"), F.round(F.sum("p.y"), 4).alias("sum_y"), F.count_if(F.col("p.space") == "pitch_meters").alias("on_pitch"))
 
 
+@query(OBJECTS + """, points as (select *, row_number() over (partition by seg, track_id order by ts_ms) as i, coalesce(pitch_x, image_x) as x, coalesce(pitch_y, image_y) as y from objects)
+select seg, track_id, count(*) as points, round(sum(x), 4) as sum_x, round(sum(y), 4) as sum_y, count(*) filter (pitch_x is not null) as on_pitch from points where i <= 2000 group by seg, track_id""")
+def track_paths_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """track_paths with the operator's own cap."""
+    points = tracks.trajectories(objects(spark, sf_dir)).select("seg", "track_id", F.explode("points").alias("p"))
+    return points.groupBy("seg", "track_id").agg(F.count("*").alias("points"), F.round(F.sum("p.x"), 4).alias("sum_x"), F.round(F.sum("p.y"), 4).alias("sum_y"), F.count_if(F.col("p.space") == "pitch_meters").alias("on_pitch"))
+
+
 @query(OBJECTS + " select seg, count(*) filter (team_key = 'home') as home, count(*) filter (team_key = 'away') as away, count(*) filter (team_key is null) as \"unknown\" from objects where role <> 'referee' group by seg")
 def team_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.team_observations(objects(spark, sf_dir))

@@ -179,6 +179,12 @@ def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.timeline(review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)), {"team_key": "home"}, 50).select("run_id", "event_id", "ts_ms", "place")
 
 
+@query(REVIEWED + " select * from (select run_id, event_id, ts_ms, row_number() over (partition by run_id order by ts_ms, event_id)::int as place from reviewed where team_key = 'home') where place <= 500")
+def event_timeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_timeline with the operator's own cap."""
+    return review.timeline(review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)), {"team_key": "home"}).select("run_id", "event_id", "ts_ms", "place")
+
+
 @query(REVIEWED + """ select match_id, 1 as period, ts_ms as match_time_ms, ts_ms as video_time_ms, event_type as type, team_key || ' team' as team, c_name as player, '' as recipient, outcome, round(confidence, 4) as confidence, review_status, event_type || '|x' as qualifiers
 from reviewed join customer on c_custkey = player_id where run_id % 10 = 2""")
 def event_export(spark: SparkSession, sf_dir: str) -> DataFrame:
