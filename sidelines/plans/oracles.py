@@ -152,5 +152,14 @@ padded as (
 cuts as (select *, case when s > max(e) over (partition by seg order by ts_ms, event_id rows between unbounded preceding and 1 preceding) + 2000 then 1 else 0 end as new from padded),
 clips as (select *, sum(new) over (partition by seg order by ts_ms, event_id) as clip from cuts),
 folded as (select seg, clip, min(s) as start_ms, max(e) as end_ms, list(event_type order by ts_ms, event_id) as kinds, string_agg(cast(event_id as varchar), ',' order by ts_ms, event_id) as events from clips group by seg, clip)
+select seg, start_ms, end_ms, events, list_reduce(kinds, lambda a, x: case when contains(a, x) then a else a || '-' || x end) as label from folded""",
+    "clip_plan_full": BASE + """,
+chosen as (select seg, seq * 21000 as ts_ms, event_id, ['pass', 'shot', 'duel', 'aerial_duel', 'goal'][k % 5 + 1] as event_type from base),
+padded as (
+  select c.*, greatest(0, ts_ms - case event_type when 'goal' then 12000 when 'shot' then 9000 else 5000 end) as s,
+    least(max(ts_ms) over (partition by seg) + 3000, ts_ms + case event_type when 'goal' then 10000 when 'shot' then 7000 else 5000 end) as e from chosen c),
+cuts as (select *, case when s > max(e) over (partition by seg order by ts_ms, event_id rows between unbounded preceding and 1 preceding) + 2000 then 1 else 0 end as new from padded),
+clips as (select *, sum(new) over (partition by seg order by ts_ms, event_id) as clip from cuts),
+folded as (select seg, clip, min(s) as start_ms, max(e) as end_ms, list(event_type order by ts_ms, event_id) as kinds, string_agg(cast(event_id as varchar), ',' order by ts_ms, event_id) as events from clips group by seg, clip)
 select seg, start_ms, end_ms, events, list_reduce(kinds, lambda a, x: case when contains(a, x) then a else a || '-' || x end) as label from folded""",
 }

@@ -86,3 +86,12 @@ def clip_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
     found = clips.clip_windows(rows, videos)
     return found.withColumn("events", F.concat_ws(",", F.transform("event_ids", lambda e: e.cast("string")))).drop("event_ids")
+
+
+@query
+def clip_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_plan over every event, with wider times."""
+    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 21000 as ts_ms", "event_id", "element_at(array('pass', 'shot', 'duel', 'aerial_duel', 'goal'), cast(k % 5 as int) + 1) as event_type")
+    videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
+    found = clips.clip_windows(rows, videos)
+    return found.withColumn("events", F.concat_ws(",", F.transform("event_ids", lambda e: e.cast("string")))).drop("event_ids")

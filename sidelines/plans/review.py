@@ -215,6 +215,16 @@ def unassigned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.unassigned(done)
 
 
+@query(BASE + """, rows as (select seg, seq as track_id, case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team, k as asked from base)
+select seg, count(*) filter (asked % 4 = 1 or (team is not null and team <> case when asked % 3 = 0 then 'home' else 'away' end)) as unassigned from rows group by seg""")
+def unassigned_tracks_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unassigned_tracks over every track."""
+    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq as track_id", "case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team_key", "k", "cast(null as bigint) as player_id")
+    players = rows.select(F.col("k").alias("player_id")).distinct().withColumn("team_key", F.expr("if(player_id % 3 = 0, 'home', 'away')"))
+    done, _ = review.assign_tracks(rows, rows.where("k % 4 <> 1").selectExpr("seg", "track_id", "k as player_id"), players)
+    return review.unassigned(done)
+
+
 @query(REVIEWED + """, counts as (select match_id, count(*) filter (team_key = 'home' and event_type = 'click') as ch, count(*) filter (team_key = 'away' and event_type = 'click') as ca, count(*) filter (team_key = 'home' and event_type = 'goal') as gh, count(*) filter (team_key = 'away' and event_type = 'goal') as ga from reviewed group by match_id)
 select match_id, 'clicks' as metric, ch as home, ca as away from counts union all select match_id, 'goals', gh, ga from counts""")
 def team_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,3 +240,13 @@ def clip_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 7000 as ts_ms", "event_id", "'pass' as event_type").where("event_id % 3 = 0")
     videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
     return review.link_clips(clips.clip_windows(rows, videos))
+
+
+@query(BASE + """, chosen as (select seg, seq * 21000 as ts_ms, event_id from base), wide as (select *, greatest(0, ts_ms - 5000) as s, least(ts_ms + 5000, max(ts_ms) over (partition by seg) + 3000) as e from chosen),
+cuts as (select *, case when s <= max(e) over (partition by seg order by ts_ms, event_id rows between unbounded preceding and 1 preceding) + 2000 then 0 else 1 end as new from wide)
+select seg, event_id, sum(new) over (partition by seg order by ts_ms, event_id)::int as clip, 'clip-' || lpad((sum(new) over (partition by seg order by ts_ms, event_id))::bigint::varchar, 3, '0') || '-pass.mp4' as name from cuts""")
+def clip_links_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_links over every event, with wider times."""
+    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 21000 as ts_ms", "event_id", "'pass' as event_type")
+    videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
+    return review.link_clips(clips.clip_windows(rows, videos))
