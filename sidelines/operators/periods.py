@@ -112,7 +112,8 @@ def with_clocks(detected: DataFrame, manual: DataFrame, prepare_again: bool = Fa
 
 def apply_period_edits(periods: DataFrame, edits: DataFrame, videos: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(periods, errors, stale runs). edits(match_id, number, start, end, clock_start as timecodes) that cannot be read or are
-    out of order or past the recording change nothing and become errors; changed bounds make a match's sample runs stale."""
+    out of order or past the recording change nothing and become errors, and so do a match's other edits if with them its
+    second half would not follow the first in place and clock; changed bounds make a match's sample runs stale."""
     rows = edits.join(videos.select("match_id", "duration_ms"), "match_id", "left")
     for name in ("start", "end", "clock_start"):
         rows = rows.withColumn(f"new_{name}", clock_ms(F.col(name)))
@@ -122,6 +123,10 @@ def apply_period_edits(periods: DataFrame, edits: DataFrame, videos: DataFrame,
         .when(F.col("new_end") > F.coalesce("duration_ms", F.lit(0)), "duration")
     )
     rows = rows.withColumn("rule", rule)
+    after = periods.join(rows.where("rule is null").select("match_id", "number", "new_start", "new_end", "new_clock_start"), ["match_id", "number"], "left")
+    half = lambda n, new, old: F.max(F.when(F.col("number") == n, F.coalesce(new, old)))
+    apart = F.when(half(1, "new_end", "end_ms") > half(2, "new_start", "start_ms"), "overlap").when(half(2, "new_clock_start", "clock_start_ms") <= half(1, "new_clock_start", "clock_start_ms"), "clock")
+    rows = rows.join(after.groupBy("match_id").agg(apart.alias("apart")), "match_id", "left").withColumn("rule", F.coalesce("rule", "apart"))
     good = rows.where("rule is null").select("match_id", "number", "new_start", "new_end", "new_clock_start")
     joined = periods.join(good, ["match_id", "number"], "left")
     moved = F.col("new_start").isNotNull() & ((F.col("new_start") != F.col("start_ms")) | (F.col("new_end") != F.col("end_ms")))

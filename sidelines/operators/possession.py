@@ -6,20 +6,28 @@ from pyspark.sql import functions as F
 from sidelines.functions.columns import changed, clamp, distance, ordered
 
 BY = ["seg"]
+#: By pitch: the radius of control, in shares of the image or metres.
+RADIUS = {False: 0.055, True: 2.6}
+#: A pitch's length and width in metres, and how far past its lines the ball is still in play.
+PITCH, MARGIN = (105.0, 68.0), 0.5
 
 
-def possession(frames: DataFrame, athletes: DataFrame, radius: float = 0.055, grace_ms: int = 1500, dwell_ms: int = 250) -> DataFrame:
+def possession(frames: DataFrame, athletes: DataFrame, radius: float | None = None, grace_ms: int = 1500, dwell_ms: int = 250, pitch: bool = False) -> DataFrame:
     """samples of frames(seg, ts_ms, field_score, scene_cut, replay_probability, ball_x, ball_y; no ball: nulls) and
-    athletes(seg, ts_ms, obj_ord, team_key, player_key, confidence, x, y), all in one space of coordinates."""
+    athletes(seg, ts_ms, obj_ord, team_key, player_key, confidence, x, y), all in one space of coordinates:
+    shares of the image, or metres if `pitch`, where a ball past the pitch's lines is out."""
+    radius = RADIUS[pitch] if radius is None else radius
     d = distance(F.col("ball_x"), F.col("ball_y"), F.col("x"), F.col("y"))
     near = athletes.join(frames.select("seg", "ts_ms", "ball_x", "ball_y"), ["seg", "ts_ms"]).where(d.isNotNull())
     near = near.groupBy("seg", "ts_ms").agg(F.slice(F.array_sort(F.collect_list(F.struct(d.alias("d"), "obj_ord", "team_key", "player_key", "confidence"))), 1, 2).alias("near"))
     one, two = F.get("near", F.lit(0)), F.get("near", F.lit(1))
     dead = F.col("scene_cut") | (F.col("replay_probability") >= 0.65) | (F.col("field_score") < 0.14)
     contested = (one["team_key"] != two["team_key"]) & (two["d"] <= radius * 1.15) & (two["d"] - one["d"] <= radius * 0.25)
+    inside = F.col("ball_x").between(-MARGIN, PITCH[0] + MARGIN) & F.col("ball_y").between(-MARGIN, PITCH[1] + MARGIN)
     step = (
         F.when(dead, "dead")
         .when(F.col("ball_x").isNull() | F.col("ball_y").isNull(), "no_ball")
+        .when(F.lit(pitch) & ~inside, "out")
         .when(one.isNull() | (one["d"] > radius), "loose")
         .when(F.coalesce(contested, F.lit(False)), "contested")
         .otherwise("proposal")
@@ -36,10 +44,11 @@ def possession(frames: DataFrame, athletes: DataFrame, radius: float = 0.055, gr
     rows = rows.withColumn("seen", F.last(seen, True).over(w))
     bridged = (F.col("step") == "no_ball") & (F.col("ts_ms") - F.col("seen.ts_ms") <= grace_ms) & F.col("current").isNotNull()
     held = F.coalesce(bridged, F.lit(False)) | F.col("offered")
-    state = F.when(held, "controlled").when(F.col("step").isin("loose", "contested"), F.col("step")).otherwise("unknown")
+    state = F.when(held, "controlled").when(F.col("step").isin("out", "loose", "contested"), F.col("step")).otherwise("unknown")
     confidence = (
         F.when(F.col("step") == "dead", F.greatest(F.lit(0.45), 1 - F.col("field_score")))
         .when(F.col("step") == "no_ball", F.when(held, 0.35).otherwise(0.15))
+        .when(F.col("step") == "out", 0.76)
         .when(F.col("step") == "loose", 0.5)
         .when(F.col("step") == "contested", 0.58)
         .otherwise(clamp(one["confidence"] * (1 - one["d"] / radius), 0.25, 0.98))
@@ -54,7 +63,7 @@ def possession(frames: DataFrame, athletes: DataFrame, radius: float = 0.055, gr
         x("ball_x").alias("ball_x"),
         x("ball_y").alias("ball_y"),
         confidence.alias("confidence"),
-        F.when(F.col("step") == "dead", "broadcast_not_live").alias("reason"),
+        F.when(F.col("step") == "dead", "broadcast_not_live").when(F.col("step") == "out", "pitch_boundary").alias("reason"),
         F.when(F.col("step") == "contested", F.transform("near", lambda a: F.struct(a["team_key"].alias("team_key"), a["player_key"].alias("player_key")))).alias("contenders"),
     )
 

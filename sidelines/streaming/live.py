@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sidelines.functions.columns import distance
 from sidelines.operators.detections import follow_ball
+from sidelines.operators.possession import MARGIN, PITCH, RADIUS
 
 SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, confidence double"
 STATE = "seen_ms long, team string, player string, next_team string, next_player string, since_ms long"
@@ -24,9 +25,10 @@ def nearest(frames: DataFrame) -> DataFrame:
     return frames.withColumn("near", F.slice(F.array_sort(F.filter(ranked, lambda a: a["d"].isNotNull())), 1, 2)).drop("athletes")
 
 
-def live_possession(frames: DataFrame, radius: float = 0.055, grace_ms: int = 1500, dwell_ms: int = 250) -> DataFrame:
+def live_possession(frames: DataFrame, radius: float | None = None, grace_ms: int = 1500, dwell_ms: int = 250, pitch: bool = False) -> DataFrame:
     """Possession samples of a stream, as operators.possession gives them for a table. State per segment: when the ball was
     last seen, the owner, and the owner proposed since when."""
+    radius = RADIUS[pitch] if radius is None else radius
 
     def known(value) -> bool:
         return value is not None and value == value
@@ -46,7 +48,9 @@ def live_possession(frames: DataFrame, radius: float = 0.055, grace_ms: int = 15
                 out.append((ts, "controlled", team, player, 0.35) if held else (ts, "unknown", None, None, 0.15))
                 continue
             seen = ts
-            if one is None or one["d"] > radius:
+            if pitch and not (-MARGIN <= row.ball_x <= PITCH[0] + MARGIN and -MARGIN <= row.ball_y <= PITCH[1] + MARGIN):
+                out.append((ts, "out", None, None, 0.76))
+            elif one is None or one["d"] > radius:
                 out.append((ts, "loose", None, None, 0.5))
             elif two is not None and one["team_key"] and two["team_key"] and one["team_key"] != two["team_key"] and two["d"] <= radius * 1.15 and two["d"] - one["d"] <= radius * 0.25:
                 out.append((ts, "contested", None, None, 0.58))

@@ -35,6 +35,18 @@ def test_live_possession_equals_table(spark, tmp_path):
     assert sorted(map(str, found)) == sorted(map(str, possession.possession(fx.frames(spark, DATA), people).select(*columns).collect()))
 
 
+def test_live_possession_in_metres_equals_table(spark, tmp_path):
+    place = lambda c, x, y: F.expr(f"{c} * 140 - 20" if c == x else f"{c} * 90 - 10").alias(c)
+    people = fx.athletes(spark, DATA).withColumns({c: place(c, "x", "y") for c in ("x", "y")})
+    balls = fx.frames(spark, DATA).withColumns({c: place(c, "ball_x", "ball_y") for c in ("ball_x", "ball_y")})
+    packed = people.groupBy("seg", "ts_ms").agg(F.array_sort(F.collect_list(F.struct("obj_ord", "team_key", "player_key", "confidence", "x", "y"))).alias("athletes"))
+    frames = balls.join(packed, ["seg", "ts_ms"]).select("seg", "ts_ms", "field_score", "scene_cut", "replay_probability", "ball_x", "ball_y", "athletes")
+    columns = ["seg", "ts_ms", "state", "team_key", "player_key", F.round("confidence", 6)]
+    found = drained(spark, frames, 3, tmp_path, lambda s: live.live_possession(s, pitch=True)).select(*columns).collect()
+    assert sorted(map(str, found)) == sorted(map(str, possession.possession(balls, people, pitch=True).select(*columns).collect()))
+    assert sum(r.state == "out" for r in found) > 0
+
+
 def test_live_ball_equals_table(spark, tmp_path):
     rows = detection._balls(spark, DATA).selectExpr("frame div 200 as seg", "frame * 40 as ts_ms", "cast(det_id as long) as det_id", "cx", "cy", "confidence", "gain", "near")
     found = drained(spark, rows, 3, tmp_path, live.live_ball).collect()

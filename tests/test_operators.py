@@ -55,6 +55,17 @@ def test_nearest_controls_and_contest(spark):
     assert len(found[1].contenders) == 2
 
 
+def test_ball_past_the_lines_is_out(spark):
+    places = [(52.0, 30.0), (53.0, 30.0), (105.5, 68.5), (106.0, 30.0), (50.0, -0.6), (None, None), (-0.5, -0.5)]
+    frames = spark.createDataFrame([(1, 200 * i, 0.8, False, 0.0, *xy) for i, xy in enumerate(places)], FRAME)
+    athletes = spark.createDataFrame([(1, 200 * i, 0, "home", "p1", 0.9, x + 1.0 if i < 2 else x, y) for i, (x, y) in enumerate(places) if x is not None], ATHLETE)
+    found = possession.possession(frames, athletes, pitch=True).orderBy("ts_ms").collect()
+    assert [r.state for r in found] == ["controlled", "controlled", "controlled", "out", "out", "controlled", "controlled"]
+    assert [(r.player_key, r.confidence, r.reason, r.ball_x) for r in found[3:5]] == [(None, 0.76, "pitch_boundary", 106.0), (None, 0.76, "pitch_boundary", 50.0)]
+    assert kinds(events.outs(possession.possession(frames, athletes, pitch=True))) == ["out"]
+    assert {r.state for r in possession.possession(frames, athletes).collect()} <= {"controlled", "loose"}
+
+
 def test_shares(spark):
     spans = spark.createDataFrame([(1, 0, 6000, "controlled", "home"), (1, 6000, 10000, "controlled", "away")], "seg int, start_ms long, end_ms long, state string, team_key string")
     assert {r.team_key: r.possession_pct for r in possession.possession_stats(spans).collect()} == {"home": 60.0, "away": 40.0}

@@ -81,6 +81,18 @@ def test_period_edits(spark):
     assert [r.rule for r in errors.collect()] == ["timecode"] and [(r.run_id, r.stale, r.approved) for r in stale.collect()] == [(1, True, False)]
 
 
+def test_second_half_follows_the_first(spark):
+    old = spark.createDataFrame([(m, n, *x) for m in "abc" for n, x in ((1, (0, 10_000, 0)), (2, (20_000, 30_000, 2_700_000)))], "match_id string, number int, start_ms long, end_ms long, clock_start_ms long")
+    edits = spark.createDataFrame([("a", 1, "0", "25", "0"), ("b", 2, "21", "31", "0"), ("c", 1, "0", "25", "0"), ("c", 2, "25", "31", "45:00")], "match_id string, number int, start string, end string, clock_start string")
+    videos = spark.createDataFrame([(m, 60_000) for m in "abc"], "match_id string, duration_ms long")
+    runs = spark.createDataFrame([(m, "sample", True, False) for m in "abc"], "match_id string, mode string, approved boolean, stale boolean")
+    new, errors, stale = periods.apply_period_edits(old, edits, videos, runs)
+    assert sorted(map(tuple, errors.collect())) == [("a", 1, "overlap"), ("b", 2, "clock")]
+    assert sorted(map(tuple, new.where("match_id <> 'c'").collect())) == sorted(map(tuple, old.where("match_id <> 'c'").collect()))
+    assert [(r.start_ms, r.end_ms) for r in new.where("match_id = 'c'").orderBy("number").collect()] == [(0, 25_000), (25_000, 31_000)]
+    assert [r.match_id for r in stale.collect()] == ["c"]
+
+
 def test_sampling_and_decimation_of_the_survey(spark):
     spans = spark.createDataFrame([(1, 0, 5_400_000, 15_000), (2, 0, 7_200_000, 1_000)], "id long, start_ms long, end_ms long, step long")
     for key, step, last in ((1, 15_000, 5_385_000), (2, 1_000, 7_100_001)):
