@@ -66,11 +66,12 @@ def _pieces(rows: DataFrame) -> DataFrame:
 
 def license_matches(docs: DataFrame, notices: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """(doc_id, license, containment, first_shingle): one row for each row of docs(doc_id, text) and license of which the
-    text holds at least the share `least` of the shingles, near where one of its windows met the license in a band.
+    text holds at least the share `least` of the shingles, wherever in it, if one of its windows met the license in a band.
 
     Windows of 2 * STEP shingles begin every STEP shingles of the whole text. A window's keys are its least hashes under
     BANDS permutations; windows that share a key with a piece of a notice are retrieved, and the notice's shingles in
-    them are counted exactly. Notices are a bounded list, broadcast. Null, empty and shorter texts match nothing; null
+    the whole text are counted exactly. A text none of whose windows meets a key of the notice is missed, at most about
+    0.14 % for an exact notice of three shingles and less for longer ones. Notices are a bounded list, broadcast. Null, empty and shorter texts match nothing; null
     doc_ids match like others; rows with equal doc_id and text are one. Notices under LEAST_SHINGLES shingles are left
     out. Other columns are left out.
     """
@@ -78,23 +79,24 @@ def license_matches(docs: DataFrame, notices: list[tuple[str, str]] | None = Non
     wanted = templates(spark, notices)
     band_keys = _pieces(wanted).select("license", F.posexplode(_keys("piece")).alias("band", "key")).distinct()
     listed = sorted(r[0] for r in band_keys.select("key").distinct().collect())
+    known = F.array(*(F.lit(x) for x in sorted({x for r in wanted.select("needed").collect() for x in r[0]}))).cast("array<bigint>")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text").cast("string")).alias("words"))
-    hashed = texts.select("doc_id", "text_key", shingles().alias("h"))
+    hashed = texts.select("doc_id", "text_key", shingles().alias("h")).withColumn("mine", F.array_intersect("h", known))
     # No filter or inner explode on these arrays: it would be pushed below them and split each text once for each of its words.
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("h") - STEP), F.lit(STEP))
-    windows = hashed.select("doc_id", "text_key", F.explode_outer(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("h", i, 2 * STEP).alias("window")))).alias("w"))
-    windows = windows.select("doc_id", "text_key", F.col("w.at").alias("at"), F.col("w.window").alias("window")).where("size(window) > 0")
+    windows = hashed.select("doc_id", "text_key", "mine", F.explode_outer(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("h", i, 2 * STEP).alias("window")))).alias("w"))
+    windows = windows.select("doc_id", "text_key", "mine", F.col("w.at").alias("at"), F.col("w.window").alias("window")).where("size(window) > 0")
     kept = windows.withColumn("keys", _keys("window")).where(F.exists("keys", lambda k: k.isin(listed)))
     met = (
-        kept.select("doc_id", "text_key", "at", "window", F.posexplode("keys").alias("band", "key"))
+        kept.select("doc_id", "text_key", "mine", "at", "window", F.posexplode("keys").alias("band", "key"))
         .join(F.broadcast(band_keys), ["band", "key"])
-        .select("doc_id", "text_key", "at", "window", "license")
+        .select("doc_id", "text_key", "mine", "at", "window", "license")
         .distinct()
         .join(F.broadcast(wanted), "license")
-        .select("doc_id", "text_key", "license", "n_shingles", "at", F.array_intersect("window", "needed").alias("held"))
-        .where(F.size("held") > 0)
+        .where(F.size(F.array_intersect("window", "needed")) > 0)
+        .select("doc_id", "text_key", "license", "n_shingles", "at", F.size(F.array_intersect("mine", "needed")).alias("held"))
     )
-    found = met.groupBy("doc_id", "text_key", "license", "n_shingles").agg(F.min("at").alias("first_shingle"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("held"))
-    share = F.size("held") / F.col("n_shingles")
+    found = met.groupBy("doc_id", "text_key", "license", "n_shingles").agg(F.min("at").alias("first_shingle"), F.max("held").alias("held"))
+    share = F.col("held") / F.col("n_shingles")
     return found.where(share >= least).select("doc_id", "license", share.alias("containment"), "first_shingle")

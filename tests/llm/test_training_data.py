@@ -14,7 +14,7 @@ from sidelines.llm import simhash, substring
 from sidelines.llm.chat import conversation_digests, escape, formatted_turns, parse, text_parts, unescape
 from sidelines.llm.common import components
 from sidelines.llm.decontam import contamination, report
-from sidelines.llm.licenses import license_matches
+from sidelines.llm.licenses import NOTICES, license_matches
 from sidelines.llm.pieces import Transducer, decoded, encoded
 from sidelines.llm.quality import isotonic, quality_scores
 from sidelines.llm.rules import quality_rules
@@ -217,6 +217,31 @@ def test_licenses(spark):
     assert sorted(((r.doc_id, r.license) for r in found.collect()), key=str) == sorted([(1, "MIT"), (2, "GPL"), (None, "MIT"), (None, "GPL")], key=str)
 
 
+def test_edited_licenses_in_random_surroundings(spark):
+    rng = random.Random(5)
+    noise = lambda: ["".join(rng.choice("bdfgklmpr") for _ in range(5)) for _ in range(rng.randint(3, 40))]
+    plain = lambda t: re.findall("[a-z0]+", re.sub("[1-9]", "0", t.lower()))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    rows, expected = [], []
+    for name, notice in NOTICES:
+        for i in range(30):
+            w = plain(notice)
+            if len(w) > 12:
+                at = rng.choice([3, 4, len(w) - 4, len(w) - 5])
+                w[at] = "edited"
+                if i % 3 == 0:  # what the edit takes stands elsewhere
+                    w += [*noise(), *plain(notice)[at - 1 : at + 2]]
+            w = [*noise(), *w, *noise()]
+            rows.append((len(rows), " ".join(w)))
+            for other, template in NOTICES:
+                need = grams(plain(template))
+                share = len(need & grams(w)) / len(need)
+                if share >= 0.8:
+                    expected.append((len(rows) - 1, other, round(share, 9)))
+    found = [(r.doc_id, r.license, round(r.containment, 9)) for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found) == sorted(expected)
+
+
 def test_models(spark):
     rng = random.Random(7)
     clean = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(60, 120))) + "."
