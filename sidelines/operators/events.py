@@ -4,8 +4,10 @@ samples(seg, ts_ms, state, team_key, player_key, ball_x, ball_y, confidence, con
 Coordinates are shares of the image; `pitch` turns thresholds to metres.
 """
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,20 +127,32 @@ def candidates(samples: DataFrame, pitch: bool = False) -> DataFrame:
 def deduplicate(events: DataFrame, within_ms: int = 400, last: int = 6) -> DataFrame:
     """Of events of one type and player within `within_ms` among the last `last` kept, the most confident stays, in place.
 
-    A segment's events are some hundreds; they fold in one array per segment."""
-    kind = f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in events.select(*COLUMNS[1:]).schema)}>>"
-    rows = events.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(*COLUMNS[1:]))).alias("all"))
-
-    def step(kept: Column, e: Column) -> Column:
-        def same(i: Column) -> Column:
-            x = F.element_at(kept, i)
-            return (x["event_type"] == e["event_type"]) & x["player_key"].eqNullSafe(e["player_key"]) & (F.abs(x["ts_ms"] - e["ts_ms"]) <= within_ms)
-
-        n = F.size(kept)
-        hit = F.when(n > 0, F.try_element_at(F.filter(F.sequence(F.greatest(F.lit(1), n - (last - 1)), F.greatest(F.lit(1), n)), same), F.lit(-1)))
-        return F.when(hit.isNull(), F.concat(kept, F.array(e))).when(e["confidence"] > F.element_at(kept, hit)["confidence"], F.transform(kept, lambda x, j: F.when(j + 1 == hit, e).otherwise(x))).otherwise(kept)
-
-    return rows.select("seg", F.explode(F.aggregate("all", F.array().cast(kind), step)).alias("e")).select("seg", "e.*")
+    A segment's events pass as a sorted stream; only the last kept ones are held."""
+    order = COLUMNS[1:]
+    what, who, when, sure = (order.index(c) for c in ("event_type", "player_key", "ts_ms", "confidence"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg, kept = None, []
+        for batch in batches:
+            done, types = [], batch.schema.types
+            for key, *e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != seg:
+                    done += [(seg, *x) for x in kept]
+                    seg, kept = key, []
+                hit = next((i for i in range(len(kept) - 1, -1, -1) if kept[i][what] == e[what] and kept[i][who] == e[who] and abs(kept[i][when] - e[when]) <= within_ms), None)
+                if hit is None:
+                    kept.append(e)
+                    if len(kept) > last:
+                        done.append((seg, *kept.pop(0)))
+                elif e[sure] is not None and kept[hit][sure] is not None and e[sure] > kept[hit][sure]:
+                    kept[hit] = e
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)], COLUMNS)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((seg, *x) for x in kept), strict=True), types, strict=True)], COLUMNS)
+
+    rows = events.select(*COLUMNS)
+    return rows.repartition("seg").sortWithinPartitions(*COLUMNS).mapInArrow(run, rows.schema)
 
 
 def mark_assists(events: DataFrame, within_ms: int = 12_000) -> DataFrame:

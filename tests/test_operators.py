@@ -37,6 +37,24 @@ def test_shot(spark):
     assert len(found) == 1 and found[0].confidence < 0.92
 
 
+def test_duplicates_go_from_a_sorted_stream(spark):
+    columns = "seg long, ts_ms long, emit_ord int, event_type string, team_key string, player_key string, recipient_key string, outcome string, start_x double, start_y double, end_x double, end_y double, confidence double, qualifiers array<string>"
+    every = [(i % 2, i * 37, i, ("pass", "carry")[i // 3 % 2], "home", (None, "p1", "p2")[i % 3], None, "x", 0.1, 0.2, None, None, i * 7 % 11 / 10, ["a"]) for i in range(6000)]
+    expected = []
+    for seg in (0, 1):
+        kept = []
+        for e in (e for e in every if e[0] == seg):
+            hit = next((i for i in range(len(kept) - 1, max(-1, len(kept) - 7), -1) if kept[i][3] == e[3] and kept[i][5] == e[5] and e[1] - kept[i][1] <= 400), None)
+            if hit is None:
+                kept.append(e)
+            elif e[12] > kept[hit][12]:
+                kept[hit] = e
+        expected += kept
+    found = events.deduplicate(spark.createDataFrame(every, columns).repartition(3))
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, expected)) and len(expected) < 6000
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_assist_goes_to_latest_pass(spark):
     columns = "seg int, ts_ms long, event_type string, team_key string, player_key string, recipient_key string, qualifiers array<string>"
     rows = [(1, 0, "pass", "home", "p1", "p9", []), (1, 5000, "pass", "home", "p2", "p9", []), (1, 9000, "goal", "home", "p9", None, [])]
