@@ -20,14 +20,15 @@ def _drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.5. Learns from labels of the documents given."""
+    """Documents scored under 0.5, judged by doc_id: all rows of an id go if one is toxic, and rows without one stay.
+    Learns from labels of the documents given."""
     scores = toxicity_scores(docs, read(spark, sf_dir, "labels"))
     return _drop(docs, scores.where("score >= 0.5"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id, and one row of each doc_id. Rows without a
-    doc_id stay."""
+    """Of each group of linked documents the one with the smallest doc_id, and one row of each doc_id, an arbitrary one
+    if its texts differ. Rows without a doc_id stay."""
     groups = near_duplicates(docs)
     kept = _drop(docs, groups.where("component_id < doc_id"))
     own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
@@ -36,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that smaller doc_ids hold too; a text of which nothing goes stays as it is. n_chars
-    follows the text; a document that loses all words stays with an empty text."""
+    follows the text; a document that loses all words stays with an empty text, and rows without a doc_id stay whole."""
     found = remove_repeats(docs).where("n_removed > 0").dropDuplicates(["doc_id", "key"])
     kept = found.select("doc_id", F.col("key").alias("_text_key"), F.col("kept").alias("_kept"))
     rows = docs.withColumn("_text_key", text_key(F.col("text"))).join(kept, ["doc_id", "_text_key"], "left")
@@ -45,7 +46,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's windows don't contaminate."""
+    """Documents that the benchmark's windows don't contaminate, judged by doc_id: all rows of an id go if one is
+    contaminated, and rows without one stay."""
     return _drop(docs, report(contamination(docs, read(spark, sf_dir, "benchmark"))).where("contaminated"))
 
 
