@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_NAME = "football-tracking.gsr/v1"  # fixed value: the format's name in its own header
 TEXTS = ("role", "track_id", "team_key", "team_cluster", "team", "shirt_number", "jersey_number", "confidence", "pitch_xy", "bbox_pitch")
 OBJECT = T.StructType([T.StructField(c, T.StringType()) for c in TEXTS] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("bbox_xyxy", "bbox_ltwh")])
 FRAME = T.StructType([
@@ -44,8 +43,9 @@ def pitch(value: Column, axis: str) -> Column:
     return F.coalesce(*named, F.when(F.substring(F.trim(value), 1, 1) == "[", F.get_json_object(value, f"$[{at}]"))).try_cast("double")
 
 
-def header_errors(meta: DataFrame, engine: str | None = None) -> DataFrame:
-    rule = F.when(~F.col("schema").eqNullSafe(SCHEMA_NAME), "schema")
+def header_errors(meta: DataFrame, schema: str, engine: str | None = None) -> DataFrame:
+    """One row for each header whose schema isn't the expected one, or that names another engine."""
+    rule = F.when(~F.col("schema").eqNullSafe(schema), "schema")
     if engine:
         rule = rule.when(~F.col("engine").isin(engine, "external"), "engine")
     return meta.withColumn("rule", rule).where("rule is not null").select("match_id", "rule")
@@ -92,8 +92,11 @@ def check_objects(rows: DataFrame) -> DataFrame:
 
 
 def frame_counts(objects: DataFrame) -> DataFrame:
+    """Per frame its athletes and referees, and the list of its detections in order; a frame holds tens of objects."""
     athlete = F.col("role").isin("player", "goalkeeper")
-    return objects.groupBy("match_id", "ts_ms").agg(F.count_if(athlete).alias("athletes"), F.count_if(F.col("role") == "referee").alias("referees"))
+    box = F.array("x1", "y1", "x2", "y2").alias("bbox")
+    listed = F.array_sort(F.collect_list(F.struct("obj_ord", box, "role", "confidence")))
+    return objects.groupBy("match_id", "ts_ms").agg(F.count_if(athlete).alias("athletes"), F.count_if(F.col("role") == "referee").alias("referees"), F.transform(listed, lambda o: o.dropFields("obj_ord")).alias("detections"))
 
 
 def import_summary(objects: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sidelines.operators import clocks, ingest, periods
 from sidelines.sources import results, tracking
 
-HEADER = {"type": "metadata", "schema": ingest.SCHEMA_NAME, "engine": "external", "fps": 25.0}
+SCHEMA = "tracking/v1"
+HEADER = {"type": "metadata", "schema": SCHEMA, "engine": "external", "fps": 25.0}
 FRAME = {
     "timestamp_ms": 1000, "width": 1920, "height": 1080,
     "objects": [
@@ -23,7 +24,7 @@ def test_import_of_lines_and_of_a_document(spark, tmp_path):
     matches = spark.createDataFrame([("m", "B")], "match_id string, home_cluster string")
     for raw, meta in (tracking.read_ndjson(spark, str(tmp_path / "a.ndjson"), "m"), tracking.read_document(spark, str(tmp_path / "b.json"), "m")):
         frames, objects, errors = ingest.validate_frames(raw, meta, matches)
-        assert ingest.header_errors(meta, "external").count() == 0 and errors.count() == 0 and frames.count() == 1
+        assert ingest.header_errors(meta, SCHEMA, "external").count() == 0 and errors.count() == 0 and frames.count() == 1
         player, referee = objects.orderBy("role").collect()
         assert (player.track_id, player.team_key, player.shirt_number, player.pitch_x, player.pitch_y) == ("gsr-42", "home", 10, 0.0, -8.5)
         assert (referee.x2, referee.y2, referee.confidence) == (340.0, 300.0, 1.0)
@@ -32,7 +33,7 @@ def test_import_of_lines_and_of_a_document(spark, tmp_path):
 def test_document_of_another_shape_is_an_error(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"predictions": [1]}))
     raw, meta = tracking.read_document(spark, str(tmp_path / "c.json"), "m")
-    assert raw.count() == 0 and [r.rule for r in ingest.header_errors(meta).collect()] == ["schema"]
+    assert raw.count() == 0 and [r.rule for r in ingest.header_errors(meta, SCHEMA).collect()] == ["schema"]
 
 
 def test_roster_with_byte_order_mark(spark, tmp_path):
