@@ -8,6 +8,17 @@ def ordered(by: list[str], *order: str) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def earlier(by: list[str], *order: str) -> WindowSpec:
+    """All rows before a row."""
+    return ordered(by, *order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def later(by: list[str], *order: str) -> WindowSpec:
+    """All rows after a row, the nearest one last: in reverse order they come before it, so that each row adds one to what
+    the row before has seen."""
+    return Window.partitionBy(*by).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 

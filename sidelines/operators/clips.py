@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.functions.columns import ordered
+from sidelines.functions.columns import earlier, ordered
 
 #: Milliseconds before and after an event; others have 5000 each.
 PADDING = {"goal": (12_000, 10_000), "shot": (9_000, 7_000), "pass": (5_000, 5_000), "carry": (5_000, 4_000), "duel": (5_000, 5_000), "aerial_duel": (5_000, 5_000), "tackle": (5_000, 5_000)}
@@ -16,7 +16,7 @@ def clip_windows(events: DataFrame, videos: DataFrame, types: list[str] | None =
     rows = (events.where(F.col("event_type").isin(types)) if types else events).join(videos, "seg")
     rows = rows.withColumn("start_ms", F.greatest(F.lit(0), F.col("ts_ms") - pad(0))).withColumn("end_ms", F.least("duration_ms", F.col("ts_ms") + pad(1)))
     w = ordered(["seg"], "ts_ms", "event_id")
-    before = F.max("end_ms").over(w.rowsBetween(-(1 << 31), -1))
+    before = F.max("end_ms").over(earlier(["seg"], "ts_ms", "event_id"))
     rows = rows.withColumn("new", F.coalesce((F.col("start_ms") > before + merge_gap_ms).cast("int"), F.lit(1))).withColumn("clip", F.sum("new").over(w))
     found = rows.groupBy("seg", "clip").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_sort(F.collect_list(F.struct("ts_ms", "event_id", "event_type"))).alias("all"))
     label = F.aggregate("all", F.lit(""), lambda a, x: F.when(a == "", x["event_type"]).when(F.contains(a, x["event_type"]), a).otherwise(F.concat(a, F.lit("-"), x["event_type"])))

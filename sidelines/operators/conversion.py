@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a frame says of each object.
+PAYLOAD = ("track_id", "role", "x1", "y1", "x2", "y2", "confidence", "cluster", "shirt_number", "pitch_x", "pitch_y", "role_confidence", "jersey_confidence", "period", "window_index", "side")
 ROLES = ("player", "goalkeeper", "referee")
 
 
@@ -74,7 +76,7 @@ def densify(objects: DataFrame, segments: DataFrame, fps: float) -> DataFrame:
     """A row for every frame of every segment with its objects, none for frames without; separators' frames have no row."""
     rows = segments.withColumn("frame", F.explode(F.expr("sequence(composite_start_frame, composite_start_frame + frame_count - 1)")))
     rows = rows.select("match_id", "seg_index", "frame", source_clock(F.col("frame"), fps).alias("ts_ms"))
-    packed = objects.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(F.struct("track_id", "role", "confidence"))).alias("objects"))
+    packed = objects.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(F.struct(*(c for c in PAYLOAD if c in objects.columns)))).alias("objects"))
     return rows.join(packed, ["match_id", "frame"], "left")
 
 

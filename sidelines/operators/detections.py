@@ -145,9 +145,15 @@ def classify_jersey(features: DataFrame, centres: DataFrame, home: str = "A", ma
     return rows.withColumn("team", F.when(group == home, "home").when(group.isNotNull(), "away")).drop("a", "b")
 
 
-def detection_counts(detections: DataFrame) -> DataFrame:
-    """Per frame: detections of each kind, with athletes under the threshold apart."""
+def detection_counts(detections: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Per frame: detections of each kind, with athletes under the threshold apart, and, if `kept` holds what
+    suppress_duplicates left of the persons, how many of them were duplicates."""
     person = F.col("role").isin("player", "goalkeeper")
+    if kept is not None:
+        people = lambda rows, n: rows.where(F.col("role").isin("player", "goalkeeper", "referee")).groupBy("frame").agg(F.count("*").alias(n))
+        left = people(detections, "before").join(people(kept, "after"), "frame", "left")
+        gone = left.select("frame", F.greatest(F.lit(0), F.col("before") - F.coalesce("after", F.lit(0))).alias("duplicates"))
+        return detection_counts(detections).join(gone, "frame", "left").fillna(0, ["duplicates"])
     return detections.groupBy("frame").agg(
         F.count("*").alias("detections"), F.count_if(person & (F.col("confidence") >= 0.25)).alias("athletes"), F.count_if(person & (F.col("confidence") < 0.25)).alias("rejected_athletes"),
         F.count_if(F.col("role") == "referee").alias("referees"), F.count_if(F.col("role") == "ball").alias("balls"), F.count_if(F.col("role") == "other").alias("others"),
@@ -167,6 +173,48 @@ def project_points(points: DataFrame, matrices: DataFrame, by: list[str] = ["seg
     return rows.withColumn("px", F.col("p.x")).withColumn("py", F.col("p.y")).drop("h", "p")
 
 
+def fit_homographies(pairs: DataFrame, within: float = 4.0, trials: int = 200, seed: int = 3) -> DataFrame:
+    """(seg, h) from pairs(seg, x, y, to_x, to_y): the row-major matrix that most pairs agree with within `within`, fitted to
+    those by least squares; no row under four usable pairs. A segment's pairs are the few points that someone marked."""
+
+    def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+        def plain(p: np.ndarray) -> np.ndarray:  # centre 0, mean distance sqrt(2)
+            spread = np.sqrt(((p - p.mean(axis=0)) ** 2).sum(axis=1)).mean()
+            k = np.sqrt(2) / spread if spread > 0 else 1.0
+            return np.array([[k, 0, -k * p[:, 0].mean()], [0, k, -k * p[:, 1].mean()], [0, 0, 1]])
+
+        ta, tb = plain(a), plain(b)
+        one = np.ones((len(a), 1))
+        p, q = np.hstack([a, one]) @ ta.T, np.hstack([b, one]) @ tb.T
+        zero = np.zeros_like(p)
+        rows = np.vstack([np.hstack([p, zero, -q[:, :1] * p]), np.hstack([zero, p, -q[:, 1:2] * p])])
+        _, values, v = np.linalg.svd(rows)
+        if values[7] < 1e-9:
+            return None
+        h = np.linalg.inv(tb) @ v[-1].reshape(3, 3) @ ta
+        return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+
+    def miss(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        p = np.hstack([a, np.ones((len(a), 1))]) @ h.T
+        with np.errstate(all="ignore"):
+            return np.nan_to_num(np.hypot(*(p[:, :2] / p[:, 2:] - b).T), nan=np.inf)
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.dropna().sort_values(["x", "y", "to_x", "to_y"])
+        a, b = part[["x", "y"]].to_numpy(float), part[["to_x", "to_y"]].to_numpy(float)
+        rng, best = np.random.default_rng(seed), np.zeros(len(part), bool)
+        for trial in range(trials + 1 if len(part) >= 4 else 0):
+            chosen = np.arange(len(part)) if trial == 0 else rng.choice(len(part), 4, replace=False)
+            h = solve(a[chosen], b[chosen])
+            if h is not None and (near := miss(h, a, b) <= within).sum() > best.sum():
+                best = near
+        h = solve(a[best], b[best]) if best.sum() >= 4 else None
+        return pd.DataFrame({"seg": [key[0]], "h": [h.ravel().tolist()]} if h is not None else {"seg": [], "h": []})
+
+    kind = pairs.schema["seg"].dataType.simpleString()
+    return pairs.select("seg", "x", "y", "to_x", "to_y").groupBy("seg").applyInPandas(fit, f"seg {kind}, h array<double>")
+
+
 def reprojection_error(pairs: DataFrame) -> DataFrame:
     """Per segment of pairs(seg, x, y, to_x, to_y, h): the mean distance of projected points, null under four pairs."""
     p = project(F.col("x"), F.col("y"), F.col("h"))

@@ -40,6 +40,14 @@ def verdict(rows: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", level).withColumn("issues", F.concat("failures", "warnings")).drop("failures", "warnings")
 
 
+def gate_coverage(diagnostics: DataFrame, coverage: DataFrame, by: str = "run_id") -> DataFrame:
+    """Diagnostics with the external frames that are missing; a run that lacks too many fails, and that is its first issue.
+    coverage(by, missing_frames, failed); runs without a row there used no external frames."""
+    rows = diagnostics.join(coverage.select(by, "missing_frames", "failed"), by, "left").fillna({"missing_frames": 0, "failed": False})
+    issues = F.when(F.col("failed"), F.concat(F.array(F.lit("external_coverage")), "issues")).otherwise(F.col("issues"))
+    return rows.withColumn("issues", issues).withColumn("verdict", F.when(F.col("failed"), "fail").otherwise(F.col("verdict"))).drop("failed")
+
+
 def finish_status(runs: DataFrame, periods: DataFrame, events: DataFrame) -> DataFrame:
     """runs(run_id, match_id, mode, backend, grade) with status review or completed."""
     unsure = periods.groupBy("match_id").agg(F.bool_or(~F.col("confirmed")).alias("unconfirmed"))

@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.functions.columns import distance, ordered
+from sidelines.functions.columns import distance, earlier, later, ordered
 
 BY = ["seg"]
 #: Fixed values of the rules: (image shares, metres).
 CARRY, PROGRESS, SHOT, NEAR, FAR = (0.08, 5.0), (0.12, 10.0), (0.12, 8.0), (0.12, 10.0), (0.88, 95.0)
-COLUMNS = ["seg", "ts_ms", "emit_ord", "event_type", "team_key", "player_key", "recipient_key", "outcome", "start_x", "start_y", "end_x", "end_y", "confidence", "qualifiers"]
+COLUMNS = ["seg", "ts_ms", "emit_ord", "event_type", "team_key", "player_key", "recipient_key", "outcome", "start_x", "start_y", "end_x", "end_y", "confidence", "qualifiers", "duration_ms", "distance"]
 
 
 def _events(rows: DataFrame, kind: int, event_type: str, **columns: Column) -> DataFrame:
-    empty = {"recipient_key": F.lit(None).cast("string"), "qualifiers": F.array().cast("array<string>"), "sub": F.lit(0), "end_x": F.lit(None).cast("double"), "end_y": F.lit(None).cast("double"), "at": F.col("ts_ms")}
+    empty = {"recipient_key": F.lit(None).cast("string"), "qualifiers": F.array().cast("array<string>"), "sub": F.lit(0), "end_x": F.lit(None).cast("double"), "end_y": F.lit(None).cast("double"), "duration_ms": F.lit(None).cast("long"), "distance": F.lit(None).cast("double"), "at": F.col("ts_ms")}
     c = empty | columns
     c["emit_ord"] = F.struct(F.lit(kind).alias("kind"), c.pop("at").alias("at"), c.pop("sub").alias("sub"))
     c["event_type"] = F.lit(event_type)
@@ -47,7 +47,7 @@ def carries(runs: DataFrame, pitch: bool = False, min_ms: int = 700) -> DataFram
     d = distance(F.col("end_ball_x"), F.col("end_ball_y"), F.col("start_ball_x"), F.col("start_ball_y"))
     rows = runs.where((F.col("n") >= 2) & (d >= CARRY[pitch]) & (F.col("end_ms") - F.col("start_ms") >= min_ms))
     forward = F.abs(F.col("end_ball_x") - F.col("start_ball_x")) >= PROGRESS[pitch]
-    return _events(rows, 0, "carry", ts_ms=F.col("end_ms"), at=F.col("run").cast("long"), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), qualifiers=_tag(forward, "progressive_candidate"))
+    return _events(rows, 0, "carry", ts_ms=F.col("end_ms"), at=F.col("run").cast("long"), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), qualifiers=_tag(forward, "progressive_candidate"), duration_ms=F.col("end_ms") - F.col("start_ms"), distance=F.round(d, 5))
 
 
 def transfers(runs: DataFrame, pitch: bool = False, max_gap_ms: int = 3000) -> DataFrame:
@@ -73,7 +73,7 @@ def duels(samples: DataFrame) -> DataFrame:
     w = ordered(BY, "ts_ms")
     held = F.when(F.col("state") == "controlled", F.struct("ts_ms", "team_key", "player_key", "ball_x", "ball_y", "confidence"))
     contested = F.col("state") == "contested"
-    rows = samples.withColumn("before", F.last(held, True).over(w.rowsBetween(-(1 << 31), -1))).withColumn("after", F.first(held, True).over(w.rowsBetween(1, (1 << 31) - 1)))
+    rows = samples.withColumn("before", F.last(held, True).over(earlier(BY, "ts_ms"))).withColumn("after", F.last(held, True).over(later(BY, "ts_ms")))
     rows = rows.withColumn("run", F.sum((contested & ~F.coalesce(F.lag("state").over(w) == "contested", F.lit(False))).cast("int")).over(w)).where(contested)
     runs = rows.groupBy("seg", "run").agg(
         F.min("ts_ms").alias("ts_ms"),
@@ -104,13 +104,12 @@ def shots(samples: DataFrame, pitch: bool = False, horizon_ms: int = 2200) -> Da
     """A controlled sample from which the ball goes loose or out near a goal before another player controls it."""
     w = ordered(BY, "ts_ms")
     held = F.col("state") == "controlled"
-    last_player = F.last(F.when(held, F.col("player_key")), True).over(w.rowsBetween(-(1 << 31), -1))
-    rows = samples.withColumn("new_owner_ms", F.when(held & (F.col("player_key") != last_player), F.col("ts_ms")))
-    rows = rows.withColumn("stop_ms", F.first("new_owner_ms", True).over(w.rowsBetween(1, (1 << 31) - 1)))
+    last_player = F.last(F.when(held, F.col("player_key")), True).over(earlier(BY, "ts_ms"))
+    rows = samples.withColumn("last_player", last_player)
+    rows = rows.withColumn("owners", F.sum((held & F.coalesce(F.col("player_key") != F.col("last_player"), F.lit(False))).cast("int")).over(w))
     point = F.when(F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull(), F.struct("ts_ms", "state", "ball_x", "ball_y", "confidence"))
-    ahead = F.array_sort(F.collect_list(point).over(w.rangeBetween(1, horizon_ms)))
-    rows = rows.withColumn("ahead", ahead).where(held & F.col("player_key").isNotNull())
-    rows = rows.withColumn("ahead", F.filter("ahead", lambda p: F.col("stop_ms").isNull() | (p["ts_ms"] < F.col("stop_ms")))).where("size(ahead) >= 2").withColumn("end", F.try_element_at("ahead", F.lit(-1)))
+    ahead = ordered([*BY, "owners"], "ts_ms").rangeBetween(1, horizon_ms)
+    rows = rows.withColumn("end", F.max(point).over(ahead)).withColumn("points", F.count(point).over(ahead)).where(held & F.col("player_key").isNotNull() & (F.col("points") >= 2))
     near = (F.col("end.ball_x") <= NEAR[pitch]) | (F.col("end.ball_x") >= FAR[pitch])
     moved = distance(F.col("end.ball_x"), F.col("end.ball_y"), F.col("ball_x"), F.col("ball_y")) >= SHOT[pitch]
     rows = rows.where(F.col("end.state").isin("loose", "out") & near & moved)
@@ -128,7 +127,8 @@ def deduplicate(events: DataFrame, within_ms: int = 400, last: int = 6) -> DataF
     """Of events of one type and player within `within_ms` among the last `last` kept, the most confident stays, in place.
 
     A segment's events pass as a sorted stream; only the last kept ones are held."""
-    order = COLUMNS[1:]
+    columns = [*COLUMNS[:3], *(c for c in events.columns if c not in COLUMNS[:3])]
+    order = columns[1:]
     what, who, when, sure = (order.index(c) for c in ("event_type", "player_key", "ts_ms", "confidence"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,22 +147,22 @@ def deduplicate(events: DataFrame, within_ms: int = 400, last: int = 6) -> DataF
                 elif e[sure] is not None and kept[hit][sure] is not None and e[sure] > kept[hit][sure]:
                     kept[hit] = e
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)], COLUMNS)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)], columns)
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((seg, *x) for x in kept), strict=True), types, strict=True)], COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*((seg, *x) for x in kept), strict=True), types, strict=True)], columns)
 
-    rows = events.select(*COLUMNS)
-    return rows.repartition("seg").sortWithinPartitions(*COLUMNS).mapInArrow(run, rows.schema)
+    rows = events.select(*columns)
+    return rows.repartition("seg").sortWithinPartitions(*columns).mapInArrow(run, rows.schema)
 
 
 def mark_assists(events: DataFrame, within_ms: int = 12_000) -> DataFrame:
     """Adds "assist" to the latest pass to each goal's scorer, of the same team and at most `within_ms` before."""
-    w = ordered(["seg", "team_key", "who"], "ts_ms", "last")
+    after = later(["seg", "team_key", "who"], "ts_ms", "last")
     who = F.when(F.col("event_type") == "pass", F.col("recipient_key")).when(F.col("event_type") == "goal", F.col("player_key"))
     rows = events.withColumn("who", who).withColumn("last", (F.col("event_type") == "goal").cast("int"))
     scorer = rows.where(F.col("who").isNotNull())
-    goal_after = F.first(F.when(F.col("event_type") == "goal", F.col("ts_ms")), True).over(w.rowsBetween(1, (1 << 31) - 1))
-    pass_after = F.first(F.when(F.col("event_type") == "pass", F.col("ts_ms")), True).over(w.rowsBetween(1, (1 << 31) - 1))
+    goal_after = F.last(F.when(F.col("event_type") == "goal", F.col("ts_ms")), True).over(after)
+    pass_after = F.last(F.when(F.col("event_type") == "pass", F.col("ts_ms")), True).over(after)
     hit = (F.col("event_type") == "pass") & (F.col("g") - F.col("ts_ms") <= within_ms) & (F.col("p").isNull() | (F.col("p") > F.col("g")))
     tagged = scorer.withColumn("g", goal_after).withColumn("p", pass_after).withColumn("qualifiers", F.when(hit, F.array_union("qualifiers", F.array(F.lit("assist")))).otherwise(F.col("qualifiers")))
     return tagged.select(events.columns).unionByName(rows.where(F.col("who").isNull()).select(events.columns))

@@ -5,11 +5,20 @@ from pyspark.sql import functions as F
 
 from sidelines.functions.columns import clamp
 
-
-def derive_signals(features: DataFrame, cut: float = 0.32) -> DataFrame:
-    """features(green_ratio, line_score, motion_score, ...) with field_score, scene_cut and replay_probability."""
-    rows = features.withColumn("field_score", clamp(F.col("green_ratio") * 1.55 + F.col("line_score") * 1.2)).withColumn("scene_cut", F.col("motion_score") > cut)
-    return rows.withColumn("replay_probability", F.when(F.col("scene_cut") & (F.col("field_score") < 0.22), 0.7).otherwise(0.0))
+#: Fixed values of each provider: weights of green and lines, and the replay's probability where a column is under a value.
+PROVIDERS = {
+    "quality": (1.55, 1.2, "field_score", 0.22, 0.7),
+    "heuristic": (1.6, 0.0, "green_ratio", 0.12, 0.7),
+    "detector": (1.6, 0.0, "field_score", 0.2, 0.72),
+}
+
+
+def derive_signals(features: DataFrame, cut: float = 0.32, provider: str = "quality") -> DataFrame:
+    """features(green_ratio, motion_score, ...; line_score for `quality`) with field_score, scene_cut and replay_probability."""
+    green, lines, column, under, replay = PROVIDERS[provider]
+    score = F.col("green_ratio") * green + (F.col("line_score") * lines if lines else 0.0)
+    rows = features.withColumn("field_score", clamp(score)).withColumn("scene_cut", F.col("motion_score") > cut)
+    return rows.withColumn("replay_probability", F.when(F.col("scene_cut") & (F.col(column) < under), replay).otherwise(0.0))
 
 
 def _grade(score: Column) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sidelines.operators.possession import possession_stats
+
 #: The counter of each event type.
 COUNTER = {"pass": "passes", "carry": "carries", "shot": "shots", "goal": "goals", "duel": "duels", "aerial_duel": "duels", "recovery": "recoveries", "loss": "losses", "tackle": "tackles", "interception": "interceptions", "foul": "fouls", "corner": "corners", "offside": "offsides"}
 COUNTERS = [*dict.fromkeys(COUNTER.values()), "passes_completed", "progressive_passes", "duels_won", "shots_on_target", "assists"]
@@ -18,8 +20,35 @@ def event_stats(events: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("pass_accuracy_pct", F.when(F.col("passes") > 0, F.round(100.0 * F.col("passes_completed") / F.col("passes"), 2)).otherwise(0.0))
 
 
+#: All metrics of a sheet, each 0 by default.
+METRICS = ["possession_pct", "ball_in_play_seconds", "possession_seconds", "pass_accuracy_pct", *COUNTERS]
+
+
+def effective_minutes(spans: DataFrame, by: str = "seg") -> DataFrame:
+    """Minutes with the ball in play; none without such a span."""
+    ms = F.sum(F.when(F.col("state").isin("controlled", "contested", "loose"), F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))))
+    return spans.groupBy(by).agg(F.round(F.coalesce(ms, F.lit(0)) / 60_000, 2).alias("minutes_played"))
+
+
+def team_sheets(teams: DataFrame, events: DataFrame, spans: DataFrame, by: str = "seg") -> DataFrame:
+    """A row of minutes and METRICS for each of teams(by, team_key), blank where it has no event or span."""
+    rows = teams.select(by, "team_key").join(event_stats(events, [by, "team_key"]), [by, "team_key"], "left").join(possession_stats(spans, by), [by, "team_key"], "left")
+    rows = rows.join(effective_minutes(spans, by), by, "left").fillna(0)
+    return rows.select(by, "team_key", "minutes_played", *METRICS)
+
+
 def player_rollup(track_stats: DataFrame, assignments: DataFrame) -> DataFrame:
     """Sums of counters over the tracks assigned to each player, accuracy anew, minutes from the tracks' lengths.
     track_stats(seg, track_id, start_ms, end_ms, counters), assignments(seg, track_id, player_id)."""
     rows = track_stats.join(assignments, ["seg", "track_id"]).groupBy("player_id").agg(*(F.sum(c).alias(c) for c in COUNTERS), (F.sum(F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))) / 60000).alias("minutes"))
     return rows.withColumn("pass_accuracy_pct", F.when(F.col("passes") > 0, F.round(100.0 * F.col("passes_completed") / F.col("passes"), 2)).otherwise(0.0))
+
+
+def refresh_players(track_stats: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sheets, gone) after tracks were assigned anew: sheets of the players that gained or lost a track, and the players
+    among those that have none left. before and after are assignments(seg, track_id, player_id; null: none)."""
+    old = before.select("seg", "track_id", F.col("player_id").alias("old"))
+    moved = after.join(old, ["seg", "track_id"], "full").where(~F.col("old").eqNullSafe(F.col("player_id")))
+    touched = moved.select(F.explode(F.array("old", "player_id")).alias("player_id")).where("player_id is not null").distinct()
+    left = after.join(touched, "player_id", "left_semi")
+    return player_rollup(track_stats, left), touched.join(left.select("player_id"), "player_id", "left_anti")

@@ -8,7 +8,7 @@ def qualify_ids(objects: DataFrame) -> DataFrame:
     """track_id as p{period}-w{window}-{track}, `o` before officials' own; the ball's stays. player_key follows athletes'."""
     own = F.when(F.col("role") == "referee", F.concat(F.lit("o"), "track_id")).otherwise(F.col("track_id").cast("string"))
     full = F.when(F.col("role") == "ball", own).otherwise(F.concat(F.lit("p"), "period", F.lit("-w"), "window_index", F.lit("-"), own))
-    return objects.withColumn("track_id", full).withColumn("player_key", F.when(F.col("role").isin("player", "goalkeeper"), full))
+    return objects.withColumn("player_key", F.when(F.col("role").isin("player", "goalkeeper"), full)).withColumn("track_id", full)
 
 
 def majority(objects: DataFrame, column: str, by: list[str] = ["seg", "track_id"]) -> DataFrame:  # noqa: B006

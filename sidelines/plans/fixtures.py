@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id", "ts", (F.col("user_id") % 20).alias("seg"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id", "ts", F.expr("user_id div 4").alias("seg"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     return rows.withColumn("seq", F.row_number().over(ordered(["seg"], "ts", "event_id")).cast("long") - 1).drop("ts")
 
 

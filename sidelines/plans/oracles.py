@@ -2,8 +2,8 @@
 
 BASE = """
 with base as (
-  select event_id, event_type, value, user_id, user_id % 20 as seg, cast(json_extract_string(props, '$.k') as bigint) as k,
-    row_number() over (partition by user_id % 20 order by ts, event_id) - 1 as seq from events),
+  select event_id, event_type, value, user_id, user_id // 4 as seg, cast(json_extract_string(props, '$.k') as bigint) as k,
+    row_number() over (partition by user_id // 4 order by ts, event_id) - 1 as seq from events),
 clock as (
   select seg, seq, k, seq*100 + (k % 5)*10 + 5000*(seq // 50) as ts_ms, (seq // 10 + (seq // 80) * 2) % 6 as owner,
     (((seq // 10) * 29 + (seq % 10) * 4 + (k % 4)) % 101) / 100.0::double as ball_x, (k % 68) / 68.0::double as ball_y from base)"""
@@ -31,7 +31,8 @@ runs as (
 CARRIES = """,
 carries as (
   select seg, end_ms as ts_ms, 'carry' as event_type, team_key, player_key, cast(null as varchar) as recipient_key, 'success' as outcome, start_ball_x as start_x, start_ball_y as start_y, end_ball_x as end_x, end_ball_y as end_y, confidence,
-    case when abs(end_ball_x - start_ball_x) >= 0.12 then 'progressive_candidate' else '' end as qualifiers
+    case when abs(end_ball_x - start_ball_x) >= 0.12 then 'progressive_candidate' else '' end as qualifiers, end_ms - start_ms as duration_ms,
+    round(sqrt((end_ball_x - start_ball_x) * (end_ball_x - start_ball_x) + (end_ball_y - start_ball_y) * (end_ball_y - start_ball_y)), 5) as distance
   from runs where n >= 2 and end_ms - start_ms >= 700
     and sqrt((end_ball_x - start_ball_x) * (end_ball_x - start_ball_x) + (end_ball_y - start_ball_y) * (end_ball_y - start_ball_y)) >= 0.08)"""
 
@@ -130,13 +131,13 @@ from owned"""
 ORACLE_SQL = {
     "event_runs": RUNS + " select seg, team_key, player_key, start_ms, end_ms, n, round(confidence, 6) as confidence, round(start_ball_x, 6) as start_ball_x, round(start_ball_y, 6) as start_ball_y, round(start_confidence, 6) as start_confidence, round(end_ball_x, 6) as end_ball_x, round(end_ball_y, 6) as end_ball_y, round(end_confidence, 6) as end_confidence from runs",
     "event_transfers": RUNS + TRANSFERS + f" select {EVENT} from transfers",
-    "event_carries": RUNS + CARRIES + f" select {EVENT} from carries",
+    "event_carries": RUNS + CARRIES + f" select {EVENT}, duration_ms, distance from carries",
     "event_duels": SAMPLES + DUELS + f" select {EVENT} from duels",
     "event_outs": SAMPLES + OUTS + " select seg, ts_ms, event_type, outcome, round(confidence, 6) as confidence from outs",
     "event_shots": SAMPLES + SHOTS + f" select {EVENT} from shots",
     "event_team_counters": RUNS + TRANSFERS + """ select seg, team_key, count(*) filter (event_type = 'pass') as passes, count(*) filter (event_type = 'pass') as passes_completed, count(*) filter (event_type = 'pass' and qualifiers <> '') as progressive_passes,
   count(*) filter (event_type = 'loss') as losses, count(*) filter (event_type = 'recovery') as recoveries, case when count(*) filter (event_type = 'pass') > 0 then 100.0::double else 0.0::double end as pass_accuracy_pct from transfers group by seg, team_key""",
-    "event_player_counters": RUNS + CARRIES + TRANSFERS + DUELS + SHOTS + """, every as (select * from carries union all select * from transfers union all select * from duels union all select * from shots)
+    "event_player_counters": RUNS + CARRIES + TRANSFERS + DUELS + SHOTS + """, every as (select * exclude (duration_ms, distance) from carries union all select * from transfers union all select * from duels union all select * from shots)
 select seg, player_key, count(*) filter (event_type = 'pass') as passes, count(*) filter (event_type = 'carry') as carries, count(*) filter (event_type = 'shot') as shots, count(*) filter (event_type = 'duel') as duels, count(*) filter (event_type = 'duel' and outcome = 'success') as duels_won,
   count(*) filter (event_type = 'loss') as losses, count(*) filter (event_type = 'recovery') as recoveries, case when count(*) filter (event_type = 'pass') > 0 then 100.0::double else 0.0::double end as pass_accuracy_pct from every group by seg, player_key""",
     "possession_samples": POSSESSION,
@@ -145,15 +146,6 @@ select seg, player_key, count(*) filter (event_type = 'pass') as passes, count(*
 select seg, team_key, round(any_value(in_play) / 1000, 1) as ball_in_play_seconds, round(sum(end_ms - start_ms) / 1000, 1) as possession_seconds, round(100 * sum(end_ms - start_ms) / greatest(1, any_value(held)), 2) as possession_pct
 from spans join totals using (seg) where state = 'controlled' group by seg, team_key""",
     "clip_plan": BASE + """,
-chosen as (select seg, seq * 7000 as ts_ms, event_id, ['pass', 'shot', 'duel', 'aerial_duel', 'goal'][k % 5 + 1] as event_type from base where event_id % 3 = 0),
-padded as (
-  select c.*, greatest(0, ts_ms - case event_type when 'goal' then 12000 when 'shot' then 9000 else 5000 end) as s,
-    least(max(ts_ms) over (partition by seg) + 3000, ts_ms + case event_type when 'goal' then 10000 when 'shot' then 7000 else 5000 end) as e from chosen c),
-cuts as (select *, case when s > max(e) over (partition by seg order by ts_ms, event_id rows between unbounded preceding and 1 preceding) + 2000 then 1 else 0 end as new from padded),
-clips as (select *, sum(new) over (partition by seg order by ts_ms, event_id) as clip from cuts),
-folded as (select seg, clip, min(s) as start_ms, max(e) as end_ms, list(event_type order by ts_ms, event_id) as kinds, string_agg(cast(event_id as varchar), ',' order by ts_ms, event_id) as events from clips group by seg, clip)
-select seg, start_ms, end_ms, events, list_reduce(kinds, lambda a, x: case when contains(a, x) then a else a || '-' || x end) as label from folded""",
-    "clip_plan_full": BASE + """,
 chosen as (select seg, seq * 21000 as ts_ms, event_id, ['pass', 'shot', 'duel', 'aerial_duel', 'goal'][k % 5 + 1] as event_type from base),
 padded as (
   select c.*, greatest(0, ts_ms - case event_type when 'goal' then 12000 when 'shot' then 9000 else 5000 end) as s,

@@ -14,8 +14,12 @@ def query(function):
     return function
 
 
-def shown(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.concat_ws("|", c).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes if c != "emit_ord"))
+#: What only a carry has.
+METADATA = ("duration_ms", "distance")
+
+
+def shown(df: DataFrame, digits: int = 6, without: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.concat_ws("|", c).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes if c != "emit_ord" and c not in without))
 
 
 @query
@@ -25,7 +29,7 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(events.transfers(events.controlled_runs(fx.samples(spark, sf_dir))))
+    return shown(events.transfers(events.controlled_runs(fx.samples(spark, sf_dir))), without=METADATA)
 
 
 @query
@@ -35,7 +39,7 @@ def event_carries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_duels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(events.duels(fx.samples(spark, sf_dir)))
+    return shown(events.duels(fx.samples(spark, sf_dir)), without=METADATA)
 
 
 @query
@@ -45,12 +49,12 @@ def event_outs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def event_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(events.shots(fx.samples(spark, sf_dir)))
+    return shown(events.shots(fx.samples(spark, sf_dir)), without=METADATA)
 
 
 @query
 def event_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(events.detect_events(fx.samples(spark, sf_dir)))
+    return shown(events.detect_events(fx.samples(spark, sf_dir)), without=METADATA)
 
 
 @query
@@ -82,15 +86,6 @@ def possession_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clip_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 7000 as ts_ms", "event_id", "element_at(array('pass', 'shot', 'duel', 'aerial_duel', 'goal'), cast(k % 5 as int) + 1) as event_type").where("event_id % 3 = 0")
-    videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
-    found = clips.clip_windows(rows, videos)
-    return found.withColumn("events", F.concat_ws(",", F.transform("event_ids", lambda e: e.cast("string")))).drop("event_ids")
-
-
-@query
-def clip_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_plan over every event, with wider times."""
     rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 21000 as ts_ms", "event_id", "element_at(array('pass', 'shot', 'duel', 'aerial_duel', 'goal'), cast(k % 5 as int) + 1) as event_type")
     videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
     found = clips.clip_windows(rows, videos)

@@ -58,7 +58,7 @@ def import_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(IMPORTED + """ select match_id, ts as ts_ms, count(*) filter (role <> 'referee') as athletes, count(*) filter (role = 'referee') as referees from objects where rule is null group by all""")
 def import_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.frame_counts(imported(spark, sf_dir)[1])
+    return ingest.frame_counts(imported(spark, sf_dir)[1]).drop("detections")
 
 
 @query("""
@@ -146,7 +146,7 @@ def swapped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' events as stored events of a match (user % 20), its run chosen by the event's number."""
+    """Users' events as stored events of a match (a segment), its run chosen by the event's number."""
     return fx.base(spark, sf_dir).selectExpr(
         "event_id", "seg as match_id", "seg * 10 + event_id % 3 as run_id", "event_id * 40 as ts_ms", "event_type", "if(k % 2 = 0, 'home', 'away') as team_key", "k as player_id", "if(k % 3 = 0, k + 1, null) as recipient_id", "'unknown' as outcome", "(k % 100) / 100.0D as confidence",
         "element_at(array('pending', 'auto_accepted', 'rejected'), cast(k % 3 as int) + 1) as review_status", "'ai' as source",
@@ -174,28 +174,21 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.dashboard(fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as match_id"), review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)))
 
 
-@query(REVIEWED + " select * from (select run_id, event_id, ts_ms, row_number() over (partition by run_id order by ts_ms, event_id)::int as place from reviewed where team_key = 'home') where place <= 50")
-def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.timeline(review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)), {"team_key": "home"}, 50).select("run_id", "event_id", "ts_ms", "place")
-
-
 @query(REVIEWED + " select * from (select run_id, event_id, ts_ms, row_number() over (partition by run_id order by ts_ms, event_id)::int as place from reviewed where team_key = 'home') where place <= 500")
-def event_timeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_timeline with the operator's own cap."""
+def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.timeline(review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)), {"team_key": "home"}).select("run_id", "event_id", "ts_ms", "place")
 
 
-@query(REVIEWED + """ select match_id, 1 as period, ts_ms as match_time_ms, ts_ms as video_time_ms, event_type as type, team_key || ' team' as team, c_name as player, '' as recipient, outcome, round(confidence, 4) as confidence, review_status, event_type || '|x' as qualifiers
-from reviewed join customer on c_custkey = player_id where run_id % 10 = 2""")
+@query(REVIEWED + """ select match_id, 1 as period, ts_ms as match_time_ms, ts_ms as video_time_ms, event_type as type, team_key || ' team' as team, coalesce(c_name, '') as player, '' as recipient, outcome, (player_id % 105) / 105.0::double as start_x, (player_id % 68) / 68.0::double as start_y, case when event_id % 2 = 0 then 0.5::double end as end_x, case when event_id % 2 = 0 then 0.25::double end as end_y, round(confidence, 4) as confidence, review_status, event_type || '|x' as qualifiers
+from reviewed left join customer on c_custkey = player_id where run_id % 10 = 2""")
 def event_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir))
     rows = rows.withColumnRenamed("team_key", "team_id").withColumn("recipient_id", F.lit(None).cast("long")).withColumn("period", F.lit(1)).withColumn("match_time_ms", F.col("ts_ms")).withColumn("qualifiers", F.array("event_type", F.lit("x")))
-    for c in ("start_x", "start_y", "end_x", "end_y"):
-        rows = rows.withColumn(c, F.lit(None).cast("double"))
+    rows = rows.selectExpr("*", "(player_id % 105) / 105.0D as start_x", "(player_id % 68) / 68.0D as start_y", "if(event_id % 2 = 0, 0.5D, null) as end_x", "if(event_id % 2 = 0, 0.25D, null) as end_y")
     made = rows.select("match_id", "run_id").distinct().withColumn("created_at", F.col("run_id"))
     teams = rows.select("team_id").distinct().withColumn("name", F.concat("team_id", F.lit(" team")))
     players = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as player_id", "c_name as name")
-    return results.events_csv(rows, teams, players, made).where("player <> ''").drop("start_x", "start_y", "end_x", "end_y")
+    return results.events_csv(rows, teams, players, made)
 
 
 @query(RUNS + CARRIES + """ select seg, ts_ms, player_key, round(confidence, 6) as confidence, case when confidence >= 0.75 then 'full' else 'partial' end as visibility, case when confidence >= 0.92 then 'auto_accepted' else 'pending' end as review_status, 'yolo-baseline-v1' as model_version,
@@ -206,19 +199,9 @@ def stored_carries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(review.resolve(rows, keys, ("player",)).select("seg", "ts_ms", "player_key", "confidence", "visibility", "review_status", "model_version", "player_id"))
 
 
-@query(BASE + """, rows as (select seg, seq as track_id, case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team, k as asked from base where k < 90)
-select seg, count(*) filter (asked % 4 = 1 or (team is not null and team <> case when asked % 3 = 0 then 'home' else 'away' end)) as unassigned from rows group by seg""")
-def unassigned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.base(spark, sf_dir).where("k < 90").selectExpr("seg", "seq as track_id", "case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team_key", "k", "cast(null as bigint) as player_id")
-    players = rows.select(F.col("k").alias("player_id")).distinct().withColumn("team_key", F.expr("if(player_id % 3 = 0, 'home', 'away')"))
-    done, _ = review.assign_tracks(rows, rows.where("k % 4 <> 1").selectExpr("seg", "track_id", "k as player_id"), players)
-    return review.unassigned(done)
-
-
 @query(BASE + """, rows as (select seg, seq as track_id, case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team, k as asked from base)
 select seg, count(*) filter (asked % 4 = 1 or (team is not null and team <> case when asked % 3 = 0 then 'home' else 'away' end)) as unassigned from rows group by seg""")
-def unassigned_tracks_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """unassigned_tracks over every track."""
+def unassigned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.base(spark, sf_dir).selectExpr("seg", "seq as track_id", "case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team_key", "k", "cast(null as bigint) as player_id")
     players = rows.select(F.col("k").alias("player_id")).distinct().withColumn("team_key", F.expr("if(player_id % 3 = 0, 'home', 'away')"))
     done, _ = review.assign_tracks(rows, rows.where("k % 4 <> 1").selectExpr("seg", "track_id", "k as player_id"), players)
@@ -233,20 +216,10 @@ def team_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.compare_teams(stats, ["clicks", "goals"]).fillna(0)
 
 
-@query(BASE + """, chosen as (select seg, seq * 7000 as ts_ms, event_id from base where event_id % 3 = 0), wide as (select *, greatest(0, ts_ms - 5000) as s, least(ts_ms + 5000, max(ts_ms) over (partition by seg) + 3000) as e from chosen),
-cuts as (select *, case when s <= max(e) over (partition by seg order by ts_ms, event_id rows between unbounded preceding and 1 preceding) + 2000 then 0 else 1 end as new from wide)
-select seg, event_id, sum(new) over (partition by seg order by ts_ms, event_id)::int as clip, 'clip-' || lpad((sum(new) over (partition by seg order by ts_ms, event_id))::bigint::varchar, 3, '0') || '-pass.mp4' as name from cuts""")
-def clip_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 7000 as ts_ms", "event_id", "'pass' as event_type").where("event_id % 3 = 0")
-    videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
-    return review.link_clips(clips.clip_windows(rows, videos))
-
-
 @query(BASE + """, chosen as (select seg, seq * 21000 as ts_ms, event_id from base), wide as (select *, greatest(0, ts_ms - 5000) as s, least(ts_ms + 5000, max(ts_ms) over (partition by seg) + 3000) as e from chosen),
 cuts as (select *, case when s <= max(e) over (partition by seg order by ts_ms, event_id rows between unbounded preceding and 1 preceding) + 2000 then 0 else 1 end as new from wide)
 select seg, event_id, sum(new) over (partition by seg order by ts_ms, event_id)::int as clip, 'clip-' || lpad((sum(new) over (partition by seg order by ts_ms, event_id))::bigint::varchar, 3, '0') || '-pass.mp4' as name from cuts""")
-def clip_links_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clip_links over every event, with wider times."""
+def clip_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.base(spark, sf_dir).selectExpr("seg", "seq * 21000 as ts_ms", "event_id", "'pass' as event_type")
     videos = rows.groupBy("seg").agg((F.max("ts_ms") + 3000).alias("duration_ms"))
     return review.link_clips(clips.clip_windows(rows, videos))

@@ -46,12 +46,32 @@ def match_report(matches: DataFrame, periods: DataFrame, team_stats: DataFrame,
     return rows.select("match_id", F.to_json(F.struct("match", *names)).alias("report"))
 
 
-def run_report(runs: DataFrame, *parts: DataFrame) -> DataFrame:
-    """Runs with each part's columns (one row per run_id) in one JSON document."""
-    rows = runs
-    for part in parts:
-        rows = rows.join(part, "run_id", "left")
-    return rows.select("run_id", F.to_json(F.struct(*rows.columns)).alias("report"))
+#: Parts of a run's report that hold one value a run, and those that are lists.
+REPORT, LISTS = ("video", "quality", "backend", "tracking_fps", "camera", "diagnostics", "clips", "limitations"), ("periods", "windows", "previews")
+
+
+def run_report(runs: DataFrame, parts: dict[str, DataFrame], counted: dict[str, DataFrame], schema: str) -> DataFrame:
+    """(run_id, report): a JSON document of each of runs(run_id, match_id, mode).
+
+    parts names any of REPORT (one row per run_id) and LISTS (rows of a run, listed in order of their columns: a few
+    dozen); a part of one column besides run_id is that value, a wider one an object. counted names tables whose rows are
+    counted by run_id. Parts that are not given or have no row are null, lists empty, counts 0."""
+    rows = runs.select("run_id", F.col("match_id").cast("string").alias("match_id"), F.col("mode").alias("analysis_mode"))
+    for name in [*REPORT, *LISTS]:
+        if name not in parts:
+            rows = rows.withColumn(name, F.array().cast("array<string>") if name in LISTS else F.lit(None).cast("string"))
+            continue
+        own = [c for c in parts[name].columns if c != "run_id"]
+        value = F.col(own[0]) if len(own) == 1 else F.struct(*own)
+        made = parts[name].groupBy("run_id").agg((F.array_sort(F.collect_list(value)) if name in LISTS else F.first(value)).alias(name))
+        rows = rows.join(made, "run_id", "left")
+        if name in LISTS:
+            rows = rows.withColumn(name, F.coalesce(name, F.array().cast(made.schema[name].dataType)))
+    for name, table in counted.items():
+        rows = rows.join(table.groupBy("run_id").agg(F.count("*").alias(f"n_{name}")), "run_id", "left").fillna(0, [f"n_{name}"])
+    counts = F.struct(*(F.col(f"n_{name}").alias(name) for name in counted)) if counted else F.lit(None).cast("string")
+    document = F.struct(F.lit(schema).alias("schema"), F.col("run_id").cast("string").alias("run_id"), "match_id", "analysis_mode", *REPORT, *LISTS, counts.alias("counts"))
+    return rows.select("run_id", F.to_json(document).alias("report"))
 
 
 def overwrite_run(rows: DataFrame, path: str) -> None:

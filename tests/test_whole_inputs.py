@@ -10,23 +10,23 @@ DATA = "/root/testdata/sf0.01"
 
 
 def test_paths_hold_every_point(spark):
-    points = QUERIES["track_paths_full"](spark, DATA).agg(F.sum("points")).first()[0]
+    points = QUERIES["track_paths"](spark, DATA).agg(F.sum("points")).first()[0]
     assert points == detection.objects(spark, DATA).count()
 
 
 def test_timelines_hold_every_event(spark):
-    assert QUERIES["event_timeline_full"](spark, DATA).count() == review.stored(spark, DATA).where("team_key = 'home'").count()
+    assert QUERIES["event_timeline"](spark, DATA).count() == review.stored(spark, DATA).where("team_key = 'home'").count()
 
 
 def test_clips_hold_every_event(spark):
     events = fx.base(spark, DATA).count()
-    plan = QUERIES["clip_plan_full"](spark, DATA).collect()
+    plan = QUERIES["clip_plan"](spark, DATA).collect()
     assert sum(len(r.events.split(",")) for r in plan) == events and 1000 < len(plan) < events
-    assert QUERIES["clip_links_full"](spark, DATA).select("event_id").distinct().count() == events
+    assert QUERIES["clip_links"](spark, DATA).select("event_id").distinct().count() == events
 
 
 def test_every_track_is_counted(spark):
     k = F.col("k")
     wrong = ((k % 5 != 0) & ((k % 2 == 0) != (k % 3 == 0))) | (k % 4 == 1)
     expected = {r.seg: r.n for r in fx.base(spark, DATA).groupBy("seg").agg(F.count_if(wrong).alias("n")).collect()}
-    assert {r.seg: r.unassigned for r in QUERIES["unassigned_tracks_full"](spark, DATA).collect()} == expected
+    assert {r.seg: r.unassigned for r in QUERIES["unassigned_tracks"](spark, DATA).collect()} == expected
