@@ -1,6 +1,7 @@
 """Repeated passages: an FM-index over the passages of each shard, searched backward for windows of many words."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -9,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sidelines.llm.common import cut, text_key
-from sidelines.llm.text import Words, first_least, parts, runs_hash
+from sidelines.llm.text import Words, first_least, mix, parts, runs_hash
 
-#: Words in one index, at most about; and different passages around one anchor beyond which windows are grouped one by one.
-SHARD_WORDS, MANY = 1 << 16, 1000
-#: Bytes of a word's hash that an index keeps.
-WORD_BYTES = 6
+#: Words in one index, at most about, and different passages around one anchor beyond which they are cut.
+SHARD_WORDS, MOST = 1 << 16, 1000
+#: Slots in which a task looks up anchors with too many passages; a power of two.
+SLOTS = 1 << 22
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -33,21 +34,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """Sequences of symbols: the Burrows-Wheeler transform in a wavelet matrix of packed bits, and suffix positions."""
-
-    def __init__(self, sequences: list[np.ndarray]):
-        self.bounds = np.cumsum([0, *(len(x) + 1 for x in sequences)])
-        flat = np.concatenate(sequences)
-        self.symbols, ids = np.unique(flat, return_inverse=True)
-        self.text = np.zeros(self.bounds[-1], np.int64)
-        inside = np.ones(len(self.text), bool)
-        inside[self.bounds[1:] - 1] = False
-        self.text[inside] = ids + 1
-        self.order = suffix_array(self.text)
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(self.symbols) + 1))])
-        self.depth = max(1, int(len(self.symbols)).bit_length())
-        self.levels, row = [], self.text[self.order - 1]
-        for k in range(self.depth - 1, -1, -1):
+    """Sequences of symbols 1 and up, each with a 0 after it: their Burrows-Wheeler transform in a wavelet matrix of packed
+    bits with counts per 64, and how many symbols are below each. Neither the text nor suffix positions are kept."""
+
+    def __init__(self, text: np.ndarray):
+        row = text[suffix_array(text) - 1]
+        symbols = int(text.max()) + 1 if len(text) else 1
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+        self.levels = []
+        for k in range(max(1, (symbols - 1).bit_length()) - 1, -1, -1):
             bits = (row >> k & 1).astype(bool)
             packed = np.zeros((len(row) // 64 + 1) * 8, np.uint8)
             packed[: (len(row) + 7) // 8] = np.packbits(bits, bitorder="little")
@@ -55,8 +50,7 @@ class FMIndex:
             ones = np.concatenate([[0], np.cumsum(np.bitwise_count(packed).astype(np.int32))]).astype(np.int32)
             self.levels.append((k, packed, ones, int(len(row) - bits.sum())))
             row = np.concatenate([row[~bits], row[bits]])
-        symbols = np.arange(len(self.symbols) + 1)
-        self.base = self._descend(symbols, np.zeros(len(symbols), np.int64))
+        self.base = self._descend(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, packed, ones, zeros in self.levels:
@@ -70,39 +64,49 @@ class FMIndex:
         shift = self.below[symbol] - self.base[symbol]
         return both[: len(lo)] + shift, both[len(lo) :] + shift
 
-    def shared(self, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the matches of `length` symbols that end at the positions `end` of the text: which have more than one
-        occurrence, and their intervals. A search ends as soon as its match is the only one."""
+    def matches(self, text: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of a text that is in the index itself: for each position of `end` the length, `most` at most,
+        of the longest match that ends there and occurs more than once, and where the interval of that match begins."""
+        length, first = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
         live = np.arange(len(end))
-        lo, hi = self.below[self.text[end]], self.below[self.text[end] + 1]
-        for step in range(1, length):
+        lo, hi = self.below[text[end]], self.below[text[end] + 1]
+        for step in range(1, most + 1):
             some = hi - lo > 1
             live, lo, hi = live[some], lo[some], hi[some]
-            if not len(live):
+            length[live], first[live] = step, lo
+            if step == most or not len(live):
                 break
-            lo, hi = self.extend(self.text[end[live] - step], lo, hi)
-        some = hi - lo > 1
-        return live[some], lo[some], hi[some]
-
-
-def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The least of values[lo:hi] for each pair, from minima over spans of powers of two."""
-    table = [values]
-    while 2 << len(table) - 1 <= len(values):
-        half = 1 << len(table) - 1
-        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
-    k = np.frexp((hi - lo).astype(float))[1] - 1
-    out = np.empty(len(lo), values.dtype)
-    for level in np.unique(k):
-        at = k == level
-        out[at] = np.minimum(table[level][lo[at]], table[level][hi[at] - (1 << int(level))])
-    return out
-
-
-def passages(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
-    """Windows of each document, in runs: consecutive windows whose least gram (the anchor) is the same one.
+            symbol = text[end[live] - step]
+            inside = symbol > 0
+            live, lo, hi = live[inside], lo[inside], hi[inside]
+            lo, hi = self.extend(symbol[inside], lo, hi)
+        return length, first
+
+
+def _cores(words: np.ndarray, least: np.ndarray, at: np.ndarray, n: np.ndarray, level: int, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(run, begin, length, anchor) of the windows of runs (n windows from word `at` on, with one least gram at least[at])
+    in runs as long or shorter.
+
+    The places that the least gram can have in a window are cut into 2 ** level ranges. All windows with the gram in one
+    range share a core of words around it, which is their anchor: the gram alone at level 0, the whole window where a
+    range is one place. Equal windows have equal cores."""
+    places = window - gram + 1
+    row = np.repeat(np.arange(len(n)), n)
+    each = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = least[each] - each
+    part = (place << level) // places
+    new = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (row[1:] != row[:-1])])) if len(row) else row
+    row, each, place, part, length = row[new], each[new], place[new], part[new], np.diff(np.append(new, len(row)))
+    low, high = -(-part * places >> level), -(-(part + 1) * places >> level) - 1
+    core = runs_hash(words, each + place - low, window - (high - low), seed=3)
+    return row, each, length, mix(core + part.astype(np.uint64))
+
+
+def passages(docs: DataFrame, window: int = 50, gram: int = 8, cuts: tuple[tuple[int, np.ndarray], ...] = ()) -> DataFrame:
+    """Windows of each document, in runs: consecutive windows whose least gram is the same one and whose anchor is too.
 
     Equal windows have equal anchors at equal places, wherever they stand; unit names a run's words. docs(doc_id, key, text).
+    cuts are pairs (level, slots): runs whose anchor has its slot set go on to that level, the others are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,115 +116,129 @@ def passages(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
             if not len(whole):
                 continue
             words = w.hashes()
-            grams = runs_hash(words, np.arange(len(words) - gram + 1), gram)
-            best = first_least(grams, window - gram + 1)[whole]
+            least = first_least(runs_hash(words, np.arange(len(words) - gram + 1), gram), window - gram + 1)
+            best = least[whole]
             new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (whole[1:] != whole[:-1] + 1)]))
-            n = np.diff(np.concatenate([new, [len(whole)]]))
-            at = whole[new]
+            at, n = whole[new], np.diff(np.append(new, len(whole)))
+            _, at, n, anchor = _cores(words, least, at, n, 0, window, gram)
+            for level, slots in cuts:
+                hot = slots[(anchor & np.uint64(SLOTS - 1)).astype(np.int64)]
+                _, at, n, anchor = _cores(words, least, at[hot], n[hot], level, window, gram)
             unit = runs_hash(words, at, n + window - 1, seed=1)
             doc = w.doc[at]
             ids = [batch.column(i).to_numpy()[doc] for i in range(2)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (grams[best[new]].view(np.int64), unit.view(np.int64), *ids, (at - w.first[doc]).astype(np.int32), n.astype(np.int32))],
-                ["anchor", "unit", "doc_id", "key", "start", "n"],
-            )
+            columns = (anchor.view(np.int64), unit.view(np.int64), *ids, (at - w.first[doc]).astype(np.int32), n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["anchor", "unit", "doc_id", "key", "start", "n"])
 
     return docs.mapInArrow(run, "anchor long, unit long, doc_id long, key long, start int, n int")
 
 
-def _fetch(docs: DataFrame, units: DataFrame, window: int, single: bool) -> DataFrame:
-    """Hashes of the words of each unit, read from its first document; of each of its windows if single."""
+def _slots(anchors: DataFrame) -> np.ndarray | None:
+    """Which slots the anchors have, however many there are; none without any. An anchor that shares a slot with one of
+    these only has its windows searched twice."""
+    taken = anchors.select(F.col("anchor").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+    out = np.zeros(SLOTS, bool)
+    out[taken] = True
+    return out if len(taken) else None
+
+
+def _fetch(docs: DataFrame, units: DataFrame, window: int) -> DataFrame:
+    """The words of each unit, read from its first document."""
     need = units.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "unit", "start", "n")).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             w = Words(batch.column(1))
-            words = w.hashes()
+            text, begin, end = w.joined()
             listed = batch.column(2)
             flat = listed.flatten()
             doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(listed).to_numpy())
-            anchor, unit, start, n = (flat.field(i).to_numpy() for i in range(4))
-            at, ids = w.first[doc] + start, batch.column(0).to_numpy()[doc]
-            if single:
-                row = np.repeat(np.arange(len(n)), n)
-                j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                values = runs_hash(words, at[row] + j, window, seed=2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[row], unit[row], ids[row], j.astype(np.int32), values)], ["anchor", "unit", "doc_id", "j", "value"])
-            else:
-                length = n + window - 1
-                place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(at, length)
-                raw = np.ascontiguousarray(words[place].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
-                ends = np.concatenate([[0], np.cumsum(length * WORD_BYTES)]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(unit), pa.array(ids), packed], ["anchor", "unit", "doc_id", "words"])
-
-    schema = "anchor long, unit long, doc_id long, " + ("j int, value long" if single else "words binary")
-    return docs.join(need, ["doc_id", "key"]).select("doc_id", "text", "units").mapInArrow(run, schema)
+            start, n = (flat.field(i).to_numpy() for i in (2, 3))
+            at = w.first[doc] + start
+            words = [text[a:b] for a, b in zip(begin[at].tolist(), end[at + n + window - 2].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), pa.array(batch.column(0).to_numpy()[doc]), pa.array(words, pa.binary())], ["anchor", "unit", "doc_id", "words"])
+
+    return docs.join(need, ["doc_id", "key"]).select("doc_id", "text", "units").mapInArrow(run, "anchor long, unit long, doc_id long, words binary")
+
+
+def _numbered(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of passages as numbers from 1 on, one 0 after each passage, and where each begins. Equal numbers are
+    equal words: they are places in a dictionary of the words themselves."""
+    w = Words(pa.array(passages, pa.binary()))
+    ends = np.concatenate([[0], np.cumsum(w.length)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(w.data[w.inside].tobytes())])
+    bounds = w.first + np.arange(len(passages) + 1)
+    text = np.zeros(bounds[-1], np.int64)
+    text[np.arange(len(w)) + w.doc] = words.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    return text, bounds
 
 
 def _search(units: DataFrame, window: int) -> DataFrame:
     """For each unit, the least doc_id of each of its windows among all units of its anchor. Rows come ordered by anchor;
-    a shard is a run of anchors with about SHARD_WORDS words."""
+    a shard is a run of anchors with about SHARD_WORDS words, whose passages are streamed through its index: windows that
+    reach the threshold and have one interval are the same words."""
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
         anchor, unit, doc = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        index = FMIndex([r[3] for r in rows])
-        n = np.diff(index.bounds) - window
+        text, bounds = _numbered([r[3] for r in rows])
+        n = np.diff(bounds) - window
         row = np.repeat(np.arange(len(rows)), n)
-        end = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + index.bounds[row] + window - 1
-        first = doc[row]
-        live, lo, hi = index.shared(end, window)
-        if len(live):
-            owner = np.searchsorted(index.bounds, index.order, "right") - 1
-            first[live] = least_between(doc[owner], lo, hi)
+        end = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + bounds[row] + window - 1
+        length, interval = FMIndex(text).matches(text, end, window)
+        shared = length >= window
+        least = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(least, interval[shared], doc[row[shared]])
+        first = np.where(shared, least[interval], doc[row])
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(unit), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(first))], ["anchor", "unit", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for a, u, d, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= SHARD_WORDS and rows[-1][0] != a:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held >= SHARD_WORDS and rows[-1][0] != row[0]:
                     yield answer(rows)
                     rows, held = [], 0
-                wide = np.zeros((len(raw) // WORD_BYTES, 8), np.uint8)
-                wide[:, :WORD_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, WORD_BYTES)
-                rows.append((a, u, d, wide.view("<u8")[:, 0]))
-                held += len(wide)
+                if not rows or rows[-1][:2] != row[:2]:
+                    rows.append(row)
+                    held += row[3].count(b" ") + 1
         if rows:
             yield answer(rows)
 
-    return units.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, unit long, least array<long>")
+    return units.repartition("anchor").sortWithinPartitions("anchor", "unit").mapInArrow(run, "anchor long, unit long, least array<long>")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
     """(doc_id, key, text, kept, n_words, n_removed) of each row of docs(doc_id, text): kept are the words that stay,
     joined by one space.
 
     A word goes if a window of `window` words covers it whose words also start in a document with a smaller doc_id; all
     windows are judged on the input. Runs of windows with one anchor are the passages: equal ones become one row with
     their first document before anything else is done, those whose anchor is in one document only are left out, and the
-    rest are searched with an FM-index per shard of anchors. An anchor with over MANY different passages (a line that
-    very many documents hold) has its windows grouped singly instead, so no shard grows with the corpus.
+    rest are searched with an FM-index per shard of anchors. Passages of an anchor that has over MOST different ones (a
+    line that very many documents hold) are cut into shorter ones with longer anchors, and where need be into single
+    windows, so that no shard grows with the corpus.
     A null text has no words; a row with a null doc_id keeps all its words and takes none away; of rows with one doc_id
     none takes words from the other. An empty table gives an empty result, other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    found = cut(passages(known, window), "passages")
-    units = found.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("rep"), F.max("doc_id").alias("last"))
-    anchors = units.groupBy("anchor").agg(F.count("*").alias("units"), F.min("rep.doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
-    wanted = cut(units.join(anchors, "anchor").select("anchor", "unit", "rep.*", "units"), "units")
-    plain = _search(_fetch(known, wanted.where(f"units <= {MANY}"), window, single=False), window)
-    single = _fetch(known, wanted.where(f"units > {MANY}"), window, single=True)
-    least = single.groupBy("anchor", "value").agg(F.min("doc_id").alias("first"))
-    many = single.join(least, ["anchor", "value"]).groupBy("anchor", "unit").agg(F.transform(F.array_sort(F.collect_set(F.struct("j", "first"))), lambda x: x["first"]).alias("least"))
-    gone = (
-        found.join(plain.unionByName(many), ["anchor", "unit"])
-        .where(F.col("doc_id") > F.array_min("least"))
-        .groupBy("doc_id", "key")
-        .agg(F.collect_set(F.struct("start", F.transform("least", lambda x: x < F.col("doc_id")).alias("gone"))).alias("runs"))
-    )
+    most = (window - gram).bit_length()  # then each range is one place, each run one window, and no anchor has two
+    levels = (0, most // 2, most)
+    runs, wanted, cuts = [], [], ()
+    for level in levels:
+        runs.append(cut(passages(known, window, gram, cuts), "passages"))
+        units = runs[-1].groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "key", "start", "n")).alias("rep"), F.max("doc_id").alias("last"))
+        anchors = units.groupBy("anchor").agg(F.count("*").alias("units"), F.min("rep.doc_id").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
+        found = cut(units.join(anchors, "anchor").select("anchor", "unit", "rep.*", "units"), "units")
+        wanted.append(found.where(f"units <= {MOST}").drop("units"))
+        slots = _slots(found.where(f"units > {MOST}"))
+        if slots is None or level == most:
+            break
+        cuts = (*cuts, (levels[len(wanted)], slots))
+    least = _search(_fetch(known, reduce(DataFrame.unionByName, wanted), window), window)
+    late = reduce(DataFrame.unionByName, runs).join(least, ["anchor", "unit"]).where(F.col("doc_id") > F.array_min("least"))
+    gone = late.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.transform("least", lambda x: x < F.col("doc_id")).alias("gone"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
