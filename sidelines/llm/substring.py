@@ -221,7 +221,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFram
     A null text has no words; a row with a null doc_id keeps all its words and takes none away; of rows with one doc_id
     none takes words from the other. An empty table gives an empty result, other columns are left out.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    # columns of the right type stay as they are: an alias would keep Spark from seeing that it shuffles docs twice alike
+    typed = [F.col(c) if docs.schema[c].dataType.simpleString() == t else F.col(c).cast(t).alias(c) for c, t in (("doc_id", "bigint"), ("text", "string"))]
+    docs = docs.select(typed[0], text_key(F.col("text")).alias("key"), typed[1])
     known = docs.where("doc_id is not null")
     most = (window - gram).bit_length()  # then each range is one place, each run one window, and no anchor has two
     levels = (0, most // 2, most)
