@@ -19,14 +19,23 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
-def unescape(text: str) -> str:
+def unescape(text: str, letters: dict[str, str] = {}) -> str:  # noqa: B006
     out, at = [], 0
     while (to := text.find("\\", at)) >= 0 and to + 1 < len(text):
-        out += [text[at:to], text[to + 1]]
+        out += [text[at:to], letters.get(text[to + 1], text[to + 1])]
         at = to + 2
     return "".join([*out, text[at:]])
 
 
+def escape_role(role: str) -> str:
+    """A role ends at the first line break, so its own become a backslash and an n."""
+    return escape(role).replace("\n", "\\n")
+
+
+def unescape_role(role: str) -> str:
+    return unescape(role, {"n": "\n"})
+
+
 @dataclass
 class Flattener:
     """Visits the parts of one turn in order."""
@@ -68,7 +77,8 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, formatted, attachments) of each row of turns(conv_id, turn, role, parts).
 
     Text parts are escaped, other parts become numbered placeholders in place, with their reference and the tokens they
-    expand to; a part of an unknown or null kind counts as text, null parts as none, a null role as "". Each row gives one.
+    expand to; a part of an unknown or null kind counts as text, null parts as none, a null role as "". Line breaks in roles
+    are escaped too. Each row gives one, repeated rows one each; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +88,7 @@ def formatted_turns(turns: DataFrame) -> DataFrame:
                 flat = Flattener()
                 for part in content or []:
                     flat.visit(part)
-                texts.append(f"{BEGIN}{escape(role or '')}\n{''.join(flat.pieces)}{END}")
+                texts.append(f"{BEGIN}{escape_role(role or '')}\n{''.join(flat.pieces)}{END}")
                 attached.append(flat.attachments)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(attached, _KIND)], ["conv_id", "turn", "role", "formatted", "attachments"])
 
@@ -95,7 +105,7 @@ def text_parts(turns: DataFrame) -> DataFrame:
 def parse(formatted: str) -> tuple[str, str]:
     """Role and text that a formatted turn holds; placeholders stay as they are."""
     role, _, text = formatted[len(BEGIN) : -len(END)].partition("\n")
-    return unescape(role), unescape(text)
+    return unescape_role(role), unescape(text)
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
