@@ -1,17 +1,20 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words."""
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.llm.common import held_out, learning_rows
+from sidelines.llm.common import cut, held_out, learning_rows, text_key
 from sidelines.llm.text import ALNUM, Words, parts
 
-#: A fit uses at most about so many labelled texts of each class, whole.
-MOST_TEXTS = 1000
+#: A fit uses at most about so many labelled texts of each class, whole, and so many bytes of them.
+MOST_TEXTS, MOST_BYTES = 1500, 4 << 20
+#: Texts whose byte grams are counted at once.
+TEXTS_AT_ONCE = 16
 WINDOW, STRIDE = 24, 12
 GRAMS = (3, 4)
 _WIDTH, _HIDDEN = 8, 8
@@ -185,8 +188,6 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, least: i
     pairs = np.unique(doc * np.int64(len(text.hashes) + 1) + text.ids)
     of, word = pairs // (len(text.hashes) + 1), pairs % (len(text.hashes) + 1)
     gram_names, gram_of = np.unique(text.grams, return_inverse=True)
-    owner = np.repeat(np.arange(len(text.hashes)), text.n_grams)
-    order = np.argsort(word, kind="stable")
     held = np.bincount(word, minlength=len(text.hashes))
     base = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
 
@@ -195,11 +196,15 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, least: i
 
     ones = np.bincount(word, weights=y[of], minlength=len(text.hashes))
     vocabulary = np.flatnonzero(held >= least)
-    first, number = np.cumsum(held) - held, held[owner]
-    at = order[np.repeat(first[owner], number) + np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)]
-    both = np.unique(of[at] * np.int64(len(gram_names) + 1) + np.repeat(gram_of, number)) if len(gram_of) else np.zeros(0, np.int64)
-    g_doc, g = both // (len(gram_names) + 1), both % (len(gram_names) + 1)
-    g_held, g_ones = np.bincount(g, minlength=len(gram_names)), np.bincount(g, weights=y[g_doc], minlength=len(gram_names))
+    g_held, g_ones = np.zeros(len(gram_names)), np.zeros(len(gram_names))
+    last = np.cumsum(text.n_grams)
+    for a, b in pairwise(np.searchsorted(of, np.arange(0, len(texts) + TEXTS_AT_ONCE, TEXTS_AT_ONCE)).tolist()):
+        n = text.n_grams[word[a:b]]
+        places = np.repeat(last[word[a:b]] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        both = np.unique(np.repeat(of[a:b], n) * np.int64(len(gram_names) + 1) + gram_of[places])
+        g_doc, g = both // (len(gram_names) + 1), both % (len(gram_names) + 1)
+        g_held += np.bincount(g, minlength=len(gram_names))
+        g_ones += np.bincount(g, weights=y[g_doc], minlength=len(gram_names))
     grams = np.flatnonzero(g_held >= 2 * least)
     pad = np.array([np.iinfo(np.int64).max], np.uint64)
     net = Network(np.concatenate([text.hashes[vocabulary], pad]) if not len(vocabulary) else text.hashes[vocabulary], gram_names[grams] if len(grams) else pad, seed)
@@ -261,16 +266,24 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, least: i
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> Network:
-    """Trains on the whole texts of about `most` labelled rows of each class outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> Network:
+    """Trains on whole texts of each class outside the held-out fold: of about `most` labelled ids chosen by a hash, those
+    that come first by it and fit in `most_bytes` together. Of an id's texts it takes the one with the least key."""
     rows = learning_rows(labels, "toxic", 1 << 62)
     counts = dict(rows.groupBy("label").count().collect())
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000))
     share = F.when(F.col("label") == 1, min(1.0, most / max(1, counts.get(1, 0)))).otherwise(min(1.0, most / max(1, counts.get(0, 0))))
     sample = rows.where(chosen < share * 1_000_000)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").toPandas()
-    texts = texts.sort_values(["doc_id", "text"])
-    return train([t if isinstance(t, str) else "" for t in texts["text"]], texts["label"].to_numpy())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
+    found = cut(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("key", "text")).alias("t")).select("doc_id", "label", "t.text"), "sample")
+    sizes = found.select("doc_id", "label", F.octet_length("text").alias("size"), F.xxhash64("doc_id", F.lit(13)).alias("rank")).toPandas().sort_values(["rank", "doc_id"])
+    taken, room = [], {0: most_bytes, 1: most_bytes}
+    for doc_id, label, size in zip(sizes["doc_id"].tolist(), sizes["label"].tolist(), sizes["size"].tolist(), strict=True):
+        if size <= room[label]:
+            room[label] -= size
+            taken.append((doc_id,))
+    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id", "left_semi").toPandas().sort_values("doc_id")
+    return train(rows["text"].tolist(), rows["label"].to_numpy())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
