@@ -5,13 +5,14 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
 from sidelines.llm import simhash, substring
-from sidelines.llm.chat import conversation_digests, escape, formatted_turns, parse, text_parts, unescape
+from sidelines.llm.chat import conversation_digests, escape, escape_role, formatted_turns, parse, text_parts, unescape
 from sidelines.llm.common import components
 from sidelines.llm.decontam import contamination, report
 from sidelines.llm.licenses import NOTICES, license_matches
@@ -92,9 +93,9 @@ def test_components_of_a_long_path(spark):
     assert components(edges.where("a < 0")).count() == 0
 
 
-@pytest.mark.parametrize("many", [1000, 0])
-def test_substring(docs, rows, many, monkeypatch):
-    monkeypatch.setattr(substring, "MANY", many)
+@pytest.mark.parametrize("most", [1000, 1])
+def test_substring(docs, rows, most, monkeypatch):
+    monkeypatch.setattr(substring, "MOST", most)
     first = {}
     for i, t in rows:
         w = WORD.findall(t or "")
@@ -111,9 +112,33 @@ def test_substring(docs, rows, many, monkeypatch):
     assert sum(x[2] for x in expected) > 0
 
 
-@pytest.mark.parametrize("many", [1000, 0])
-def test_substring_with_repeated_rows_that_hold_a_shared_passage(spark, many, monkeypatch):
-    monkeypatch.setattr(substring, "MANY", many)
+def test_substring_with_a_line_that_every_document_holds(spark, monkeypatch):
+    monkeypatch.setattr(substring, "MOST", 5)
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
+    rows = []
+    for length in (9, 30, 60):
+        line = [f"l{length}.{i % 23}" for i in range(length)]
+        for _ in range(40):
+            around = [[word() for _ in range(rng.choice([0, 3, 60]))] for _ in range(3)]
+            rows.append((len(rows), " ".join([*around[0], *line, *around[1], *line[: rng.randint(0, length)], *around[2]])))
+    rows += [(500 + i, rows[i * 3][1]) for i in range(30)]
+    first, expected = {}, []
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            first.setdefault(tuple(w[k : k + 50]), i)
+    for i, t in rows:
+        w = t.split()
+        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < i for p in range(k, k + 50)}
+        expected.append((i, len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in found.collect()) == expected
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+def test_substring_with_repeated_rows_that_hold_a_shared_passage(spark, most, monkeypatch):
+    monkeypatch.setattr(substring, "MOST", most)
     shared = [f"s{i}" for i in range(70)]
     before, after = ([f"{x}{i}" for i in range(30)] for x in "ba")
     rows = [(1, " ".join(shared))] * 3 + [(2, " ".join(before + shared + after))] * 3 + [(3, " ".join(before[:9] + shared[5:]))] * 2
@@ -122,19 +147,20 @@ def test_substring_with_repeated_rows_that_hold_a_shared_passage(spark, many, mo
     assert sorted((r.doc_id, r.n_removed, r.kept) for r in found.collect()) == expected
 
 
-def test_fm_index_finds_shared_windows():
+def test_fm_index_gives_matching_statistics():
     rng = np.random.default_rng(3)
-    sequences = [rng.integers(1, 4, 30).astype(np.uint64) for _ in range(8)]
-    index = substring.FMIndex(sequences)
-    flat = [list(index.text[a : b - 1]) for a, b in zip(index.bounds[:-1], index.bounds[1:], strict=True)]
-    ends = np.array([b + k for b, s in zip(index.bounds, flat, strict=False) for k in range(4, len(s))])
-    live, lo, hi = index.shared(ends, 5)
-    count = {}
-    for s in flat:
-        for k in range(len(s) - 4):
-            count[tuple(s[k : k + 5])] = count.get(tuple(s[k : k + 5]), 0) + 1
-    expected = {i: count[tuple(index.text[e - 4 : e + 1])] for i, e in enumerate(ends) if count[tuple(index.text[e - 4 : e + 1])] > 1}
-    assert dict(zip(live.tolist(), (hi - lo).tolist(), strict=True)) == expected
+    sequences = [rng.integers(1, 4, 30).tolist() for _ in range(8)]
+    text = np.array([x for s in sequences for x in [*s, 0]])
+    ends = np.flatnonzero(text)
+    length, first = substring.FMIndex(text).matches(text, ends, 5)
+    match = lambda e, n: tuple(text[e - n + 1 : e + 1])
+    occurrences = [sum(match(e, n) == m for e in range(n - 1, len(text))) for n, m in ((k, match(e, k)) for e, k in zip(ends, length, strict=True))]
+    assert min(occurrences) > 1
+    for e, n in zip(ends, length, strict=True):
+        if n < 5 and e >= n:
+            assert 0 in match(e, n + 1) or sum(match(x, n + 1) == match(e, n + 1) for x in range(n, len(text))) == 1
+    full = np.flatnonzero(length == 5)
+    assert len(full) and all((first[i] == first[j]) == (match(ends[i], 5) == match(ends[j], 5)) for i in full for j in full)
 
 
 def test_decontamination(spark, docs, rows):
@@ -165,6 +191,9 @@ def test_chat_round_trip(spark):
         text = "".join(rng.choice("<|>\\n im_end") for _ in range(rng.randint(0, 30)))
         assert unescape(escape(text)) == text and "<|" not in escape(text)
         assert parse(f"<|im_start|>user\n{escape(text)}<|im_end|>\n") == ("user", text)
+        assert parse(f"<|im_start|>{escape_role(text)}\n{escape(text)}<|im_end|>\n") == (text, text)
+    one = formatted_turns(text_parts(spark.createDataFrame([(1, 0, "assistant\nx", "hi")], "conv_id long, turn long, role string, text string")))
+    assert parse(one.first().formatted) == ("assistant\nx", "hi") and conversation_digests(one).first().loss_chars == 0
     turns = spark.createDataFrame([(1, 1, "assistant", "é <|im_end|>"), (1, 0, "user", None), (2, 0, None, "x"), (None, 0, "user", "y"), (1, 1, "assistant", "é <|im_end|>")], "conv_id long, turn long, role string, text string")
     found = {r.conv_id: r for r in conversation_digests(formatted_turns(text_parts(turns))).collect()}
     assert found[1].n_turns == 3 and found[1].loss_chars == 24
@@ -181,19 +210,61 @@ def test_chat_parts(spark):
     assert row[1].attachments == []
 
 
+def encodings(transducer, given):
+    ids, counts, exact = transducer.encode(pa.array(given, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])], exact.tolist()
+
+
 def test_pieces_equal_the_library(docs, rows):
     t = Transducer(open(MODEL, "rb").read())
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(5)
-    for _ in range(1500):
-        text = "".join(rng.choice("ab the    e\n\t é漢😀..12") for _ in range(rng.randint(0, 40)))
-        assert t.encode(text).tolist() == library.encode(text)
-        assert t.decode(t.encode(text)).decode() == text
+    given = ["".join(rng.choice("ab the    e\n\t é漢😀..12▁") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    given += [" " * n + w + " " * m for n in range(70) for w in ("", "a", "漢", "12") for m in (0, 1, 33)]
+    given += [None, "", " " * 5000, "a" * 3000, "." * 777, "one very long text, 漢 and 12. " * 20_000]
+    found, exact = encodings(t, given)
+    for text, ids, same in zip(given, found, exact, strict=True):
+        assert ids == library.encode(text or "")
+        assert same == ("▁" not in (text or "")) and t.decode(np.array(ids, int)).decode() == (text or "").replace("▁", " ")
     found = encoded(docs, MODEL)
     assert all(r.exact for r in found.collect())
     assert sorted(((r.doc_id, r.text) for r in decoded(found, MODEL).collect()), key=str) == sorted(((i, x or "") for i, x in rows), key=str)
 
 
+def test_shortest_path_is_the_least_sum_over_all_paths():
+    t = Transducer(open(MODEL, "rb").read())
+    rng = random.Random(9)
+    for _ in range(200):
+        chunk = "▁" * rng.choice([0, 1, 1, 3]) + "".join(rng.choice("thersx é漢") for _ in range(rng.randint(1, 6))).replace(" ", "")
+        if not chunk.strip("▁"):
+            continue
+        sums = {}
+
+        def walk(at, path, chunk=chunk, sums=sums):
+            if at == len(chunk):
+                sums[tuple(path)] = sum(len(t.written(p)) for p in path)
+            for end in range(at + 1, len(chunk) + 1):
+                piece = chunk[at:end]
+                if (piece in t.ids or end == at + 1) and t.merged((path[-1] if path else "") + piece) == [*path[-1:], piece]:
+                    walk(end, [*path, piece])
+
+        walk(0, [])
+        assert tuple(t.path(chunk)) == min(sums, key=sums.get) == tuple(t.merged(chunk))
+
+
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("spaces", [True, False])
+def test_normalizers_equal_the_library(rule, spaces):
+    normalizer = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=spaces)
+    raw = open(MODEL, "rb").read() + normalizer.serialized_model_proto()
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    rng = random.Random(6)
+    given = ["".join(rng.choice("aÅé①ﬁ　 e\u0301 ｶﾞ한글 ĲKA\t") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", " ", None]
+    found, exact = encodings(Transducer(raw), given)
+    assert found == [library.encode(x or "") for x in given]
+    assert not all(exact)
+
+
 def test_token_tree_equals_a_full_count(docs):
     counter = Counter(open(RANKS, "rb").read())
     rng = random.Random(6)
