@@ -56,11 +56,3 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey as frame", "l_linenumber as det_ord", "l_suppkey % 8 as track_id", "l_partkey % 4 as class_id", "cast(l_partkey % 1800 as double) as left_px", "cast(l_suppkey % 100 * 9 as double) as top_px",
         "10.0D + l_quantity as w_px", "20.0D + 2 * l_quantity as h_px", "1.0D - l_discount as confidence", "l_partkey", "l_suppkey", "l_extendedprice",
     )
-
-
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sample per 20 s of each match, a match per user."""
-    matches = table(spark, sf_dir, "events").select(F.col("user_id").alias("match_id")).distinct()
-    return matches.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(339)))).selectExpr(
-        "match_id", "cast(i * 20000 as long) as ts_ms", "if(i between 15 and 150 or i between 180 and 320, 0.4D + ((i * 7 + match_id) % 30) / 100.0D, 0.02D) as field_score",
-    )

@@ -31,7 +31,7 @@ runs as (
 CARRIES = """,
 carries as (
   select seg, end_ms as ts_ms, 'carry' as event_type, team_key, player_key, cast(null as varchar) as recipient_key, 'success' as outcome, start_ball_x as start_x, start_ball_y as start_y, end_ball_x as end_x, end_ball_y as end_y, confidence,
-    case when abs(end_ball_x - start_ball_x) >= 0.12 then 'progressive_candidate' else '' end as qualifiers, end_ms - start_ms as duration_ms,
+    case when abs(end_ball_x - start_ball_x) >= 0.12 then 'progressive_candidate' else '' end as qualifiers, 0 as kind, run as place, 0 as sub, end_ms - start_ms as duration_ms,
     round(sqrt((end_ball_x - start_ball_x) * (end_ball_x - start_ball_x) + (end_ball_y - start_ball_y) * (end_ball_y - start_ball_y)), 5) as distance
   from runs where n >= 2 and end_ms - start_ms >= 700
     and sqrt((end_ball_x - start_ball_x) * (end_ball_x - start_ball_x) + (end_ball_y - start_ball_y) * (end_ball_y - start_ball_y)) >= 0.08)"""
@@ -43,9 +43,9 @@ pairs as (
 moves as (select *, least(b_confidence, start_confidence) as low from pairs where b_end is not null and start_ms - b_end <= 3000 and b_player <> player_key),
 transfers as (
   select seg, start_ms as ts_ms, 'pass' as event_type, b_team as team_key, b_player as player_key, player_key as recipient_key, 'success' as outcome, b_x as start_x, b_y as start_y, start_ball_x as end_x, start_ball_y as end_y, low as confidence,
-    case when abs(start_ball_x - b_x) >= 0.12 then 'progressive_candidate' else '' end as qualifiers from moves where b_team = team_key
-  union all select seg, start_ms, 'loss', b_team, b_player, null, 'failure', b_x, b_y, start_ball_x, start_ball_y, low * 0.82::double, '' from moves where b_team <> team_key
-  union all select seg, start_ms, 'recovery', team_key, player_key, null, 'success', start_ball_x, start_ball_y, null, null, low * 0.82::double, '' from moves where b_team <> team_key)"""
+    case when abs(start_ball_x - b_x) >= 0.12 then 'progressive_candidate' else '' end as qualifiers, 0 as kind, run as place, 1 as sub from moves where b_team = team_key
+  union all select seg, start_ms, 'loss', b_team, b_player, null, 'failure', b_x, b_y, start_ball_x, start_ball_y, low * 0.82::double, '', 0, run, 1 from moves where b_team <> team_key
+  union all select seg, start_ms, 'recovery', team_key, player_key, null, 'success', start_ball_x, start_ball_y, null, null, low * 0.82::double, '', 0, run, 2 from moves where b_team <> team_key)"""
 
 DUELS = """,
 around as (
@@ -63,8 +63,8 @@ decided as (
   from contests c left join samples a on a.seg = c.seg and a.ts_ms = c.after_ms left join samples b on b.seg = c.seg and b.ts_ms = c.before_ms),
 duels as (
   select seg, ts_ms, 'duel' as event_type, winner_team as team_key, winner as player_key, cast(null as varchar) as recipient_key, case when after_ms is not null then 'success' else 'unknown' end as outcome, start_x, start_y, end_x, end_y, mean * 0.78::double as confidence,
-    'ground_candidate|opponent_track:' || case when 'p' || c1 <> winner then 'p' || c1 when 'p' || c2 <> winner then 'p' || c2 when 'p' || c3 <> winner then 'p' || c3 else 'p' || c4 end as qualifiers from decided
-  union all select seg, after_ms, 'dribble', after_team, after_player, null, 'success', before_x, before_y, after_x, after_y, least(before_confidence, after_confidence) * 0.75::double, 'after_contest' from decided where before_player = after_player)"""
+    'ground_candidate|opponent_track:' || case when 'p' || c1 <> winner then 'p' || c1 when 'p' || c2 <> winner then 'p' || c2 when 'p' || c3 <> winner then 'p' || c3 else 'p' || c4 end as qualifiers, 1 as kind, ts_ms as place, 0 as sub from decided
+  union all select seg, after_ms, 'dribble', after_team, after_player, null, 'success', before_x, before_y, after_x, after_y, least(before_confidence, after_confidence) * 0.75::double, 'after_contest', 1, ts_ms, 1 from decided where before_player = after_player)"""
 
 OUTS = """,
 outs as (
@@ -81,11 +81,26 @@ flights as (
   select a.seg, a.ts_ms, a.team_key, a.player_key, a.ball_x, a.ball_y, a.confidence, count(*) as n, arg_max(f_state, f_ms) as e_state, arg_max(f_x, f_ms) as e_x, arg_max(f_y, f_ms) as e_y, arg_max(f_confidence, f_ms) as e_confidence
   from ahead a left join stops using (seg, ts_ms) where stop_ms is null or f_ms < stop_ms group by all),
 shots as (
-  select seg, ts_ms, 'shot' as event_type, team_key, player_key, cast(null as varchar) as recipient_key, 'unknown' as outcome, ball_x as start_x, ball_y as start_y, e_x as end_x, e_y as end_y, least(confidence, e_confidence) * 0.68::double as confidence, 'trajectory_candidate|space:image_normalized' as qualifiers
+  select seg, ts_ms, 'shot' as event_type, team_key, player_key, cast(null as varchar) as recipient_key, 'unknown' as outcome, ball_x as start_x, ball_y as start_y, e_x as end_x, e_y as end_y, least(confidence, e_confidence) * 0.68::double as confidence, 'trajectory_candidate|space:image_normalized' as qualifiers, 3 as kind, ts_ms as place, 0 as sub
   from flights where n >= 2 and e_state in ('loose', 'out') and (e_x <= 0.12 or e_x >= 0.88) and sqrt((e_x - ball_x) * (e_x - ball_x) + (e_y - ball_y) * (e_y - ball_y)) >= 0.12)"""
 
 EVENT = "seg, ts_ms, event_type, team_key, player_key, recipient_key, outcome, round(start_x, 6) as start_x, round(start_y, 6) as start_y, round(end_x, 6) as end_x, round(end_y, 6) as end_y, round(confidence, 6) as confidence, qualifiers"
 
+#: Of events of one type and player within 400 ms among the last six kept, the most confident stays: events pass one by one.
+DETECTED = """,
+every as (select * exclude (duration_ms, distance) from carries union all select * from transfers union all select * from duels
+  union all select seg, ts_ms, event_type, null, null, null, outcome, null, null, null, null, confidence, '', 2, ts_ms, 0 from outs union all select * from shots),
+queue as (select *, {'id': row_number() over (), 'kind': event_type, 'who': player_key, 'ts': ts_ms, 'sure': confidence} as e, row_number() over (partition by seg order by ts_ms, kind, place, sub) as i from every),
+fold as (
+  select seg, 0::bigint as i, []::struct(id bigint, kind varchar, who varchar, ts bigint, sure double)[] as kept, null::bigint as gone from (select distinct seg from queue)
+  union all
+  select seg, i, case when hit is not null then list_transform(range(1, len(kept) + 1), lambda j: case when j = hit and e.sure > kept[j].sure then e else kept[j] end) else list_append(kept, e)[-6:] end,
+    case when hit is null and len(kept) = 6 then kept[1].id end
+  from (select q.seg, q.i, q.e, f.kept, list_max(list_filter(range(1, len(f.kept) + 1), lambda j: f.kept[j].kind = q.e.kind and f.kept[j].who is not distinct from q.e.who and abs(f.kept[j].ts - q.e.ts) <= 400)) as hit
+    from fold f join queue q on q.seg = f.seg and q.i = f.i + 1)),
+left_over as (select gone as id from fold where gone is not null union all select unnest(kept).id from (select kept, i, max(i) over (partition by seg) as last from fold) where i = last),
+detected as (select * from queue where e.id in (select id from left_over))"""
+
 SPANS = SAMPLES + """,
 gaps as (
   select *, ts_ms - lag(ts_ms) over w as gap, lead(ts_ms) over w as next_ms, lag(state) over w as p_state, lag(player_key) over w as p_player, row_number() over w as rn from samples window w as (partition by seg order by ts_ms)),
@@ -137,6 +152,7 @@ ORACLE_SQL = {
     "event_shots": SAMPLES + SHOTS + f" select {EVENT} from shots",
     "event_team_counters": RUNS + TRANSFERS + """ select seg, team_key, count(*) filter (event_type = 'pass') as passes, count(*) filter (event_type = 'pass') as passes_completed, count(*) filter (event_type = 'pass' and qualifiers <> '') as progressive_passes,
   count(*) filter (event_type = 'loss') as losses, count(*) filter (event_type = 'recovery') as recoveries, case when count(*) filter (event_type = 'pass') > 0 then 100.0::double else 0.0::double end as pass_accuracy_pct from transfers group by seg, team_key""",
+    "event_detection": (RUNS + CARRIES + TRANSFERS + DUELS + OUTS + SHOTS + DETECTED).replace("with base", "with recursive base", 1) + f" select {EVENT} from detected",
     "event_player_counters": RUNS + CARRIES + TRANSFERS + DUELS + SHOTS + """, every as (select * exclude (duration_ms, distance) from carries union all select * from transfers union all select * from duels union all select * from shots)
 select seg, player_key, count(*) filter (event_type = 'pass') as passes, count(*) filter (event_type = 'carry') as carries, count(*) filter (event_type = 'shot') as shots, count(*) filter (event_type = 'duel') as duels, count(*) filter (event_type = 'duel' and outcome = 'success') as duels_won,
   count(*) filter (event_type = 'loss') as losses, count(*) filter (event_type = 'recovery') as recoveries, case when count(*) filter (event_type = 'pass') > 0 then 100.0::double else 0.0::double end as pass_accuracy_pct from every group by seg, player_key""",

@@ -30,22 +30,24 @@ def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.quality_report(signals.derive_signals(rows), videos)
 
 
-ON_FIELD = "case match_id % 4 when 0 then i between 15 and 150 or i between 180 and 320 when 1 then i between 15 and 130 or i between 200 and 320 when 2 then i between 15 and 330 else i % 9 = 0 end"
+ON_FIELD = "case match_id % 4 when 0 then i between 3 and 30 or i between 36 and 64 when 1 then i between 3 and 26 or i between 40 and 64 when 2 then i between 3 and 66 else i % 9 = 0 end"
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A recording per user: with a break near the middle, with a long one, with none, or with hardly any field."""
-    rows = fx.signals(spark, sf_dir).selectExpr("match_id", "ts_ms", "ts_ms div 20000 as i")
-    rows = rows.selectExpr("match_id", "ts_ms", f"if({ON_FIELD}, 0.4D + ((i * 7 + match_id) % 30) / 100.0D, 0.02D) as field_score")
-    return rows, rows.select("match_id").distinct().withColumn("duration_ms", F.lit(6_800_000))
+    """A recording per user, each event a sample 100 s after the one before: with a break near the middle, with a long one,
+    with none, or with hardly any field."""
+    rows = fx.base(spark, sf_dir).withColumn("i", F.row_number().over(fx.ordered(["user_id"], "seq")) - 1).withColumnRenamed("user_id", "match_id")
+    rows = rows.selectExpr("match_id", "i * 100000L as ts_ms", f"if({ON_FIELD}, 0.4D + (k % 30) / 100.0D, 0.02D) as field_score")
+    return rows, rows.groupBy("match_id").agg(F.max("ts_ms").alias("last_ms")).selectExpr("match_id", "last_ms + 100000 - match_id % 3 * 37000 as duration_ms")
 
 
-RECORDINGS = f"""
-with sig as (select match_id, i * 20000 as ts_ms, case when {ON_FIELD} then 0.4::double + ((i * 7 + match_id) % 30) / 100.0::double else 0.02::double end as fs from (select distinct user_id as match_id from events), (select unnest(range(340)) as i)),
+RECORDINGS = BASE + f""",
+sig as (select match_id, i * 100000 as ts_ms, case when {ON_FIELD} then 0.4::double + (k % 30) / 100.0::double else 0.02::double end as fs from (select user_id as match_id, k, row_number() over (partition by user_id order by seq) - 1 as i from base)),
+vids as (select match_id, max(ts_ms) + 100000 - match_id % 3 * 37000 as d, count(*) as samples from sig group by match_id),
 seen as (select *, max(case when fs >= 0.24::double then ts_ms end) over w as last_on from sig window w as (partition by match_id order by ts_ms)),
 numbered as (select *, sum(case when ts_ms - last_on > 75000 then 1 else 0 end) over (partition by match_id order by ts_ms) as block from seen),
-blocks0 as (select match_id, block, min(ts_ms) as start_ms, case when block = any_value(top) then least(6800000, max(ts_ms) + 20000) else max(ts_ms) + 20000 end as end_ms, avg(fs) as confidence
-  from (select *, max(block) over (partition by match_id) as top from numbered) where fs >= 0.24::double group by match_id, block),
+blocks0 as (select match_id, block, min(ts_ms) as start_ms, case when block = any_value(top) then least(any_value(d), max(ts_ms) + 100000) else max(ts_ms) + 100000 end as end_ms, avg(fs) as confidence
+  from (select *, max(block) over (partition by match_id) as top from numbered) join vids using (match_id) where fs >= 0.24::double group by match_id, block),
 blocks as (select match_id, start_ms, end_ms, confidence from blocks0 where end_ms - start_ms >= 720000)"""
 
 
@@ -57,22 +59,24 @@ def field_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     RECORDINGS + """,
 flags as (select *, fs >= 0.24::double as is_on, lag(ts_ms) over w as b_ms, lead(ts_ms) over w as a_ms, lag(fs >= 0.24::double) over w as b_on, lead(fs >= 0.24::double) over w as a_on,
-  fs < 0.24::double and ts_ms between 2380000 and 4420000 as off from sig window w as (partition by match_id order by ts_ms)),
+  fs < 0.24::double and ts_ms between trunc(d * 0.35::double) and trunc(d * 0.65::double) as off from sig join vids using (match_id) where samples >= 8 window w as (partition by match_id order by ts_ms)),
 cuts as (select *, sum(case when off and not coalesce(p_off, false) then 1 else 0 end) over (partition by match_id order by ts_ms) as run from (select *, lag(off) over (partition by match_id order by ts_ms) as p_off from flags)),
 breaks as (select match_id, run, arg_min(b_ms, ts_ms) as b_ms, arg_min(b_on, ts_ms) as b_on, arg_max(a_ms, ts_ms) as a_ms, arg_max(a_on, ts_ms) as a_on from cuts where off group by match_id, run),
-long as (select * from breaks where b_on and a_on and a_ms - b_ms between 36000 and 1200000),
+long as (select * from breaks where b_on and a_on and a_ms - b_ms between 180000 and 1200000),
 held as (select l.*, (select avg((fs >= 0.24::double)::int) from sig s where s.match_id = l.match_id and s.ts_ms between l.b_ms - 240000 and l.b_ms) as b_ratio,
   (select avg((fs >= 0.24::double)::int) from sig s where s.match_id = l.match_id and s.ts_ms between l.a_ms and l.a_ms + 240000) as a_ratio from long l),
-scored as (select *, greatest(0.0::double, 1 - abs((b_ms + a_ms) / 2.0::double - 3400000) / 1020000.0::double) * 0.55::double + least(1.0::double, (a_ms - b_ms) / 120000.0::double) * 0.25::double + (b_ratio + a_ratio) / 2 * 0.20::double as score from held where least(b_ratio, a_ratio) >= 0.45::double),
+scored as (select *, greatest(0.0::double, 1 - abs((b_ms + a_ms) / 2.0::double - d / 2.0::double) / (d * 0.15::double)) * 0.55::double + least(1.0::double, (a_ms - b_ms) / 120000.0::double) * 0.25::double + (b_ratio + a_ratio) / 2 * 0.20::double as score from held join vids using (match_id) where least(b_ratio, a_ratio) >= 0.45::double),
 best as (select *, row_number() over (partition by match_id order by score desc, b_ms) as rn from scored),
-ends as (select match_id, min(ts_ms) as f, least(6800000, max(ts_ms) + 20000) as l from sig where fs >= 0.24::double group by match_id),
+ends as (select match_id, min(ts_ms) as f, least(any_value(d), max(ts_ms) + 100000) as l from sig join vids using (match_id) where fs >= 0.24::double group by match_id),
 central as (select match_id, f as s1, b_ms as e1, a_ms as s2, l as e2, least(0.85::double, 0.55::double + score * 0.30::double) as c1, least(0.85::double, 0.55::double + score * 0.30::double) as c2 from best join ends using (match_id) where rn = 1 and b_ms - f >= 1800000 and l - a_ms >= 1800000),
 ranked as (select *, end_ms - start_ms as long, row_number() over (partition by match_id order by end_ms - start_ms desc, start_ms) as rk, count(*) over (partition by match_id) as n from blocks),
 pairs as (select a.match_id, a.start_ms as s1, a.end_ms as e1, b.start_ms as s2, b.end_ms as e2, a.confidence as c1, b.confidence as c2,
   row_number() over (partition by a.match_id order by least(a.long, b.long) / greatest(a.long, b.long)::double + a.confidence + b.confidence desc, a.rk, b.rk) as rn from ranked a join ranked b on a.match_id = b.match_id and a.rk <= 4 and b.rk <= 4 and b.start_ms - a.end_ms >= 60000),
 paired as (select match_id, s1, e1, s2, e2, least(0.95::double, c1) as c1, least(0.95::double, c2) as c2 from pairs where rn = 1
   union all select match_id, start_ms, start_ms + long // 2 - 300000, start_ms + long // 2 + 300000, end_ms, 0.45::double, 0.45::double from ranked where n = 1 and long >= 4200000),
-plain as (select match_id, 204000 as s1, 204000 + (6664000 - 204000) // 2 - 340000 as e1, 204000 + (6664000 - 204000) // 2 + 340000 as s2, 6664000 as e2, 0.2::double as c1, 0.2::double as c2 from ends),
+sized as (select match_id, least(trunc(d * 0.03::double)::bigint, 600000) as lead, d - least(trunc(d * 0.02::double)::bigint, 300000) as usable, least(900000, trunc(d * 0.10::double)::bigint) as pause from vids),
+mid as (select *, lead + (usable - lead) // 2 as m from sized),
+plain as (select match_id, lead as s1, greatest(lead, m - pause // 2) as e1, least(usable, m + pause // 2) as s2, usable as e2, 0.2::double as c1, 0.2::double as c2 from mid),
 every as (select 0 as rank, 'central_broadcast_break' as method, * from central union all select 1, 'field_blocks', * from paired union all select 2, 'proportional', * from plain),
 chosen as (select *, row_number() over (partition by match_id order by rank) as rn from every),
 final as (select *, case rank when 2 then 0.2::double else least(c1, c2) * least(1.0::double, case rank when 0 then greatest(0.65::double, (s2 - e1) / 120000.0::double) else greatest(0.35::double, (s2 - e1) / 480000.0::double) end) end as overall from chosen where rn = 1)
