@@ -13,6 +13,8 @@ from sidelines.llm.text import Words, parts
 
 #: A bucket with more fingerprints is compared in blocks, each pair of blocks by a task of its own.
 BLOCK = 4096
+#: Different fingerprints above which three segments would fill their buckets, and two are used.
+CROWDED = 1 << 26
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -42,10 +44,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def segments(bits: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each segment. Radii plus one sum to distance + 1, so of two fingerprints within
-    `distance` bits at least one segment differs by its radius or less."""
-    count = min(3, distance + 1)
+def segments(bits: int, distance: int, most: int = 3) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of each of `most` segments, or fewer. Radii plus one sum to distance + 1, so of two
+    fingerprints within `distance` bits at least one segment differs by its radius or less."""
+    count = min(most, distance + 1)
     width, radius = [bits // count] * count, [(distance + 1) // count - 1] * count
     for i in range(bits % count):
         width[-1 - i] += 1
@@ -70,19 +72,20 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray
     return node[linked], node[label[linked]]
 
 
-def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 4, most: int = 3) -> DataFrame:
     """Edges (a, b) that connect the same nodes as all pairs within `distance` bits do.
 
     nodes(node long, fingerprint long) holds each fingerprint once. Every fingerprint enters the table of each segment by
     its own key, and once for each key in the small ball around it that has a bit less (of two keys that differ in a bit,
     one has it), so two near fingerprints meet in a bucket. A bucket's task compares whole fingerprints and returns a
-    spanning forest, never all pairs. A bucket over BLOCK rows is dealt out as pairs of blocks.
+    spanning forest, never all pairs. A bucket over BLOCK rows is dealt out as pairs of blocks. Fewer, wider segments make
+    smaller buckets of larger balls.
     """
 
     def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp = (batch.column(i).to_numpy() for i in range(2))
-            for k, (shift, width, radius) in enumerate(segments(64, distance)):
+            for k, (shift, width, radius) in enumerate(segments(64, distance, most)):
                 own = (fp.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                 ring = [(own, np.arange(len(own)))]
                 for _ in range(radius):
@@ -147,7 +150,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     nodes = cut(ids.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
     same = ids.groupBy("doc_id").agg(F.min("fingerprint").alias("low"), F.max("fingerprint").alias("high")).where("low <> high")
     also = ids.join(same, "doc_id").join(nodes, "fingerprint").select("doc_id", "node")
-    edges = links(nodes.dropDuplicates(["fingerprint"]), distance).unionByName(also.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    edges = links(nodes, distance, 3 if nodes.count() <= CROWDED else 2).unionByName(also.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = components(edges)
     of_print = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return prints.join(of_print, "fingerprint", "left").select(
