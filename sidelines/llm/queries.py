@@ -78,6 +78,21 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn), '')) as loss_sha256,
   cast(sum(24 + length(replace(role, chr(92), chr(92) || chr(92))) + length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'))) as bigint) as formatted_chars
 from turns group by conv_id""",
+    "op5_decontamination": r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select item_id, w, least(13, len(w)) as n from (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark) where len(w) > 0),
+wanted as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as k from items, unnest(generate_series(1, len(w) - n + 1)) t(i)),
+windows as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as k from words, (select distinct n from wanted), unnest(generate_series(1, len(w) - n + 1)) t(i)),
+met as (select doc_id, i, windows.n, item_id from windows join wanted on windows.n = wanted.n and windows.k = wanted.k),
+hits as (select doc_id, count(distinct p) as n_hit from (select distinct doc_id, i, n from met), unnest(generate_series(i, i + n - 1)) t(p) group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from met) group by doc_id)
+select words.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words left join hits using (doc_id) left join found using (doc_id)""",
     "op9_substring_dedup": r"""
 with words as (
   select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
