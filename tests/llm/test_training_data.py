@@ -63,9 +63,10 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_simhash(docs, rows, block, monkeypatch):
+@pytest.mark.parametrize("block, crowded", [(4096, 1 << 26), (2, 1 << 26), (4096, 0)])
+def test_simhash(docs, rows, block, crowded, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     found = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     known = [(i, fingerprint(t)) for i, t in rows if i is not None]
     top = {i: i for i, _ in known}
@@ -80,11 +81,12 @@ def test_simhash(docs, rows, block, monkeypatch):
 def test_segments_cover_every_pair():
     rng = random.Random(2)
     for distance in range(6):
-        cut = simhash.segments(64, distance)
-        assert sum(w for _, w, _ in cut) == 64
-        for _ in range(300):
-            x = sum(1 << b for b in rng.sample(range(64), distance))
-            assert any((x >> s & ((1 << w) - 1)).bit_count() <= r for s, w, r in cut)
+        for most in (2, 3):
+            cut = simhash.segments(64, distance, most)
+            assert sum(w for _, w, _ in cut) == 64
+            for _ in range(300):
+                x = sum(1 << b for b in rng.sample(range(64), distance))
+                assert any((x >> s & ((1 << w) - 1)).bit_count() <= r for s, w, r in cut)
 
 
 def test_components_of_a_long_path(spark):
