@@ -3,10 +3,10 @@ what is left is encoded. Each stage takes all that its predecessor kept."""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sidelines.llm.common import cut, read, text_key
+from sidelines.llm.common import cut, read, scratch, text_key
 from sidelines.llm.decontam import contamination, report
 from sidelines.llm.pieces import encoded
 from sidelines.llm.queries import TOKENIZERS
@@ -27,12 +27,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id, and one row of each doc_id, an arbitrary one
-    if its texts differ. Rows without a doc_id stay."""
+    """Of each group of linked documents the one with the smallest doc_id, and one row of each doc_id: that of the least
+    text key and, of equal texts, the least other columns. Rows without a doc_id stay, null texts count as empty."""
     groups = near_duplicates(docs)
     kept = _drop(docs, groups.where("component_id < doc_id"))
     own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn("_own_row", own).dropDuplicates(["doc_id", "_own_row"]).select(docs.columns)
+    first = Window.partitionBy("doc_id", "_own_row").orderBy(text_key(F.col("text")), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    return kept.withColumn("_own_row", own).withColumn("_place", F.row_number().over(first)).where("_place = 1").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark's windows don't contaminate, judged by doc_id: all rows of an id go if one is
-    contaminated, and rows without one stay."""
+    contaminated, and rows without one stay. Repeated rows stay or go together; a null or empty text has no words and
+    stays."""
     return _drop(docs, report(contamination(docs, read(spark, sf_dir, "benchmark"))).where("contaminated"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it: a row for each row, with a null doc_id too; null and empty
+    texts have no tokens. Columns other than doc_id are left out."""
     return encoded(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
@@ -69,7 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            made += before
+            docs = cut(stage(spark, docs, sf_dir), name)
+            before = [made.pop()]
     return STAGES[-1][1](spark, docs, sf_dir)
