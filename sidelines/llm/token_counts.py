@@ -51,9 +51,27 @@ class Tree:
         self.recounted = 0
         self._build(_pre.findall(text))
 
+    @classmethod
+    def load(cls, stored: list[dict], counter: Counter) -> "Tree":
+        """The tree that dump() wrote; nothing is split or counted again."""
+        tree = cls("", counter)
+        tree.leaves = []
+        for leaf in stored:
+            ends = np.cumsum(leaf["lengths"]).tolist()
+            tree.leaves.append(([leaf["text"][a:b] for a, b in zip([0, *ends], ends, strict=False)], list(leaf["counts"])))
+        tree._sum()
+        return tree
+
+    def dump(self) -> list[dict]:
+        return [{"text": "".join(pres), "lengths": [len(p) for p in pres], "counts": counts} for pres, counts in self.leaves if pres]
+
     def _build(self, pres: list[str]) -> None:
         counts = self.counter.of(pres)
-        self.leaves = [(pres[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pres), LEAF)] or [([], [])]
+        self.leaves = [(pres[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(pres), LEAF)]
+        self._sum()
+
+    def _sum(self) -> None:
+        self.leaves = self.leaves or [([], [])]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.base, 2), np.int64)
         for i, (p, c) in enumerate(self.leaves):
@@ -164,6 +182,11 @@ class Tree:
         if len(self.leaves[first][0]) > 8 * LEAF:
             self._build([p for x in self.leaves for p in x[0]])
 
+    def make(self, edits: list[dict | None] | None) -> None:
+        for e in edits or []:
+            if e is not None:
+                self.edit(e["at"] or 0, e["length"] or 0, e["text"] or "")
+
     def text(self) -> str:
         return "".join(p for x in self.leaves for p in x[0])
 
@@ -203,12 +226,51 @@ def repeated_line_edits(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, text string, edits {EDITS}")
 
 
+TREE = "array<struct<text: string, lengths: array<int>, counts: array<int>>>"
+_TREE = pa.list_(pa.struct([("text", pa.string()), ("lengths", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+
+
+def counted_trees(docs: DataFrame, ranks: str) -> DataFrame:
+    """(doc_id, n_tokens, tree) of each row of docs(doc_id, text), to be kept in a table between rounds of edits: a tree's
+    leaves hold their text, and characters and tokens of each pre-token. Null and empty texts have no leaf; null doc_ids
+    and repeated rows give a row each; other columns are left out."""
+    raw = Path(ranks).read_bytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(raw)
+        for batch in parts(batches):
+            trees = [Tree(text or "", count) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.dump() for t in trees], _TREE)], ["doc_id", "n_tokens", "tree"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, tree {TREE}")
+
+
+def edited_trees(trees: DataFrame, ranks: str) -> DataFrame:
+    """(doc_id, n_tokens, n_recounted, tree) of each row of trees(doc_id, tree, edits) after its edits, which are as in
+    token_counts(): only what they touch is split and counted again. Null trees are empty texts, null edits none."""
+    raw = Path(ranks).read_bytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(raw)
+        for batch in batches:
+            done = []
+            for stored, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                done.append(Tree.load(stored or [], count))
+                done[-1].make(edits)
+            columns = [pa.array([t.tokens for t in done], pa.int64()), pa.array([t.recounted for t in done], pa.int64()), pa.array([t.dump() for t in done], _TREE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "n_recounted", "tree"])
+
+    rows = trees.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tree").cast(TREE).alias("tree"), F.col("edits").cast(EDITS).alias("edits"))
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, n_recounted long, tree {TREE}")
+
+
 def token_counts(docs: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, n_tokens, n_edits, n_tokens_edited, n_recounted) of each row of docs(doc_id, text, edits).
 
     ranks is the path of a rank file, which the driver reads and ships. Edits (at, length, text; characters of the text
-    as it then is) are made one after another; places outside a text move to its ends, null lengths are 0 and null texts
-    empty. n_recounted: pre-tokens that were split and counted again. Null texts are empty, null edits none; null
+    as it then is) are made one after another; places outside a text move to its ends, null places and lengths are 0, null texts
+    empty and null edits nothing. n_recounted: pre-tokens that were split and counted again. Null texts are empty, null edits none; null
     doc_ids and repeated rows give a row each; other columns are left out.
     """
     raw = Path(ranks).read_bytes()
@@ -220,8 +282,7 @@ def token_counts(docs: DataFrame, ranks: str) -> DataFrame:
             for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tree = Tree(text or "", count)
                 before = tree.tokens
-                for e in edits or []:
-                    tree.edit(e["at"] or 0, e["length"] or 0, e["text"] or "")
+                tree.make(edits)
                 for column, value in zip(out, (before, len(edits or []), tree.tokens, tree.recounted), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted"])
