@@ -5,7 +5,6 @@ Coordinates are shares of the image; `pitch` turns thresholds to metres.
 """
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,12 +18,18 @@ CARRY, PROGRESS, SHOT, NEAR, FAR = (0.08, 5.0), (0.12, 10.0), (0.12, 8.0), (0.12
 COLUMNS = ["seg", "ts_ms", "emit_ord", "event_type", "team_key", "player_key", "recipient_key", "outcome", "start_x", "start_y", "end_x", "end_y", "confidence", "qualifiers", "duration_ms", "distance"]
 
 
-def _events(rows: DataFrame, kind: int, event_type: str, **columns: Column) -> DataFrame:
-    empty = {"recipient_key": F.lit(None).cast("string"), "qualifiers": F.array().cast("array<string>"), "sub": F.lit(0), "end_x": F.lit(None).cast("double"), "end_y": F.lit(None).cast("double"), "duration_ms": F.lit(None).cast("long"), "distance": F.lit(None).cast("double"), "at": F.col("ts_ms")}
-    c = empty | columns
-    c["emit_ord"] = F.struct(F.lit(kind).alias("kind"), c.pop("at").alias("at"), c.pop("sub").alias("sub"))
+def _event(found: Column, kind: int, event_type: str, **columns: Column) -> Column:
+    """An event's struct where it is found; columns that are not given are those of the row, or null."""
+    none = {"recipient_key": "string", "end_x": "double", "end_y": "double", "duration_ms": "long", "distance": "double"}
+    c = {k: F.lit(None).cast(t) for k, t in none.items()} | {"qualifiers": F.array().cast("array<string>"), "sub": F.lit(0), "at": F.col("ts_ms")} | columns
+    c["emit_ord"] = F.struct(F.lit(kind).alias("kind"), c.pop("at").cast("long").alias("at"), c.pop("sub").alias("sub"))
     c["event_type"] = F.lit(event_type)
-    return rows.select("seg", *(c.get(k, F.col(k)).alias(k) for k in COLUMNS[1:]))
+    return F.when(found, F.struct(*(c.get(k, F.col(k)).alias(k) for k in COLUMNS[1:])))
+
+
+def _emit(rows: DataFrame, *events: Column) -> DataFrame:
+    """All events of each row, from one pass over the rows."""
+    return rows.select("seg", F.explode(F.array_compact(F.array(*events))).alias("e")).select("seg", "e.*")
 
 
 def _tag(condition: Column, name: str) -> Column:
@@ -43,29 +48,41 @@ def controlled_runs(samples: DataFrame, max_gap_ms: int = 3000) -> DataFrame:
     return rows.groupBy("seg", "run", "team_key", "player_key").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"), F.min("confidence").alias("confidence"), *ends)
 
 
-def carries(runs: DataFrame, pitch: bool = False, min_ms: int = 700) -> DataFrame:
+def _carry(pitch: bool, min_ms: int = 700) -> Column:
+    long = F.col("end_ms") - F.col("start_ms")
     d = distance(F.col("end_ball_x"), F.col("end_ball_y"), F.col("start_ball_x"), F.col("start_ball_y"))
-    rows = runs.where((F.col("n") >= 2) & (d >= CARRY[pitch]) & (F.col("end_ms") - F.col("start_ms") >= min_ms))
     forward = F.abs(F.col("end_ball_x") - F.col("start_ball_x")) >= PROGRESS[pitch]
-    return _events(rows, 0, "carry", ts_ms=F.col("end_ms"), at=F.col("run").cast("long"), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), qualifiers=_tag(forward, "progressive_candidate"), duration_ms=F.col("end_ms") - F.col("start_ms"), distance=F.round(d, 5))
+    found = (F.col("n") >= 2) & (d >= CARRY[pitch]) & (long >= min_ms)
+    return _event(found, 0, "carry", ts_ms=F.col("end_ms"), at=F.col("run"), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), qualifiers=_tag(forward, "progressive_candidate"), duration_ms=long, distance=F.round(d, 5))
 
 
-def transfers(runs: DataFrame, pitch: bool = False, max_gap_ms: int = 3000) -> DataFrame:
-    """Passes inside a team, and a loss with a recovery between teams, where the owner changes."""
-    w = ordered(BY, "run")
-    before = F.lag(F.struct("team_key", "player_key", "end_ms", "end_ball_x", "end_ball_y", "end_confidence")).over(w)
-    rows = runs.withColumn("b", before).where(F.col("b").isNotNull() & (F.col("start_ms") - F.col("b.end_ms") <= max_gap_ms))
-    rows = rows.where(~F.struct("team_key", "player_key").eqNullSafe(F.struct("b.team_key", "b.player_key")))
-    rows = rows.withColumn("low", F.least("b.end_confidence", "start_confidence"))
-    common = {"ts_ms": F.col("start_ms"), "at": F.col("run").cast("long")}
+def carries(runs: DataFrame, pitch: bool = False, min_ms: int = 700) -> DataFrame:
+    return _emit(runs, _carry(pitch, min_ms))
+
+
+def _with_run_before(runs: DataFrame) -> DataFrame:
+    before = F.lag(F.struct("team_key", "player_key", "end_ms", "end_ball_x", "end_ball_y", "end_confidence")).over(ordered(BY, "run"))
+    return runs.withColumn("b", before)
+
+
+def _transfers(pitch: bool, max_gap_ms: int = 3000) -> list[Column]:
+    near = F.col("b").isNotNull() & (F.col("start_ms") - F.col("b.end_ms") <= max_gap_ms)
+    near &= ~F.struct("team_key", "player_key").eqNullSafe(F.struct("b.team_key", "b.player_key"))
+    low = F.least("b.end_confidence", "start_confidence")
+    common = {"ts_ms": F.col("start_ms"), "at": F.col("run")}
     first = {"team_key": F.col("b.team_key"), "player_key": F.col("b.player_key"), "start_x": F.col("b.end_ball_x"), "start_y": F.col("b.end_ball_y"), "end_x": F.col("start_ball_x"), "end_y": F.col("start_ball_y")}
     forward = F.coalesce(F.abs(F.col("start_ball_x") - F.col("b.end_ball_x")), F.lit(0.0)) >= PROGRESS[pitch]
-    same, other = rows.where("team_key = b.team_key"), rows.where("team_key <> b.team_key")
-    return (
-        _events(same, 0, "pass", **common, **first, sub=F.lit(1), recipient_key=F.col("player_key"), outcome=F.lit("success"), confidence=F.col("low"), qualifiers=_tag(forward, "progressive_candidate"))
-        .unionByName(_events(other, 0, "loss", **common, **first, sub=F.lit(1), outcome=F.lit("failure"), confidence=F.col("low") * 0.82))
-        .unionByName(_events(other, 0, "recovery", **common, sub=F.lit(2), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), confidence=F.col("low") * 0.82))
-    )
+    same, other = near & (F.col("team_key") == F.col("b.team_key")), near & (F.col("team_key") != F.col("b.team_key"))
+    return [
+        _event(same, 0, "pass", **common, **first, sub=F.lit(1), recipient_key=F.col("player_key"), outcome=F.lit("success"), confidence=low, qualifiers=_tag(forward, "progressive_candidate")),
+        _event(other, 0, "loss", **common, **first, sub=F.lit(1), outcome=F.lit("failure"), confidence=low * 0.82),
+        _event(other, 0, "recovery", **common, sub=F.lit(2), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), confidence=low * 0.82),
+    ]
+
+
+def transfers(runs: DataFrame, pitch: bool = False, max_gap_ms: int = 3000) -> DataFrame:
+    """Passes inside a team, and a loss with a recovery between teams, where the owner changes."""
+    return _emit(_with_run_before(runs), *_transfers(pitch, max_gap_ms))
 
 
 def duels(samples: DataFrame) -> DataFrame:
@@ -87,40 +104,55 @@ def duels(samples: DataFrame) -> DataFrame:
     runs = runs.withColumn("winner", F.when(follows, F.struct("after.team_key", "after.player_key")).otherwise(F.get("contenders", F.lit(0)))).where("winner.player_key is not null")
     runs = runs.withColumn("opponent", F.get(F.filter("contenders", lambda x: x["player_key"] != F.col("winner.player_key")), F.lit(0))["player_key"])
     tags = F.concat(F.array(F.lit("ground_candidate")), F.when(F.col("opponent").isNotNull(), F.array(F.concat(F.lit("opponent_track:"), "opponent"))).otherwise(F.array().cast("array<string>")))
-    won = _events(runs, 1, "duel", team_key=F.col("winner.team_key"), player_key=F.col("winner.player_key"), outcome=F.when(F.col("after").isNotNull(), "success").otherwise("unknown"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), confidence=F.col("mean") * 0.78, qualifiers=tags)
-    kept = runs.where("before.player_key = after.player_key")
-    past = _events(kept, 1, "dribble", ts_ms=F.col("after.ts_ms"), sub=F.lit(1), team_key=F.col("after.team_key"), player_key=F.col("after.player_key"), outcome=F.lit("success"), start_x=F.col("before.ball_x"), start_y=F.col("before.ball_y"), end_x=F.col("after.ball_x"), end_y=F.col("after.ball_y"), confidence=F.least("before.confidence", "after.confidence") * 0.75, qualifiers=F.array(F.lit("after_contest")))
-    return won.unionByName(past)
+    won = _event(F.lit(True), 1, "duel", team_key=F.col("winner.team_key"), player_key=F.col("winner.player_key"), outcome=F.when(F.col("after").isNotNull(), "success").otherwise("unknown"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), confidence=F.col("mean") * 0.78, qualifiers=tags)
+    past = _event(F.col("before.player_key") == F.col("after.player_key"), 1, "dribble", ts_ms=F.col("after.ts_ms"), sub=F.lit(1), team_key=F.col("after.team_key"), player_key=F.col("after.player_key"), outcome=F.lit("success"), start_x=F.col("before.ball_x"), start_y=F.col("before.ball_y"), end_x=F.col("after.ball_x"), end_y=F.col("after.ball_y"), confidence=F.least("before.confidence", "after.confidence") * 0.75, qualifiers=F.array(F.lit("after_contest")))
+    return _emit(runs, won, past)
 
 
-def outs(samples: DataFrame) -> DataFrame:
-    before = F.lag("state").over(ordered(BY, "ts_ms"))
-    rows = samples.withColumn("before", before).where("state = 'out' and before is not null and before <> 'out'")
+def _with_state_before(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("state_before", F.lag("state").over(ordered(BY, "ts_ms")))
+
+
+def _out() -> Column:
     none = F.lit(None)
-    return _events(rows, 2, "out", team_key=none.cast("string"), player_key=none.cast("string"), outcome=F.lit("neutral"), start_x=none.cast("double"), start_y=none.cast("double"), confidence=F.col("confidence") * 0.72)
+    found = (F.col("state") == "out") & (F.col("state_before") != "out")
+    return _event(found, 2, "out", team_key=none.cast("string"), player_key=none.cast("string"), outcome=F.lit("neutral"), start_x=none.cast("double"), start_y=none.cast("double"), confidence=F.col("confidence") * 0.72)
 
 
-def shots(samples: DataFrame, pitch: bool = False, horizon_ms: int = 2200) -> DataFrame:
-    """A controlled sample from which the ball goes loose or out near a goal before another player controls it."""
-    w = ordered(BY, "ts_ms")
+def outs(samples: DataFrame) -> DataFrame:
+    return _emit(_with_state_before(samples), _out())
+
+
+def _with_flight(samples: DataFrame, horizon_ms: int = 2200) -> DataFrame:
+    """Samples with the last place of the ball within the horizon and before another player controls it, and how many
+    places there are."""
     held = F.col("state") == "controlled"
-    last_player = F.last(F.when(held, F.col("player_key")), True).over(earlier(BY, "ts_ms"))
-    rows = samples.withColumn("last_player", last_player)
-    rows = rows.withColumn("owners", F.sum((held & F.coalesce(F.col("player_key") != F.col("last_player"), F.lit(False))).cast("int")).over(w))
+    rows = samples.withColumn("last_player", F.last(F.when(held, F.col("player_key")), True).over(earlier(BY, "ts_ms")))
+    new = held & F.coalesce(F.col("player_key") != F.col("last_player"), F.lit(False))
+    rows = rows.withColumn("owners", F.sum(new.cast("int")).over(ordered(BY, "ts_ms")))
     point = F.when(F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull(), F.struct("ts_ms", "state", "ball_x", "ball_y", "confidence"))
     ahead = ordered([*BY, "owners"], "ts_ms").rangeBetween(1, horizon_ms)
-    rows = rows.withColumn("end", F.max(point).over(ahead)).withColumn("points", F.count(point).over(ahead)).where(held & F.col("player_key").isNotNull() & (F.col("points") >= 2))
+    return rows.withColumn("end", F.max(point).over(ahead)).withColumn("points", F.count(point).over(ahead))
+
+
+def _shot(pitch: bool) -> Column:
     near = (F.col("end.ball_x") <= NEAR[pitch]) | (F.col("end.ball_x") >= FAR[pitch])
     moved = distance(F.col("end.ball_x"), F.col("end.ball_y"), F.col("ball_x"), F.col("ball_y")) >= SHOT[pitch]
-    rows = rows.where(F.col("end.state").isin("loose", "out") & near & moved)
+    found = (F.col("state") == "controlled") & F.col("player_key").isNotNull() & (F.col("points") >= 2) & F.col("end.state").isin("loose", "out") & near & moved
     space = "pitch_meters" if pitch else "image_normalized"
-    return _events(rows, 3, "shot", outcome=F.lit("unknown"), start_x=F.col("ball_x"), start_y=F.col("ball_y"), end_x=F.col("end.ball_x"), end_y=F.col("end.ball_y"), confidence=F.least("confidence", "end.confidence") * 0.68, qualifiers=F.array(F.lit("trajectory_candidate"), F.lit(f"space:{space}")))
+    return _event(found, 3, "shot", outcome=F.lit("unknown"), start_x=F.col("ball_x"), start_y=F.col("ball_y"), end_x=F.col("end.ball_x"), end_y=F.col("end.ball_y"), confidence=F.least("confidence", "end.confidence") * 0.68, qualifiers=F.array(F.lit("trajectory_candidate"), F.lit(f"space:{space}")))
+
+
+def shots(samples: DataFrame, pitch: bool = False, horizon_ms: int = 2200) -> DataFrame:
+    """A controlled sample from which the ball goes loose or out near a goal before another player controls it."""
+    return _emit(_with_flight(samples, horizon_ms), _shot(pitch))
 
 
 def candidates(samples: DataFrame, pitch: bool = False) -> DataFrame:
-    """All detectors' events before duplicates go."""
-    runs = controlled_runs(samples)
-    return reduce(DataFrame.unionByName, [carries(runs, pitch), transfers(runs, pitch), duels(samples), outs(samples), shots(samples, pitch)])
+    """All detectors' events before duplicates go: one pass each over runs, contests and samples."""
+    of_runs = _emit(_with_run_before(controlled_runs(samples)), _carry(pitch), *_transfers(pitch))
+    of_samples = _emit(_with_flight(_with_state_before(samples)), _out(), _shot(pitch))
+    return of_runs.unionByName(duels(samples)).unionByName(of_samples)
 
 
 def deduplicate(events: DataFrame, within_ms: int = 400, last: int = 6) -> DataFrame:
