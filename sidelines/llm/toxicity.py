@@ -1,5 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words."""
 
+import pickle
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -268,7 +269,8 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 8, least: i
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS, most_bytes: int = MOST_BYTES) -> Network:
     """Trains on whole texts of each class outside the held-out fold: of about `most` labelled ids chosen by a hash, those
-    that come first by it and fit in `most_bytes` together. Of an id's texts it takes the one with the least key."""
+    that come first by it and fit in `most_bytes` together. Of an id's texts it takes the one with the least key. One task
+    trains on this bounded sample; the driver sees ids, sizes and the network."""
     rows = learning_rows(labels, "toxic", 1 << 62)
     counts = dict(rows.groupBy("label").count().collect())
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000))
@@ -282,8 +284,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS, most_bytes:
         if size <= room[label]:
             room[label] -= size
             taken.append((doc_id,))
-    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id", "left_semi").toPandas().sort_values("doc_id")
-    return train(rows["text"].tolist(), rows["label"].to_numpy())
+    if not taken:
+        return train([], np.zeros(0, int))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        net = train([text for _, _, text in rows], np.array([label for _, label, _ in rows], int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["network"])
+
+    rows = found.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id", "left_semi")
+    return pickle.loads(rows.select("doc_id", "label", "text").coalesce(1).mapInArrow(run, "network binary").first()[0])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_TEXTS) -> DataFrame:
