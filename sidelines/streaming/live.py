@@ -1,6 +1,7 @@
 """The same rules on streams of frames: possession, the ball, progress, and checks of arriving frames.
 
-State is kept per segment. Input must reach a segment in order of ts_ms from batch to batch; within a batch it is sorted."""
+State is kept per segment, until none of its frames has come for IDLE_MS. Input must reach a segment in order of ts_ms from
+batch to batch; within a batch it is sorted."""
 
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ from sidelines.functions.columns import distance
 from sidelines.operators.detections import follow_ball
 from sidelines.operators.possession import MARGIN, PITCH, RADIUS
 
+#: A segment's state ends when it has been silent so long, by the cluster's clock: frames after that begin anew.
+IDLE_MS = 3_600_000
 SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, confidence double"
 STATE = "seen_ms long, team string, player string, next_team string, next_player string, since_ms long"
 
@@ -34,6 +37,9 @@ def live_possession(frames: DataFrame, radius: float | None = None, grace_ms: in
         return value is not None and value == value
 
     def observe(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, team, player, next_team, next_player, since = state.get if state.exists else (None,) * 6
         out = []
         for row in pd.concat(list(batches)).sort_values("ts_ms", kind="stable").itertuples(index=False):
@@ -64,24 +70,29 @@ def live_possession(frames: DataFrame, radius: float | None = None, grace_ms: in
                     team, player = offer
                 out.append((ts, "controlled", team, player, min(0.98, max(0.25, one["confidence"] * (1 - one["d"] / radius)))))
         state.update((seen, team, player, next_team, next_player, since))
+        state.setTimeoutDuration(IDLE_MS)
         if out:
             rows = pd.DataFrame(out, columns=["ts_ms", "state", "team_key", "player_key", "confidence"])
             yield rows.assign(seg=key[0])[["seg", "ts_ms", "state", "team_key", "player_key", "confidence"]]
 
-    return nearest(frames).groupBy("seg").applyInPandasWithState(observe, SAMPLE, STATE, "append", GroupStateTimeout.NoTimeout)
+    return nearest(frames).groupBy("seg").applyInPandasWithState(observe, SAMPLE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_ball(candidates: DataFrame) -> DataFrame:
     """At most one of a stream's ball candidates per time, as operators.detections.select_ball; state: the last choice."""
 
     def choose(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get if state.exists else None
         chosen = [(key[0], r.ts_ms, r.det_id, r.cx, r.cy) for r in follow_ball(pd.concat(list(batches)), before)]
         if chosen:
             state.update((int(chosen[-1][1]), *map(float, chosen[-1][3:])))
+            state.setTimeoutDuration(IDLE_MS)
             yield pd.DataFrame([c[:3] for c in chosen], columns=["seg", "ts_ms", "det_id"])
 
-    return candidates.groupBy("seg").applyInPandasWithState(choose, "seg long, ts_ms long, det_id long", "ts_ms long, cx double, cy double", "append", GroupStateTimeout.NoTimeout)
+    return candidates.groupBy("seg").applyInPandasWithState(choose, "seg long, ts_ms long, det_id long", "ts_ms long, cx double, cy double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def live_progress(frames: DataFrame) -> DataFrame:
