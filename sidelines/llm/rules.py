@@ -92,6 +92,14 @@ def verdict(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
+def learned_rules(stats: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> list[Rule]:
+    """The list learned from at most about `most` rows of statistics() with a label outside the held-out fold."""
+    values = ratios()
+    sample = stats.join(F.broadcast(learning_rows(labels, "quality", most)), "doc_id").select("label", *(c.cast("double").alias(k) for k, c in values.items())).toPandas()
+    sample = sample.sort_values(["label", *values], ignore_index=True)  # the order decides what is grown on and what pruned on
+    return learn({k: sample[k].to_numpy(float) for k in values}, sample["label"].to_numpy() == 0)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of each row of
     docs(doc_id, text). base_failed: under 50 words, or over half of them in repeated three-word windows. kept: not
@@ -100,10 +108,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) ->
     any other; without labels the list is empty.
     """
     stats = cut(statistics(docs), "stats")
-    values = ratios()
-    sample = stats.join(F.broadcast(learning_rows(labels, "quality", most)), "doc_id").select("label", *(c.cast("double").alias(k) for k, c in values.items())).toPandas()
-    sample = sample.sort_values(["label", *values], ignore_index=True)  # the order decides what is grown on and what pruned on
-    rules = learn({k: sample[k].to_numpy(float) for k in values}, sample["label"].to_numpy() == 0)
+    values, rules = ratios(), learned_rules(stats, labels, most)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         stats.withColumns({k: c.cast("double") for k, c in values.items()})
