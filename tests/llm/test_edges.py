@@ -18,8 +18,9 @@ from sidelines.llm.decontam import contamination, report
 from sidelines.llm.licenses import license_matches
 from sidelines.llm.pieces import encoded
 from sidelines.llm.quality import quality_scores
-from sidelines.llm.rules import quality_rules
+from sidelines.llm.rules import learned_rules, quality_rules
 from sidelines.llm.simhash import near_duplicates
+from sidelines.llm.stats import ratios, statistics
 from sidelines.llm.substring import remove_repeats
 from sidelines.llm.token_counts import Counter, counted_trees, edited_trees, repeated_line_edits, token_counts
 from sidelines.llm.toxicity import toxicity_scores
@@ -157,10 +158,21 @@ def test_held_out_accuracy(spark, judged, name, column, least):
 
 def test_verdicts_follow_from_the_rules(spark, judged):
     """kept restated: a text fails by the base rule, or by the first learned rule that its statistics meet."""
-    found = queries.op4_quality_rules(spark, "/root/testdata/sf0.01").toPandas()
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = quality_rules(docs, labels).toPandas().set_index("doc_id")
+    stats = statistics(docs)
+    rules = learned_rules(stats, labels)
+    values = stats.select("doc_id", *(c.cast("double").alias(k) for k, c in ratios().items())).toPandas().set_index("doc_id")
     base = (found.n_words < 50) | (100 * found.n_repeat_words > 50 * found.n_words)
-    assert (found.base_failed == base).all() and not found.kept[base].any()
-    both = found[~base].merge(judged, on="doc_id")
+    rejected = pd.Series(False, found.index)
+    for rule in rules:
+        meets = pd.Series(True, found.index)
+        for name, above, value in rule.conditions:
+            own = values[name].reindex(found.index)
+            meets &= own >= value if above else own < value
+        rejected |= meets
+    assert rules and (found.base_failed == base).all() and (found.kept == ~base & ~rejected).all()
+    both = found[~base].merge(judged, left_index=True, right_on="doc_id")
     assert (both.kept == (both.quality == 1)).mean() >= 0.95
 
 
