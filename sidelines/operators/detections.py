@@ -209,7 +209,8 @@ def fit_homographies(pairs: DataFrame, within: float = 4.0, trials: int = 200, s
             if h is not None and (near := miss(h, a, b) <= within).sum() > best.sum():
                 best = near
         h = solve(a[best], b[best]) if best.sum() >= 4 else None
-        return pd.DataFrame({"seg": [key[0]], "h": [h.ravel().tolist()]} if h is not None else {"seg": [], "h": []})
+        rows = pd.DataFrame({"seg": [key[0]], "h": [[] if h is None else h.ravel().tolist()]})
+        return rows if h is not None else rows[:0]
 
     kind = pairs.schema["seg"].dataType.simpleString()
     return pairs.select("seg", "x", "y", "to_x", "to_y").groupBy("seg").applyInPandas(fit, f"seg {kind}, h array<double>")
