@@ -146,7 +146,7 @@ apart as (select a.m, case when a.e > b.s then 'overlap' when b.c <= a.c then 'c
 judged as (select d.* exclude (rule), coalesce(rule, apart) as rule from edits d join apart using (m))"""
 
 
-@query(EDITED + """ select p.m as match_id, p.number, coalesce(ns, s) as start_ms, coalesce(ne, e) as end_ms, coalesce(nc, c) as clock_start_ms, source, j.m is not null and (ns <> s or ne <> e) as moved from plain p left join judged j on j.m = p.m and j.number = p.number and j.rule is null""")
+@query(EDITED + """ select p.m as match_id, p.number, coalesce(ns, s)::bigint as start_ms, coalesce(ne, e)::bigint as end_ms, coalesce(nc, c)::bigint as clock_start_ms, source, j.m is not null and (ns <> s or ne <> e) as moved from plain p left join judged j on j.m = p.m and j.number = p.number and j.rule is null""")
 def edited_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, edits, videos, found = edited(spark, sf_dir)
     after = periods.apply_period_edits(before, edits, videos, found)[0]

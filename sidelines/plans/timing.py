@@ -37,12 +37,12 @@ def recordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A recording per user, each event a sample 100 s after the one before: with a break near the middle, with a long one,
     with none, or with hardly any field."""
     rows = fx.base(spark, sf_dir).withColumn("i", F.row_number().over(fx.ordered(["user_id"], "seq")) - 1).withColumnRenamed("user_id", "match_id")
-    rows = rows.selectExpr("match_id", "i * 100000L as ts_ms", f"if({ON_FIELD}, 0.4D + (k % 30) / 100.0D, 0.02D) as field_score")
+    rows = rows.selectExpr("match_id", "i * 100000L as ts_ms", f"if({ON_FIELD}, 0.4D + (k % 30) / 97.0D, 0.02D) as field_score")
     return rows, rows.groupBy("match_id").agg(F.max("ts_ms").alias("last_ms")).selectExpr("match_id", "last_ms + 100000 - match_id % 3 * 37000 as duration_ms")
 
 
 RECORDINGS = BASE + f""",
-sig as (select match_id, i * 100000 as ts_ms, case when {ON_FIELD} then 0.4::double + (k % 30) / 100.0::double else 0.02::double end as fs from (select user_id as match_id, k, row_number() over (partition by user_id order by seq) - 1 as i from base)),
+sig as (select match_id, i * 100000 as ts_ms, case when {ON_FIELD} then 0.4::double + (k % 30) / 97.0::double else 0.02::double end as fs from (select user_id as match_id, k, row_number() over (partition by user_id order by seq) - 1 as i from base)),
 vids as (select match_id, max(ts_ms) + 100000 - match_id % 3 * 37000 as d, count(*) as samples from sig group by match_id),
 seen as (select *, max(case when fs >= 0.24::double then ts_ms end) over w as last_on from sig window w as (partition by match_id order by ts_ms)),
 numbered as (select *, sum(case when ts_ms - last_on > 75000 then 1 else 0 end) over (partition by match_id order by ts_ms) as block from seen),
