@@ -110,3 +110,13 @@ def test_confirmed_periods_win_unless_prepared_again(spark):
         rows = {r.number: r for r in periods.with_clocks(found, by_hand, again).collect()}
         assert (rows[1].start_ms, rows[1].clock_start_ms) == (0, 0)
         assert (rows[2].start_ms, rows[2].source, rows[2].clock_start_ms) == (*second, 2_700_000)
+
+
+def test_tracker_state_and_events_written(spark, tmp_path):
+    spark.createDataFrame([(1, 5, 0.9), (2, 6, 0.8), (9, 7, 0.7)], "image_id long, track_id long, confidence double").write.parquet(f"{tmp_path}/detections")
+    spark.createDataFrame([(1, 100, "x"), (2, 101, "x"), (3, 102, "x")], "image_id long, frame long, path string").write.parquet(f"{tmp_path}/images")
+    found = tracking.read_tracker_state(spark, f"{tmp_path}/detections", f"{tmp_path}/images")
+    assert sorted((r.track_id, r.frame) for r in found.collect()) == [(5, 100), (6, 101)]
+    for _ in range(2):
+        results.write_events(spark.createDataFrame([(1, "pass"), (2, None)], "event_id long, event_type string"), f"{tmp_path}/events")
+    assert sorted(map(tuple, spark.read.json(f"{tmp_path}/events").select("event_id", "event_type").collect())) == [(1, "pass"), (2, None)]
