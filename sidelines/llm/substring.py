@@ -14,6 +14,8 @@ from sidelines.llm.text import Words, first_least, mix, parts, runs_hash
 
 #: Words in one index, at most about, and different passages around one anchor beyond which they are cut.
 SHARD_WORDS, MOST = 1 << 16, 1000
+#: Bytes of text that a task takes at once: small slices keep a worker's arrays small.
+SLICE = 1 << 20
 #: Slots in which a task looks up anchors with too many passages; a power of two.
 SLOTS = 1 << 22
 
@@ -110,7 +112,7 @@ def passages(docs: DataFrame, window: int = 50, gram: int = 8, cuts: tuple[tuple
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, most=SLICE):
             w = Words(batch.column(2))
             whole = np.flatnonzero(w.left() >= window)
             if not len(whole):
@@ -147,7 +149,7 @@ def _fetch(docs: DataFrame, units: DataFrame, window: int) -> DataFrame:
     need = units.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "unit", "start", "n")).alias("units"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, most=SLICE):
             w = Words(batch.column(1))
             text, begin, end = w.joined()
             listed = batch.column(2)
@@ -243,7 +245,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFram
     gone = late.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", F.transform("least", lambda x: x < F.col("doc_id")).alias("gone"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, most=SLICE):
             w = Words(batch.column(2))
             text, at, end = w.joined()
             cover = np.zeros(len(w) + 1, np.int32)
