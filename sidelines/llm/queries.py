@@ -4,9 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidelines.llm.chat import conversation_digests, formatted_turns, text_parts
+from sidelines.llm.collocations import collocations
 from sidelines.llm.common import read
 from sidelines.llm.decontam import contamination, report
+from sidelines.llm.lexical import ranked
 from sidelines.llm.licenses import license_matches
+from sidelines.llm.packing import best_fit, token_pieces
 from sidelines.llm.pieces import encoded
 from sidelines.llm.quality import quality_scores
 from sidelines.llm.rules import quality_rules
@@ -64,7 +67,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_score, op3_simhash, op4_quality_rules, op5_decontamination, op6_pieces, op7_licenses, op8_token_counts, op9_substring_dedup, op10_toxicity)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 documents of each benchmark item. Null texts have no terms, equal scores go by doc_id."""
+    return ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens. Null texts are empty, repeated rows are packed each."""
+    pieces = token_pieces(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases. Null languages are `und`, null texts empty, repeated rows count again."""
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_score, op3_simhash, op4_quality_rules, op5_decontamination, op6_pieces, op7_licenses, op8_token_counts, op9_substring_dedup, op10_toxicity, op11_lexical_search, op12_best_fit_packing, op13_collocations)}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
@@ -107,4 +126,44 @@ kept as (
   from places p left join gone g on p.doc_id = g.doc_id and p.p = g.p group by p.doc_id)
 select words.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from words left join kept using (doc_id)""",
+    "op11_lexical_search": r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+items as (
+  select item_id, t, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark) group by all),
+tf as (select doc_id, t, count(*) as tf from terms group by all),
+lengths as (select doc_id, count(*) as n from terms group by doc_id),
+whole as (select count(*) as nn, cast(sum(n) as bigint) as ll from lengths),
+weights as (select t, cast(floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double)) as bigint) as w from tf, whole group by t, nn),
+marks as (select doc_id, 75 + (25 * n * nn) // ll as m from lengths, whole),
+scores as (
+  select item_id, doc_id, cast(sum(c * (w * ((1000000000 * tf) // (1000 * tf + 12 * m)))) as bigint) as score
+  from items join tf using (t) join weights using (t) join marks using (doc_id) group by all),
+listed as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from scores where score > 0)
+select item_id, cast(place as int) as rank, doc_id, score from listed where place <= 20""",
+    "op13_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+numbered as (select row_number() over () as piece, lang, p from pieces),
+words as (select piece, lang, unnest(w) as a1, generate_subscripts(w, 1) as i from (select piece, lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') as w from numbered)),
+runs as (select lang, a1, lead(a1, 1) over o as a2, lead(a1, 2) over o as a3, lead(a1, 3) over o as a4 from words window o as (partition by piece order by i)),
+every as (select lang, 1 as k, a1 as g from runs
+  union all select lang, 2, a1 || ' ' || a2 from runs where a2 is not null
+  union all select lang, 3, a1 || ' ' || a2 || ' ' || a3 from runs where a3 is not null
+  union all select lang, 4, a1 || ' ' || a2 || ' ' || a3 || ' ' || a4 from runs where a4 is not null),
+grams as (select lang, k, g, count(*) as f from every group by all),
+found as (select lang, k, g, f as a, string_split(g, ' ') as w from grams where k > 1 and f >= 30),
+cuts as (select lang, k, g, a, c, array_to_string(w[1:c], ' ') as x, array_to_string(w[c + 1:], ' ') as y from found, unnest(generate_series(1, k - 1)) t(c)),
+scored as (
+  select cuts.lang, cuts.g, a, c, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score
+  from cuts join grams l on l.lang = cuts.lang and l.g = x join grams r on r.lang = cuts.lang and r.g = y),
+worst as (select * from scored qualify row_number() over (partition by lang, g order by score, c) = 1),
+inside as (
+  select lang, array_to_string(w[i:i + n - 1], ' ') as g, max(a) as longer
+  from found, (select unnest([2, 3]) as n), unnest(generate_series(1, k - n + 1)) t(i) where n < k group by all),
+kept as (select worst.* from worst left join inside using (lang, g) where longer is null or 100 * longer < 80 * a),
+listed as (select *, row_number() over (partition by lang order by score desc, a desc, g) as place from kept),
+totals as (select lang, cast(sum(f) as bigint) as n from grams where k = 1 group by lang)
+select lang, place as rank, g as phrase, a, l, r, n, cast(score as bigint) as score from listed join totals using (lang) where place <= 2000""",
 }

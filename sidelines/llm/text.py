@@ -130,3 +130,16 @@ def first_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def lists(values: list | np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+
+
+def distinct(starts: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For byte strings that lie one after another in data, string i from starts[i] to starts[i + 1]: the place of each among
+    the different ones, and those. Bytes are compared, not hashes of them."""
+    rows = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = rows.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + counts[i] - 1 of all i, one after another."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
