@@ -153,11 +153,12 @@ every as (select lang, 1 as k, a1 as g from runs
   union all select lang, 3, a1 || ' ' || a2 || ' ' || a3 from runs where a3 is not null
   union all select lang, 4, a1 || ' ' || a2 || ' ' || a3 || ' ' || a4 from runs where a4 is not null),
 grams as (select lang, k, g, count(*) as f from every group by all),
-found as (select lang, k, g, f as a, string_split(g, ' ') as w from grams where k > 1 and f >= 30),
+known as materialized (select lang, k, g, f from grams where f >= 30),
+found as (select lang, k, g, f as a, string_split(g, ' ') as w from known where k > 1),
 cuts as (select lang, k, g, a, c, array_to_string(w[1:c], ' ') as x, array_to_string(w[c + 1:], ' ') as y from found, unnest(generate_series(1, k - 1)) t(c)),
 scored as (
   select cuts.lang, cuts.g, a, c, l.f as l, r.f as r, (2000000::hugeint * a) // (l.f + r.f) as score
-  from cuts join grams l on l.lang = cuts.lang and l.g = x join grams r on r.lang = cuts.lang and r.g = y),
+  from cuts join known l on l.lang = cuts.lang and l.g = x join known r on r.lang = cuts.lang and r.g = y),
 worst as (select * from scored qualify row_number() over (partition by lang, g order by score, c) = 1),
 inside as (
   select lang, array_to_string(w[i:i + n - 1], ' ') as g, max(a) as longer
