@@ -34,8 +34,8 @@ class HatTrie:
     """Counts of phrases of `length` word ids. Each first word leads to a container, a hash table from the packed ids of
     the words after it to counts; one of over BURST entries bursts into a node by the next word."""
 
-    def __init__(self, length: int):
-        self.rest = length - 1
+    def __init__(self, length: int, bits: int = ID_BITS, burst: int = BURST):
+        self.rest, self.bits, self.burst = length - 1, bits, burst
         self.roots: dict[int, dict] = {}
         self.entries = 0
 
@@ -56,7 +56,7 @@ class HatTrie:
     def _put(self, at: dict, keys: list[int], counts: list[int], words: int) -> bool:
         """Whether the container is now to burst."""
         if type(at) is Node:
-            low = ID_BITS * (words - 1)
+            low = self.bits * (words - 1)
             for key, n in zip(keys, counts, strict=True):
                 word = key >> low
                 below = at.get(word)
@@ -70,20 +70,20 @@ class HatTrie:
         for key, n in zip(keys, counts, strict=True):
             at[key] = at.get(key, 0) + n
         self.entries += len(at) - before
-        return len(at) > BURST
+        return len(at) > self.burst
 
     def _burst(self, box: dict, words: int) -> Node:
-        low, node = ID_BITS * (words - 1), Node()
+        low, node = self.bits * (words - 1), Node()
         for key, n in box.items():
             node.setdefault(key >> low, {})[key & ((1 << low) - 1)] = n
-        self.entries += CONTAINER * (len(node) - 1)
+        self.entries += CONTAINER * len(node)
         return node
 
     def _walk(self, at: dict, words: int, before: int = 0) -> Iterator[tuple[int, int]]:
         if type(at) is not Node:
             yield from ((before | key, n) for key, n in at.items())
             return
-        low = ID_BITS * (words - 1)
+        low = self.bits * (words - 1)
         for word, below in at.items():
             yield from self._walk(below, words - 1, before | word << low)
 
@@ -157,26 +157,27 @@ class Batch:
         return code[both], ids
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _slot(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _marked(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    slot = _slot(grams)
+    slot = _slot(grams, len(table).bit_length() + 5)
     return (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 def slots(phrases: DataFrame, length: int) -> np.ndarray:
     """The table of slots of phrases(lang, phrase) of `length` words: a bit for each slot that one of them has."""
+    size = SLOT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = Batch(batch.column(0), batch.column(1))
-            slot = _slot(runs_hash(b.hashes(), b.w.first[:-1], length))
+            slot = _slot(runs_hash(b.hashes(), b.w.first[:-1], length), size)
             yield pa.RecordBatch.from_arrays([pa.array((slot >> 6).astype(np.int32)), pa.array((np.uint64(1) << (slot & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
     marked = phrases.select("lang", "phrase").mapInArrow(run, "word int, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    table = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    table = np.zeros(1 << (size - 6), np.uint64)
     table[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
     return table
 
@@ -200,17 +201,18 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
     A task counts in a HAT-trie over its words' ids and spills whole subtrees as sorted runs when the trie or the
     vocabulary is full; the runs are merged by phrase. A prefix may be hot, so its runs are spread by whole phrases.
     """
+    bits, burst, most, at_once = ID_BITS, BURST, MOST_ENTRIES, WORDS_AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, trie, single = Vocabulary(), HatTrie(length), np.zeros(0, np.int64)
+        vocabulary, trie, single = Vocabulary(), HatTrie(length, bits, burst), np.zeros(0, np.int64)
 
         def rows(spilled: Iterator[tuple[int, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
             words, langs, out = vocabulary.words, vocabulary.langs, ([], [], [])
-            places = [ID_BITS * j for j in range(length - 2, -1, -1)]
+            places = [bits * j for j in range(length - 2, -1, -1)]
             for first, found in spilled:
                 head, run = words[first], []
                 for key, n in found:
-                    run.append((" ".join([head, *(words[key >> low & (1 << ID_BITS) - 1] for low in places)]), n))
+                    run.append((" ".join([head, *(words[key >> low & (1 << bits) - 1] for low in places)]), n))
                 run.sort()
                 out[0].extend([langs[first]] * len(run))
                 out[1].extend(p for p, _ in run)
@@ -232,7 +234,7 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
                     yield batch_of([vocabulary.langs[i] for i in part], [vocabulary.words[i] for i in part], single[part].tolist())
             else:
                 yield from rows(trie.spill(0))
-            vocabulary, trie, single = Vocabulary(), HatTrie(length), np.zeros(0, np.int64)
+            vocabulary, trie, single = Vocabulary(), HatTrie(length, bits, burst), np.zeros(0, np.int64)
 
         for batch in parts(batches):
             b = Batch(batch.column(0), batch.column(1))
@@ -242,10 +244,10 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
                 fine = np.zeros(len(b.w) + 1, bool)
                 fine[part] = _marked(table, runs_hash(b.hashes(), part, length - 1))
                 at = at[fine[at] & fine[at + 1]]
-            for part in np.split(at, range(WORDS_AT_ONCE, len(at), WORDS_AT_ONCE)):
+            for part in np.split(at, range(at_once, len(at), at_once)):
                 if not len(part):
                     continue
-                if len(vocabulary.words) + len(part) + length > 1 << ID_BITS:
+                if len(vocabulary.words) + len(part) + length > 1 << bits:
                     yield from flush()
                 needed = np.zeros(len(b.w), bool)
                 for j in range(length):
@@ -258,10 +260,10 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
                 first, counts = _phrases(code, part, length, len(ids))
                 rest = np.zeros(len(first), np.int64)
                 for j in range(1, length):
-                    rest = rest << ID_BITS | ids[code[first + j]]
+                    rest = rest << bits | ids[code[first + j]]
                 trie.add(ids[code[first]], rest, counts)
-                if trie.entries > MOST_ENTRIES:
-                    yield from rows(trie.spill(MOST_ENTRIES // 2))
+                if trie.entries > most:
+                    yield from rows(trie.spill(most // 2))
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

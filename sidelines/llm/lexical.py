@@ -137,7 +137,7 @@ def _block(docs: DataFrame, items: list[tuple], most: int) -> DataFrame:
     weight = np.zeros(len(terms), np.int64)
     for t, df in zip(held.column("t").to_pylist(), held.column("df").to_pylist(), strict=True):
         weight[t] = math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1)))
-    at_once = max(1, CELLS // max(graph.size + len(terms), 1))
+    at_once, pool_rows = max(1, CELLS // max(graph.size + len(terms), 1)), POOL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[list[np.ndarray]] = []
@@ -168,7 +168,7 @@ def _block(docs: DataFrame, items: list[tuple], most: int) -> DataFrame:
                 q, d = np.nonzero((scores > 0) & (scores >= bar[:, None]))
                 pool.append([q, doc[d], scores[q, d]])
                 waiting += len(q)
-                if waiting > POOL:
+                if waiting > pool_rows:
                     rank()
                     waiting = 0
         rank()
