@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 TEXTS = ("role", "track_id", "team_key", "team_cluster", "team", "shirt_number", "jersey_number", "confidence", "pitch_xy", "bbox_pitch")
 OBJECT = T.StructType([T.StructField(c, T.StringType()) for c in TEXTS] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("bbox_xyxy", "bbox_ltwh")])
 FRAME = T.StructType([
-    T.StructField("type", T.StringType()), T.StructField("schema", T.StringType()), T.StructField("engine", T.StringType()), T.StructField("fps", T.DoubleType()), T.StructField("revision", T.StringType()),
+    T.StructField("type", T.StringType()), T.StructField("schema", T.StringType()), T.StructField("engine", T.StringType()), T.StructField("fps", T.DoubleType()), T.StructField("engine_revision", T.StringType()),
     T.StructField("timestamp_ms", T.DoubleType()), T.StructField("frame_index", T.DoubleType()), T.StructField("width", T.LongType()), T.StructField("height", T.LongType()), T.StructField("field_score", T.DoubleType()),
     T.StructField("scene_cut", T.BooleanType()), T.StructField("replay_probability", T.DoubleType()), T.StructField("coordinate_space", T.StringType()), T.StructField("objects", T.ArrayType(OBJECT)),
 ])

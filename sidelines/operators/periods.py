@@ -101,36 +101,62 @@ def detect_periods(signals: DataFrame, videos: DataFrame, threshold: float = 0.2
     return rows.select("match_id", "p.*", F.round("overall", 4).alias("overall"), ((F.col("rank") == 2) | (F.col("overall") < 0.86)).alias("requires_review"), "method")
 
 
-def with_clocks(detected: DataFrame, manual: DataFrame, prepare_again: bool = False) -> DataFrame:
-    """Both sources' periods (match_id, number, start_ms, end_ms), one per match and number, with the match clock of their
-    start: periods confirmed by hand win unless the match is prepared again."""
-    rows = detected.select("match_id", "number", "start_ms", "end_ms", F.lit(2 if prepare_again else 0).alias("gain"), F.lit("automatic").alias("source"))
-    rows = rows.unionByName(manual.select("match_id", "number", "start_ms", "end_ms", F.lit(1).alias("gain"), F.lit("manual").alias("source")))
-    best = F.max_by(F.struct("start_ms", "end_ms", "source"), "gain")
-    return rows.groupBy("match_id", "number").agg(best.alias("b")).select("match_id", "number", "b.*", F.when(F.col("number") == 2, HALF_CLOCK_MS).otherwise(0).alias("clock_start_ms"))
+#: Columns of a match's periods.
+PERIOD = ["match_id", "number", "start_ms", "end_ms", "clock_start_ms", "clock_end_ms", "source", "confidence", "confirmed"]
+
+
+def resolve_periods(known: DataFrame, detected: DataFrame, videos: DataFrame, prepare_again: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(periods, moved): a match's two confirmed periods of known(PERIOD), as they are, or else the detected ones, never one of
+    each; a match prepared again takes the detected ones. Detected halves end at the recording's bounds and run from 0 and
+    45 minutes for as long as they were found to be. moved(match_id) had other bounds before."""
+    bound = F.struct(*(F.col(c).cast("long").alias(c) for c in ("number", "start_ms", "end_ms")))
+    bounds = F.array_sort(F.collect_list(F.when(F.col("number").isin(1, 2), bound)))
+    before = known.groupBy("match_id").agg(F.count_if("confirmed").alias("ready"), bounds.alias("before"))
+    fixed = F.coalesce(F.col("ready") == 2, F.lit(False)) & F.lit(not prepare_again)
+    kept = known.where("confirmed").join(before, "match_id").where(fixed).select(PERIOD)
+    found = detected.join(before, "match_id", "left").where(~fixed).join(videos.select("match_id", "duration_ms"), "match_id", "left")
+    start, end = F.greatest(F.lit(0), "start_ms"), F.least("end_ms", "duration_ms")
+    clock = F.when(F.col("number") == 2, HALF_CLOCK_MS).otherwise(0)
+    long = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+    new = found.select("match_id", "number", start.alias("start_ms"), end.alias("end_ms"), clock.alias("clock_start_ms"), (clock + long).alias("clock_end_ms"), F.lit("automatic").alias("source"), "confidence", F.lit(False).alias("confirmed"))
+    after = new.groupBy("match_id").agg(F.array_sort(F.collect_list(bound)).alias("after"))
+    moved = after.join(before, "match_id").where(F.size("before") > 0).where("before <> after").select("match_id")
+    return kept.unionByName(new), moved
+
+
+def make_stale(runs: DataFrame, moved: DataFrame, newest: int | None = None) -> DataFrame:
+    """Sample runs of moved(match_id), of which none is approved any more; with `newest`, those among a match's last runs."""
+    if newest:
+        w = Window.partitionBy("match_id").orderBy(F.desc("created_at"), F.desc("run_id"))
+        runs = runs.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= newest).drop("_place")
+    stale = runs.where("mode = 'sample'").join(moved.select("match_id").distinct(), "match_id", "left_semi")
+    return stale.withColumn("stale", F.lit(True)).withColumn("approved", F.lit(False))
 
 
 def apply_period_edits(periods: DataFrame, edits: DataFrame, videos: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(periods, errors, stale runs). edits(match_id, number, start, end, clock_start as timecodes) that cannot be read or are
-    out of order or past the recording change nothing and become errors, and so do a match's other edits if with them its
-    second half would not follow the first in place and clock; changed bounds make a match's sample runs stale."""
-    rows = edits.join(videos.select("match_id", "duration_ms"), "match_id", "left")
+    """(periods, errors, stale runs) of periods(PERIOD) after edits(match_id, number, start, end, clock_start as timecodes; one
+    row for each half, without a clock: 0 and 45 minutes).
+
+    A match's edit is of both halves and is taken as a whole or not at all: one that cannot be read or lacks a half
+    (`timecode`), whose bounds are not in order (`order`), whose second clock does not follow the first (`clock`) or that ends
+    past the recording, where its length is known (`duration`), is one error row. Edited halves are confirmed by hand; other
+    bounds than before make the match's sample runs stale."""
+    rows = edits.withColumn("clock_start", F.coalesce("clock_start", F.when(F.col("number") == 2, "45:00").otherwise("00:00")))
     for name in ("start", "end", "clock_start"):
         rows = rows.withColumn(f"new_{name}", clock_ms(F.col(name)))
-    rule = (
-        F.when(F.col("new_start").isNull() | F.col("new_end").isNull() | F.col("new_clock_start").isNull(), "timecode")
-        .when(F.col("new_end") <= F.col("new_start"), "order")
-        .when(F.col("new_end") > F.coalesce("duration_ms", F.lit(0)), "duration")
-    )
-    rows = rows.withColumn("rule", rule)
-    after = periods.join(rows.where("rule is null").select("match_id", "number", "new_start", "new_end", "new_clock_start"), ["match_id", "number"], "left")
-    half = lambda n, new, old: F.max(F.when(F.col("number") == n, F.coalesce(new, old)))
-    apart = F.when(half(1, "new_end", "end_ms") > half(2, "new_start", "start_ms"), "overlap").when(half(2, "new_clock_start", "clock_start_ms") <= half(1, "new_clock_start", "clock_start_ms"), "clock")
-    rows = rows.join(after.groupBy("match_id").agg(apart.alias("apart")), "match_id", "left").withColumn("rule", F.coalesce("rule", "apart"))
-    good = rows.where("rule is null").select("match_id", "number", "new_start", "new_end", "new_clock_start")
-    joined = periods.join(good, ["match_id", "number"], "left")
-    moved = F.col("new_start").isNotNull() & ((F.col("new_start") != F.col("start_ms")) | (F.col("new_end") != F.col("end_ms")))
-    stale = runs.where("mode = 'sample'").join(joined.where(moved).select("match_id").distinct(), "match_id", "left_semi")
-    kept = [c for c in periods.columns if c not in ("start_ms", "end_ms", "clock_start_ms")]
-    new = joined.select(*kept, F.coalesce("new_start", "start_ms").alias("start_ms"), F.coalesce("new_end", "end_ms").alias("end_ms"), F.coalesce("new_clock_start", "clock_start_ms").alias("clock_start_ms"))
-    return new, rows.where("rule is not null").select("match_id", "number", "rule"), stale.withColumn("stale", F.lit(True)).withColumn("approved", F.lit(False))
+    half = lambda n: F.max(F.when(F.col("number") == n, F.struct("new_start", "new_end", "new_clock_start"))).alias(f"h{n}")
+    both = rows.groupBy("match_id").agg(half(1), half(2)).join(videos.select("match_id", "duration_ms"), "match_id", "left")
+    values = [F.col(f"h{n}.new_{c}") for n in (1, 2) for c in ("start", "end", "clock_start")]
+    s1, e1, c1, s2, e2, c2 = values
+    unread = values[0].isNull()
+    for v in values[1:]:
+        unread |= v.isNull()
+    rule = F.when(unread, "timecode").when(~((s1 < e1) & (e1 <= s2) & (s2 < e2)), "order").when(c2 <= c1, "clock").when((F.col("duration_ms") > 0) & (e2 > F.col("duration_ms")), "duration")
+    both = both.withColumn("rule", rule)
+    made = lambda n: F.struct(F.lit(n).alias("number"), F.col(f"h{n}.new_start").alias("start_ms"), F.col(f"h{n}.new_end").alias("end_ms"), F.col(f"h{n}.new_clock_start").alias("clock_start_ms"))
+    new = both.where("rule is null").select("match_id", F.explode(F.array(made(1), made(2))).alias("p")).select("match_id", "p.*")
+    new = new.withColumn("clock_end_ms", F.col("clock_start_ms") + F.col("end_ms") - F.col("start_ms")).withColumn("source", F.lit("manual")).withColumn("confidence", F.lit(1.0)).withColumn("confirmed", F.lit(True))
+    old = periods.select("match_id", "number", F.col("start_ms").alias("old_start"), F.col("end_ms").alias("old_end"))
+    moved = new.join(old, ["match_id", "number"], "left").where("not (start_ms <=> old_start and end_ms <=> old_end)")
+    after = new.select(PERIOD).unionByName(periods.select(PERIOD).join(new.select("match_id", "number"), ["match_id", "number"], "left_anti"))
+    return after, both.where("rule is not null").select("match_id", "rule"), make_stale(runs, moved)

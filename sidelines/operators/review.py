@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CORRECTED = ("event_type", "team_key", "player_id", "recipient_id", "outcome")
+CORRECTED = ("event_type", "team_key", "player_id", "recipient_id", "outcome", "start_x", "start_y", "end_x", "end_y")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -54,17 +54,19 @@ def approve(runs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_reviews(events: DataFrame, actions: DataFrame) -> DataFrame:
-    """Events after the last of actions(event_id, acted_at, action_id, action, new values) on each: accepted, rejected, or
-    corrected with the values that are not null and source `human`. Actions of unknown kinds change nothing."""
+    """Events after all of actions(event_id, acted_at, action_id, action, new values), in order of acted_at and action_id. The
+    last one of any known kind gives the status; each field keeps the value of the last correction that has one for it, also
+    after it was accepted or rejected, and one correction makes the source `human`. Actions of unknown kinds change nothing."""
     known = actions.where(F.col("action").isin("accept", "reject", "correct"))
     new = [c for c in CORRECTED if c in actions.columns and c in events.columns]
-    last = known.groupBy("event_id").agg(F.max_by(F.struct("action", *(F.col(c).alias(f"new_{c}") for c in new)), F.struct("acted_at", "action_id")).alias("a")).select("event_id", "a.*")
-    rows = events.join(last, "event_id", "left")
-    correct = F.coalesce(F.col("action") == "correct", F.lit(False))
+    order, correct = F.struct("acted_at", "action_id"), F.col("action") == "correct"
+    values = [F.max_by(c, F.when(correct & F.col(c).isNotNull(), order)).alias(f"new_{c}") for c in new]
+    log = known.groupBy("event_id").agg(F.max_by("action", order).alias("last"), F.bool_or(correct).alias("corrected"), *values)
+    rows = events.join(log, "event_id", "left")
     for c in new:
-        rows = rows.withColumn(c, F.when(correct, F.coalesce(f"new_{c}", c)).otherwise(F.col(c)))
-    status = F.when(F.col("action") == "accept", "validated").when(F.col("action") == "reject", "rejected").when(correct, "corrected").otherwise(F.col("review_status"))
-    return rows.withColumn("review_status", status).withColumn("source", F.when(correct, "human").otherwise(F.col("source"))).select(events.columns)
+        rows = rows.withColumn(c, F.coalesce(f"new_{c}", c))
+    status = F.when(F.col("last") == "accept", "validated").when(F.col("last") == "reject", "rejected").when(F.col("last") == "correct", "corrected").otherwise(F.col("review_status"))
+    return rows.withColumn("review_status", status).withColumn("source", F.when(F.col("corrected"), "human").otherwise(F.col("source"))).select(events.columns)
 
 
 def finalise_events(candidates: DataFrame, backend: str = "yolo") -> DataFrame:
@@ -82,15 +84,29 @@ def resolve(rows: DataFrame, tracks: DataFrame, columns: tuple[str, ...] = ("pla
     return rows
 
 
-def assign_tracks(tracks: DataFrame, asked: DataFrame, players: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tracks, errors) after asked(seg, track_id, player_id; one row a track, null player: none): the player's team must be
-    the track's where that is known. Events and possession follow through `resolve`."""
-    rows = asked.join(players.select("player_id", F.col("team_key").alias("their_team")), "player_id", "left").join(tracks.select("seg", "track_id", F.col("team_key").alias("own_team"), F.lit(True).alias("found")), ["seg", "track_id"], "left")
-    rule = F.when(F.col("found").isNull(), "track").when(F.col("player_id").isNotNull() & F.col("their_team").isNull(), "player").when(F.col("their_team") != F.col("own_team"), "team")
+def assign_tracks(tracks: DataFrame, asked: DataFrame, players: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tracks, errors) of tracks(seg, track_id, team_id, player_id, identity_confidence) after asked(seg, track_id, player_id;
+    one row a track, null player: none). The player of players(player_id, team_id) must play for one of the match's
+    teams(seg, team_id), and for the track's own where that is known. A track's team stays as it is; its identity is sure (1)
+    with a player and open (0) without. Events and spans follow through `follow`."""
+    rows = asked.join(players.select("player_id", F.col("team_id").alias("their_team")), "player_id", "left")
+    rows = rows.join(teams.select("seg", F.col("team_id").alias("their_team"), F.lit(True).alias("plays")).distinct(), ["seg", "their_team"], "left")
+    rows = rows.join(tracks.select("seg", "track_id", F.col("team_id").alias("own_team"), F.lit(True).alias("found")), ["seg", "track_id"], "left")
+    rule = F.when(F.col("found").isNull(), "track").when(F.col("player_id").isNotNull() & F.col("plays").isNull(), "player").when(F.col("player_id").isNotNull() & (F.col("their_team") != F.col("own_team")), "team")
     rows = rows.withColumn("rule", rule)
-    good = rows.where("rule is null").select("seg", "track_id", F.col("player_id").alias("new_player"), F.col("their_team").alias("new_team"), F.lit(True).alias("given"))
-    done = tracks.join(good, ["seg", "track_id"], "left").withColumn("player_id", F.when(F.col("given"), F.col("new_player")).otherwise(F.col("player_id"))).withColumn("team_key", F.coalesce("team_key", "new_team"))
-    return done.select(tracks.columns), rows.where("rule is not null").select("seg", "track_id", "player_id", "rule")
+    good = rows.where("rule is null").select("seg", "track_id", F.col("player_id").alias("new_player"), F.lit(True).alias("given"))
+    done = tracks.join(good, ["seg", "track_id"], "left").withColumn("player_id", F.when(F.col("given"), F.col("new_player")).otherwise(F.col("player_id")))
+    sure = F.when(F.col("given"), F.col("new_player").isNotNull().cast("double")).otherwise(F.col("identity_confidence"))
+    return done.withColumn("identity_confidence", sure).select(tracks.columns), rows.where("rule is not null").select("seg", "track_id", "player_id", "rule")
+
+
+def follow(rows: DataFrame, asked: DataFrame, columns: tuple[str, ...] = ("player", "recipient")) -> DataFrame:
+    """Stored rows(seg, player_key, player_id, ...) after good asked(seg, track_id, player_id): those of an asked track take its
+    player, or none; all others keep theirs. Spans have the `player` only."""
+    for c in columns:
+        side = asked.select("seg", F.col("track_id").alias(f"{c}_key"), F.col("player_id").alias("_new"), F.lit(True).alias("_given"))
+        rows = rows.join(side, ["seg", f"{c}_key"], "left").withColumn(f"{c}_id", F.when(F.col("_given"), F.col("_new")).otherwise(F.col(f"{c}_id"))).drop("_new", "_given")
+    return rows
 
 
 def unassigned(tracks: DataFrame, by: str = "seg") -> DataFrame:

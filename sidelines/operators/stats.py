@@ -37,18 +37,39 @@ def team_sheets(teams: DataFrame, events: DataFrame, spans: DataFrame, by: str =
     return rows.select(by, "team_key", "minutes_played", *METRICS)
 
 
-def player_rollup(track_stats: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Sums of counters over the tracks assigned to each player, accuracy anew, minutes from the tracks' lengths.
-    track_stats(seg, track_id, start_ms, end_ms, counters), assignments(seg, track_id, player_id)."""
-    rows = track_stats.join(assignments, ["seg", "track_id"]).groupBy("player_id").agg(*(F.sum(c).alias(c) for c in COUNTERS), (F.sum(F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))) / 60000).alias("minutes"))
+def _accuracy(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pass_accuracy_pct", F.when(F.col("passes") > 0, F.round(100.0 * F.col("passes_completed") / F.col("passes"), 2)).otherwise(0.0))
 
 
-def refresh_players(track_stats: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sheets, gone) after tracks were assigned anew: sheets of the players that gained or lost a track, and the players
-    among those that have none left. before and after are assignments(seg, track_id, player_id; null: none)."""
+def player_rollup(track_stats: DataFrame, assignments: DataFrame, by: tuple[str, ...] = ("match_id", "run_id")) -> DataFrame:
+    """A sheet for each player of each match and run: sums of the counters of the tracks assigned to it, their number n_tracks
+    and total length tracked_ms, accuracy anew and minutes. track_stats(seg, track_id, by, start_ms, end_ms, counters),
+    assignments(seg, track_id, player_id; null: none)."""
+    long = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+    rows = track_stats.join(assignments.where("player_id is not null").select("seg", "track_id", "player_id"), ["seg", "track_id"])
+    return finished(rows.groupBy(*by, "player_id").agg(*(F.sum(c).alias(c) for c in COUNTERS), F.count("*").alias("n_tracks"), F.sum(long).alias("tracked_ms")))
+
+
+def finished(sheets: DataFrame) -> DataFrame:
+    """Sheets with what follows from their sums."""
+    return _accuracy(sheets).withColumn("minutes", F.col("tracked_ms") / 60_000)
+
+
+def move_tracks(sheets: DataFrame, track_stats: DataFrame, before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("match_id", "run_id")) -> tuple[DataFrame, DataFrame]:
+    """(changed, gone): the kept sheets that change as tracks move from before to after, assignments(seg, track_id, player_id;
+    null or no row: none), and those (by, player_id) left without a track.
+
+    A moved track is subtracted from one sheet and added to another, so only moved tracks' counters and the sheets they touch
+    are read; sums are of whole numbers, hence equal to a recount however often tracks move. Write both through
+    `sources.results.merge`."""
     old = before.select("seg", "track_id", F.col("player_id").alias("old"))
-    moved = after.join(old, ["seg", "track_id"], "full").where(~F.col("old").eqNullSafe(F.col("player_id")))
-    touched = moved.select(F.explode(F.array("old", "player_id")).alias("player_id")).where("player_id is not null").distinct()
-    left = after.join(touched, "player_id", "left_semi")
-    return player_rollup(track_stats, left), touched.join(left.select("player_id"), "player_id", "left_anti")
+    moved = after.select("seg", "track_id", F.col("player_id").alias("new")).join(old, ["seg", "track_id"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    signed = F.explode(F.array(F.struct(F.col("old").alias("player_id"), F.lit(-1).alias("sign")), F.struct(F.col("new").alias("player_id"), F.lit(1).alias("sign"))))
+    rows = track_stats.join(moved.select("seg", "track_id", signed.alias("m")), ["seg", "track_id"]).where("m.player_id is not null")
+    long = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
+    sums = [*COUNTERS, "n_tracks", "tracked_ms"]
+    own = {c: F.col(c) for c in COUNTERS} | {"n_tracks": F.lit(1), "tracked_ms": long}
+    deltas = rows.groupBy(*by, F.col("m.player_id").alias("player_id")).agg(*(F.sum(F.col("m.sign") * own[c]).alias(f"d_{c}") for c in sums))
+    new = deltas.join(sheets.select(*by, "player_id", *sums), [*by, "player_id"], "left")
+    new = new.select(*by, "player_id", *((F.coalesce(c, F.lit(0)) + F.col(f"d_{c}")).alias(c) for c in sums))
+    return finished(new.where("n_tracks > 0")), new.where("n_tracks <= 0").select(*by, "player_id")

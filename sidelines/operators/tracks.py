@@ -37,12 +37,16 @@ def trajectories(objects: DataFrame, cap: int = 2000) -> DataFrame:
     return rows.groupBy("seg", "track_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
-def heatmap(paths: DataFrame, assignments: DataFrame, cap: int = 5000) -> DataFrame:
-    """Each player's first `cap` points over the assigned tracks' paths, in order of segment, track and time."""
-    points = paths.join(assignments.select("seg", "track_id", "player_id"), ["seg", "track_id"]).select("player_id", "seg", "track_id", F.explode("points").alias("p"))
-    w = Window.partitionBy("player_id").orderBy("seg", "track_id", "p.ts_ms")
-    rows = points.withColumn("i", F.row_number().over(w)).where(F.col("i") <= cap)
-    return rows.groupBy("player_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda r: r["p"]).alias("heatmap"))
+def heatmap(paths: DataFrame, assignments: DataFrame, cap: int = 5000, by: tuple[str, ...] = ("match_id", "run_id")) -> DataFrame:
+    """The first `cap` points of each player in a match and run over the assigned tracks' paths(seg, track_id, by, points), in
+    order of segment, track and time. Lengths of paths are summed up first, a row a track; only the points that count are
+    then taken out of their paths."""
+    rows = paths.join(assignments.where("player_id is not null").select("seg", "track_id", "player_id"), ["seg", "track_id"])
+    lengths = rows.select("seg", "track_id", *by, "player_id", F.size("points").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by, "player_id").orderBy("seg", "track_id").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lengths.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cap).select("seg", "track_id", *by, "player_id", "_before")
+    kept = paths.select("seg", "track_id", "points").join(starts, ["seg", "track_id"]).select(*by, "player_id", F.struct("_before", F.slice("points", 1, (F.lit(cap) - F.col("_before")).cast("int")).alias("points")).alias("p"))
+    return kept.groupBy(*by, "player_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["points"])).alias("heatmap"))
 
 
 def heat_grid(objects: DataFrame, by: list[str], columns: int = 12, lines: int = 8) -> DataFrame:

@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidelines.operators import clips, diagnostics, events, ingest, review
+from sidelines.operators import clips, diagnostics, events, ingest, possession, review
 from sidelines.plans import fixtures as fx
-from sidelines.plans.oracles import BASE, CARRIES, RUNS
+from sidelines.plans.oracles import BASE, CARRIES, RUNS, SPANS
 from sidelines.plans.queries import shown
 from sidelines.plans.registry import query
 from sidelines.sources import results, tracking
@@ -154,19 +154,25 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "orders").selectExpr("o_custkey * 5 + o_orderkey % 5 as event_id", "o_orderkey as action_id", "o_orderdate as acted_at", "case o_orderstatus when 'F' then 'accept' when 'O' then 'reject' else 'correct' end as action", "if(o_orderkey % 2 = 0, 'goal', null) as event_type", "'success' as outcome")
+    """The log of reviews: orders of one customer fall on few events, so most events see several actions."""
+    return fx.table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey * 5 + o_orderkey % 5 as event_id", "o_orderkey as action_id", "o_orderdate as acted_at", "case when o_orderkey % 13 = 0 then 'note' when o_orderkey % 3 = 0 then 'accept' when o_orderkey % 3 = 1 and o_orderkey % 2 = 0 then 'reject' else 'correct' end as action",
+        "if(o_orderkey % 4 < 2, 'goal', null) as event_type", "if(o_orderkey % 8 < 3, o_orderkey % 100, null) as player_id", "'success' as outcome",
+    )
 
 
 REVIEWED = BASE + """,
 stored as (select event_id, seg as match_id, seg * 10 + event_id % 3 as run_id, event_id * 40 as ts_ms, event_type, case when k % 2 = 0 then 'home' else 'away' end as team_key, k as player_id, (k % 100) / 100.0::double as confidence, ['pending', 'auto_accepted', 'rejected'][k % 3 + 1] as review_status from base),
-acts as (select *, row_number() over (partition by o_custkey * 5 + o_orderkey % 5 order by o_orderdate desc, o_orderkey desc) as rn, o_custkey * 5 + o_orderkey % 5 as target from orders),
-reviewed as (select s.* exclude (event_type, review_status), case when o_orderstatus = 'P' and o_orderkey % 2 = 0 then 'goal' else event_type end as event_type, case when o_orderstatus = 'P' then 'success' else 'unknown' end as outcome, case o_orderstatus when 'F' then 'validated' when 'O' then 'rejected' when 'P' then 'corrected' else review_status end as review_status,
-  case when o_orderstatus = 'P' then 'human' else 'ai' end as source from stored s left join acts a on a.target = s.event_id and a.rn = 1)"""
+acts as (select o_custkey * 5 + o_orderkey % 5 as event_id, case when o_orderkey % 3 = 0 then 'accept' when o_orderkey % 3 = 1 and o_orderkey % 2 = 0 then 'reject' else 'correct' end as action, case when o_orderkey % 4 < 2 then 'goal' end as new_type, case when o_orderkey % 8 < 3 then o_orderkey % 100 end as new_player,
+  row_number() over (partition by o_custkey * 5 + o_orderkey % 5 order by o_orderdate, o_orderkey) as i from orders where o_orderkey % 13 <> 0),
+log as (select event_id, max_by(action, i) as last, bool_or(action = 'correct') as corrected, max_by(new_type, i) filter (action = 'correct' and new_type is not null) as new_type, max_by(new_player, i) filter (action = 'correct' and new_player is not null) as new_player from acts group by event_id),
+reviewed as (select s.* exclude (event_type, review_status, player_id), coalesce(new_type, event_type) as event_type, coalesce(new_player, player_id) as player_id, case when corrected then 'success' else 'unknown' end as outcome,
+  case last when 'accept' then 'validated' when 'reject' then 'rejected' when 'correct' then 'corrected' else review_status end as review_status, case when corrected then 'human' else 'ai' end as source from stored s left join log using (event_id))"""
 
 
-@query(REVIEWED + " select event_id, event_type, outcome, review_status, source from reviewed")
+@query(REVIEWED + " select event_id, event_type, player_id, outcome, review_status, source from reviewed")
 def reviewed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)).select("event_id", "event_type", "outcome", "review_status", "source")
+    return review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir)).select("event_id", "event_type", "player_id", "outcome", "review_status", "source")
 
 
 @query(REVIEWED + " select c_custkey as match_id, count(event_id) as events, count(event_id) filter (review_status = 'pending') as pending, count(event_id) filter (review_status <> 'rejected') as standing from customer left join reviewed on match_id = c_custkey group by c_custkey")
@@ -199,13 +205,45 @@ def stored_carries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(review.resolve(rows, keys, ("player",)).select("seg", "ts_ms", "player_key", "confidence", "visibility", "review_status", "model_version", "player_id"))
 
 
-@query(BASE + """, rows as (select seg, seq as track_id, case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team, k as asked from base)
-select seg, count(*) filter (asked % 4 = 1 or (team is not null and team <> case when asked % 3 = 0 then 'home' else 'away' end)) as unassigned from rows group by seg""")
+def assignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """(tracks, asked, players, teams): a track for each event, three teams of which two play in a segment, players of all
+    three, and requests that name players, none, or tracks that are not there."""
+    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq as track_id", "case when k % 5 = 0 then null else (seg + k % 2) % 3 end as team_id", "k", "if(k % 7 = 0, k, null) as player_id", "0.4D as identity_confidence")
+    asked = rows.where("k % 4 <> 1").selectExpr("seg", "if(k % 19 = 2, -1 - track_id, track_id) as track_id", "if(k % 11 = 3, null, k * 5 + track_id % 3) as player_id")
+    players = asked.where("player_id is not null").select("player_id").distinct().selectExpr("player_id", "player_id % 3 as team_id")
+    teams = rows.select("seg").distinct().selectExpr("seg", "explode(array(seg % 3, (seg + 1) % 3)) as team_id")
+    return rows, asked, players, teams
+
+
+ASSIGNED = BASE + """, tracks as (select seg, seq as track_id, case when k % 5 <> 0 then (seg + k % 2) % 3 end as team_id, k, case when k % 7 = 0 then k end as player_id from base),
+asked as (select seg, case when k % 19 = 2 then -1 - track_id else track_id end as track_id, team_id, k % 19 = 2 as unknown, case when k % 11 <> 3 then k * 5 + track_id % 3 end as player_id from tracks where k % 4 <> 1),
+judged as (select *, case when unknown then 'track' when player_id % 3 not in (seg % 3, (seg + 1) % 3) then 'player' when player_id % 3 <> team_id then 'team' end as rule from asked),
+done as (select t.seg, t.track_id, t.team_id, case when j.seg is null then t.player_id else j.player_id end as player_id, case when j.seg is null then 0.4::double when j.player_id is null then 0.0::double else 1.0::double end as identity_confidence, j.seg is not null as given from tracks t left join judged j on j.seg = t.seg and j.track_id = t.track_id and j.rule is null)"""
+
+
+@query(ASSIGNED + " select seg, count(*) filter (player_id is null) as unassigned from done group by seg")
 def unassigned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.base(spark, sf_dir).selectExpr("seg", "seq as track_id", "case when k % 5 = 0 then null when k % 2 = 0 then 'home' else 'away' end as team_key", "k", "cast(null as bigint) as player_id")
-    players = rows.select(F.col("k").alias("player_id")).distinct().withColumn("team_key", F.expr("if(player_id % 3 = 0, 'home', 'away')"))
-    done, _ = review.assign_tracks(rows, rows.where("k % 4 <> 1").selectExpr("seg", "track_id", "k as player_id"), players)
-    return review.unassigned(done)
+    return review.unassigned(review.assign_tracks(*assignments(spark, sf_dir))[0])
+
+
+@query(ASSIGNED + " select seg, track_id, coalesce(team_id, -1) as team_id, coalesce(player_id, -1) as player_id, identity_confidence from done")
+def assigned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.assign_tracks(*assignments(spark, sf_dir))[0].select("seg", "track_id", "team_id", "player_id", "identity_confidence").fillna(-1, ["team_id", "player_id"])
+
+
+@query(ASSIGNED + " select seg, track_id, coalesce(player_id, -1) as player_id, rule from judged where rule is not null")
+def assignment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.assign_tracks(*assignments(spark, sf_dir))[1].fillna(-1, ["player_id"])
+
+
+@query(SPANS + """ select seg, start_ms, end_ms, state, player_key, case when player_key = 'p1' then -2 when player_key = 'p2' then seg * 10 + 2 when player_key is not null then seg * 100 + right(player_key, 1)::bigint else -1 end as player_id from spans""")
+def resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans with their owner's player, after one track of each segment was given to another player and one to none (-2)."""
+    spans = possession.compress(fx.samples(spark, sf_dir))
+    tracks = spans.where("player_key is not null").select("seg", F.col("player_key").alias("track_id")).distinct().withColumn("player_id", F.expr("seg * 100 + cast(right(track_id, 1) as bigint)"))
+    asked = tracks.where("track_id in ('p1', 'p2')").selectExpr("seg", "track_id", "if(track_id = 'p1', null, seg * 10 + 2) as player_id")
+    rows = review.follow(review.resolve(spans, tracks, ("player",)), asked, ("player",))
+    return rows.withColumn("player_id", F.expr("coalesce(player_id, if(player_key is null, -1, -2))")).select("seg", "start_ms", "end_ms", "state", "player_key", "player_id")
 
 
 @query(REVIEWED + """, counts as (select match_id, count(*) filter (team_key = 'home' and event_type = 'click') as ch, count(*) filter (team_key = 'away' and event_type = 'click') as ca, count(*) filter (team_key = 'home' and event_type = 'goal') as gh, count(*) filter (team_key = 'away' and event_type = 'goal') as ga from reviewed group by match_id)

@@ -34,50 +34,53 @@ def team_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of seven tracks per segment, whose events are those of `events`."""
+    """Counters of seven tracks per segment, whose events are those of `events`; two segments are one match of two runs."""
     rows = fx.base(spark, sf_dir).selectExpr("seg", "seq % 7 as track_id", "seq * 1000 as ts_ms", "element_at(array('pass', 'carry', 'shot', 'duel', 'loss', 'goal'), cast(k % 6 as int) + 1) as event_type", "if(k % 4 = 0, 'failure', 'success') as outcome", "if(k % 5 = 0, array('progressive_candidate', 'on_target'), array()) as qualifiers")
     spans = rows.groupBy("seg", "track_id").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"))
-    return stats.event_stats(rows, ["seg", "track_id"]).join(spans, ["seg", "track_id"])
+    return stats.event_stats(rows, ["seg", "track_id"]).join(spans, ["seg", "track_id"]).withColumn("match_id", F.expr("seg div 2")).withColumn("run_id", F.col("seg") % 2)
 
 
 def assigned(rows: DataFrame, turn: int) -> DataFrame:
-    return rows.selectExpr("seg", "track_id", f"if((seg + track_id) % 5 = 4, null, (seg * 3 + track_id + if(track_id < 2, {turn}, 0)) % 23) as player_id")
+    """Each track's player: those of two neighbouring matches share a few, so that one player has sheets in both."""
+    return rows.selectExpr("seg", "track_id", f"if((seg + track_id) % 5 = 4, null, seg div 4 * 10 + (seg + track_id * 2 + if(track_id < 2, {turn}, 0)) % 5) as player_id")
 
 
 TRACK_STATS = BASE + """,
 acts as (select seg, seq % 7 as track_id, seq * 1000 as ts_ms, k % 6 as kind, k % 4 <> 0 as won, k % 5 = 0 as tagged from base),
-track_stats as (select seg, track_id, min(ts_ms) as s, max(ts_ms) as e, count(*) filter (kind = 0) as passes, count(*) filter (kind = 0 and won) as completed, count(*) filter (kind = 0 and tagged) as progressive, count(*) filter (kind = 1) as carries, count(*) filter (kind = 2) as shots, count(*) filter (kind = 2 and tagged) as on_target, count(*) filter (kind = 3) as duels, count(*) filter (kind = 3 and won) as won, count(*) filter (kind = 4) as losses, count(*) filter (kind = 5) as goals from acts group by seg, track_id),
-old as (select seg, track_id, case when (seg + track_id) % 5 <> 4 then (seg * 3 + track_id) % 23 end as player_id from track_stats),
-new as (select seg, track_id, case when (seg + track_id) % 5 <> 4 then (seg * 3 + track_id + case when track_id < 2 then 4 else 0 end) % 23 end as player_id from track_stats)"""
-SHEET = """player_id, sum(passes)::bigint as passes, sum(completed)::bigint as passes_completed, sum(progressive)::bigint as progressive_passes, sum(carries)::bigint as carries, sum(shots)::bigint as shots, sum(on_target)::bigint as shots_on_target, sum(duels)::bigint as duels, sum(won)::bigint as duels_won, sum(losses)::bigint as losses, sum(goals)::bigint as goals,
-  round(sum(e - s) / 60000.0::double, 6) as minutes, case when sum(passes) > 0 then round(100.0::double * sum(completed) / sum(passes), 2) else 0.0::double end as pass_accuracy_pct"""
-SHOWN = ["player_id", "passes", "passes_completed", "progressive_passes", "carries", "shots", "shots_on_target", "duels", "duels_won", "losses", "goals", "minutes", "pass_accuracy_pct"]
+track_stats as (select seg, seg // 2 as match_id, seg % 2 as run_id, track_id, min(ts_ms) as s, max(ts_ms) as e, count(*) filter (kind = 0) as passes, count(*) filter (kind = 0 and won) as completed, count(*) filter (kind = 0 and tagged) as progressive, count(*) filter (kind = 1) as carries, count(*) filter (kind = 2) as shots, count(*) filter (kind = 2 and tagged) as on_target, count(*) filter (kind = 3) as duels, count(*) filter (kind = 3 and won) as won, count(*) filter (kind = 4) as losses, count(*) filter (kind = 5) as goals from acts group by seg, track_id),
+old as (select seg, match_id, run_id, track_id, case when (seg + track_id) % 5 <> 4 then seg // 4 * 10 + (seg + track_id * 2) % 5 end as player_id from track_stats),
+new as (select seg, match_id, run_id, track_id, case when (seg + track_id) % 5 <> 4 then seg // 4 * 10 + (seg + track_id * 2 + case when track_id < 2 then 4 else 0 end) % 5 end as player_id from track_stats)"""
+SHEET = """match_id, run_id, player_id, sum(passes)::bigint as passes, sum(completed)::bigint as passes_completed, sum(progressive)::bigint as progressive_passes, sum(carries)::bigint as carries, sum(shots)::bigint as shots, sum(on_target)::bigint as shots_on_target, sum(duels)::bigint as duels, sum(won)::bigint as duels_won, sum(losses)::bigint as losses, sum(goals)::bigint as goals,
+  round(sum(e - s) / 60000.0::double, 6) as minutes, case when sum(passes) > 0 then round(100.0::double * sum(completed) / sum(passes), 2) else 0.0::double end as pass_accuracy_pct, count(*) as n_tracks"""
+SHOWN = ["match_id", "run_id", "player_id", "passes", "passes_completed", "progressive_passes", "carries", "shots", "shots_on_target", "duels", "duels_won", "losses", "goals", "minutes", "pass_accuracy_pct", "n_tracks"]
 
 
-@query(TRACK_STATS + f" select {SHEET} from track_stats join old using (seg, track_id) where player_id is not null group by player_id")
+@query(TRACK_STATS + f" select {SHEET} from track_stats join old using (seg, match_id, run_id, track_id) where player_id is not null group by match_id, run_id, player_id")
 def player_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = track_stats(spark, sf_dir)
-    return shown(stats.player_rollup(rows, assigned(rows, 0).where("player_id is not null")).select(SHOWN))
+    return shown(stats.player_rollup(rows, assigned(rows, 0)).select(SHOWN))
 
 
-@query(TRACK_STATS + f""", touched as (select distinct p as player_id from (select o.player_id as a, n.player_id as b from old o join new n using (seg, track_id) where o.player_id is distinct from n.player_id), lateral (select unnest([a, b]) as p) where p is not null)
-select {SHEET}, false as gone from track_stats join new using (seg, track_id) where player_id in (select player_id from touched) group by player_id
-union all select player_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0, true from touched where player_id not in (select player_id from new where player_id is not null)""")
+@query(TRACK_STATS + f""", touched as (select distinct match_id, run_id, p as player_id from (select match_id, run_id, o.player_id as a, n.player_id as b from old o join new n using (seg, match_id, run_id, track_id) where o.player_id is distinct from n.player_id), lateral (select unnest([a, b]) as p) where p is not null)
+select {SHEET}, false as gone from track_stats join new using (seg, match_id, run_id, track_id) join touched using (match_id, run_id, player_id) group by match_id, run_id, player_id
+union all select match_id, run_id, player_id, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0, 0, true from touched anti join new using (match_id, run_id, player_id)""")
 def refreshed_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept sheets after tracks moved: moved tracks are subtracted and added, never counted anew."""
     rows = track_stats(spark, sf_dir)
-    sheets, gone = stats.refresh_players(rows, assigned(rows, 0), assigned(rows, 4))
+    before = assigned(rows, 0)
+    sheets, gone = stats.move_tracks(stats.player_rollup(rows, before), rows, before, assigned(rows, 4))
     return shown(sheets.select(SHOWN).withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True).fillna(0))
 
 
 @query(OBJECTS + """, capped as (select * from (select *, row_number() over (partition by seg, track_id order by ts_ms) as i from objects) where i <= 2000),
-owned as (select track_id % 3 as player_id, seg, ts_ms, track_id, coalesce(pitch_x, image_x) as x from capped where (seg + track_id) % 4 <> 0),
-listed as (select *, row_number() over (partition by player_id order by seg, track_id, ts_ms) as i from owned)
-select player_id, count(*) as points, round(sum(x), 4) as sum_x, max(ts_ms) as last_ms from listed where i <= 5000 group by player_id""")
+owned as (select seg // 2 as match_id, seg % 2 as run_id, seg // 4 * 3 + track_id % 3 as player_id, seg, ts_ms, track_id, coalesce(pitch_x, image_x) as x from capped where (seg + track_id) % 4 <> 0),
+listed as (select *, row_number() over (partition by match_id, run_id, player_id order by seg, track_id, ts_ms) as i from owned)
+select match_id, run_id, player_id, count(*) as points, round(sum(x), 4) as sum_x, max(ts_ms) as last_ms from listed where i <= 5000 group by match_id, run_id, player_id""")
 def player_heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = tracks.trajectories(objects(spark, sf_dir))
-    owners = paths.where("(seg + track_id) % 4 <> 0").selectExpr("seg", "track_id", "track_id % 3 as player_id")
-    points = tracks.heatmap(paths, owners).select("player_id", F.explode("heatmap").alias("p"))
-    return points.groupBy("player_id").agg(F.count("*").alias("points"), F.round(F.sum("p.x"), 4).alias("sum_x"), F.max("p.ts_ms").alias("last_ms"))
+    paths = tracks.trajectories(objects(spark, sf_dir)).withColumn("match_id", F.expr("seg div 2")).withColumn("run_id", F.col("seg") % 2)
+    owners = paths.where("(seg + track_id) % 4 <> 0").selectExpr("seg", "track_id", "seg div 4 * 3 + track_id % 3 as player_id")
+    points = tracks.heatmap(paths, owners).select("match_id", "run_id", "player_id", F.explode("heatmap").alias("p"))
+    return points.groupBy("match_id", "run_id", "player_id").agg(F.count("*").alias("points"), F.round(F.sum("p.x"), 4).alias("sum_x"), F.max("p.ts_ms").alias("last_ms"))
 
 
 @query(OBJECTS + """ select seg, ts_ms, case when role = 'referee' then 'p1-w2-o' || track_id else 'p1-w2-' || track_id end as track_id, case when role <> 'referee' then 'p1-w2-' || track_id end as player_key from objects""")
@@ -124,42 +127,76 @@ def timecodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.coalesce(clock_ms(F.col("t")), F.lit(-1)).alias("ms"))
 
 
-def edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """(periods with clocks, edits, videos, runs): a match per customer, of which every other has an edit of its first half
-    and every third one of its second."""
+def known_periods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(known, detected, videos), a match per customer: two confirmed halves, one, none confirmed with the bounds detected, or
+    none at all; some recordings end or begin inside the halves, and some have no length."""
     matches = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as match_id")
-    found = matches.selectExpr("match_id", "stack(2, 1, 600000L, 3300000L, 2, 4200000L, 6900000L) as (number, start_ms, end_ms)")
-    manual = matches.where("match_id % 4 = 0").selectExpr("match_id", "1 as number", "630000L as start_ms", "3300000L as end_ms")
-    first = matches.where("match_id % 2 = 0").selectExpr("match_id", "1 as number", "concat(match_id % 12, ':00') as start", "if(match_id % 10 = 0, '1:20:00', '55:30') as end", "'0' as clock_start")
-    second = matches.where("match_id % 3 = 0").selectExpr("match_id", "2 as number", "case match_id % 9 when 0 then 'later' else '1:11:00' end as start", "if(match_id % 15 = 0, '9:00:00', '1:56:00') as end", "if(match_id % 21 = 0, '0', '45:00') as clock_start")
-    videos = matches.withColumn("duration_ms", F.lit(7_200_000))
-    return periods.with_clocks(found, manual), first.unionByName(second), videos, runs(spark, sf_dir)
+    detected = matches.selectExpr("match_id", "stack(2, 1, if(match_id % 5 = 0, -5000L, 600000L), 3300000L, 2, 4200000L, if(match_id % 7 = 0, 7300000L, 6900000L)) as (number, start_ms, end_ms)", "0.7D as confidence")
+    first = "match_id", "1 as number", "if(match_id % 4 = 2, 600000L, 630000L) as start_ms", "3300000L as end_ms", "0 as clock_start_ms", "2700000L as clock_end_ms"
+    second = "match_id", "2 as number", "if(match_id % 4 = 2, 4200000L, 4260000L) as start_ms", "6900000L as end_ms", "2700000 + match_id % 3 * 1000 as clock_start_ms", "5400000L as clock_end_ms"
+    known = matches.where("match_id % 4 <> 3").selectExpr(*first, "match_id % 4 < 2 as confirmed").unionByName(matches.where("match_id % 4 <> 3").selectExpr(*second, "match_id % 4 = 0 as confirmed"))
+    known = known.withColumn("source", F.when(F.col("confirmed"), "manual").otherwise("automatic")).withColumn("confidence", F.when(F.col("confirmed"), 1.0).otherwise(0.7))
+    return known, detected, matches.selectExpr("match_id", "if(match_id % 11 = 0, null, 7200000L) as duration_ms")
+
+
+KNOWN = """
+with matches as (select c_custkey as m, case when c_custkey % 11 <> 0 then 7200000 end as d from customer),
+known as (
+  select m, 1 as number, case when m % 4 = 2 then 600000 else 630000 end as s, 3300000 as e, 0 as c, 2700000 as ce, m % 4 < 2 as confirmed from matches where m % 4 <> 3
+  union all select m, 2, case when m % 4 = 2 then 4200000 else 4260000 end, 6900000, 2700000 + m % 3 * 1000, 5400000, m % 4 = 0 from matches where m % 4 <> 3),
+detected as (select m, d, 1 as number, case when m % 5 = 0 then -5000 else 600000 end as s, 3300000 as e from matches union all select m, d, 2, 4200000, case when m % 7 = 0 then 7300000 else 6900000 end from matches),
+ready as (select m from known group by m having count(*) filter (confirmed) = 2),
+turns as (select unnest([false, true]) as again),
+taken as (
+  select again, m, number, s, e, c, ce, 'manual' as source, 1.0::double as confidence, true as confirmed from known join ready using (m) join turns on not again where confirmed
+  union all select again, m, number, greatest(0, s), case when d is null then e else least(e, d) end, (number - 1) * 2700000, (number - 1) * 2700000 + e - s, 'automatic', 0.7::double, false from detected, turns where again or m not in (select m from ready))"""
 
 
-EDITED = """
-with matches as (select c_custkey as m from customer),
-plain as (select m, 1 as number, case when m % 4 = 0 then 630000 else 600000 end as s, 3300000 as e, 0 as c, case when m % 4 = 0 then 'manual' else 'automatic' end as source from matches union all select m, 2, 4200000, 6900000, 2700000, 'automatic' from matches),
-edits as (select m, 1 as number, m % 12 * 60000 as ns, case when m % 10 = 0 then 4800000 else 3330000 end as ne, 0 as nc, null as rule from matches where m % 2 = 0
-  union all select m, 2, 4260000, case when m % 15 = 0 then 32400000 else 6960000 end, case when m % 21 = 0 then 0 else 2700000 end, case when m % 9 = 0 then 'timecode' when m % 15 = 0 then 'duration' end from matches where m % 3 = 0),
-halves as (select p.m, p.number, coalesce(ns, s) as s, coalesce(ne, e) as e, coalesce(nc, c) as c from plain p left join edits d on d.m = p.m and d.number = p.number and d.rule is null),
-apart as (select a.m, case when a.e > b.s then 'overlap' when b.c <= a.c then 'clock' end as apart from halves a join halves b on a.m = b.m and a.number = 1 and b.number = 2),
-judged as (select d.* exclude (rule), coalesce(rule, apart) as rule from edits d join apart using (m))"""
+@query(KNOWN + " select again, m as match_id, number, s::bigint as start_ms, e::bigint as end_ms, c::bigint as clock_start_ms, ce::bigint as clock_end_ms, source, confidence, confirmed from taken")
+def resolved_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of runs that keep confirmed halves, and of runs that prepare the match again."""
+    turns = [periods.resolve_periods(*known_periods(spark, sf_dir), again)[0].withColumn("again", F.lit(again)) for again in (False, True)]
+    return turns[0].unionByName(turns[1])
 
 
-@query(EDITED + """ select p.m as match_id, p.number, coalesce(ns, s)::bigint as start_ms, coalesce(ne, e)::bigint as end_ms, coalesce(nc, c)::bigint as clock_start_ms, source, j.m is not null and (ns <> s or ne <> e) as moved from plain p left join judged j on j.m = p.m and j.number = p.number and j.rule is null""")
+@query(KNOWN + """, pairs as (select again, t.m, count(*) filter (k.s is distinct from t.s or k.e is distinct from t.e) as other, count(k.m) as n from taken t left join known k using (m, number) where not t.confirmed group by all)
+select again, m as match_id from pairs where n > 0 and other > 0""")
+def moved_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = [periods.resolve_periods(*known_periods(spark, sf_dir), again)[1].withColumn("again", F.lit(again)) for again in (False, True)]
+    return turns[0].unionByName(turns[1])
+
+
+def edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """(periods, edits, videos, runs): every other match has an edit of both halves, and some of the first alone. Edits break
+    each rule on purpose."""
+    known, _, videos = known_periods(spark, sf_dir)
+    matches = videos.select("match_id")
+    first = matches.where("match_id % 2 = 0 or match_id % 6 = 3").selectExpr("match_id", "1 as number", "concat(match_id % 12, ':00') as start", "if(match_id % 10 = 0, '1:20:00', '55:30') as end", "if(match_id % 4 = 2, null, '0') as clock_start")
+    second = matches.where("match_id % 2 = 0").selectExpr("match_id", "2 as number", "if(match_id % 9 = 0, 'later', '1:11:00') as start", "if(match_id % 14 = 0, '9:00:00', '1:55:00') as end", "case when match_id % 22 = 0 then '0' when match_id % 8 = 0 then null else '45:00' end as clock_start")
+    return known, first.unionByName(second), videos, runs(spark, sf_dir)
+
+
+EDITED = KNOWN + """,
+posted as (
+  select m, d, m % 12 * 60000 as s1, case when m % 10 = 0 then 4800000 else 3330000 end as e1, 0 as c1, case when m % 2 = 0 and m % 9 <> 0 then 4260000 end as s2,
+    case when m % 2 = 0 then case when m % 14 = 0 then 32400000 else 6900000 end end as e2, case when m % 2 = 0 then case when m % 22 = 0 then 0 else 2700000 end end as c2
+  from matches where m % 2 = 0 or m % 6 = 3),
+judged as (select *, case when s2 is null or e2 is null or c2 is null then 'timecode' when not (s1 < e1 and e1 <= s2 and s2 < e2) then 'order' when c2 <= c1 then 'clock' when d > 0 and e2 > d then 'duration' end as rule from posted),
+good as (select m, 1 as number, s1 as s, e1 as e, c1 as c from judged where rule is null union all select m, 2, s2, e2, c2 from judged where rule is null)"""
+
+
+@query(EDITED + """ select m as match_id, number, s::bigint as start_ms, e::bigint as end_ms, c::bigint as clock_start_ms, (c + e - s)::bigint as clock_end_ms, 'manual' as source, 1.0::double as confidence, true as confirmed from good
+union all select m, number, s, e, c, ce, case when confirmed then 'manual' else 'automatic' end, case when confirmed then 1.0::double else 0.7::double end, confirmed from known where m not in (select m from good)""")
 def edited_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, edits, videos, found = edited(spark, sf_dir)
-    after = periods.apply_period_edits(before, edits, videos, found)[0]
-    old = before.select("match_id", "number", F.struct("start_ms", "end_ms").alias("old"))
-    return after.join(old, ["match_id", "number"]).select("match_id", "number", "start_ms", "end_ms", "clock_start_ms", "source", (F.struct("start_ms", "end_ms") != F.col("old")).alias("moved"))
+    return periods.apply_period_edits(*edited(spark, sf_dir))[0]
 
 
-@query(EDITED + " select m as match_id, number, rule from judged where rule is not null")
+@query(EDITED + " select m as match_id, rule from judged where rule is not null")
 def period_edit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.apply_period_edits(*edited(spark, sf_dir))[1]
 
 
-@query(EDITED + ", moved as (select distinct p.m from plain p join judged j on j.m = p.m and j.number = p.number and j.rule is null where ns <> s or ne <> e)" + RUN_ROWS.replace("\nwith runs", ",\nruns") + " select run_id from runs where mode = 'sample' and match_id in (select m from moved)")
+@query(EDITED + ", moved as (select distinct g.m from good g left join known k using (m, number) where k.s is distinct from g.s or k.e is distinct from g.e)" + RUN_ROWS.replace("\nwith runs", ",\nruns") + " select run_id from runs where mode = 'sample' and match_id in (select m from moved)")
 def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.apply_period_edits(*edited(spark, sf_dir))[2].where("stale and not approved").select("run_id")
 

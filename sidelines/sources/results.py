@@ -1,6 +1,6 @@
 """Writing results: tracking rows, events, exports, and tables that runs replace or update."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sidelines.operators.review import latest_runs
@@ -82,3 +82,65 @@ def overwrite_run(rows: DataFrame, path: str) -> None:
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """updates, and the rows of target whose key they do not hold. Keys must be unique in updates."""
     return updates.select(target.columns).unionByName(target.join(updates.select(*keys), keys, "left_anti"))
+
+
+#: Folders inside a merged table, which readers skip: staged partitions, and those whose swap has been decided.
+STAGED, DECIDED = "_staged", "_decided"
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *parts]))
+
+
+def _folders(fs, at, names: list[str], depth: int) -> list[list[str]]:
+    """Names of the partition folders `depth` levels down."""
+    if not depth:
+        return [names]
+    below = [s.getPath().getName() for s in fs.listStatus(at(*names)) if s.isDirectory() and "=" in s.getPath().getName()]
+    return [found for name in below for found in _folders(fs, at, [*names, name], depth - 1)]
+
+
+def recover(spark: SparkSession, path: str, by: list[str]) -> None:
+    """Ends a merge that was lost: one whose staging was complete is carried through, any other is taken back. Repeating it
+    changes nothing."""
+    fs, at = _fs(spark, path)
+    if fs.exists(at(DECIDED)):
+        for names in _folders(fs, at, [DECIDED], len(by)):
+            fs.mkdirs(at(*names[1:-1]))
+            fs.delete(at(*names[1:]), True)
+            if fs.listStatus(at(*names)):
+                fs.rename(at(*names), at(*names[1:]))
+        fs.delete(at(DECIDED), True)
+    fs.delete(at(STAGED), True)
+
+
+def merge(updates: DataFrame, path: str, keys: list[str], by: list[str], gone: DataFrame | None = None) -> None:
+    """Upserts updates into the Parquet table at path, partitioned by the columns `by` (among keys), and deletes gone(keys).
+
+    Only partitions that updates or gone name are read and written: their new contents are staged in a folder that readers
+    skip, one rename decides the merge, and each partition is then swapped in. A merge lost before the rename leaves the table as it
+    was, one lost after it is carried through by the next merge or by `recover`. One merge of a table runs at a time; its
+    readers may see some partitions before others. A partition that loses all rows goes. Keys must be unique in updates."""
+    spark = updates.sparkSession
+    fs, at = _fs(spark, path)
+    recover(spark, path, by)
+    changes = updates.select(*keys)
+    changes = changes.unionByName(gone.select(*keys)) if gone is not None else changes
+    touched = changes.select(*by).distinct()
+    made = updates
+    if fs.exists(at()) and _folders(fs, at, [], len(by)):
+        table = spark.read.schema(updates.schema).parquet(path)
+        kept = table.join(touched, by, "left_semi").join(changes, keys, "left_anti")
+        made = updates.unionByName(kept)
+    made.write.partitionBy(*by).parquet("/".join([path.rstrip("/"), STAGED]))
+    written = {tuple(names[1:]) for names in _folders(fs, at, [STAGED], len(by))}
+    for names in (_names(row, by) for row in touched.toLocalIterator()) if gone is not None else ():
+        if tuple(names) not in written:
+            fs.mkdirs(at(STAGED, *names))
+    fs.rename(at(STAGED), at(DECIDED))
+    recover(spark, path, by)
+
+
+def _names(row, by: list[str]) -> list[str]:
+    return [f"{c}={'__HIVE_DEFAULT_PARTITION__' if row[c] is None else row[c]}" for c in by]

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sidelines.operators import clocks, ingest, periods
@@ -72,26 +73,42 @@ def test_fusion_keeps_the_first_ball_and_foreign_athletes(spark):
     assert [(r.missing, r.source_ms) for r in found] == [(False, 1000), (True, None)]
 
 
+PERIODS = "match_id string, number int, start_ms long, end_ms long, clock_start_ms long, clock_end_ms long, source string, confidence double, confirmed boolean"
+EDITS = "match_id string, number int, start string, end string, clock_start string"
+
+
+def halves(match, first=(0, 10_000), second=(20_000, 30_000), confirmed=(True, True)):
+    return [(match, n, *x, (n - 1) * 2_700_000, n * 2_700_000, "manual" if c else "automatic", 0.7, c) for n, x, c in ((1, first, confirmed[0]), (2, second, confirmed[1]))]
+
+
 def test_period_edits(spark):
     videos = spark.createDataFrame([("m", 6_300_000)], "match_id string, duration_ms long")
-    old = spark.createDataFrame([("m", 1, 0, 10, 0), ("m", 2, 20, 30, 2_700_000)], "match_id string, number int, start_ms long, end_ms long, clock_start_ms long")
-    edits = spark.createDataFrame([("m", 2, "48:53", "1:40:08", "45:00"), ("m", 1, "x", "1:00", "0")], "match_id string, number int, start string, end string, clock_start string")
+    old = spark.createDataFrame(halves("m", (0, 2_700_000), (3_300_000, 6_000_000)), PERIODS)
+    edits = spark.createDataFrame([("m", 2, "48:53.000", "01:40:08.000", "45:00"), ("m", 1, "00:00.000", "45:04", None)], EDITS)
     runs = spark.createDataFrame([("m", 1, "sample", True, False), ("m", 2, "full", True, False)], "match_id string, run_id int, mode string, approved boolean, stale boolean")
     new, errors, stale = periods.apply_period_edits(old, edits, videos, runs)
-    assert {r.number: (r.start_ms, r.end_ms, r.clock_start_ms) for r in new.collect()} == {1: (0, 10, 0), 2: (2_933_000, 6_008_000, 2_700_000)}
-    assert [r.rule for r in errors.collect()] == ["timecode"] and [(r.run_id, r.stale, r.approved) for r in stale.collect()] == [(1, True, False)]
-
-
-def test_second_half_follows_the_first(spark):
-    old = spark.createDataFrame([(m, n, *x) for m in "abc" for n, x in ((1, (0, 10_000, 0)), (2, (20_000, 30_000, 2_700_000)))], "match_id string, number int, start_ms long, end_ms long, clock_start_ms long")
-    edits = spark.createDataFrame([("a", 1, "0", "25", "0"), ("b", 2, "21", "31", "0"), ("c", 1, "0", "25", "0"), ("c", 2, "25", "31", "45:00")], "match_id string, number int, start string, end string, clock_start string")
-    videos = spark.createDataFrame([(m, 60_000) for m in "abc"], "match_id string, duration_ms long")
-    runs = spark.createDataFrame([(m, "sample", True, False) for m in "abc"], "match_id string, mode string, approved boolean, stale boolean")
+    assert {r.number: tuple(r)[2:] for r in new.collect()} == {1: (0, 2_704_000, 0, 2_704_000, "manual", 1.0, True), 2: (2_933_000, 6_008_000, 2_700_000, 5_775_000, "manual", 1.0, True)}
+    assert not errors.count() and [(r.run_id, r.stale, r.approved) for r in stale.collect()] == [(1, True, False)]
+
+
+def test_an_edit_is_taken_as_a_whole_or_not_at_all(spark):
+    good = ("0", "25", "0")
+    cases = {
+        "timecode": [(1, *good), (2, "x", "31", "45:00")], "order": [(1, *good), (2, "24", "31", "45:00")], "clock": [(1, *good), (2, "25", "31", "0")],
+        "duration": [(1, *good), (2, "25", "61", "45:00")], "half": [(1, *good)], "fine": [(1, *good), (2, "25", "31", "45:00")], "unknown_length": [(1, *good), (2, "25", "9:00:00", "45:00")],
+    }
+    old = spark.createDataFrame([r for m in cases for r in halves(m)], PERIODS)
+    edits = spark.createDataFrame([(m, *e) for m, rows in cases.items() for e in rows], EDITS)
+    videos = spark.createDataFrame([(m, 60_000) for m in cases if m != "unknown_length"], "match_id string, duration_ms long")
+    runs = spark.createDataFrame([(m, "sample", True, False) for m in cases], "match_id string, mode string, approved boolean, stale boolean")
     new, errors, stale = periods.apply_period_edits(old, edits, videos, runs)
-    assert sorted(map(tuple, errors.collect())) == [("a", 1, "overlap"), ("b", 2, "clock")]
-    assert sorted(map(tuple, new.where("match_id <> 'c'").collect())) == sorted(map(tuple, old.where("match_id <> 'c'").collect()))
-    assert [(r.start_ms, r.end_ms) for r in new.where("match_id = 'c'").orderBy("number").collect()] == [(0, 25_000), (25_000, 31_000)]
-    assert [r.match_id for r in stale.collect()] == ["c"]
+    assert dict(map(tuple, errors.collect())) == {m: "timecode" if m == "half" else m for m in ("timecode", "order", "clock", "duration", "half")}
+    bad = "match_id not in ('fine', 'unknown_length')"
+    assert sorted(map(tuple, new.where(bad).collect())) == sorted(map(tuple, old.where(bad).collect()))
+    assert [(r.start_ms, r.end_ms) for r in new.where("match_id = 'fine'").orderBy("number").collect()] == [(0, 25_000), (25_000, 31_000)]
+    assert sorted(r.match_id for r in stale.collect()) == ["fine", "unknown_length"]
+    again, _, same = periods.apply_period_edits(new, edits.where("match_id = 'fine'"), videos, runs)
+    assert not same.count() and sorted(map(tuple, again.collect())) == sorted(map(tuple, new.collect()))
 
 
 def test_sampling_and_decimation_of_the_survey(spark):
@@ -103,13 +120,91 @@ def test_sampling_and_decimation_of_the_survey(spark):
     assert [r.ts_ms for r in clocks.decimate(frames, 8).orderBy("ts_ms").collect()] == [0, 160, 280, 400, 520, 640, 760, 880, 1000]
 
 
-def test_confirmed_periods_win_unless_prepared_again(spark):
-    kinds = "match_id long, number int, start_ms long, end_ms long"
-    found, by_hand = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 20, 30)], kinds), spark.createDataFrame([(1, 2, 21, 31)], kinds)
-    for again, second in ((False, (21, "manual")), (True, (20, "automatic"))):
-        rows = {r.number: r for r in periods.with_clocks(found, by_hand, again).collect()}
-        assert (rows[1].start_ms, rows[1].clock_start_ms) == (0, 0)
-        assert (rows[2].start_ms, rows[2].source, rows[2].clock_start_ms) == (*second, 2_700_000)
+def test_two_confirmed_halves_or_none(spark):
+    found = spark.createDataFrame([(m, n, a, b, 0.6) for m in "abcd" for n, a, b in ((1, -5, 90), (2, 100, 260))], "match_id string, number int, start_ms long, end_ms long, confidence double")
+    known = spark.createDataFrame([*halves("a"), *halves("b", confirmed=(True, False)), *halves("c", (0, 90), (100, 200), (False, False))], PERIODS)
+    videos = spark.createDataFrame([(m, 200) for m in "abcd"], "match_id string, duration_ms long")
+    for again in (False, True):
+        rows, moved = periods.resolve_periods(known, found, videos, again)
+        got = {(r.match_id, r.number): r for r in rows.collect()}
+        assert len(got) == 8 and {r.source for r in got.values() if r.match_id == "b"} == {"automatic"}
+        assert [tuple(got["a", n]) for n in (1, 2)] == halves("a") if not again else got["a", 1].source == "automatic"
+        assert tuple(got["b", 2])[2:6] == (100, 200, 2_700_000, 2_700_160) and tuple(got["d", 1])[2:6] == (0, 90, 0, 95)
+        assert sorted(r.match_id for r in moved.collect()) == (["a", "b"] if again else ["b"])
+    runs = spark.createDataFrame([("b", i, i, "sample" if i % 2 else "full", True, False) for i in range(40)], "match_id string, run_id int, created_at int, mode string, approved boolean, stale boolean")
+    assert sorted(r.run_id for r in periods.make_stale(runs, moved, 25).collect()) == list(range(15, 40, 2))
+
+
+def test_many_files_in_one_read(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    for i in range(300):
+        lines = [json.dumps(HEADER | {"engine_revision": f"r{i}"}), "", *(json.dumps(FRAME | {"timestamp_ms": 40 * k}) for k in range(12))]
+        if i == 7:
+            lines[5] = lines[5][:40]
+        if i == 8:
+            lines[4] = "[1, 2]"
+        if i == 9:
+            lines = lines[2:]
+        (tmp_path / f"day{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"day{i % 3}" / f"m{i}.tracks.ndjson").write_text("\n".join(lines) if i != 10 else "\n \n")
+    (tmp_path / "d1.json").write_text(json.dumps({"metadata": {"engine": "external", "fps": 5}, "schema": SCHEMA, "frames": [FRAME]}))
+    (tmp_path / "d2.json").write_text(json.dumps([FRAME, HEADER, {"type": "note"}]))
+    (tmp_path / "d3.json").write_text("{")
+    (tmp_path / "d4.json").write_text(json.dumps({"predictions": []}))
+    frames, headers, errors = tracking.read_tracking(spark, str(tmp_path))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    counts = {r.match_id: r["count"] for r in frames.groupBy("match_id").count().collect()}
+    assert counts == {f"m{i}": 11 if i in (7, 8) else 12 for i in range(300) if i != 10} | {"d1": 1, "d2": 1}
+    found = {(r.match_id, r.line, r.rule) for r in errors.collect()}
+    assert found == {("m7", 6, "line"), ("m8", 5, "not_object"), ("m10", None, "empty"), ("d3", None, "line"), ("d4", None, "shape")}
+    heads = {r.match_id: r for r in headers.collect()}
+    assert len(heads) == 304 and heads["m20"].revision == "r20" and (heads["d1"].schema, heads["d1"].fps) == (SCHEMA, 5.0)
+    assert {r.match_id for r in ingest.header_errors(headers, SCHEMA, "external").collect()} == {"m9", "m10", "d3", "d4"}
+    good, _, rules = ingest.validate_frames(frames, headers, headers.selectExpr("match_id", "'A' as home_cluster"))
+    assert good.count() == frames.count() and {(r.match_id, r.rule) for r in rules.collect()} == {(m, "no_frames") for m in ("m10", "d3", "d4")}
+
+
+def test_lines_with_fields_of_another_kind_keep_the_rest(spark, tmp_path):
+    (tmp_path / "a.ndjson").write_text("\n".join(json.dumps(x) for x in (HEADER, FRAME | {"width": "wide"}, FRAME)))
+    frames, headers, errors = tracking.read_lines(spark, str(tmp_path))
+    assert not errors.count()
+    good, _, rules = ingest.validate_frames(frames, headers, headers.selectExpr("match_id", "'A' as home_cluster"))
+    assert good.count() == 1 and [r.rule for r in rules.collect()] == ["size_missing"]
+
+
+def test_merge_rewrites_touched_partitions_and_survives_a_loss(spark, tmp_path, monkeypatch):
+    path, kinds = str(tmp_path / "sheets"), "match_id long, player_id long, v long"
+    make = lambda rows: spark.createDataFrame(rows, kinds)
+    merge = lambda rows, gone=None: results.merge(make(rows), path, ["match_id", "player_id"], ["match_id"], None if gone is None else make(gone).drop("v"))
+    table = lambda: sorted(map(tuple, spark.read.schema(kinds).parquet(path).select("match_id", "player_id", "v").collect()))
+    merge([(1, 1, 1), (1, 2, 2), (2, 1, 3), (3, 9, 4)])
+    untouched = {f: f.stat().st_mtime_ns for f in (tmp_path / "sheets" / "match_id=2").iterdir()}
+    merge([(1, 2, 7), (4, 1, 8)], [(3, 9, 0), (1, 1, 0)])
+    assert table() == [(1, 2, 7), (2, 1, 3), (4, 1, 8)]
+    assert untouched == {f: f.stat().st_mtime_ns for f in (tmp_path / "sheets" / "match_id=2").iterdir()}
+    assert not (tmp_path / "sheets" / "match_id=3").exists()
+
+    ended = results.recover
+    calls = []
+
+    def lost(*arguments):
+        calls.append(arguments)
+        if len(calls) == 2:
+            raise RuntimeError("the driver is lost after the decision")
+        return ended(*arguments)
+
+    monkeypatch.setattr(results, "recover", lost)
+    with pytest.raises(RuntimeError):
+        merge([(2, 1, 30), (5, 5, 50)])
+    monkeypatch.setattr(results, "recover", ended)
+    results.recover(spark, path, ["match_id"])
+    after = [(1, 2, 7), (2, 1, 30), (4, 1, 8), (5, 5, 50)]
+    assert table() == after
+    make([(2, 2, 99)]).write.partitionBy("match_id").parquet(f"{path}/{results.STAGED}")  # lost before the decision
+    assert table() == after
+    for _ in range(2):
+        merge([(4, 1, 9)])
+    assert table() == [*after[:2], (4, 1, 9), after[3]]
 
 
 def test_tracker_state_and_events_written(spark, tmp_path):
