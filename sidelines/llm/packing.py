@@ -1,13 +1,17 @@
 """Best-fit packing: a plan over the lengths of the whole corpus, and each piece's place in it."""
 
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,63 +20,116 @@ from tokenizers import Tokenizer
 
 from sidelines.llm.common import cut
 from sidelines.llm.text import distinct, parts, ragged
+from sidelines.llm.token_counts import PATTERN
 
-#: Token ids of chunks that a task remembers.
-REMEMBER = 4_000_000
-_SIGN = (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
+#: Chunks that a task remembers.
+REMEMBER = 400_000
+#: Bytes that send a chunk through the model itself: those beyond U+00FF or below U+00C0 of the Latin-1 half, and `<`.
+_SLOW = re.compile(rb"[<\x80-\xC2\xC4-\xFF](?<!\xC3[\x80-\xBF])")
+_all = np.arange(256)
+_SPACE = (_all == 0x20) | ((_all >= 0x09) & (_all <= 0x0D))
+_SIGN = (_all > 0x20) & (_all < 0x7F)
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+#: Signs before which a run of letters or digits may be cut: `|` is left out, as special tokens hold it after letters.
+_STOP = _SIGN & ~_ALNUM & (_all != ord("|"))
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places in valid UTF-8 where a pre-token of the public byte-level patterns begins whatever stands around them: before
+    white space after a visible character, before a sign after a letter or digit, and after a single line break.
+
+    The patterns look ahead from white space alone, and no chunk between such places ends in white space that others follow.
+    Beyond ASCII, characters of two bytes from U+00C0 on and of three bytes in the ideographs and Hangul are known to be visible, and
+    letters are known from U+00C0 to U+00FF."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    back = lambda n: np.concatenate([np.zeros(n, np.uint8), data[:-n]]) if len(data) > n else np.zeros(len(data), np.uint8)
+    one, two, three, four = back(1), back(2), back(3), back(4)
+    inside = (one >= 0x80) & (one < 0xC0)
+    latin = inside & (two == 0xC3) & (one != 0x97) & (one != 0xB7)
+    visible = _SIGN[one] | inside & ((two >= 0xC3) & (two <= 0xDF) | (three >= 0xE4) & (three <= 0xED) | (four >= 0xF0))
+    before_space = _SPACE[data] & visible
+    before_sign = _STOP[data] & (_ALNUM[one] | latin)
+    after_break = (one == 0x0A) & _SIGN[data] & np.concatenate([[False], before_space[:-1]])
+    return np.flatnonzero(before_space | before_sign | after_break)
+
+
+def _byte_signs() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 characters for themselves, the
+    others in order from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def _ranks(model: str) -> dict[bytes, int] | None:
+    """Ids of a byte-level model as ranks of merges; None for a model whose merges are not in order of their ids, or that does
+    more than split by the public pattern and merge."""
+    parts = json.loads(model)
+    kind, split = parts["model"], parts.get("pre_tokenizer") or {}
+    plain = kind.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if not plain or parts.get("normalizer") or kind.get("dropout") or kind.get("continuing_subword_prefix") or kind.get("end_of_word_suffix"):
+        return None
+    merged = [kind["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in kind["merges"]]
+    sign, special = _byte_signs(), {t["content"] for t in parts.get("added_tokens") or []}
+    if any(b <= a for a, b in zip(merged, merged[1:])):
+        return None
+    return {bytes(sign[c] for c in token): i for token, i in kind["vocab"].items() if token not in special}
 
 
 class Encoder:
     """Ids of many texts: the different chunks of a batch are encoded once and remembered.
 
-    A text is cut before a space that stands between two visible ASCII characters: the public byte-level patterns begin a
-    pre-token there whatever stands around it, so the chunks' ids are those of the whole text."""
+    A text is cut at places where a pre-token begins in any case (`_cuts`), so the chunks' ids are those of the whole text.
+    Chunks of ASCII and U+00C0 to U+00FF, on whose classes of characters all libraries agree, go through the quicker merger of
+    the model's ranks where it has such; all others, and any with a special token's sign `<`, through the model itself."""
 
     def __init__(self, model: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
+        ranks = _ranks(model)
+        self.quick = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = end
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.store, self.used = np.zeros(1 << 16, np.uint32), 1
-        self.store[0] = self.end
-        self.starts, self.counts = [0], [1]
+        self.store, self.starts, self.counts = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def _learn(self, chunks: list[bytes]) -> None:
-        for encoded in self.tokenizer.encode_batch_fast([c.decode(errors="replace") for c in chunks], add_special_tokens=False):
-            ids = encoded.ids
-            if self.used + len(ids) > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros(max(len(self.store), len(ids)), np.uint32)])
-            self.store[self.used : self.used + len(ids)] = ids
-            self.starts.append(self.used)
-            self.counts.append(len(ids))
-            self.used += len(ids)
+        texts = [c.decode(errors="replace") for c in chunks]
+        quick = [bool(self.quick) and not _SLOW.search(c) for c in chunks]
+        slow = iter(self.tokenizer.encode_batch_fast([t for t, q in zip(texts, quick, strict=True) if not q], add_special_tokens=False))
+        ids = [self.quick.encode_ordinary(t) if q else next(slow).ids for t, q in zip(texts, quick, strict=True)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.store) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.store = np.concatenate([self.store, np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end's id after each, where each text's ids begin and the last one's end)."""
-        if self.used > REMEMBER:
+        if len(self.known) > REMEMBER:
             self.clear()
         column = pc.fill_null(column.cast(pa.large_string()), "")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = column.buffers()[2]
         data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        sign = _SIGN[data]
-        at = np.flatnonzero((data[1:-1] == 0x20) & sign[:-2] & sign[2:]) + 1 if len(data) > 2 else np.zeros(0, np.int64)
-        inside = ~np.isin(at, offsets) & ~np.isin(at + 1, offsets)
-        begins = np.unique(np.concatenate([at[inside], offsets[:-1][np.diff(offsets) > 0]]))
+        begin = np.zeros(len(data) + 5, bool)
+        begin[_cuts(data)] = True
+        for k in range(5):  # what stands in the text before says nothing
+            begin[np.minimum(offsets + k, len(data) + 4)] = False
+        begin[offsets] = True
+        begins = np.flatnonzero(begin[: len(data)])
         place, chunks = distinct(np.append(begins, len(data)), data)
         chunks = chunks.to_pylist()
         new = [c for c in chunks if c not in self.known]
-        self.known |= {c: len(self.starts) + i for i, c in enumerate(new)}
+        self.known |= zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True)
         self._learn(new)
-        own = np.array([self.known[c] for c in chunks], np.int64)[place]
+        own = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[place]
         ends = np.searchsorted(begins, offsets[1:])
         which = np.insert(own, ends, 0)
-        counts = np.array(self.counts)[which]
-        ids = self.store[ragged(np.array(self.starts)[which], counts)]
+        counts = self.counts[which]
+        ids = self.store[ragged(self.starts[which], counts)]
         total = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.concatenate([[0], total[ends + np.arange(1, len(ends) + 1)]])
 

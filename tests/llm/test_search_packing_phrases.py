@@ -93,10 +93,14 @@ def test_encoder_gives_the_library_ids():
     import pyarrow as pa
 
     tokenizer, rng = Tokenizer.from_file(MODEL), random.Random(3)
-    signs = ["a", "B", "é", "漢", " ", " ", "  ", "\n", "'s", "'", "1", ".", " ", " ", "<|endoftext|>", "\t", "the", "\x00", "😀", "’t"]
+    signs = ["a", "B", "é", "漢", " ", " ", "  ", "\n", "'s", "'", "1", ".", " ", " ", "<|endoftext|>", "\t", "the", "\x00", "😀", "’t", "×", "÷", "ÿ", "Ω", "\xa0", "<", "|>", ",", "\r\n", "x|", "ß."]
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(600)] + prose(5, 60)
     encoder = Encoder(open(MODEL).read(), 2)
-    for _ in range(2):
+    assert encoder.quick
+    for turn in range(3):
+        encoder.quick = encoder.quick if turn < 2 else None
+        if turn == 2:
+            encoder.clear()
         ids, first = encoder(pa.array(texts, pa.string()))
         for i, text in enumerate(texts):
             assert ids[first[i] : first[i + 1]].tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], repr(text)
