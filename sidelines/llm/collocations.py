@@ -2,9 +2,11 @@
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ _WORD = ~(_SPLIT | (_all == 0x20) | (_all == 0x09))
 #: Bits of a word id within a task.
 ID_BITS = 20
 #: Entries of a container before it bursts; entries of a task's trie before subtrees are spilled; those that a container costs.
-BURST, MOST_ENTRIES, CONTAINER = 4096, 1_500_000, 4
+BURST, MOST_ENTRIES, CONTAINER = 4096, 800_000, 4
 #: Slots of the table that tells which phrases can't be frequent: 2 ** 27 bits, 16 MiB at any size of the corpus.
 SLOT_BITS = 27
 ROWS_AT_ONCE = 1 << 16
@@ -79,25 +81,30 @@ class HatTrie:
         self.entries += CONTAINER * len(node)
         return node
 
-    def _walk(self, at: dict, words: int, before: int = 0) -> Iterator[tuple[int, int]]:
+    def _containers(self, at: dict, words: int, before: int = 0) -> Iterator[tuple[int, dict]]:
         if type(at) is not Node:
-            yield from ((before | key, n) for key, n in at.items())
+            yield before, at
             return
         low = self.bits * (words - 1)
         for word, below in at.items():
-            yield from self._walk(below, words - 1, before | word << low)
+            yield from self._containers(below, words - 1, before | word << low)
 
     def _size(self, at: dict) -> int:
         return CONTAINER + (sum(map(self._size, at.values())) if type(at) is Node else len(at))
 
-    def spill(self, down_to: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """Takes out whole subtrees, the largest first, until at most `down_to` entries are left: (first word, its phrases)."""
-        sizes = sorted(((self._size(at), word) for word, at in self.roots.items()), reverse=True)
-        for size, word in sizes:
+    def spill(self, down_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Takes out whole subtrees, the largest first, until at most `down_to` entries are left: first words, packed ids of the
+        others, counts."""
+        out: list[tuple[int, int, dict]] = []
+        for size, word in sorted(((self._size(at), word) for word, at in self.roots.items()), reverse=True):
             if self.entries <= down_to:
-                return
-            yield word, list(self._walk(self.roots.pop(word), self.rest))
+                break
+            out += [(word, before, box) for before, box in self._containers(self.roots.pop(word), self.rest)]
             self.entries -= size
+        lengths = [len(box) for _, _, box in out]
+        first, before = (np.repeat(np.array([x[i] for x in out], np.int64), lengths) for i in (0, 1))
+        keys, counts = (np.fromiter(chain.from_iterable(part), np.int64, sum(lengths)) for part in ((box for _, _, box in out), (box.values() for _, _, box in out)))
+        return first, before | keys, counts
 
 
 class Vocabulary:
@@ -206,34 +213,22 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, trie, single = Vocabulary(), HatTrie(length, bits, burst), np.zeros(0, np.int64)
 
-        def rows(spilled: Iterator[tuple[int, list[tuple[int, int]]]]) -> Iterator[pa.RecordBatch]:
-            words, langs, out = vocabulary.words, vocabulary.langs, ([], [], [])
-            places = [bits * j for j in range(length - 2, -1, -1)]
-            for first, found in spilled:
-                head, run = words[first], []
-                for key, n in found:
-                    run.append((" ".join([head, *(words[key >> low & (1 << bits) - 1] for low in places)]), n))
-                run.sort()
-                out[0].extend([langs[first]] * len(run))
-                out[1].extend(p for p, _ in run)
-                out[2].extend(n for _, n in run)
-                if len(out[0]) > ROWS_AT_ONCE:
-                    yield batch_of(*out)
-                    out = ([], [], [])
-            yield batch_of(*out)
-
-        def batch_of(langs: list[str], phrases: list[str], counts: list[int]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
+        def rows(first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """A sorted run, word by word."""
+            words, langs = pa.array(vocabulary.words, pa.string()), pa.array(vocabulary.langs, pa.string())
+            rank = np.zeros(len(words), np.int64)
+            rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+            ids = [first, *(rest >> bits * j & (1 << bits) - 1 for j in range(length - 2, -1, -1))]
+            order = np.lexsort([rank[x] for x in reversed(ids)])
+            for a in range(0, len(order), ROWS_AT_ONCE):
+                part = order[a : a + ROWS_AT_ONCE]
+                phrases = pc.binary_join_element_wise(*(words.take(pa.array(x[part])) for x in ids), " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(first[part])), phrases, pa.array(counts[part])], ["lang", "phrase", "n"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal vocabulary, trie, single
-            if length == 1:
-                found = np.flatnonzero(single).tolist()
-                for a in range(0, len(found), ROWS_AT_ONCE):
-                    part = found[a : a + ROWS_AT_ONCE]
-                    yield batch_of([vocabulary.langs[i] for i in part], [vocabulary.words[i] for i in part], single[part].tolist())
-            else:
-                yield from rows(trie.spill(0))
+            found = np.flatnonzero(single)
+            yield from rows(found, np.zeros(len(found), np.int64), single[found]) if length == 1 else rows(*trie.spill(0))
             vocabulary, trie, single = Vocabulary(), HatTrie(length, bits, burst), np.zeros(0, np.int64)
 
         for batch in parts(batches):
@@ -263,7 +258,7 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
                     rest = rest << bits | ids[code[first + j]]
                 trie.add(ids[code[first]], rest, counts)
                 if trie.entries > most:
-                    yield from rows(trie.spill(most // 2))
+                    yield from rows(*trie.spill(most // 2))
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

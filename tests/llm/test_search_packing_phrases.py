@@ -210,6 +210,11 @@ def test_collocations_are_brute_force(spark, monkeypatch, small):
 
 def test_trie_counts_as_a_plain_counter():
     rng, plain, trie, spilled = np.random.default_rng(2), Counter(), HatTrie(4, burst=4), Counter()
+
+    def unpack(found):
+        for first, key, n in zip(*(x.tolist() for x in found), strict=True):
+            spilled[first, key >> 2 * phrases.ID_BITS, key >> phrases.ID_BITS & (1 << phrases.ID_BITS) - 1, key & (1 << phrases.ID_BITS) - 1] += n
+
     for _ in range(40):
         words = rng.integers(0, 5, (30, 4))
         each, counts = np.unique(words, axis=0, return_counts=True)
@@ -219,13 +224,9 @@ def test_trie_counts_as_a_plain_counter():
         trie.add(each[:, 0], rest, counts)
         for w, n in zip(each.tolist(), counts.tolist(), strict=True):
             plain[w[0], *w[1:]] += n
-        for first, found in trie.spill(100):
-            for key, n in found:
-                spilled[first, key >> 2 * phrases.ID_BITS, key >> phrases.ID_BITS & (1 << phrases.ID_BITS) - 1, key & (1 << phrases.ID_BITS) - 1] += n
+        unpack(trie.spill(100))
         assert trie.entries <= 100
-    for first, found in trie.spill(0):
-        for key, n in found:
-            spilled[first, key >> 2 * phrases.ID_BITS, key >> phrases.ID_BITS & (1 << phrases.ID_BITS) - 1, key & (1 << phrases.ID_BITS) - 1] += n
+    unpack(trie.spill(0))
     assert spilled == plain and trie.entries == 0
 
 
