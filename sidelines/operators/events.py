@@ -188,16 +188,16 @@ def deduplicate(events: DataFrame, within_ms: int = 400, last: int = 6) -> DataF
 
 
 def mark_assists(events: DataFrame, within_ms: int = 12_000) -> DataFrame:
-    """Adds "assist" to the latest pass to each goal's scorer, of the same team and at most `within_ms` before."""
+    """Adds "assist" to the latest pass to each goal's scorer, of the same team and at most `within_ms` before. All events
+    pass one window; those without a player to meet by lie beside the others under the null key and are never marked."""
     after = later(["seg", "team_key", "who"], "ts_ms", "last")
-    who = F.when(F.col("event_type") == "pass", F.col("recipient_key")).when(F.col("event_type") == "goal", F.col("player_key"))
-    rows = events.withColumn("who", who).withColumn("last", (F.col("event_type") == "goal").cast("int"))
-    scorer = rows.where(F.col("who").isNotNull())
-    goal_after = F.last(F.when(F.col("event_type") == "goal", F.col("ts_ms")), True).over(after)
-    pass_after = F.last(F.when(F.col("event_type") == "pass", F.col("ts_ms")), True).over(after)
-    hit = (F.col("event_type") == "pass") & (F.col("g") - F.col("ts_ms") <= within_ms) & (F.col("p").isNull() | (F.col("p") > F.col("g")))
-    tagged = scorer.withColumn("g", goal_after).withColumn("p", pass_after).withColumn("qualifiers", F.when(hit, F.array_union("qualifiers", F.array(F.lit("assist")))).otherwise(F.col("qualifiers")))
-    return tagged.select(events.columns).unionByName(rows.where(F.col("who").isNull()).select(events.columns))
+    kind = F.col("event_type")
+    who = F.when(kind == "pass", F.col("recipient_key")).when(kind == "goal", F.col("player_key"))
+    rows = events.withColumn("who", who).withColumn("last", (kind == "goal").cast("int"))
+    goal_after, pass_after = (F.last(F.when(kind == k, F.col("ts_ms")), True).over(after) for k in ("goal", "pass"))
+    rows = rows.withColumn("g", goal_after).withColumn("p", pass_after)
+    hit = (kind == "pass") & F.col("who").isNotNull() & (F.col("g") - F.col("ts_ms") <= within_ms) & (F.col("p").isNull() | (F.col("p") > F.col("g")))
+    return rows.withColumn("qualifiers", F.when(hit, F.array_union("qualifiers", F.array(F.lit("assist")))).otherwise(F.col("qualifiers"))).select(events.columns)
 
 
 def detect_events(samples: DataFrame, pitch: bool = False) -> DataFrame:

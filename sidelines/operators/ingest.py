@@ -51,13 +51,17 @@ def header_errors(meta: DataFrame, schema: str, engine: str | None = None) -> Da
     return meta.withColumn("rule", rule).where("rule is not null").select("match_id", "rule")
 
 
+def frame_rule(ts_ms: Column, width: Column, height: Column) -> Column:
+    """The rule that a frame breaks, null for none."""
+    return F.when(ts_ms.isNull(), "timestamp_missing").when(width.isNull() | height.isNull(), "size_missing").when((ts_ms < 0) | (width <= 0) | (height <= 0), "out_of_range")
+
+
 def validate_frames(raw: DataFrame, meta: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames, objects, errors) of raw frames by match_id, headers meta(match_id, engine, fps) and
     matches(match_id, home_cluster). A frame that breaks a rule goes with its objects; an object that does goes alone."""
     rows = raw.join(meta.select("match_id", "engine", "fps"), "match_id").join(matches.select("match_id", "home_cluster"), "match_id")
     rows = rows.withColumn("ts_ms", timestamp_ms(F.col("timestamp_ms"), F.col("frame_index"), F.col("fps")))
-    bad = F.when(F.col("ts_ms").isNull(), "timestamp_missing").when(F.col("width").isNull() | F.col("height").isNull(), "size_missing").when((F.col("ts_ms") < 0) | (F.col("width") <= 0) | (F.col("height") <= 0), "out_of_range")
-    rows = rows.withColumn("rule", bad)
+    rows = rows.withColumn("rule", frame_rule(F.col("ts_ms"), F.col("width"), F.col("height")))
     good = rows.where("rule is null")
     twice = good.groupBy("match_id", "ts_ms").agg(F.count("*").alias("n")).where("n > 1").select("match_id", "ts_ms", F.lit("duplicate_timestamp").alias("rule"))
     good = good.join(twice.select("match_id", "ts_ms"), ["match_id", "ts_ms"], "left_anti")

@@ -1,23 +1,32 @@
 """The same rules on streams of frames: possession, the ball, progress, and checks of arriving frames.
 
-State is kept per segment, until none of its frames has come for IDLE_MS. Input must reach a segment in order of ts_ms from
-batch to batch; within a batch it is sorted."""
+Possession and checks keep their state through transformWithStateInPandas, which needs the RocksDB state store
+(spark.sql.streaming.stateStore.providerClass)."""
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sidelines.functions.columns import distance
+from sidelines.operators.clocks import progress
 from sidelines.operators.detections import follow_ball
+from sidelines.operators.ingest import frame_rule, header_errors
 from sidelines.operators.possession import MARGIN, PITCH, RADIUS
 
-#: A segment's state ends when it has been silent so long, by the cluster's clock: frames after that begin anew.
+#: A segment's state ends when it has been silent so long: frames after that begin anew.
 IDLE_MS = 3_600_000
-SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, confidence double"
-STATE = "seen_ms long, team string, player string, next_team string, next_player string, since_ms long"
+SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, ball_x double, ball_y double, confidence double, reason string, contenders array<struct<team_key: string, player_key: string>>, coordinate_space string"
+_NEAR = [f"{c}_{k}" for k in (1, 2) for c in ("d", "team", "player", "sure")]
+#: What is held of a frame until no earlier one can come.
+_HELD = ["at_ms", "ts_ms", "dead", "field_score", "ball_seen", "ball_x", "ball_y", "metres", *_NEAR]
+HELD = "at_ms long, ts_ms long, dead boolean, field_score double, ball_seen boolean, ball_x double, ball_y double, metres boolean, " + ", ".join(f"{c} {'double' if c[0] in 'ds' else 'string'}" for c in _NEAR)
+OWNER = "seen_ms long, ball_x double, ball_y double, team string, player string, next_team string, next_player string, since_ms long, last_at_ms long"
 
 
 def nearest(frames: DataFrame) -> DataFrame:
@@ -28,54 +37,109 @@ def nearest(frames: DataFrame) -> DataFrame:
     return frames.withColumn("near", F.slice(F.array_sort(F.filter(ranked, lambda a: a["d"].isNotNull())), 1, 2)).drop("athletes")
 
 
-def live_possession(frames: DataFrame, radius: float | None = None, grace_ms: int = 1500, dwell_ms: int = 250, pitch: bool = False) -> DataFrame:
-    """Possession samples of a stream, as operators.possession gives them for a table. State per segment: when the ball was
-    last seen, the owner, and the owner proposed since when."""
-    radius = RADIUS[pitch] if radius is None else radius
+def _known(value) -> bool:
+    return value is not None and value == value
 
-    def known(value) -> bool:
-        return value is not None and value == value
 
-    def observe(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+def _text(value) -> str | None:
+    return value if _known(value) else None
+
+
+class _Possession(StatefulProcessor):
+    """Holds a segment's frames in list state until the watermark has passed them, then walks over them in order of ts_ms."""
+
+    def __init__(self, radius: float | None, grace_ms: int, dwell_ms: int):
+        self.radius, self.grace_ms, self.dwell_ms = radius, grace_ms, dwell_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.frames, self.owner = handle.getListState("frames", HELD), handle.getValueState("owner", OWNER)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            new = part[_HELD].astype(object).where(part[_HELD].notna(), None)
+            self.frames.appendList([tuple(r) for r in new.itertuples(index=False)])
+            least = int(part["at_ms"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted((dict(zip(_HELD, f, strict=True)) for f in self.frames.get()), key=lambda f: (f["at_ms"], f["ts_ms"]))
+        ready, later = [f for f in held if f["at_ms"] <= now], [f for f in held if f["at_ms"] > now]
+        state = tuple(self.owner.get()) if self.owner.exists() else (None,) * 9
+        if not held and (state[8] is None or state[8] + IDLE_MS <= now):
+            self.owner.clear()
             return
-        seen, team, player, next_team, next_player, since = state.get if state.exists else (None,) * 6
+        if later:
+            self.frames.put([tuple(f[c] for c in _HELD) for f in later])
+            self.handle.registerTimer(later[0]["at_ms"])
+        else:
+            self.frames.clear()
+        if ready:
+            out, state = self._walk(sorted(ready, key=lambda f: f["ts_ms"]), state[:8])
+            last = max(f["at_ms"] for f in ready)
+            self.owner.update((*state, last))
+            self.handle.registerTimer(last + IDLE_MS)
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=[f.split()[0] for f in ("seg", "ts_ms", "state", "team_key", "player_key", "ball_x", "ball_y", "confidence", "reason", "contenders", "coordinate_space")])
+
+    def _walk(self, frames: list[dict], state: tuple) -> tuple[list[tuple], tuple]:
+        seen, last_x, last_y, team, player, next_team, next_player, since = state
         out = []
-        for row in pd.concat(list(batches)).sort_values("ts_ms", kind="stable").itertuples(index=False):
-            near = list(row.near) if row.near is not None else []
-            one, two = (near + [None, None])[:2]
-            ts = int(row.ts_ms)
-            if row.scene_cut or row.replay_probability >= 0.65 or row.field_score < 0.14:
-                out.append((ts, "unknown", None, None, max(0.45, 1 - row.field_score)))
+        for f in frames:
+            ts, x, y, metres = int(f["ts_ms"]), f["ball_x"], f["ball_y"], bool(f["metres"])
+            space = "pitch_meters" if metres else "image_normalized"
+            radius = RADIUS[metres] if self.radius is None else self.radius
+            d1, d2 = f["d_1"], f["d_2"]
+            if f["dead"]:
+                out.append((ts, "unknown", None, None, None, None, max(0.45, 1 - f["field_score"]), "broadcast_not_live", None, space))
                 continue
-            if not (known(row.ball_x) and known(row.ball_y)):
-                held = seen is not None and ts - seen <= grace_ms and player is not None
-                out.append((ts, "controlled", team, player, 0.35) if held else (ts, "unknown", None, None, 0.15))
+            if not (_known(x) and _known(y)):
+                if f["ball_seen"]:
+                    out.append((ts, "unknown", None, None, None, None, 0.1, None, None, space))
+                elif seen is not None and ts - seen <= self.grace_ms and player is not None:
+                    out.append((ts, "controlled", team, player, last_x, last_y, 0.35, None, None, space))
+                else:
+                    out.append((ts, "unknown", None, None, None, None, 0.15, None, None, space))
                 continue
-            seen = ts
-            if pitch and not (-MARGIN <= row.ball_x <= PITCH[0] + MARGIN and -MARGIN <= row.ball_y <= PITCH[1] + MARGIN):
-                out.append((ts, "out", None, None, 0.76))
-            elif one is None or one["d"] > radius:
-                out.append((ts, "loose", None, None, 0.5))
-            elif two is not None and one["team_key"] and two["team_key"] and one["team_key"] != two["team_key"] and two["d"] <= radius * 1.15 and two["d"] - one["d"] <= radius * 0.25:
-                out.append((ts, "contested", None, None, 0.58))
+            seen, last_x, last_y = ts, x, y
+            one, two = (_text(f["team_1"]), _text(f["player_1"])), (_text(f["team_2"]), _text(f["player_2"]))
+            if metres and not (-MARGIN <= x <= PITCH[0] + MARGIN and -MARGIN <= y <= PITCH[1] + MARGIN):
+                out.append((ts, "out", None, None, x, y, 0.76, "pitch_boundary", None, space))
+            elif not _known(d1) or d1 > radius:
+                out.append((ts, "loose", None, None, x, y, 0.5, None, None, space))
+            elif _known(d2) and one[0] and two[0] and one[0] != two[0] and d2 <= radius * 1.15 and d2 - d1 <= radius * 0.25:
+                both = [{"team_key": t, "player_key": p} for t, p in (one, two)]
+                out.append((ts, "contested", None, None, x, y, 0.58, None, both, space))
             else:
-                offer = (one["team_key"], one["player_key"])
-                if since is None or offer != (next_team, next_player):
+                if since is None or one != (next_team, next_player):
                     if since is None:
-                        team, player = offer
-                    next_team, next_player, since = *offer, ts
-                elif ts - since >= dwell_ms:
-                    team, player = offer
-                out.append((ts, "controlled", team, player, min(0.98, max(0.25, one["confidence"] * (1 - one["d"] / radius)))))
-        state.update((seen, team, player, next_team, next_player, since))
-        state.setTimeoutDuration(IDLE_MS)
-        if out:
-            rows = pd.DataFrame(out, columns=["ts_ms", "state", "team_key", "player_key", "confidence"])
-            yield rows.assign(seg=key[0])[["seg", "ts_ms", "state", "team_key", "player_key", "confidence"]]
-
-    return nearest(frames).groupBy("seg").applyInPandasWithState(observe, SAMPLE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+                        team, player = one
+                    next_team, next_player, since = *one, ts
+                elif ts - since >= self.dwell_ms:
+                    team, player = one
+                out.append((ts, "controlled", team, player, x, y, min(0.98, max(0.25, f["sure_1"] * (1 - d1 / radius))), None, None, space))
+        return out, (seen, last_x, last_y, team, player, next_team, next_player, since)
+
+
+def live_possession(frames: DataFrame, late: str = "10 seconds", radius: float | None = None, grace_ms: int = 1500, dwell_ms: int = 250, pitch: bool = False) -> DataFrame:
+    """Possession samples of a stream, as operators.possession gives them for a table, with each frame's coordinate_space.
+
+    frames as in nearest(), with the time `at` they were taken, by which a segment's ts_ms rises, and where present ball_seen
+    and coordinate_space as in operators.possession. Frames may come in any order: each is held until the watermark, `late`
+    behind the newest frame of all segments, has passed it, so samples come out in order; frames later than that are dropped
+    by Spark and counted in the query's progress. State per segment: frames held, when and where the ball was last seen, the
+    owner, and the owner proposed since when; it ends after IDLE_MS without a frame."""
+    rows = nearest(frames)
+    metres = F.coalesce(F.col("coordinate_space") == "pitch_meters", F.lit(False)) if "coordinate_space" in frames.columns else F.lit(pitch)
+    seen = F.coalesce("ball_seen", F.lit(False)) if "ball_seen" in frames.columns else F.lit(False)
+    dead = F.col("scene_cut") | (F.col("replay_probability") >= 0.65) | (F.col("field_score") < 0.14)
+    near = {f"{out}_{k}": F.get("near", F.lit(k - 1))[c] for k in (1, 2) for out, c in (("d", "d"), ("team", "team_key"), ("player", "player_key"), ("sure", "confidence"))}
+    rows = rows.select("seg", "at", F.unix_millis("at").alias("at_ms"), "ts_ms", F.coalesce(dead, F.lit(False)).alias("dead"), "field_score", seen.alias("ball_seen"), "ball_x", "ball_y", metres.alias("metres"), *(c.alias(n) for n, c in near.items()))
+    return rows.withWatermark("at", late).groupBy("seg").transformWithStateInPandas(_Possession(radius, grace_ms, dwell_ms), SAMPLE, "append", "eventTime")
 
 
 def live_ball(candidates: DataFrame) -> DataFrame:
@@ -95,13 +159,55 @@ def live_ball(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("seg").applyInPandasWithState(choose, "seg long, ts_ms long, det_id long", "ts_ms long, cx double, cy double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_progress(frames: DataFrame) -> DataFrame:
-    """Frames and greatest time of each run; write it in update mode."""
-    return frames.groupBy("run_id").agg(F.count("*").alias("frames"), F.max("ts_ms").alias("done_ms"))
-
-
-def live_checks(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Frames(match_id, arrived, ts_ms, width, height) that keep the rules, each time of a match once. Repeats are found
-    within the watermark; frames later than it go, where a batch counts the watermark of the batch before the last."""
-    good = frames.where("ts_ms >= 0 and width > 0 and height > 0")
-    return good.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["match_id", "ts_ms"])
+def live_progress(frames: DataFrame, runs: DataFrame) -> DataFrame:
+    """operators.clocks.progress of a stream of frames(run_id, ts_ms, elapsed_ms) and the table runs(run_id, start_ms,
+    duration_ms): frames, time done, share, speed, time left and percent of each run. Write it in update mode."""
+    return progress(frames.join(runs.select("run_id", "start_ms", "duration_ms"), "run_id"))
+
+
+#: Repeats of a time are looked for among those of its minute.
+BUCKET_MS = 60_000
+
+
+class _Repeats(StatefulProcessor):
+    """Gives good rows whose time was there before the rule of repeats. State: a bucket's times, packed, until they are old."""
+
+    def __init__(self, keep_ms: int, columns: list[str]):
+        self.keep_ms, self.columns = keep_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "times binary", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = set(np.frombuffer(self.seen.get()[0], np.int64).tolist()) if self.seen.exists() else set()
+        known = len(before)
+        for part in rows:
+            rules = part["rule"].astype(object).where(part["rule"].notna(), None).tolist()
+            for i, (rule, ts) in enumerate(zip(rules, part["ts_ms"].tolist(), strict=True)):
+                if rule is None and int(ts) in before:
+                    rules[i] = "duplicate_timestamp"
+                elif rule is None:
+                    before.add(int(ts))
+            yield part.assign(rule=rules)[self.columns]
+        if len(before) > known:
+            self.seen.update((np.fromiter(before, np.int64, len(before)).tobytes(),))
+
+
+def live_checks(frames: DataFrame, headers: DataFrame | None = None, schema: str | None = None, engine: str | None = None, keep_ms: int = 600_000) -> DataFrame:
+    """All arriving frames(match_id, ts_ms, width, height, ...) with the `rule` each breaks, null for good ones: nothing is
+    dropped, so good and bad rows together are what arrived. Write both parts from one foreachBatch.
+
+    Rules are those of an import: `header_missing`, `schema` and `engine` by the table headers(match_id, schema, engine),
+    where given; `timestamp_missing`, `size_missing`, `out_of_range`; and `duplicate_timestamp` for all but the first good
+    frame of a match's time to come within keep_ms by the cluster's clock, after which its state goes."""
+    rule = frame_rule(F.col("ts_ms"), F.col("width"), F.col("height"))
+    rows = frames
+    if headers is not None:
+        bad = header_errors(headers, schema, engine).select("match_id", F.col("rule").alias("_header"))
+        heads = headers.select("match_id").distinct().join(bad.groupBy("match_id").agg(F.first("_header").alias("_header")), "match_id", "left").withColumn("_known", F.lit(True))
+        rows = rows.join(heads, "match_id", "left")
+        rule = F.when(F.col("_known").isNull(), "header_missing").otherwise(F.coalesce("_header", rule))
+    rows = rows.withColumn("rule", rule).drop("_header", "_known").withColumn("_bucket", F.when(F.col("rule").isNull(), F.expr(f"ts_ms div {BUCKET_MS}")))
+    rows = rows.select(*frames.columns, "rule", "_bucket")
+    out = T.StructType(rows.schema.fields[:-1])
+    return rows.groupBy("match_id", "_bucket").transformWithStateInPandas(_Repeats(keep_ms, out.names), out, "append", "processingTime")

@@ -2,9 +2,10 @@
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
-from sidelines.operators import detections, possession
+from sidelines.operators import clocks, detections, events, possession
 from sidelines.plans import detection
 from sidelines.plans import fixtures as fx
 from sidelines.plans.catalog import QUERIES
@@ -26,25 +27,43 @@ def drained(spark, rows, parts, tmp_path, make, by="ts_ms", mode="append"):
     return spark.table(name)
 
 
-def test_live_possession_equals_table(spark, tmp_path):
-    people = fx.athletes(spark, DATA)
-    packed = people.groupBy("seg", "ts_ms").agg(F.array_sort(F.collect_list(F.struct("obj_ord", "team_key", "player_key", "confidence", "x", "y"))).alias("athletes"))
-    frames = fx.frames(spark, DATA).join(packed, ["seg", "ts_ms"]).select("seg", "ts_ms", "field_score", "scene_cut", "replay_probability", "ball_x", "ball_y", "athletes")
-    columns = ["seg", "ts_ms", "state", "team_key", "player_key", F.round("confidence", 6)]
-    found = drained(spark, frames, 3, tmp_path, live.live_possession).select(*columns).collect()
-    assert sorted(map(str, found)) == sorted(map(str, possession.possession(fx.frames(spark, DATA), people).select(*columns).collect()))
+SAMPLE = ["seg", "ts_ms", "state", "team_key", "player_key", "round(ball_x, 6) as ball_x", "round(ball_y, 6) as ball_y", "round(confidence, 6) as confidence", "reason", "contenders"]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def test_live_possession_in_metres_equals_table(spark, tmp_path):
-    place = lambda c, x, y: F.expr(f"{c} * 140 - 20" if c == x else f"{c} * 90 - 10").alias(c)
-    people = fx.athletes(spark, DATA).withColumns({c: place(c, "x", "y") for c in ("x", "y")})
-    balls = fx.frames(spark, DATA).withColumns({c: place(c, "ball_x", "ball_y") for c in ("ball_x", "ball_y")})
+def disordered(spark, people, balls, extra=()):
+    """Frames with the time they were taken, that arrive up to four seconds late, and a last one that moves the watermark."""
     packed = people.groupBy("seg", "ts_ms").agg(F.array_sort(F.collect_list(F.struct("obj_ord", "team_key", "player_key", "confidence", "x", "y"))).alias("athletes"))
-    frames = balls.join(packed, ["seg", "ts_ms"]).select("seg", "ts_ms", "field_score", "scene_cut", "replay_probability", "ball_x", "ball_y", "athletes")
-    columns = ["seg", "ts_ms", "state", "team_key", "player_key", F.round("confidence", 6)]
-    found = drained(spark, frames, 3, tmp_path, lambda s: live.live_possession(s, pitch=True)).select(*columns).collect()
-    assert sorted(map(str, found)) == sorted(map(str, possession.possession(balls, people, pitch=True).select(*columns).collect()))
-    assert sum(r.state == "out" for r in found) > 0
+    frames = balls.join(packed, ["seg", "ts_ms"], "left").select("seg", "ts_ms", "field_score", "scene_cut", "replay_probability", "ball_x", "ball_y", "athletes", *extra)
+    last = frames.limit(1).withColumn("seg", F.lit(-1).cast("long")).withColumn("ts_ms", F.lit(10**9).cast("long"))
+    frames = frames.unionByName(last).withColumn("at", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("ts_ms")))
+    return frames.withColumn("arrives", F.col("ts_ms") + F.pmod(F.xxhash64("seg", "ts_ms"), F.lit(4000))).withColumn("arrives", F.col("arrives").cast("double"))
+
+
+@pytest.mark.parametrize("metres", [False, True])
+def test_live_possession_puts_late_frames_in_order(rocks, tmp_path, metres):
+    spark = rocks
+    people, balls = fx.athletes(spark, DATA).where("seg < 3 and ts_ms % 700 <> 0"), fx.frames(spark, DATA).where("seg < 3")
+    balls = balls.withColumn("ball_seen", F.col("ball_x").isNotNull() | (F.col("ts_ms") % 900 == 0)).withColumn("scene_cut", F.col("ts_ms") % 1100 == 0)
+    if metres:  # every third frame is in shares of the image
+        place = lambda c, x: F.when(F.col("ts_ms") % 3 == 0, F.col(c)).otherwise(F.expr(f"{c} * 140 - 20" if c == x else f"{c} * 90 - 10")).alias(c)
+        people, balls = people.withColumns({c: place(c, "x") for c in ("x", "y")}), balls.withColumns({c: place(c, "ball_x") for c in ("ball_x", "ball_y")})
+    balls = balls.withColumn("coordinate_space", F.when(F.col("ts_ms") % 3 != 0, "pitch_meters") if metres else F.lit(None).cast("string"))
+    wanted = possession.possession(balls, people)
+    found = drained(spark, disordered(spark, people, balls, ("ball_seen", "coordinate_space")), 5, tmp_path, live.live_possession, by="arrives").where("seg >= 0")
+    rows = found.selectExpr(*SAMPLE).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, wanted.selectExpr(*SAMPLE).collect()))
+    seen = {r.state for r in rows}
+    assert {"controlled", "contested", "loose", "unknown"} <= seen and ("out" in seen) == metres and {r.coordinate_space for r in found.select("coordinate_space").distinct().collect()} == ({"pitch_meters", "image_normalized"} if metres else {"image_normalized"})
+    for detect in (events.duels, events.outs, events.shots):
+        assert sorted(map(str, detect(found).collect())) == sorted(map(str, detect(wanted).collect()))
 
 
 def test_live_ball_equals_table(spark, tmp_path):
@@ -54,24 +73,33 @@ def test_live_ball_equals_table(spark, tmp_path):
 
 
 def test_live_progress_equals_table(spark, tmp_path):
-    rows = fx.frames(spark, DATA).selectExpr("seg as run_id", "ts_ms")
-    found = drained(spark, rows, 3, tmp_path, live.live_progress, mode="update")
-    last = found.groupBy("run_id").agg(F.max("frames"), F.max("done_ms")).collect()
-    assert found.count() > len(last) and sorted(map(tuple, last)) == sorted(map(tuple, live.live_progress(rows).collect()))
-
-
-def test_live_checks_drop_bad_repeated_and_late_frames(spark, tmp_path):
-    def frame(i):  # six batches: three bring the same times again, two are hours on, the last is late (Spark tells a batch after the next)
-        hours = 3 if 60 <= i < 100 else 0
-        ts = i % 20 * 40 if i < 60 else i * 40
-        return i, i % 2, hours * 3600 + i, -40 if i == 7 else ts, 0 if i in (11, 100) else 1280, 720
-
-    frames = [frame(i) for i in range(120)]
-    rows = spark.createDataFrame(frames, "ord long, match_id long, second long, ts_ms long, width int, height int")
-    rows = rows.withColumn("arrived", F.timestamp_seconds("second"))
-    found = [(r.match_id, r.ts_ms) for r in drained(spark, rows, 6, tmp_path, live.live_checks, by="ord").collect()]
-    in_time = {(m, ts) for i, m, _, ts, width, _ in frames if ts >= 0 and width > 0 and i < 100}
-    assert len(found) == len(set(found)) and set(found) == in_time
+    rows = fx.frames(spark, DATA).selectExpr("seg as run_id", "ts_ms", "ts_ms div 3 + 5 as elapsed_ms")
+    runs = rows.select("run_id").distinct().selectExpr("run_id", "run_id * 10 as start_ms", "90000 + run_id as duration_ms")
+    found = drained(spark, rows, 3, tmp_path, lambda s: live.live_progress(s, runs), mode="update").collect()
+    wanted = {r.run_id: r for r in clocks.progress(rows.join(runs, "run_id")).collect()}
+    last = {}
+    for r in sorted(found, key=lambda r: r.frames):
+        last[r.run_id] = r
+    assert len(found) > len(last) and last == wanted and {r.percent for r in last.values()} != {68}
+
+
+def test_live_checks_name_every_bad_frame(rocks, tmp_path):
+    spark = rocks
+    frames = [(i, f"m{i % 4}", None if i == 4 else -40 if i == 8 else i % 60 * 40, 0 if i == 12 else None if i == 16 else 1280, 720) for i in range(160)]
+    rows = spark.createDataFrame([(*f, "x") for f in frames], "ord long, match_id string, ts_ms long, width long, height long, payload string")
+    heads = spark.createDataFrame([("m0", "s/1", "a"), ("m1", "s/1", "a"), ("m2", "s/0", "a")], "match_id string, schema string, engine string")
+    found = drained(spark, rows, 5, tmp_path, lambda s: live.live_checks(s, heads, "s/1", "a"), by="ord")
+    assert found.columns == [*rows.columns, "rule"]
+    got = {r.ord: r for r in found.collect()}
+    assert len(got) == found.count() == 160 and sorted(map(tuple, found.drop("rule").collect())) == sorted(map(tuple, rows.collect()))
+    good = {}
+    for i, match, ts, width, _ in frames:
+        rule = {"m2": "schema", "m3": "header_missing"}.get(match) or ("timestamp_missing" if ts is None else "size_missing" if width is None else "out_of_range" if ts < 0 or width <= 0 else None)
+        if rule:
+            assert got[i].rule == rule
+        else:
+            good.setdefault((match, ts), []).append(got[i].rule)
+    assert all(sorted(map(str, rules)) == ["None", *["duplicate_timestamp"] * (len(rules) - 1)] for rules in good.values()) and max(map(len, good.values())) > 2
 
 
 def overlap(a, b):
