@@ -11,83 +11,89 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelines.llm.common import cut
-from sidelines.llm.text import Words, distinct, mix, parts, runs_hash
+from sidelines.llm.text import BYTES_AT_ONCE, Words, distinct, mix, parts, runs_hash
 
 _all = np.arange(256)
 _SPLIT = np.isin(_all, [ord(c) for c in ".,;:!?"]) | ((_all >= 0x0A) & (_all <= 0x0D))
 _WORD = ~(_SPLIT | (_all == 0x20) | (_all == 0x09))
-#: Bits of a word id within a task.
-ID_BITS = 20
+#: Bits of a word id within a task, and of those that tell apart the first words of one container.
+ID_BITS, GROUP_BITS = 19, 6
 #: Entries of a container before it bursts; entries of a task's trie before subtrees are spilled; those that a container costs.
-BURST, MOST_ENTRIES, CONTAINER = 4096, 800_000, 4
+BURST, MOST_ENTRIES, CONTAINER = 4096, 600_000, 4
 #: Slots of the table that tells which phrases can't be frequent: 2 ** 27 bits, 16 MiB at any size of the corpus.
 SLOT_BITS = 27
 ROWS_AT_ONCE = 1 << 16
 #: Phrases of a slice that are counted at once: their words fit into the ids.
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 18
 COUNTED = "lang string, phrase string, n long"
 
 
 class Node(dict):
-    """A burst container: the next word's id -> container or node below."""
+    """A burst container: the next field of the key -> container or node below."""
 
 
 class HatTrie:
-    """Counts of phrases of `length` word ids. Each first word leads to a container, a hash table from the packed ids of
-    the words after it to counts; one of over BURST entries bursts into a node by the next word."""
+    """Counts of phrases of `length` word ids. First words lead, 2 ** GROUP_BITS to one, to a container: a hash table from a
+    key, in which what tells those words apart and the ids of the words after it are packed, to a count. A container of over
+    `burst` entries bursts into a node, first by first word and then by the words after it."""
 
     def __init__(self, length: int, bits: int = ID_BITS, burst: int = BURST):
-        self.rest, self.bits, self.burst = length - 1, bits, burst
+        self.bits, self.burst = bits, burst
+        #: What is left of a key below a node of each depth, in bits.
+        self.below = [bits * n for n in range(length - 1, 0, -1)]
         self.roots: dict[int, dict] = {}
         self.entries = 0
 
     def add(self, first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> None:
         """Phrases, each once: the first word's id, the others' packed ids, and how often."""
-        order = np.argsort(first, kind="stable")
-        first, rest, counts = first[order], rest[order].tolist(), counts[order].tolist()
-        cuts = np.flatnonzero(np.diff(first)) + 1
-        starts = [0, *cuts.tolist()] if len(first) else []
-        for word, a, b in zip(first[starts].tolist() if starts else [], starts, [*starts[1:], len(first)], strict=True):
-            at = self.roots.get(word)
-            if at is None:
-                at = self.roots[word] = {}
-                self.entries += CONTAINER
-            if self._put(at, rest[a:b], counts[a:b], self.rest) and self.rest > 1:
-                self.roots[word] = self._burst(at, self.rest)
-
-    def _put(self, at: dict, keys: list[int], counts: list[int], words: int) -> bool:
+        root = first >> GROUP_BITS
+        order = np.argsort(root, kind="stable")
+        root, counts = root[order], counts[order].tolist()
+        keys = ((first & (1 << GROUP_BITS) - 1) << self.below[0] | rest)[order].tolist()
+        starts = np.flatnonzero(np.diff(root, prepend=-1)).tolist()
+        for at, a, b in zip(root[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+            box = self.roots.get(at)
+            if box is None:
+                box = self._new(self.roots, at)
+            if self._put(box, keys[a:b], counts[a:b], 0):
+                self.roots[at] = self._burst(box, 0)
+
+    def _new(self, parent: dict, at: int) -> dict:
+        self.entries += CONTAINER
+        box = parent[at] = {}
+        return box
+
+    def _put(self, at: dict, keys: list[int], counts: list[int], depth: int) -> bool:
         """Whether the container is now to burst."""
-        if type(at) is Node:
-            low = self.bits * (words - 1)
+        if type(at) is not Node:
+            before = len(at)
             for key, n in zip(keys, counts, strict=True):
-                word = key >> low
-                below = at.get(word)
-                if below is None:
-                    below = at[word] = {}
-                    self.entries += CONTAINER
-                if self._put(below, [key & ((1 << low) - 1)], [n], words - 1) and words > 2:
-                    at[word] = self._burst(below, words - 1)
-            return False
-        before = len(at)
+                at[key] = at.get(key, 0) + n
+            self.entries += len(at) - before
+            return len(at) > self.burst and depth < len(self.below)
+        low = self.below[depth]
         for key, n in zip(keys, counts, strict=True):
-            at[key] = at.get(key, 0) + n
-        self.entries += len(at) - before
-        return len(at) > self.burst
-
-    def _burst(self, box: dict, words: int) -> Node:
-        low, node = self.bits * (words - 1), Node()
+            field = key >> low
+            box = at.get(field)
+            if box is None:
+                box = self._new(at, field)
+            if self._put(box, [key & ((1 << low) - 1)], [n], depth + 1):
+                at[field] = self._burst(box, depth + 1)
+        return False
+
+    def _burst(self, box: dict, depth: int) -> Node:
+        low, node = self.below[depth], Node()
         for key, n in box.items():
             node.setdefault(key >> low, {})[key & ((1 << low) - 1)] = n
         self.entries += CONTAINER * len(node)
         return node
 
-    def _containers(self, at: dict, words: int, before: int = 0) -> Iterator[tuple[int, dict]]:
+    def _containers(self, at: dict, depth: int, before: int = 0) -> Iterator[tuple[int, dict]]:
         if type(at) is not Node:
             yield before, at
             return
-        low = self.bits * (words - 1)
-        for word, below in at.items():
-            yield from self._containers(below, words - 1, before | word << low)
+        for field, box in at.items():
+            yield from self._containers(box, depth + 1, before | field << self.below[depth])
 
     def _size(self, at: dict) -> int:
         return CONTAINER + (sum(map(self._size, at.values())) if type(at) is Node else len(at))
@@ -96,15 +102,17 @@ class HatTrie:
         """Takes out whole subtrees, the largest first, until at most `down_to` entries are left: first words, packed ids of the
         others, counts."""
         out: list[tuple[int, int, dict]] = []
-        for size, word in sorted(((self._size(at), word) for word, at in self.roots.items()), reverse=True):
+        for size, root in sorted(((self._size(at), root) for root, at in self.roots.items()), reverse=True):
             if self.entries <= down_to:
                 break
-            out += [(word, before, box) for before, box in self._containers(self.roots.pop(word), self.rest)]
+            out += [(root, before, box) for before, box in self._containers(self.roots.pop(root), 0)]
             self.entries -= size
         lengths = [len(box) for _, _, box in out]
-        first, before = (np.repeat(np.array([x[i] for x in out], np.int64), lengths) for i in (0, 1))
+        root, before = (np.repeat(np.array([x[i] for x in out], np.int64), lengths) for i in (0, 1))
         keys, counts = (np.fromiter(chain.from_iterable(part), np.int64, sum(lengths)) for part in ((box for _, _, box in out), (box.values() for _, _, box in out)))
-        return first, before | keys, counts
+        keys |= before
+        low = self.below[0]
+        return root << GROUP_BITS | keys >> low, keys & (1 << low) - 1, counts
 
 
 class Vocabulary:
@@ -211,7 +219,7 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
     bits, burst, most, at_once = ID_BITS, BURST, MOST_ENTRIES, WORDS_AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, trie, single = Vocabulary(), HatTrie(length, bits, burst), np.zeros(0, np.int64)
+        vocabulary, trie, single = Vocabulary(), HatTrie(max(length, 2), bits, burst), np.zeros(0, np.int64)
 
         def rows(first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """A sorted run, word by word."""
@@ -229,9 +237,9 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
             nonlocal vocabulary, trie, single
             found = np.flatnonzero(single)
             yield from rows(found, np.zeros(len(found), np.int64), single[found]) if length == 1 else rows(*trie.spill(0))
-            vocabulary, trie, single = Vocabulary(), HatTrie(length, bits, burst), np.zeros(0, np.int64)
+            vocabulary, trie, single = Vocabulary(), HatTrie(max(length, 2), bits, burst), np.zeros(0, np.int64)
 
-        for batch in parts(batches):
+        for batch in parts(batches, most=BYTES_AT_ONCE // 2):
             b = Batch(batch.column(0), batch.column(1))
             at = np.flatnonzero(b.left >= length)
             if table is not None and len(at):
@@ -258,7 +266,7 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
                     rest = rest << bits | ids[code[first + j]]
                 trie.add(ids[code[first]], rest, counts)
                 if trie.entries > most:
-                    yield from rows(*trie.spill(most // 2))
+                    yield from rows(*trie.spill(most // 4))
         yield from flush()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
