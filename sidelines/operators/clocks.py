@@ -1,11 +1,10 @@
 """Sampling, clocks, tracking windows and joins by nearest time. Times are whole milliseconds."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+from sidelines.functions.streams import sorted_fold
 
 #: Where the windows of a half lie, as a share of the time that is free, by windows per half.
 POSITIONS = {1: (0.5,), 2: (0.25, 0.7), 3: (0.18, 0.5, 0.78), 4: (0.1, 0.36, 0.64, 0.9)}
@@ -32,19 +31,21 @@ def decimate(frames: DataFrame, fps: float, by: list[str] = ["seg"]) -> DataFram
 def repair_clock(frames: DataFrame) -> DataFrame:
     """frames(seg, frame, reported_ms, start_ms, fps) with ts_ms: the reported time if it is not before start_ms and later
     than the frame before, else the frame number's time, and always one native frame after the last at least. Every
-    time depends on the one before, so a segment is one ordered pass over pandas rows."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame", kind="stable")
-        times: list[int] = []
-        for frame, reported, start, fps in rows[["frame", "reported_ms", "start_ms", "fps"]].itertuples(index=False):
-            native = max(1, round(1000 / fps))
-            good = reported == reported and reported is not None and reported >= start and (not times or reported > times[-1])
+    time depends on the one before: a segment is one sorted pass."""
+
+    def begin():
+        last = None
+
+        def step(frame: int, reported: float | None, start: int, fps: float) -> tuple[int]:
+            nonlocal last
+            good = reported is not None and reported == reported and reported >= start and (last is None or reported > last)
             now = int(reported) if good else round(frame * 1000 / fps)
-            times.append(now if not times or now > times[-1] else times[-1] + native)
-        return rows.assign(ts_ms=pd.Series(times, index=rows.index, dtype="int64"))
+            last = now if last is None or now > last else last + max(1, round(1000 / fps))
+            return (last,)
+
+        return step
 
-    return frames.groupBy("seg").applyInPandas(walk, T.StructType([*frames.schema.fields, T.StructField("ts_ms", T.LongType())]))
+    return sorted_fold(frames, ["seg"], ["frame"], ["frame", "reported_ms", "start_ms", "fps"], [T.StructField("ts_ms", T.LongType())], begin)
 
 
 def to_match_time(rows: DataFrame, periods: DataFrame) -> DataFrame:
@@ -74,8 +75,20 @@ def effective_fps(requested: Column, native: Column, floor: float = 0.0) -> Colu
     return F.round(F.when(native > 0, F.least(wanted, native)).otherwise(wanted), 3)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int, by: list[str] = ["seg"]) -> DataFrame:  # noqa: B006
-    """Left rows with `near`, a struct of the right row nearest in ts_ms within the tolerance (ties: the later), else null.
+def frame_tolerance(fps: Column, least_ms: int = 120) -> Column:
+    """How far a result's frame may lie from the frame asked for, at the result's rate."""
+    return F.greatest(F.lit(least_ms), F.ceil(500 / F.greatest(F.lit(0.1), fps)) + 5)
+
+
+def estimated_frames(windows: DataFrame, fps: Column | float, by: list[str] = ["match_id"]) -> DataFrame:  # noqa: B006
+    """(by, frames): how many frames the windows of tracking_windows() have at a rate, a number or a column of windows."""
+    rate = F.max(fps) if isinstance(fps, Column) else F.lit(fps)
+    return windows.groupBy(*by).agg(F.ceil(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000 * rate).alias("frames"))
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int | str, by: list[str] = ["seg"]) -> DataFrame:  # noqa: B006
+    """Left rows with `near`, a struct of the right row nearest in ts_ms within the tolerance (ties: the later), else null. The
+    tolerance is a number or a column of the left rows.
     Both sides pass through one shuffle; each direction is a running window, so work is linear in a segment's rows."""
     kept = F.struct(*right.columns)
     rows = left.select(*by, "ts_ms", F.lit(1).alias("side"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(kept.alias("r")).schema["r"].dataType).alias("r"))
@@ -87,16 +100,22 @@ def asof_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int, by: list[
     far = lambda c: F.abs(F.col(f"{c}.ts_ms") - F.col("ts_ms"))
     best = F.when(F.col("b").isNull() | (far("a") <= far("b")), F.col("a")).otherwise(F.col("b"))
     rows = rows.withColumn("near", best)
-    return rows.select("l.*", F.when(far("near") <= tolerance_ms, F.col("near")).alias("near"))
+    most = F.col(f"l.{tolerance_ms}") if isinstance(tolerance_ms, str) else F.lit(tolerance_ms)
+    return rows.select("l.*", F.when(far("near") <= most, F.col("near")).alias("near"))
 
 
-def fuse(local: DataFrame, external: DataFrame, tolerance_ms: int) -> DataFrame:
+def fuse(local: DataFrame, external: DataFrame, tolerance_ms: int | str) -> DataFrame:
     """Local frames(seg, ts_ms, objects array of structs with a role) with the athletes of the nearest external frame and the
-    first local ball; `missing` marks frames without an external one, which keep the ball alone."""
+    first local ball; `missing` marks frames without an external one, which keep the ball alone. Where both sides have width
+    and height, frames whose external one has another size break the `rule` size and take no athlete from it."""
+    sizes = ["width", "height"] if {"width", "height"} <= {*local.columns} & {*external.columns} else []
     athletes = F.filter("near.objects", lambda o: o["role"].isin("player", "goalkeeper", "referee"))
     ball = F.slice(F.filter("objects", lambda o: o["role"] == "ball"), 1, 1)
-    rows = asof_nearest(local, external.select("seg", "ts_ms", "objects"), tolerance_ms).withColumn("missing", F.col("near").isNull())
-    return rows.withColumn("source_ms", F.col("near.ts_ms")).withColumn("objects", F.concat(F.coalesce(athletes, F.slice("objects", 1, 0)), ball)).drop("near")
+    rows = asof_nearest(local, external.select("seg", "ts_ms", "objects", *sizes), tolerance_ms).withColumn("missing", F.col("near").isNull())
+    other = F.col("near").isNotNull() & ~F.struct(*sizes).eqNullSafe(F.struct(*(f"near.{c}" for c in sizes))) if sizes else F.lit(False)
+    rows = rows.withColumn("rule", F.when(other, "size"))
+    taken = F.when(F.col("rule").isNull(), athletes)
+    return rows.withColumn("source_ms", F.col("near.ts_ms")).withColumn("objects", F.concat(F.coalesce(taken, F.slice("objects", 1, 0)), ball)).drop("near")
 
 
 def coverage(frames: DataFrame, by: str = "seg", most: float = 0.05) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sidelines.functions.columns import distance, ordered
+from sidelines.functions.streams import sorted_fold
 
 #: Other names of the roles.
 ALIASES = {
@@ -79,32 +80,55 @@ def ball_candidates(balls: DataFrame, athletes: DataFrame, width: int = 1920, he
     return rows.join(feet, "frame", "left").withColumn("gain", gain).withColumn("near", F.col("gain").isNotNull()).withColumn("gain", F.coalesce("gain", F.lit(0.0))).drop("feet")
 
 
+def pick_ball(ts: int, candidates: list[tuple], before: tuple | None) -> int | None:
+    """Which of one time's candidates(cx, cy, confidence, gain, near) is the ball, given (ts_ms, cx, cy) of the last choice."""
+    best, most = None, 0.0
+    for i, (x, y, confidence, gain, near) in enumerate(candidates):
+        score, fits = confidence + gain, near
+        if before is not None and ts - before[0] <= 1500:
+            away = hypot(x - before[1], y - before[2])
+            limit = min(360.0, max(85.0, max(1, ts - before[0]) * 1.1))
+            if away <= limit:
+                score, fits = score + 0.5 * (1 - away / limit), True
+        if fits and (best is None or score > most):
+            best, most = i, score
+    return best
+
+
+_BALL = ("cx", "cy", "confidence", "gain", "near")
+
+
 def follow_ball(rows: pd.DataFrame, before: tuple | None) -> Iterator:
     """The candidate chosen at each time; before: (ts_ms, cx, cy) of the choice before these rows."""
     for ts, group in groupby(rows.sort_values(["ts_ms", "det_id"]).itertuples(), key=lambda r: r.ts_ms):
-        best, most = None, 0.0
-        for r in group:
-            score, fits = r.confidence + r.gain, r.near
-            if before is not None and ts - before[0] <= 1500:
-                away = hypot(r.cx - before[1], r.cy - before[2])
-                limit = min(360.0, max(85.0, max(1, ts - before[0]) * 1.1))
-                if away <= limit:
-                    score, fits = score + 0.5 * (1 - away / limit), True
-            if fits and (best is None or score > most):
-                best, most = r, score
+        group = list(group)
+        best = pick_ball(ts, [tuple(getattr(r, c) for c in _BALL) for r in group], before)
         if best is not None:
-            before = (ts, best.cx, best.cy)
-            yield best
+            before = (ts, group[best].cx, group[best].cy)
+            yield group[best]
 
 
 def select_ball(candidates: DataFrame) -> DataFrame:
     """At most one of candidates(seg, ts_ms, det_id, cx, cy, confidence, gain, near) per time: near an athlete or near the
-    ball chosen before, whose place raises the score. The choice feeds the next one, so a segment is one ordered pass."""
+    ball chosen before, whose place raises the score. The choice feeds the next one, so a segment is one sorted pass over
+    its times, each with its few candidates."""
+    columns = [c for c in candidates.columns if c not in ("seg", "ts_ms", "det_id")]
+    times = candidates.groupBy("seg", "ts_ms").agg(F.array_sort(F.collect_list(F.struct("det_id", *columns))).alias("c"))
+
+    def begin():
+        before = None
+
+        def step(ts: int, found: list[dict]) -> tuple[int | None]:
+            nonlocal before
+            best = pick_ball(ts, [tuple(f[c] for c in _BALL) for f in found], before)
+            if best is not None:
+                before = (ts, found[best]["cx"], found[best]["cy"])
+            return (best,)
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.loc[[r.Index for r in follow_ball(rows, None)]]
+        return step
 
-    return candidates.groupBy("seg").applyInPandas(walk, candidates.schema)
+    chosen = sorted_fold(times, ["seg"], ["ts_ms"], ["ts_ms", "c"], [T.StructField("best", T.IntegerType())], begin).where("best is not null")
+    return chosen.withColumn("c", F.get("c", F.col("best"))).select("seg", "ts_ms", "c.*").select(candidates.columns)
 
 
 def vote_team(seen: DataFrame) -> DataFrame:
@@ -145,7 +169,61 @@ def classify_jersey(features: DataFrame, centres: DataFrame, home: str = "A", ma
     return rows.withColumn("team", F.when(group == home, "home").when(group.isNotNull(), "away")).drop("a", "b")
 
 
-def detection_counts(detections: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+def _two_groups(samples: np.ndarray, rounds: int = 40, rest: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+    """Two centres of samples(hue, sat), the one of lower saturation first, and how many samples each has: means below and above
+    the mean saturation, moved until they rest."""
+    side = samples[:, 1] > samples[:, 1].mean()
+    centres = np.full((2, 2), np.nan)
+    for _ in range(rounds):
+        if side.all() or not side.any():
+            break
+        new = np.array([samples[~side].mean(axis=0), samples[side].mean(axis=0)])
+        still = np.abs(new - centres).max() <= rest
+        centres = new
+        far = np.linalg.norm(samples[:, None, :] - centres[None], axis=2)
+        side = far[:, 1] < far[:, 0]
+        if still:
+            break
+    order = np.lexsort((centres[:, 0], centres[:, 1]))
+    return centres[order], np.array([(~side).sum(), side.sum()])[order]
+
+
+def calibrated_teams(features: DataFrame, order: list[str], home: str = "A", keep: int = 400, first: int = 12, every: int = 40, least_share: float = 0.12, least_distance: float = 12.0, margin: float = 3.0) -> DataFrame:
+    """features(match_id, order, hue, sat, ...) with `team`, by the two jersey groups in force when each was seen, and `fits`, how
+    many fits there had been.
+
+    A match's features come in the given order. The last `keep` are held; groups are fitted from `first` of them on and again
+    when `every` more are held than at the last fit, hence not any more once all `keep` are held and fitted. A fit with a group
+    under least_share of the samples (two at least) or closer centres than least_distance is not taken, and the next feature tries again.
+    The nearer group's team, null before the first fit or if the other is less than margin farther. Features without a hue or
+    sat have no team and are not held. The state is the held samples: a match passes as a sorted stream and is never held whole."""
+    names = {0: "home", 1: "away"} if home == "A" else {0: "away", 1: "home"}
+
+    def begin():
+        held, centres, last, fits = [], None, 0, 0
+
+        def step(hue: float | None, sat: float | None) -> tuple[str | None, int]:
+            nonlocal centres, last, fits
+            if hue is None or sat is None:
+                return None, fits
+            held.append((hue, sat))
+            del held[:-keep]
+            if len(held) >= first and (centres is None or len(held) - last >= every):
+                found, sizes = _two_groups(np.array(held, float))
+                if sizes.min() >= max(2, round(len(held) * least_share)) and np.linalg.norm(found[0] - found[1]) >= least_distance:
+                    centres, last, fits = found.tolist(), len(held), fits + 1
+            if centres is None:
+                return None, fits
+            a, b = (hypot(c[0] - hue, c[1] - sat) for c in centres)
+            return names[int(b < a)] if abs(b - a) >= margin else None, fits
+
+        return step
+
+    added = [T.StructField("team", T.StringType()), T.StructField("fits", T.IntegerType())]
+    return sorted_fold(features, ["match_id"], order, ["hue", "sat"], added, begin)
+
+
+def detection_counts(detections: DataFrame, kept: DataFrame | None = None, threshold: float = 0.25) -> DataFrame:
     """Per frame: detections of each kind, with athletes under the threshold apart, and, if `kept` holds what
     suppress_duplicates left of the persons, how many of them were duplicates."""
     person = F.col("role").isin("player", "goalkeeper")
@@ -153,9 +231,9 @@ def detection_counts(detections: DataFrame, kept: DataFrame | None = None) -> Da
         people = lambda rows, n: rows.where(F.col("role").isin("player", "goalkeeper", "referee")).groupBy("frame").agg(F.count("*").alias(n))
         left = people(detections, "before").join(people(kept, "after"), "frame", "left")
         gone = left.select("frame", F.greatest(F.lit(0), F.col("before") - F.coalesce("after", F.lit(0))).alias("duplicates"))
-        return detection_counts(detections).join(gone, "frame", "left").fillna(0, ["duplicates"])
+        return detection_counts(detections, threshold=threshold).join(gone, "frame", "left").fillna(0, ["duplicates"])
     return detections.groupBy("frame").agg(
-        F.count("*").alias("detections"), F.count_if(person & (F.col("confidence") >= 0.25)).alias("athletes"), F.count_if(person & (F.col("confidence") < 0.25)).alias("rejected_athletes"),
+        F.count("*").alias("detections"), F.count_if(person & (F.col("confidence") >= threshold)).alias("athletes"), F.count_if(person & (F.col("confidence") < threshold)).alias("rejected_athletes"),
         F.count_if(F.col("role") == "referee").alias("referees"), F.count_if(F.col("role") == "ball").alias("balls"), F.count_if(F.col("role") == "other").alias("others"),
     )
 
@@ -223,24 +301,47 @@ def reprojection_error(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("seg").agg(F.count("*").alias("pairs"), F.when(F.count("*") >= 4, error).alias("mean_error"))
 
 
-def compose_homographies(camera: DataFrame) -> DataFrame:
-    """camera(seg, ts_ms, h, reliable, reset) with `total`: the product of the reliable matrices since the last reset. Products
-    are ordered, so each shot (at most a segment) is folded over its sorted frames."""
-    shot = F.sum(F.col("reset").cast("int")).over(ordered(["seg"], "ts_ms"))
+def _product(a: Column, b: Column) -> Column:
+    """Of two row-major 3 by 3 matrices, so scaled that its last entry is 1 where that is not 0."""
+    cells = [F.get(a, F.lit(3 * i)) * F.get(b, F.lit(j)) + F.get(a, F.lit(3 * i + 1)) * F.get(b, F.lit(3 + j)) + F.get(a, F.lit(3 * i + 2)) * F.get(b, F.lit(6 + j)) for i in range(3) for j in range(3)]
+    by = F.when(F.abs(cells[8]) > 1e-12, cells[8]).otherwise(1.0)
+    return F.array(*(c / by for c in cells))
 
-    rows = camera.withColumn("shot", shot)
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts_ms", kind="stable")
-        total, out = np.eye(3), []
-        for h, good in part[["h", "reliable"]].itertuples(index=False):
-            if good and h is not None:
-                total = total @ np.asarray(h, float).reshape(3, 3)
+def _running(rows: DataFrame, by: list[str], order: str, matrix: str, out: str) -> DataFrame:
+    """rows with the products of a key's matrices up to each row; null ones change nothing."""
+
+    def begin():
+        total = np.eye(3)
+
+        def step(h: list[float] | None) -> tuple[list[float]]:
+            nonlocal total
+            if h is not None:
+                total = total @ np.array(h, float).reshape(3, 3)
                 total = total / total[2, 2] if abs(total[2, 2]) > 1e-12 else total
-            out.append(total.ravel().tolist())
-        return part.assign(total=out)
+            return (total.ravel().tolist(),)
+
+        return step
+
+    return sorted_fold(rows, by, [order], [matrix], [T.StructField(out, T.ArrayType(T.DoubleType()))], begin)
+
+
+def compose_homographies(camera: DataFrame, block: int = 256) -> DataFrame:
+    """camera(seg, ts_ms, h, reliable, reset) with `shot` and `total`: the product of the reliable matrices since the last reset.
 
-    return rows.groupBy("seg", "shot").applyInPandas(walk, T.StructType([*rows.schema.fields, T.StructField("total", T.ArrayType(T.DoubleType()))]))
+    Products don't commute but may be bracketed at will: a shot is cut into blocks of `block` frames, which are multiplied in
+    parallel, the blocks' own products are then multiplied up in order, one row a block, and each frame's total is the product before its
+    block times the one inside it. So no task holds more than a block, or a shot's blocks."""
+    rows = camera.withColumn("shot", F.sum(F.col("reset").cast("int")).over(ordered(["seg"], "ts_ms")))
+    place = F.row_number().over(ordered(["seg", "shot"], "ts_ms")) - 1
+    rows = rows.withColumn("_block", F.floor(place / block)).withColumn("_h", F.when(F.col("reliable"), F.col("h")))
+    inside = _running(rows, ["seg", "shot", "_block"], "ts_ms", "_h", "_inside")
+    blocks = inside.groupBy("seg", "shot", "_block").agg(F.max_by("_inside", "ts_ms").alias("_own"))
+    upto = _running(blocks, ["seg", "shot"], "_block", "_own", "_before")
+    before = upto.select("seg", "shot", (F.col("_block") + 1).alias("_block"), "_before")
+    found = inside.join(before, ["seg", "shot", "_block"], "left")
+    total = F.when(F.col("_before").isNull(), F.col("_inside")).otherwise(_product(F.col("_before"), F.col("_inside")))
+    return found.select(*camera.columns, "shot", total.alias("total"))
 
 
 def camera_summary(camera: DataFrame, by: str = "seg") -> DataFrame:

@@ -38,11 +38,20 @@ def passing_samples(runs: DataFrame, most: int = 25) -> DataFrame:
     return latest_runs(rows.where(fine).drop("place"))
 
 
-def eligible_matches(matches: DataFrame, periods: DataFrame, runs: DataFrame) -> DataFrame:
-    """Matches that may have a full run: two confirmed periods, a passing sample and no run under way."""
-    ready = periods.where("confirmed").groupBy("match_id").agg(F.count("*").alias("n")).where("n = 2")
-    busy = runs.where(F.col("status").isin("queued", "running"))
-    return matches.join(ready, "match_id", "left_semi").join(passing_samples(runs), "match_id", "left_semi").join(busy, "match_id", "left_anti")
+def eligible_matches(matches: DataFrame, periods: DataFrame, runs: DataFrame, mode: str = "full", engine_ready: bool = True) -> DataFrame:
+    """Matches that may have a run of a mode (prepare, reference, sample or full) now: none is under way; all modes but prepare
+    need two confirmed periods and a ready engine, and a full run needs a passing sample too."""
+    rows = matches.join(runs.where(F.col("status").isin("queued", "running")), "match_id", "left_anti")
+    if mode != "prepare":
+        ready = periods.where("confirmed").groupBy("match_id").agg(F.count("*").alias("n")).where("n = 2")
+        rows = rows.where(F.lit(engine_ready)).join(ready, "match_id", "left_semi")
+    return rows.join(passing_samples(runs), "match_id", "left_semi") if mode == "full" else rows
+
+
+def of_latest_run(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of each match's latest run; all rows of a match without any."""
+    newest = latest_runs(runs).select("match_id", F.col("run_id").alias("_newest"))
+    return rows.join(newest, "match_id", "left").where("_newest is null or run_id = _newest").drop("_newest")
 
 
 def approve(runs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:

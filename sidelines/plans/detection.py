@@ -75,18 +75,21 @@ def team_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.vote_team(rows)
 
 
+def jersey_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of players, 250 a match, which drift as the match goes on."""
+    return fx.table(spark, sf_dir, "embeddings").selectExpr("vec_id", "vec_id div 250 as match_id", "cast(embedding[0] as double) * 60 + vec_id % 250 / 10 as hue", "cast(embedding[1] as double) * 60 + if(vec_id % 3 = 0, 30, 0) as sat")
+
+
 @query()
 def jersey_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "embeddings").selectExpr("vec_id", "label as match_id", "cast(embedding[0] as double) * 60 as hue", "cast(embedding[1] as double) * 60 as sat")
-    return detections.classify_jersey(rows, detections.fit_jersey_groups(rows)).select("vec_id", "match_id", "team")
+    return detections.calibrated_teams(jersey_features(spark, sf_dir), ["vec_id"]).select("vec_id", "match_id", "team", "fits")
 
 
 CAMERA = BASE + """, camera as (select seg, ts_ms, ball_x, ball_y, (k % 5) / 8.0::double as tx, (k % 3) / 4.0::double as ty, (k % 4) / 16.0::double as p, k % 7 <> 0 as reliable, seq % 40 = 0 as reset, (k % 100) / 100.0::double as inlier from clock)"""
 
 
-def camera(spark: SparkSession, sf_dir: str, flat: bool = False) -> DataFrame:
-    tilt = "0.0D" if flat else "(k % 4) / 16.0D"
-    return fx.frames(spark, sf_dir).selectExpr("seg", "ts_ms", "bx as x", "by as y", f"array(1.0D, 0.0D, (k % 5) / 8.0D, 0.0D, 1.0D, (k % 3) / 4.0D, {tilt}, 0.0D, 1.0D) as h", "k % 7 <> 0 as reliable", "seq % 40 = 0 as reset", "(k % 100) / 100.0D as inlier_ratio")
+def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frames(spark, sf_dir).selectExpr("seg", "ts_ms", "bx as x", "by as y", "array(1.0D, 0.0D, (k % 5) / 8.0D, 0.0D, 1.0D, (k % 3) / 4.0D, (k % 4) / 16.0D, 0.0D, 1.0D) as h", "k % 7 <> 0 as reliable", "seq % 40 = 0 as reset", "(k % 100) / 100.0D as inlier_ratio")
 
 
 @query(CAMERA + " select seg, ts_ms, round((ball_x + tx) / (p * ball_x + 1), 6) as px, round((ball_y + ty) / (p * ball_x + 1), 6) as py from camera")
@@ -95,10 +98,20 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(detections.project_points(rows.select("seg", "ts_ms", "x", "y"), rows, ["seg", "ts_ms"]).select("seg", "ts_ms", "px", "py"))
 
 
-@query(CAMERA + ", shots as (select *, sum(reset::int) over (partition by seg order by ts_ms) as shot from camera) select seg, ts_ms, round(sum(case when reliable then tx else 0 end) over w, 6) as shift_x, round(sum(case when reliable then ty else 0 end) over w, 6) as shift_y from shots window w as (partition by seg, shot order by ts_ms)")
+@query(CAMERA.replace("with ", "with recursive ", 1) + """,
+shots as (select *, sum(reset::int) over (partition by seg order by ts_ms) as shot from camera),
+placed as materialized (select *, row_number() over (partition by seg, shot order by ts_ms) as i from shots),
+folded as (
+  select seg, shot, 1::bigint as i, ts_ms, case when reliable then tx else 0.0::double end as c, case when reliable then ty else 0.0::double end as f, case when reliable then p else 0.0::double end as g, 1.0::double as a, 0.0::double as b, 0.0::double as d, 1.0::double as e, 0.0::double as h from placed where i = 1
+  union all
+  select seg, shot, i, ts_ms, case when reliable then (a * tx + b * ty + c) / n else c end, case when reliable then (d * tx + e * ty + f) / n else f end, case when reliable then (g + p) / n else g end, case when reliable then (a + c * p) / n else a end,
+    case when reliable then b / n else b end, case when reliable then (d + f * p) / n else d end, case when reliable then e / n else e end, case when reliable then h / n else h end
+  from (select q.seg, q.shot, q.i, q.ts_ms, q.reliable, q.tx, q.ty, q.p, t.a, t.b, t.c, t.d, t.e, t.f, t.g, t.h, case when abs(t.g * q.tx + t.h * q.ty + 1) > 1e-12 then t.g * q.tx + t.h * q.ty + 1 else 1 end as n from folded t join placed q on q.seg = t.seg and q.shot = t.shot and q.i = t.i + 1))
+select seg, ts_ms, round(c, 6) as shift_x, round(f, 6) as shift_y, round(g, 6) as tilt, round(a, 6) as scale from folded""")
 def camera_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detections.compose_homographies(camera(spark, sf_dir, flat=True))
-    return shown(rows.select("seg", "ts_ms", F.col("total")[2].alias("shift_x"), F.col("total")[5].alias("shift_y")))
+    """Each frame's matrix from its shot's first one, tilt included."""
+    rows = detections.compose_homographies(camera(spark, sf_dir))
+    return shown(rows.select("seg", "ts_ms", F.col("total")[2].alias("shift_x"), F.col("total")[5].alias("shift_y"), F.col("total")[6].alias("tilt"), F.col("total")[0].alias("scale")))
 
 
 @query(CAMERA + " select seg, count(*) as frames, count(*) filter (reliable) as reliable_frames, round(count(*) filter (reliable) / count(*)::double, 4) as reliable_ratio, count(*) filter (reset) as resets, round(avg(inlier), 4) as mean_inlier_ratio from camera group by seg")

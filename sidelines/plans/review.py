@@ -23,26 +23,30 @@ def imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     )
     lines = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("objects"))
     raw = lines.selectExpr(
-        "concat('m', l_orderkey % 10) as match_id", "if(l_orderkey % 2 = 0, cast(l_orderkey as double), null) as timestamp_ms", "if(l_orderkey % 29 = 3, null, cast(l_orderkey as double)) as frame_index", "if(l_orderkey % 31 = 0, 0L, 1920L) as width", "1080L as height",
+        "concat('m', l_orderkey div 16) as match_id", "if(l_orderkey % 2 = 0, cast(l_orderkey as double), null) as timestamp_ms", "if(l_orderkey % 29 = 3, null, cast(if(l_orderkey % 37 = 5, l_orderkey - 1, l_orderkey) as double)) as frame_index", "if((l_orderkey div 16) % 31 = 7, 0L, 1920L) as width", "1080L as height",
         "cast(null as double) as field_score", "cast(null as boolean) as scene_cut", "cast(null as double) as replay_probability", "cast(null as string) as coordinate_space", "objects",
     )
     meta = raw.select("match_id").distinct().selectExpr("match_id", "'external' as engine", "1000.0D as fps")
-    return ingest.validate_frames(raw, meta, meta.selectExpr("match_id", "if(match_id < 'm5', 'A', 'B') as home_cluster"))
+    return ingest.validate_frames(raw, meta, meta.selectExpr("match_id", "if(cast(substring(match_id, 2) as long) % 2 = 0, 'A', 'B') as home_cluster"))
 
 
 IMPORTED = """
-with lines as (select l_orderkey as ts, 'm' || l_orderkey % 10 as match_id, case when l_orderkey % 2 = 1 and l_orderkey % 29 = 3 then 'timestamp_missing' when l_orderkey % 31 = 0 then 'out_of_range' end as frame_rule, l_partkey as p, l_suppkey, l_linenumber, l_quantity, l_discount from lineitem),
+with every_line as (select l_orderkey as o, 'm' || l_orderkey // 16 as match_id, l_orderkey // 16 % 2 = 0 as swapped, case when l_orderkey % 2 = 1 and l_orderkey % 37 = 5 then l_orderkey - 1 else l_orderkey end as ts,
+  case when l_orderkey % 2 = 1 and l_orderkey % 29 = 3 then 'timestamp_missing' when l_orderkey // 16 % 31 = 7 then 'out_of_range' end as frame_rule, l_partkey as p, l_suppkey, l_linenumber, l_quantity, l_discount from lineitem),
+twice as (select match_id, ts from every_line where frame_rule is null group by all having count(distinct o) > 1),
+lines as (select e.* exclude (frame_rule), coalesce(frame_rule, case when t.ts is not null then 'duplicate_timestamp' end) as frame_rule from every_line e left join twice t on t.match_id = e.match_id and t.ts = e.ts),
 objects as (select *, trim(['player', ' goalkeeper', 'referee', 'ball'][p % 4 + 1]) as role, case when p % 37 = 0 or l_suppkey = 0 then 'track_id' when p % 2 = 1 and p % 41 = 1 then 'box_shape' when p % 1900 + 40 > 1920 then 'box_range' end as rule from lines where frame_rule is null and p % 4 <> 3)"""
 
 
-@query(IMPORTED + """, every as (select match_id, frame_rule as rule from (select distinct ts, match_id, frame_rule from lines where frame_rule is not null) union all select match_id, rule from objects where rule is not null)
+@query(IMPORTED + """, every as (select match_id, frame_rule as rule from (select distinct o, match_id, frame_rule from lines where frame_rule is not null and frame_rule <> 'duplicate_timestamp') union all select match_id, 'duplicate_timestamp' from twice
+  union all select match_id, rule from objects where rule is not null union all select match_id, 'no_frames' from lines group by match_id having count(*) filter (frame_rule is null) = 0)
 select match_id, rule, count(*) as errors from every group by match_id, rule""")
 def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imported(spark, sf_dir)[2].groupBy("match_id", "rule").agg(F.count("*").alias("errors"))
 
 
 @query(IMPORTED + """ select match_id, ts as ts_ms, 'gsr-' || l_suppkey as track_id, role, round(case when p % 11 <= 1 then 1.0::double else 1.0::double - l_discount end, 6) as confidence,
-  case p % 5 when 0 then case when match_id < 'm5' then 'home' else 'away' end when 1 then case when match_id < 'm5' then 'away' else 'home' end when 2 then case when match_id < 'm5' then 'home' else 'away' end when 3 then 'home' end as team_key,
+  case p % 5 when 0 then case when swapped then 'home' else 'away' end when 1 then case when swapped then 'away' else 'home' end when 2 then case when swapped then 'home' else 'away' end when 3 then 'home' end as team_key,
   case when p % 130 <= 99 then p % 130 else -1 end::int as shirt_number, round((p % 1900 + 20) / 1920.0::double, 9) as image_x, round((90 + l_quantity) / 1080.0::double, 9) as image_y,
   case when p % 3 < 2 then l_suppkey::double end as pitch_x, case when p % 3 < 2 then l_linenumber::double end as pitch_y from objects where rule is null""")
 def imported_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,11 +114,17 @@ def passing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.passing_samples(runs(spark, sf_dir)).select("match_id", "run_id")
 
 
-@query(RUN_ROWS + " select c_custkey as match_id from customer where c_custkey % 3 <> 0 and c_custkey in (select match_id from passing) and c_custkey not in (select match_id from runs where status = 'running')")
+@query(RUN_ROWS + """, busy as (select match_id from runs where status = 'running')
+select c_custkey as match_id, mode from customer, (select unnest(['prepare', 'sample', 'full']) as mode) where c_custkey not in (select match_id from busy) and (mode = 'prepare' or c_custkey % 3 <> 0) and (mode <> 'full' or c_custkey in (select match_id from passing))""")
 def eligible_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By mode; no engine is needed to prepare, so the prepared ones are asked for without one."""
     matches = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as match_id")
     periods = matches.withColumn("number", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr("match_id", "number", "match_id % 3 <> 0 or number = 1 as confirmed")
-    return review.eligible_matches(matches, periods, runs(spark, sf_dir))
+    found = None
+    for mode, engine in (("prepare", False), ("sample", True), ("full", True), ("reference", False)):
+        rows = review.eligible_matches(matches, periods, runs(spark, sf_dir), mode, engine).withColumn("mode", F.lit(mode))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @query(RUN_ROWS + " select c_custkey as match_id from customer where c_custkey in (select match_id from newest where place = 1 and mode = 'full' and status in ('review', 'completed'))")
@@ -186,12 +196,12 @@ def event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(REVIEWED + """ select match_id, 1 as period, ts_ms as match_time_ms, ts_ms as video_time_ms, event_type as type, team_key || ' team' as team, coalesce(c_name, '') as player, '' as recipient, outcome, (player_id % 105) / 105.0::double as start_x, (player_id % 68) / 68.0::double as start_y, case when event_id % 2 = 0 then 0.5::double end as end_x, case when event_id % 2 = 0 then 0.25::double end as end_y, round(confidence, 4) as confidence, review_status, event_type || '|x' as qualifiers
-from reviewed left join customer on c_custkey = player_id where run_id % 10 = 2""")
+from reviewed left join customer on c_custkey = player_id where run_id % 10 = 2 or match_id % 5 = 4""")
 def event_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir))
     rows = rows.withColumnRenamed("team_key", "team_id").withColumn("recipient_id", F.lit(None).cast("long")).withColumn("period", F.lit(1)).withColumn("match_time_ms", F.col("ts_ms")).withColumn("qualifiers", F.array("event_type", F.lit("x")))
     rows = rows.selectExpr("*", "(player_id % 105) / 105.0D as start_x", "(player_id % 68) / 68.0D as start_y", "if(event_id % 2 = 0, 0.5D, null) as end_x", "if(event_id % 2 = 0, 0.25D, null) as end_y")
-    made = rows.select("match_id", "run_id").distinct().withColumn("created_at", F.col("run_id"))
+    made = rows.where("match_id % 5 <> 4").select("match_id", "run_id").distinct().withColumn("created_at", F.col("run_id"))  # the others have no run
     teams = rows.select("team_id").distinct().withColumn("name", F.concat("team_id", F.lit(" team")))
     players = fx.table(spark, sf_dir, "customer").selectExpr("c_custkey as player_id", "c_name as name")
     return results.events_csv(rows, teams, players, made)

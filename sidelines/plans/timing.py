@@ -129,26 +129,57 @@ def tracking_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clocks.tracking_windows(halves(fx.frames(spark, sf_dir).select("seg", "ts_ms")), "sample", 7, 3)
 
 
-@query(BASE + """, outer_frames as (select seg, ts_ms + 37 as r_ms, k from clock where k % 3 = 0),
-hits as (select c.seg, c.ts_ms, o.r_ms, o.k, row_number() over (partition by c.seg, c.ts_ms order by abs(o.r_ms - c.ts_ms), o.r_ms desc) as rn from clock c left join outer_frames o on o.seg = c.seg and abs(o.r_ms - c.ts_ms) <= 80)
+@query(HALVES + """, sized as (select *, least(7000, greatest(0, e - s)) as len from halves)
+select match_id, ceil(sum(e - s) / 1000.0::double * case when match_id % 2 = 0 then 25 else 4.5::double end)::bigint as whole, ceil(sum(3 * len) / 1000.0::double * 8)::bigint as sample from sized group by match_id""")
+def frame_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of whole halves at each recording's rate, and of three short windows a half at 8 a second."""
+    rows = halves(fx.frames(spark, sf_dir).select("seg", "ts_ms"))
+    whole = clocks.tracking_windows(rows).withColumn("fps", F.expr("if(match_id % 2 = 0, 25.0D, 4.5D)"))
+    whole = clocks.estimated_frames(whole, F.col("fps")).withColumnRenamed("frames", "whole")
+    return whole.join(clocks.estimated_frames(clocks.tracking_windows(rows, "sample", 7, 3), 8.0).withColumnRenamed("frames", "sample"), "match_id")
+
+
+#: Results at 5 and at 25 frames a second: the tolerance of a run is 105 or 80 ms.
+TOLERANCE = "case when c.seg % 2 = 1 then 105 else 80 end"
+
+
+def with_tolerance(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tolerance_ms", clocks.frame_tolerance(F.expr("if(seg % 2 = 1, 5.0D, 25.0D)"), 80))
+
+
+@query(BASE + f""", outer_frames as (select seg, ts_ms + 37 as r_ms, k from clock where k % 3 = 0),
+hits as (select c.seg, c.ts_ms, o.r_ms, o.k, row_number() over (partition by c.seg, c.ts_ms order by abs(o.r_ms - c.ts_ms), o.r_ms desc) as rn from clock c left join outer_frames o on o.seg = c.seg and abs(o.r_ms - c.ts_ms) <= {TOLERANCE})
 select seg, ts_ms, coalesce(r_ms, -1) as source_ms, coalesce(k, -1) as source_k from hits where rn = 1""")
 def asof_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.frames(spark, sf_dir).select("seg", "ts_ms", "k")
-    found = clocks.asof_nearest(rows.select("seg", "ts_ms"), rows.where("k % 3 = 0").withColumn("ts_ms", F.col("ts_ms") + 37), 80)
+    found = clocks.asof_nearest(with_tolerance(rows.select("seg", "ts_ms")), rows.where("k % 3 = 0").withColumn("ts_ms", F.col("ts_ms") + 37), "tolerance_ms")
     return found.select("seg", "ts_ms", F.col("near.ts_ms").alias("source_ms"), F.col("near.k").alias("source_k")).fillna(-1)
 
 
-@query(BASE + """, hits as (select c.seg, c.ts_ms, c.k % 17 <> 0 as ball, exists (select 1 from clock o where o.seg = c.seg and o.k % 3 = 0 and abs(o.ts_ms + 37 - c.ts_ms) <= 80) as hit from clock c)
-select seg, count(*) as frames, count(*) filter (not hit) as missing_frames, count(*) filter (not hit) > 0.05 * count(*) as failed, (sum(case when ball then 1 else 0 end) + 2 * count(*) filter (hit))::bigint as objects from hits group by seg""")
-def fused_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+FUSED = BASE + f""", near as (select c.seg, c.ts_ms, c.k, o.ts_ms + 37 as r_ms, o.k as r_k, row_number() over (partition by c.seg, c.ts_ms order by abs(o.ts_ms + 37 - c.ts_ms), o.ts_ms desc) as rn from clock c left join clock o on o.seg = c.seg and o.k % 3 = 0 and abs(o.ts_ms + 37 - c.ts_ms) <= {TOLERANCE}),
+hits as (select *, k % 17 <> 0 as ball, r_ms is not null as hit, r_ms is not null and r_k % 2 = 1 as other from near where rn = 1)"""
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two sources, whose sizes differ where the external one's number is odd."""
     rows = fx.frames(spark, sf_dir).select("seg", "ts_ms", "k")
     one = lambda role: F.struct(F.lit(role).alias("role"))
     local = rows.withColumn("objects", F.when(F.col("k") % 17 != 0, F.array(one("player"), one("ball"), one("ball"))).otherwise(F.array(one("player")))).drop("k")
-    external = rows.where("k % 3 = 0").select("seg", (F.col("ts_ms") + 37).alias("ts_ms"), F.array(one("player"), one("goalkeeper"), one("ball")).alias("objects"))
-    found = clocks.fuse(local, external, 80)
+    external = rows.where("k % 3 = 0").select("seg", (F.col("ts_ms") + 37).alias("ts_ms"), F.array(one("player"), one("goalkeeper"), one("ball")).alias("objects"), F.expr("if(k % 2 = 1, 1280, 1920)").alias("width"), F.lit(1080).alias("height"))
+    return clocks.fuse(with_tolerance(local).withColumn("width", F.lit(1920)).withColumn("height", F.lit(1080)), external, "tolerance_ms")
+
+
+@query(FUSED + """ select seg, count(*) as frames, count(*) filter (not hit) as missing_frames, count(*) filter (not hit) > 0.05 * count(*) as failed, (sum(case when ball then 1 else 0 end) + 2 * count(*) filter (hit and not other))::bigint as objects from hits group by seg""")
+def fused_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fused(spark, sf_dir)
     return clocks.coverage(found).join(found.groupBy("seg").agg(F.sum(F.size("objects").cast("long")).alias("objects")), "seg")
 
 
+@query(FUSED + " select seg, ts_ms, r_ms as source_ms, 'size' as rule from hits where other")
+def fusion_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).where("rule is not null").select("seg", "ts_ms", "source_ms", "rule")
+
+
 @query(BASE + """, runs as (select seg as run_id, count(*) as frames, max(ts_ms) as done_ms, max(seq) * 200 as all_ms, max(seq) * 90 as elapsed_ms from clock group by seg),
 r as (select *, least(1.0::double, greatest(0.0::double, done_ms / greatest(1, all_ms)::double)) as ratio from runs)
 select run_id, frames, done_ms, round(ratio, 6) as ratio, round(done_ms / greatest(1, elapsed_ms)::double, 6) as speed, round(case when done_ms > 0 then greatest(0, all_ms - done_ms) / (done_ms / greatest(1, elapsed_ms)::double) end, 6) as left_ms, floor(22 + 46 * ratio)::bigint as percent from r""")

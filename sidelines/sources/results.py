@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sidelines.operators.review import latest_runs
+from sidelines.operators.review import of_latest_run
 
 
 def write_tracking(rows: DataFrame, path: str, bulky: tuple[str, ...] = ("raw_detections", "diagnostics")) -> None:
@@ -15,9 +15,9 @@ def write_events(events: DataFrame, path: str) -> None:
 
 
 def events_csv(events: DataFrame, teams: DataFrame, players: DataFrame, runs: DataFrame) -> DataFrame:
-    """The export's columns for the events of each match's latest run: names for ids, qualifiers joined by |."""
+    """The export's columns for the events of each match's latest run, or all of a match without one: names for ids, qualifiers joined by |."""
     name = lambda rows, key, out: rows.select(F.col(key).alias(out), F.col("name").alias(out.replace("_id", "")))
-    rows = events.join(latest_runs(runs).select("match_id", "run_id"), ["match_id", "run_id"], "left_semi")
+    rows = of_latest_run(events, runs)
     rows = rows.join(name(teams, "team_id", "team_id"), "team_id", "left").join(name(players, "player_id", "player_id"), "player_id", "left").join(name(players, "player_id", "recipient_id"), "recipient_id", "left")
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return rows.select(
@@ -38,7 +38,7 @@ def match_report(matches: DataFrame, periods: DataFrame, team_stats: DataFrame,
         fields = [*order, *(c for c in rows.columns if c not in ("match_id", *order))]
         return rows.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
 
-    kept = events.where("review_status <> 'rejected'").join(latest_runs(runs).select("match_id", "run_id"), ["match_id", "run_id"], "left_semi")
+    kept = of_latest_run(events.where("review_status <> 'rejected'"), runs)
     rows = matches.select("match_id", F.struct(*matches.columns).alias("match"))
     for part in (listed(periods, ["number"], "periods"), listed(team_stats, ["team_id"], "team_stats"), listed(player_stats, ["player_id"], "player_stats"), listed(kept, ["ts_ms", "event_id"], "events")):
         rows = rows.join(part, "match_id", "left")

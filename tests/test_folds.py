@@ -1,13 +1,22 @@
 """Rules that depend on the row before, fits and reports, each restated plainly."""
 
+import itertools
 import json
+import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sidelines.operators import clocks, detections, diagnostics, possession, stats
+from sidelines.plans import detection
+from sidelines.plans import fixtures as fx
+from sidelines.plans.catalog import QUERIES
 from sidelines.sources import results
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_repaired_clock(spark):
     rng = random.Random(3)
@@ -113,3 +122,109 @@ def test_run_report_has_every_part(spark):
     assert found[7]["quality"] == {"score": 61.5, "grade": "B"} and found[7]["backend"] == "yolo" and found[7]["counts"] == {"events": 2}
     assert [p["number"] for p in found[7]["periods"]] == [1, 2] and found[7]["windows"] == [] and found[7]["schema"] == "report/1"
     assert found[8]["counts"] == {"events": 0} and found[8]["periods"] == [] and found[8]["analysis_mode"] == "sample"
+
+
+def two_groups(samples):
+    mean = sum(s for _, s in samples) / len(samples)
+    side, centres = [s > mean for _, s in samples], None
+    for _ in range(40):
+        if all(side) or not any(side):
+            break
+        new = []
+        for k in (False, True):
+            mine = [p for p, x in zip(samples, side, strict=True) if x == k]
+            new.append((sum(h for h, _ in mine) / len(mine), sum(s for _, s in mine) / len(mine)))
+        still = centres is not None and max(abs(a - b) for c, d in zip(new, centres, strict=True) for a, b in zip(c, d, strict=True)) <= 0.15
+        centres = new
+        side = [math.dist(p, centres[1]) < math.dist(p, centres[0]) for p in samples]
+        if still:
+            break
+    if centres is None:
+        return None, 0
+    return sorted(centres, key=lambda c: (c[1], c[0])), min(sum(side), len(side) - sum(side))
+
+
+def test_jersey_groups_in_force_over_a_whole_table(spark):
+    drift = lambda i: (i % 2) * max(0, 40 - i // 10)  # noqa: E731  (the groups meet as the match goes on)
+    rng = np.random.default_rng(5)
+    rows = [(m, i, float(rng.normal(30 + drift(i), 3)), float(rng.normal(60 + 2 * drift(i), 4))) if i % 50 else (m, i, None, 1.0) for m in range(3) for i in range((0, 7, 900)[m] if m else 450)]
+    table = spark.createDataFrame(rows, "match_id long, ord long, hue double, sat double")
+    real = detection.jersey_features(spark, DATA).withColumnRenamed("vec_id", "ord").select("match_id", "ord", "hue", "sat")
+    for features in (table, real):
+        found = {(r.match_id, r.ord): (r.team, r.fits) for r in detections.calibrated_teams(features.repartition(3), ["ord"]).collect()}
+        held, groups, last, fits, match, taken = [], None, 0, 0, None, set()
+        for r in sorted(features.collect(), key=lambda r: (r.match_id, r.ord)):
+            if r.match_id != match:
+                match, held, groups, last, fits = r.match_id, [], None, 0, 0
+            team = None
+            if r.hue is not None:
+                held = [*held, (r.hue, r.sat)][-400:]
+                if len(held) >= 12 and (groups is None or len(held) - last >= 40):
+                    centres, least = two_groups(held)
+                    if least >= max(2, round(len(held) * 0.12)) and math.dist(*centres) >= 12:
+                        groups, last, fits = centres, len(held), fits + 1
+                if groups:
+                    a, b = (math.dist((r.hue, r.sat), c) for c in groups)
+                    team = ("home" if a <= b else "away") if abs(a - b) >= 3 else None
+            assert found.pop((r.match_id, r.ord)) == (team, fits)
+            taken.add((team, fits > 1))
+        assert not found and {("home", True), ("away", True)} <= taken
+
+
+@pytest.mark.parametrize("block", [1, 7, 256])
+def test_products_of_blocks_are_those_of_a_plain_fold(spark, block):
+    rng = np.random.default_rng(3)
+    rows = []
+    for seg, n in ((1, 600), (2, 1), (3, 40)):
+        for i in range(n):
+            h = np.eye(3) + rng.normal(0, 0.02, (3, 3))
+            rows.append((seg, i * 40, None if i % 11 == 5 else h.ravel().tolist(), i % 5 != 3, seg == 3 and i % 9 == 0))
+    camera = spark.createDataFrame(rows, "seg long, ts_ms long, h array<double>, reliable boolean, reset boolean")
+    found = {(r.seg, r.ts_ms): r.total for r in detections.compose_homographies(camera, block).collect()}
+    assert len(found) == len(rows)
+    total = np.eye(3)
+    for seg, ts, h, reliable, reset in rows:
+        if ts == 0 or reset:
+            total = np.eye(3)
+        if reliable and h:
+            total = total @ np.array(h).reshape(3, 3)
+            total /= total[2, 2]
+        assert np.allclose(found[seg, ts], total.ravel(), rtol=1e-6, atol=1e-9)
+
+
+def test_a_long_shot_is_many_tasks(spark):
+    camera = spark.range(100_000).selectExpr("1L as seg", "id * 40 as ts_ms", "array(1.0D, 0.0D, 0.5D, 0.0D, 1.0D, -0.25D, 0.0D, 0.0D, 1.0D) as h", "true as reliable", "id = 0 as reset")
+    last = detections.compose_homographies(camera).agg(F.max_by("total", "ts_ms").alias("t"), F.count("*").alias("n")).first()
+    assert last.n == 100_000 and np.allclose([last.t[2], last.t[5]], [50_000, -25_000])
+
+
+def test_ball_and_clock_over_whole_tables(spark):
+    rows = sorted((r for r in detection._balls(spark, DATA).selectExpr("frame div 200 as seg", "frame * 40 as ts_ms", "det_id", "cx", "cy", "confidence", "gain", "near").collect()), key=lambda r: (r.seg, r.ts_ms, r.det_id))
+    wanted, before = set(), None
+    for (seg, ts), group in itertools.groupby(rows, key=lambda r: (r.seg, r.ts_ms)):
+        before = before if before and before[0] == seg else None
+        scores = []
+        for r in group:
+            score, fits = r.confidence + r.gain, r.near
+            if before and ts - before[1] <= 1500:
+                limit = min(360.0, max(85.0, max(1, ts - before[1]) * 1.1))
+                away = math.hypot(r.cx - before[2], r.cy - before[3])
+                if away <= limit:
+                    score, fits = score + 0.5 * (1 - away / limit), True
+            if fits:
+                scores.append((score, r))
+        if scores:
+            best = max(scores, key=lambda s: s[0])[1]
+            wanted.add((seg, ts, best.det_id))
+            before = (seg, ts, best.cx, best.cy)
+    assert {tuple(r) for r in QUERIES["ball_choices"](spark, DATA).collect()} == wanted
+    times = {(r.seg, r.frame): r.ts_ms for r in QUERIES["repaired_clock"](spark, DATA).collect()}
+    last = None
+    for r in fx.frames(spark, DATA).select("seg", "seq", "ts_ms").orderBy("seg", "seq").collect():
+        reported = None if r.seq % 7 == 3 else r.ts_ms - 900 if r.seq % 11 == 5 else r.ts_ms
+        before = last[1] if last and last[0] == r.seg else None
+        now = reported if reported is not None and reported >= 0 and (before is None or reported > before) else round(r.seq * 1000 / 10.0)
+        now = now if before is None or now > before else before + 100
+        assert times.pop((r.seg, r.seq)) == now
+        last = (r.seg, now)
+    assert not times
