@@ -1,7 +1,8 @@
 """Event candidates from possession samples of a segment, in order of time.
 
 samples(seg, ts_ms, state, team_key, player_key, ball_x, ball_y, confidence, contenders); ts_ms is unique in a segment.
-Coordinates are shares of the image; `pitch` turns thresholds to metres.
+Coordinates are shares of the image; `pitch` turns thresholds to metres. With a column coordinate_space, each sample names its
+own space (`pitch_meters`, else the image), and an event is measured in the space of the sample it begins with.
 """
 
 from collections.abc import Iterator
@@ -36,42 +37,51 @@ def _tag(condition: Column, name: str) -> Column:
     return F.when(condition, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
 
 
-def controlled_runs(samples: DataFrame, max_gap_ms: int = 3000) -> DataFrame:
-    """Runs of one owner's controlled samples, numbered in a segment."""
+def _metres(samples: DataFrame, pitch: bool = False) -> Column:
+    """Whether a sample is in metres."""
+    return F.coalesce(F.col("coordinate_space") == "pitch_meters", F.lit(False)) if "coordinate_space" in samples.columns else F.lit(pitch)
+
+
+def _in_space(values: tuple[float, float], metres: Column) -> Column:
+    return F.when(metres, values[1]).otherwise(values[0])
+
+
+def controlled_runs(samples: DataFrame, max_gap_ms: int = 3000, pitch: bool = False) -> DataFrame:
+    """Runs of one owner's controlled samples, numbered in a segment, with what their first and last sample hold."""
     w = ordered(BY, "ts_ms")
     held = (F.col("state") == "controlled") & F.col("player_key").isNotNull()
-    rows = samples.withColumn("held", F.coalesce(held, F.lit(False)))
+    rows = samples.withColumn("held", F.coalesce(held, F.lit(False))).withColumn("metres", _metres(samples, pitch))
     owner = F.struct("team_key", "player_key")
     new = ~F.coalesce(F.lag("held").over(w), F.lit(False)) | ~F.lag(owner).over(w).eqNullSafe(owner) | (F.col("ts_ms") - F.lag("ts_ms").over(w) > max_gap_ms)
     rows = rows.withColumn("new", (F.col("held") & new).cast("int")).withColumn("run", F.sum("new").over(w)).where("held")
-    ends = [f(c, "ts_ms").alias(f"{name}_{c}") for name, f in (("start", F.min_by), ("end", F.max_by)) for c in ("ball_x", "ball_y", "confidence")]
+    ends = [f(c, "ts_ms").alias(f"{name}_{c}") for name, f in (("start", F.min_by), ("end", F.max_by)) for c in ("ball_x", "ball_y", "confidence", "metres")]
     return rows.groupBy("seg", "run", "team_key", "player_key").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"), F.min("confidence").alias("confidence"), *ends)
 
 
-def _carry(pitch: bool, min_ms: int = 700) -> Column:
+def _carry(min_ms: int = 700) -> Column:
     long = F.col("end_ms") - F.col("start_ms")
     d = distance(F.col("end_ball_x"), F.col("end_ball_y"), F.col("start_ball_x"), F.col("start_ball_y"))
-    forward = F.abs(F.col("end_ball_x") - F.col("start_ball_x")) >= PROGRESS[pitch]
-    found = (F.col("n") >= 2) & (d >= CARRY[pitch]) & (long >= min_ms)
+    forward = F.abs(F.col("end_ball_x") - F.col("start_ball_x")) >= _in_space(PROGRESS, F.col("start_metres"))
+    found = (F.col("n") >= 2) & (d >= _in_space(CARRY, F.col("start_metres"))) & (long >= min_ms)
     return _event(found, 0, "carry", ts_ms=F.col("end_ms"), at=F.col("run"), outcome=F.lit("success"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), qualifiers=_tag(forward, "progressive_candidate"), duration_ms=long, distance=F.round(d, 5))
 
 
-def carries(runs: DataFrame, pitch: bool = False, min_ms: int = 700) -> DataFrame:
-    return _emit(runs, _carry(pitch, min_ms))
+def carries(runs: DataFrame, min_ms: int = 700) -> DataFrame:
+    return _emit(runs, _carry(min_ms))
 
 
 def _with_run_before(runs: DataFrame) -> DataFrame:
-    before = F.lag(F.struct("team_key", "player_key", "end_ms", "end_ball_x", "end_ball_y", "end_confidence")).over(ordered(BY, "run"))
+    before = F.lag(F.struct("team_key", "player_key", "end_ms", "end_ball_x", "end_ball_y", "end_confidence", "end_metres")).over(ordered(BY, "run"))
     return runs.withColumn("b", before)
 
 
-def _transfers(pitch: bool, max_gap_ms: int = 3000) -> list[Column]:
+def _transfers(max_gap_ms: int = 3000) -> list[Column]:
     near = F.col("b").isNotNull() & (F.col("start_ms") - F.col("b.end_ms") <= max_gap_ms)
     near &= ~F.struct("team_key", "player_key").eqNullSafe(F.struct("b.team_key", "b.player_key"))
     low = F.least("b.end_confidence", "start_confidence")
     common = {"ts_ms": F.col("start_ms"), "at": F.col("run")}
     first = {"team_key": F.col("b.team_key"), "player_key": F.col("b.player_key"), "start_x": F.col("b.end_ball_x"), "start_y": F.col("b.end_ball_y"), "end_x": F.col("start_ball_x"), "end_y": F.col("start_ball_y")}
-    forward = F.coalesce(F.abs(F.col("start_ball_x") - F.col("b.end_ball_x")), F.lit(0.0)) >= PROGRESS[pitch]
+    forward = F.coalesce(F.abs(F.col("start_ball_x") - F.col("b.end_ball_x")), F.lit(0.0)) >= _in_space(PROGRESS, F.col("b.end_metres"))
     same, other = near & (F.col("team_key") == F.col("b.team_key")), near & (F.col("team_key") != F.col("b.team_key"))
     return [
         _event(same, 0, "pass", **common, **first, sub=F.lit(1), recipient_key=F.col("player_key"), outcome=F.lit("success"), confidence=low, qualifiers=_tag(forward, "progressive_candidate")),
@@ -80,9 +90,9 @@ def _transfers(pitch: bool, max_gap_ms: int = 3000) -> list[Column]:
     ]
 
 
-def transfers(runs: DataFrame, pitch: bool = False, max_gap_ms: int = 3000) -> DataFrame:
+def transfers(runs: DataFrame, max_gap_ms: int = 3000) -> DataFrame:
     """Passes inside a team, and a loss with a recovery between teams, where the owner changes."""
-    return _emit(_with_run_before(runs), *_transfers(pitch, max_gap_ms))
+    return _emit(_with_run_before(runs), *_transfers(max_gap_ms))
 
 
 def duels(samples: DataFrame) -> DataFrame:
@@ -123,11 +133,11 @@ def outs(samples: DataFrame) -> DataFrame:
     return _emit(_with_state_before(samples), _out())
 
 
-def _with_flight(samples: DataFrame, horizon_ms: int = 2200) -> DataFrame:
+def _with_flight(samples: DataFrame, horizon_ms: int = 2200, pitch: bool = False) -> DataFrame:
     """Samples with the last place of the ball within the horizon and before another player controls it, and how many
     places there are."""
     held = F.col("state") == "controlled"
-    rows = samples.withColumn("last_player", F.last(F.when(held, F.col("player_key")), True).over(earlier(BY, "ts_ms")))
+    rows = samples.withColumn("metres", _metres(samples, pitch)).withColumn("last_player", F.last(F.when(held, F.col("player_key")), True).over(earlier(BY, "ts_ms")))
     new = held & F.coalesce(F.col("player_key") != F.col("last_player"), F.lit(False))
     rows = rows.withColumn("owners", F.sum(new.cast("int")).over(ordered(BY, "ts_ms")))
     point = F.when(F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull(), F.struct("ts_ms", "state", "ball_x", "ball_y", "confidence"))
@@ -135,23 +145,23 @@ def _with_flight(samples: DataFrame, horizon_ms: int = 2200) -> DataFrame:
     return rows.withColumn("end", F.max(point).over(ahead)).withColumn("points", F.count(point).over(ahead))
 
 
-def _shot(pitch: bool) -> Column:
-    near = (F.col("end.ball_x") <= NEAR[pitch]) | (F.col("end.ball_x") >= FAR[pitch])
-    moved = distance(F.col("end.ball_x"), F.col("end.ball_y"), F.col("ball_x"), F.col("ball_y")) >= SHOT[pitch]
+def _shot() -> Column:
+    near = (F.col("end.ball_x") <= _in_space(NEAR, F.col("metres"))) | (F.col("end.ball_x") >= _in_space(FAR, F.col("metres")))
+    moved = distance(F.col("end.ball_x"), F.col("end.ball_y"), F.col("ball_x"), F.col("ball_y")) >= _in_space(SHOT, F.col("metres"))
     found = (F.col("state") == "controlled") & F.col("player_key").isNotNull() & (F.col("points") >= 2) & F.col("end.state").isin("loose", "out") & near & moved
-    space = "pitch_meters" if pitch else "image_normalized"
-    return _event(found, 3, "shot", outcome=F.lit("unknown"), start_x=F.col("ball_x"), start_y=F.col("ball_y"), end_x=F.col("end.ball_x"), end_y=F.col("end.ball_y"), confidence=F.least("confidence", "end.confidence") * 0.68, qualifiers=F.array(F.lit("trajectory_candidate"), F.lit(f"space:{space}")))
+    space = F.when(F.col("metres"), "space:pitch_meters").otherwise("space:image_normalized")
+    return _event(found, 3, "shot", outcome=F.lit("unknown"), start_x=F.col("ball_x"), start_y=F.col("ball_y"), end_x=F.col("end.ball_x"), end_y=F.col("end.ball_y"), confidence=F.least("confidence", "end.confidence") * 0.68, qualifiers=F.array(F.lit("trajectory_candidate"), space))
 
 
 def shots(samples: DataFrame, pitch: bool = False, horizon_ms: int = 2200) -> DataFrame:
     """A controlled sample from which the ball goes loose or out near a goal before another player controls it."""
-    return _emit(_with_flight(samples, horizon_ms), _shot(pitch))
+    return _emit(_with_flight(samples, horizon_ms, pitch), _shot())
 
 
 def candidates(samples: DataFrame, pitch: bool = False) -> DataFrame:
     """All detectors' events before duplicates go: one pass each over runs, contests and samples."""
-    of_runs = _emit(_with_run_before(controlled_runs(samples)), _carry(pitch), *_transfers(pitch))
-    of_samples = _emit(_with_flight(_with_state_before(samples)), _out(), _shot(pitch))
+    of_runs = _emit(_with_run_before(controlled_runs(samples, pitch=pitch)), _carry(), *_transfers())
+    of_samples = _emit(_with_flight(_with_state_before(samples), pitch=pitch), _out(), _shot())
     return of_runs.unionByName(duels(samples)).unionByName(of_samples)
 
 

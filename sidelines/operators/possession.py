@@ -22,7 +22,8 @@ def positions(objects: DataFrame) -> DataFrame:
 def possession(frames: DataFrame, athletes: DataFrame, radius: float | None = None, grace_ms: int = 1500, dwell_ms: int = 250, pitch: bool = False) -> DataFrame:
     """samples of frames(seg, ts_ms, field_score, scene_cut, replay_probability, ball_x, ball_y; no ball: nulls) and
     athletes(seg, ts_ms, obj_ord, team_key, player_key, confidence, x, y), all in one space of coordinates:
-    shares of the image, or metres if `pitch`, where a ball past the pitch's lines is out. With a column coordinate_space in
+    shares of the image, or metres if `pitch`, where a ball past the pitch's lines is out. Samples say the space of the
+    places that decided them: those out, contested and controlled in sight of the ball. With a column coordinate_space in
     frames, each frame says itself whether it is in metres (`pitch_meters`). With a column ball_seen, a frame that has a
     ball without a place is unknown and bridges nothing."""
     metres = F.coalesce(F.col("coordinate_space") == "pitch_meters", F.lit(False)) if "coordinate_space" in frames.columns else F.lit(pitch)
@@ -77,6 +78,7 @@ def possession(frames: DataFrame, athletes: DataFrame, radius: float | None = No
         x("ball_y").alias("ball_y"),
         confidence.alias("confidence"),
         F.when(F.col("step") == "dead", "broadcast_not_live").when(F.col("step") == "out", "pitch_boundary").alias("reason"),
+        F.when(F.col("step").isin("out", "contested", "proposal"), F.when(metres, "pitch_meters").otherwise("image_normalized")).alias("coordinate_space"),
         F.when(F.col("step") == "contested", F.transform("near", lambda a: F.struct(a["team_key"].alias("team_key"), a["player_key"].alias("player_key")))).alias("contenders"),
     )
 

@@ -217,3 +217,14 @@ def dense_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = conversion.densify(conversion.best_per_track(rows, ["match_id", "frame", "track_id"], ["det_id"]), parts, 5.0)
     sums = frames.groupBy("match_id").agg(F.count("*").alias("frames"), F.count("objects").alias("filled"))
     return sums.join(conversion.busiest_frame(frames).select("match_id", F.col("frame").alias("busiest"), F.col("n").cast("long").alias("objects")), "match_id")
+
+
+@query(STATE + """, best as (select *, row_number() over (partition by match_id, frame, track_id order by confidence desc, det_id) as rn from placed)
+select match_id, seg_index, frame, ts_ms, track_id::varchar as track_id, role, coalesce(cluster, '') as cluster, side, coalesce(shirt_number, -1)::int as shirt_number, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2, round(pitch_x, 6) as pitch_x, round(confidence, 6) as confidence from best where rn = 1""")
+def dense_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the frames of every segment say of each object."""
+    rows, parts = state(spark, sf_dir)
+    frames = conversion.densify(conversion.best_per_track(rows, ["match_id", "frame", "track_id"], ["det_id"]), parts, 5.0)
+    each = frames.select("match_id", "seg_index", "frame", "ts_ms", F.explode("objects").alias("o")).select("match_id", "seg_index", "frame", "ts_ms", "o.*")
+    each = each.select("match_id", "seg_index", "frame", "ts_ms", "track_id", "role", "cluster", "side", "shirt_number", "x1", "y1", "x2", "y2", "pitch_x", "confidence")
+    return shown(each.fillna(-1, ["shirt_number"]).fillna("", ["cluster"]))

@@ -140,7 +140,7 @@ select seg, ts_ms, case when coalesce(held, false) then 'controlled' when step i
   round(case when step = 'dead' then null when step = 'no_ball' then case when held then seen_y end else ball_y end, 6) as ball_y,
   round(case when step = 'dead' then greatest(0.45, 1 - field_score) when step = 'no_ball' then case when held then 0.35 else 0.15 end when step = 'loose' then 0.5 when step = 'contested' then 0.58
     else least(0.98, greatest(0.25, c1 * (1 - d1 / 0.055::double))) end, 6) as confidence,
-  case when step = 'dead' then 'broadcast_not_live' end as reason, case when step = 'contested' then p1 || '|' || p2 else '' end as contenders
+  case when step = 'dead' then 'broadcast_not_live' end as reason, case when step = 'contested' then p1 || '|' || p2 else '' end as contenders, case when step in ('contested', 'proposal') then 'image_normalized' end as coordinate_space
 from owned"""
 
 ORACLE_SQL = {

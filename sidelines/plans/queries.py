@@ -19,7 +19,7 @@ METADATA = ("duration_ms", "distance")
 
 
 def shown(df: DataFrame, digits: int = 6, without: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.concat_ws("|", c).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes if c != "emit_ord" and c not in without))
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.concat_ws("|", c).alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes if c not in ("emit_ord", "start_metres", "end_metres") and c not in without))
 
 
 @query

@@ -272,15 +272,39 @@ def tracking_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 select match_id, (select count(*) from kept k where k.match_id = m.match_id) as events, 2::bigint as periods, (select count(distinct team_key) from reviewed r where r.match_id = m.match_id) as teams from made m""")
 def match_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the JSON document of each match holds, read back from it."""
+    size = lambda part: F.coalesce(F.json_array_length(F.get_json_object("report", f"$.{part}")), F.lit(0)).cast("long")
+    return reports(spark, sf_dir).select("match_id", size("events").alias("events"), size("periods").alias("periods"), size("team_stats").alias("teams"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review.apply_reviews(stored(spark, sf_dir), actions(spark, sf_dir))
     matches = rows.select("match_id").distinct()
     halves = matches.selectExpr("match_id", "stack(2, 1, 0L, 2, 2700000L) as (number, start_ms)")
     teams = rows.groupBy("match_id", F.col("team_key").alias("team_id")).agg(F.count("*").alias("events"))
     players = rows.groupBy("match_id", "player_id").agg(F.count("*").alias("events"))
     made = rows.select("match_id", "run_id").distinct().withColumn("created_at", F.col("run_id"))
-    found = results.match_report(matches, halves, teams, players, rows, made)
-    size = lambda part: F.coalesce(F.json_array_length(F.get_json_object("report", f"$.{part}")), F.lit(0)).cast("long")
-    return found.select("match_id", size("events").alias("events"), size("periods").alias("periods"), size("team_stats").alias("teams"))
+    return results.match_report(matches, halves, teams, players, rows, made)
+
+
+@query(REVIEWED + """, made as (select match_id, max(run_id) as run_id from reviewed group by match_id)
+select match_id, (row_number() over (partition by match_id order by ts_ms, event_id) - 1)::int as place, event_id, ts_ms, event_type, team_key, player_id, outcome, review_status, source, round(confidence, 6) as confidence from reviewed join made using (match_id, run_id) where review_status <> 'rejected'""")
+def reported_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each match's document, value by value and in its order."""
+    event = "event_id long, ts_ms long, event_type string, team_key string, player_id long, outcome string, review_status string, source string, confidence double"
+    listed = F.from_json(F.get_json_object("report", "$.events"), f"array<struct<{event.replace(' ', ':').replace(',:', ',')}>>")
+    return shown(reports(spark, sf_dir).select("match_id", F.posexplode(listed).alias("place", "e")).select("match_id", "place", "e.*"))
+
+
+@query(REVIEWED + """, sums as (select match_id, 'player' as kind, player_id::varchar as key, count(*) as events from reviewed group by all union all select match_id, 'team', team_key, count(*) from reviewed group by all)
+select match_id, kind, key, events from sums union all select distinct match_id, 'period', n::varchar, (n - 1) * 2700000 from reviewed, (select unnest([1, 2]) as n)""")
+def reported_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets and periods of each match's document."""
+    rows, found = reports(spark, sf_dir), None
+    for part, kind, key, value in (("player_stats", "player", "player_id", "events"), ("team_stats", "team", "team_id", "events"), ("periods", "period", "number", "start_ms")):
+        listed = F.from_json(F.get_json_object("report", f"$.{part}"), f"array<struct<{key}:string,{value}:long>>")
+        each = rows.select("match_id", F.explode(listed).alias("x")).select("match_id", F.lit(kind).alias("kind"), F.col(f"x.{key}").alias("key"), F.col(f"x.{value}").alias("events"))
+        found = each if found is None else found.unionByName(each)
+    return found
 
 
 @query(RUN_ROWS + """, lines as (select l_orderkey as run_id, count(*) as n, sum(l_quantity) as q from lineitem group by 1)

@@ -21,7 +21,8 @@ from sidelines.operators.possession import MARGIN, PITCH, RADIUS
 
 #: A segment's state ends when it has been silent so long: frames after that begin anew.
 IDLE_MS = 3_600_000
-SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, ball_x double, ball_y double, confidence double, reason string, contenders array<struct<team_key: string, player_key: string>>, coordinate_space string"
+SAMPLE = "seg long, ts_ms long, state string, team_key string, player_key string, ball_x double, ball_y double, confidence double, reason string, coordinate_space string, contenders array<struct<team_key: string, player_key: string>>"
+_SAMPLE = ["seg", "ts_ms", "state", "team_key", "player_key", "ball_x", "ball_y", "confidence", "reason", "coordinate_space", "contenders"]
 _NEAR = [f"{c}_{k}" for k in (1, 2) for c in ("d", "team", "player", "sure")]
 #: What is held of a frame until no earlier one can come.
 _HELD = ["at_ms", "ts_ms", "dead", "field_score", "ball_seen", "ball_x", "ball_y", "metres", *_NEAR]
@@ -84,7 +85,7 @@ class _Possession(StatefulProcessor):
             last = max(f["at_ms"] for f in ready)
             self.owner.update((*state, last))
             self.handle.registerTimer(last + IDLE_MS)
-            yield pd.DataFrame([(key[0], *o) for o in out], columns=[f.split()[0] for f in ("seg", "ts_ms", "state", "team_key", "player_key", "ball_x", "ball_y", "confidence", "reason", "contenders", "coordinate_space")])
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=[f.split()[0] for f in ("seg", "ts_ms", "state", "team_key", "player_key", "ball_x", "ball_y", "confidence", "reason", "contenders", "coordinate_space")])[_SAMPLE]
 
     def _walk(self, frames: list[dict], state: tuple) -> tuple[list[tuple], tuple]:
         seen, last_x, last_y, team, player, next_team, next_player, since = state
@@ -95,22 +96,22 @@ class _Possession(StatefulProcessor):
             radius = RADIUS[metres] if self.radius is None else self.radius
             d1, d2 = f["d_1"], f["d_2"]
             if f["dead"]:
-                out.append((ts, "unknown", None, None, None, None, max(0.45, 1 - f["field_score"]), "broadcast_not_live", None, space))
+                out.append((ts, "unknown", None, None, None, None, max(0.45, 1 - f["field_score"]), "broadcast_not_live", None, None))
                 continue
             if not (_known(x) and _known(y)):
                 if f["ball_seen"]:
-                    out.append((ts, "unknown", None, None, None, None, 0.1, None, None, space))
+                    out.append((ts, "unknown", None, None, None, None, 0.1, None, None, None))
                 elif seen is not None and ts - seen <= self.grace_ms and player is not None:
-                    out.append((ts, "controlled", team, player, last_x, last_y, 0.35, None, None, space))
+                    out.append((ts, "controlled", team, player, last_x, last_y, 0.35, None, None, None))
                 else:
-                    out.append((ts, "unknown", None, None, None, None, 0.15, None, None, space))
+                    out.append((ts, "unknown", None, None, None, None, 0.15, None, None, None))
                 continue
             seen, last_x, last_y = ts, x, y
             one, two = (_text(f["team_1"]), _text(f["player_1"])), (_text(f["team_2"]), _text(f["player_2"]))
             if metres and not (-MARGIN <= x <= PITCH[0] + MARGIN and -MARGIN <= y <= PITCH[1] + MARGIN):
                 out.append((ts, "out", None, None, x, y, 0.76, "pitch_boundary", None, space))
             elif not _known(d1) or d1 > radius:
-                out.append((ts, "loose", None, None, x, y, 0.5, None, None, space))
+                out.append((ts, "loose", None, None, x, y, 0.5, None, None, None))
             elif _known(d2) and one[0] and two[0] and one[0] != two[0] and d2 <= radius * 1.15 and d2 - d1 <= radius * 0.25:
                 both = [{"team_key": t, "player_key": p} for t, p in (one, two)]
                 out.append((ts, "contested", None, None, x, y, 0.58, None, both, space))
@@ -126,7 +127,7 @@ class _Possession(StatefulProcessor):
 
 
 def live_possession(frames: DataFrame, late: str = "10 seconds", radius: float | None = None, grace_ms: int = 1500, dwell_ms: int = 250, pitch: bool = False) -> DataFrame:
-    """Possession samples of a stream, as operators.possession gives them for a table, with each frame's coordinate_space.
+    """Possession samples of a stream, as operators.possession gives them for a table.
 
     frames as in nearest(), with the time `at` they were taken, by which a segment's ts_ms rises, and where present ball_seen
     and coordinate_space as in operators.possession. Frames may come in any order: each is held until the watermark, `late`

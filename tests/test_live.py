@@ -27,7 +27,7 @@ def drained(spark, rows, parts, tmp_path, make, by="ts_ms", mode="append"):
     return spark.table(name)
 
 
-SAMPLE = ["seg", "ts_ms", "state", "team_key", "player_key", "round(ball_x, 6) as ball_x", "round(ball_y, 6) as ball_y", "round(confidence, 6) as confidence", "reason", "contenders"]
+SAMPLE = ["seg", "ts_ms", "state", "team_key", "player_key", "round(ball_x, 6) as ball_x", "round(ball_y, 6) as ball_y", "round(confidence, 6) as confidence", "reason", "contenders", "coordinate_space"]
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -61,8 +61,8 @@ def test_live_possession_puts_late_frames_in_order(rocks, tmp_path, metres):
     rows = found.selectExpr(*SAMPLE).collect()
     assert sorted(map(str, rows)) == sorted(map(str, wanted.selectExpr(*SAMPLE).collect()))
     seen = {r.state for r in rows}
-    assert {"controlled", "contested", "loose", "unknown"} <= seen and ("out" in seen) == metres and {r.coordinate_space for r in found.select("coordinate_space").distinct().collect()} == ({"pitch_meters", "image_normalized"} if metres else {"image_normalized"})
-    for detect in (events.duels, events.outs, events.shots):
+    assert {"controlled", "contested", "loose", "unknown"} <= seen and ("out" in seen) == metres and {r.coordinate_space for r in rows} == {None, "image_normalized", *(["pitch_meters"] if metres else [])}
+    for detect in (events.duels, events.outs, events.shots, lambda x: events.carries(events.controlled_runs(x))):
         assert sorted(map(str, detect(found).collect())) == sorted(map(str, detect(wanted).collect()))
 
 
