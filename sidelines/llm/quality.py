@@ -53,8 +53,13 @@ def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def fit(rows: DataFrame, names: list[str], features: int = 192, ridge: float = 1.0, seed: int = 5) -> Model:
-    """rows(label, *names). Sums of the normal equations leave each of SUMS partitions once."""
-    rows = cut(rows.select("label", *names).repartition(SUMS), "learn")
+    """rows(label, *names; no nulls). One of SUMS parts, dealt by a hash of the inputs, is left out of the ridge fit and gives the
+    isotonic steps; with a part or the rest empty, all rows do both. Sums of the normal equations leave each partition once.
+    Without rows every score is 0.5; repeated rows count again."""
+    part = F.pmod(F.xxhash64(*names, F.lit(11)), F.lit(SUMS))
+    rows = cut(rows.select("label", *names, part.alias("part")).repartition(SUMS), "learn")
+    apart = rows.agg(F.count_if("part = 0"), F.count_if("part > 0")).first()
+    fitted, steps = (rows.where("part > 0"), rows.where("part = 0")) if all(apart) else (rows, rows)
     first = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     rng = np.random.default_rng(seed)
     mean = np.array([first[f"m_{c}"] or 0.0 for c in names])
@@ -71,7 +76,7 @@ def fit(rows: DataFrame, names: list[str], features: int = 192, ridge: float = 1
             total += z.T @ np.hstack([z, batch.column("label").to_numpy().astype(float)[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = [np.frombuffer(r[0]).reshape(features + 1, -1) for r in rows.mapInArrow(sums, "sums binary").collect()]
+    parts = [np.frombuffer(r[0]).reshape(features + 1, -1) for r in fitted.mapInArrow(sums, "sums binary").collect()]
     total = np.sum(parts, axis=0)
     model.beta = np.linalg.solve(total[:, :-1] + ridge * np.eye(features + 1), total[:, -1])
 
@@ -80,7 +85,7 @@ def fit(rows: DataFrame, names: list[str], features: int = 192, ridge: float = 1
             place = np.clip(np.rint((model.raw(_matrix(batch, names)) + 0.5) * _BINS / 2), 0, _BINS).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), batch.column("label").cast(pa.int64())], ["bin", "label"])
 
-    found = rows.mapInArrow(binned, "bin int, label long").groupBy("bin").agg(F.count("*").alias("n"), F.avg("label").alias("y")).orderBy("bin").toPandas()
+    found = steps.mapInArrow(binned, "bin int, label long").groupBy("bin").agg(F.count("*").alias("n"), F.avg("label").alias("y")).orderBy("bin").toPandas()
     model.steps = (found["bin"].to_numpy() * 2 / _BINS - 0.5, isotonic(found["y"].to_numpy(float), found["n"].to_numpy(float)))
     return model
 

@@ -87,12 +87,15 @@ def links(nodes: DataFrame, distance: int = 4, most: int = 3) -> DataFrame:
             node, fp = (batch.column(i).to_numpy() for i in range(2))
             for k, (shift, width, radius) in enumerate(segments(64, distance, most)):
                 own = (fp.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                ring = [(own, np.arange(len(own)))]
-                for _ in range(radius):
-                    key, row = ring[-1]
-                    found = [(key[has] ^ np.uint64(1 << b), row[has]) for b in range(width) if len(has := np.flatnonzero(key >> np.uint64(b) & np.uint64(1)))]
-                    ring.append((np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) if found else (key[:0], row[:0]))
-                key, row = np.concatenate([x for x, _ in ring]), np.concatenate([x for _, x in ring])
+                ring = [(own, np.arange(len(own)), np.full(len(own), width))]
+                for _ in range(radius):  # bits go in falling order, so each key comes up once
+                    key, row, last = ring[-1]
+                    found = []
+                    for b in range(width):
+                        has = np.flatnonzero((key >> np.uint64(b) & np.uint64(1) == 1) & (b < last))
+                        found.append((key[has] ^ np.uint64(1 << b), row[has], np.full(len(has), b)))
+                    ring.append(tuple(np.concatenate(x) for x in zip(*found, strict=True)))
+                key, row = np.concatenate([x[0] for x in ring]), np.concatenate([x[1] for x in ring])
                 yield pa.RecordBatch.from_arrays([pa.array((key | np.uint64(k << 60)).view(np.int64)), pa.array(node[row]), pa.array(fp[row])], ["key", "node", "fingerprint"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sidelines.llm.text import parts
+from sidelines.llm.text import BYTES_AT_ONCE, parts
 
 #: The public pattern that splits a text into pre-tokens before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,21 +191,21 @@ class Tree:
         return "".join(p for x in self.leaves for p in x[0])
 
 
-_loaded: dict[int, Counter] = {}
+_loaded: dict[bytes, Counter] = {}
 
 
 def counter(raw: bytes) -> Counter:
-    key = hash(raw)
-    if key not in _loaded:
-        _loaded[key] = Counter(raw)
-    return _loaded[key]
+    if raw not in _loaded:
+        _loaded[raw] = Counter(raw)
+    return _loaded[raw]
 
 
 EDITS = "array<struct<at: int, length: int, text: string>>"
 
 
 def repeated_line_edits(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with edits that take out each line with a word that equals an earlier one, last line first."""
+    """docs(doc_id, text) with edits that take out each line with a word that equals an earlier one, last line first. Null and
+    empty texts have none; null doc_ids and repeated rows give a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -246,6 +246,13 @@ def counted_trees(docs: DataFrame, ranks: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, tree {TREE}")
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about BYTES_AT_ONCE, as their batch's mean row has it."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * BYTES_AT_ONCE // max(batch.nbytes, 1))
+        yield from (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
+
+
 def edited_trees(trees: DataFrame, ranks: str) -> DataFrame:
     """(doc_id, n_tokens, n_recounted, tree) of each row of trees(doc_id, tree, edits) after its edits, which are as in
     token_counts(): only what they touch is split and counted again. Null trees are empty texts, null edits none."""
@@ -253,7 +260,7 @@ def edited_trees(trees: DataFrame, ranks: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(raw)
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             for stored, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 done.append(Tree.load(stored or [], count))
