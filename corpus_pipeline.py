@@ -72,6 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over all documents: a row with ids for each document that is left. Each stage's result is
+    written and read again, and the tables of finished stages go; nulls, repeated rows and empty tables are as the stages say."""
     docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         with scratch(spark) as made:
