@@ -46,15 +46,24 @@ def _in_space(values: tuple[float, float], metres: Column) -> Column:
     return F.when(metres, values[1]).otherwise(values[0])
 
 
-def controlled_runs(samples: DataFrame, max_gap_ms: int = 3000, pitch: bool = False) -> DataFrame:
-    """Runs of one owner's controlled samples, numbered in a segment, with what their first and last sample hold."""
+_ENDS = ("ball_x", "ball_y", "confidence", "metres")
+
+
+def _with_runs(samples: DataFrame, max_gap_ms: int, pitch: bool) -> DataFrame:
+    """Samples with `held`, and `new` where a run of one owner begins."""
     w = ordered(BY, "ts_ms")
     held = (F.col("state") == "controlled") & F.col("player_key").isNotNull()
     rows = samples.withColumn("held", F.coalesce(held, F.lit(False))).withColumn("metres", _metres(samples, pitch))
     owner = F.struct("team_key", "player_key")
     new = ~F.coalesce(F.lag("held").over(w), F.lit(False)) | ~F.lag(owner).over(w).eqNullSafe(owner) | (F.col("ts_ms") - F.lag("ts_ms").over(w) > max_gap_ms)
-    rows = rows.withColumn("new", (F.col("held") & new).cast("int")).withColumn("run", F.sum("new").over(w)).where("held")
-    ends = [f(c, "ts_ms").alias(f"{name}_{c}") for name, f in (("start", F.min_by), ("end", F.max_by)) for c in ("ball_x", "ball_y", "confidence", "metres")]
+    return rows.withColumn("new", F.col("held") & new)
+
+
+def controlled_runs(samples: DataFrame, max_gap_ms: int = 3000, pitch: bool = False) -> DataFrame:
+    """Runs of one owner's controlled samples, numbered in a segment, with what their first and last sample hold."""
+    rows = _with_runs(samples, max_gap_ms, pitch)
+    rows = rows.withColumn("run", F.sum(F.col("new").cast("int")).over(ordered(BY, "ts_ms"))).where("held")
+    ends = [f(c, "ts_ms").alias(f"{name}_{c}") for name, f in (("start", F.min_by), ("end", F.max_by)) for c in _ENDS]
     return rows.groupBy("seg", "run", "team_key", "player_key").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"), F.min("confidence").alias("confidence"), *ends)
 
 
@@ -95,28 +104,41 @@ def transfers(runs: DataFrame, max_gap_ms: int = 3000) -> DataFrame:
     return _emit(_with_run_before(runs), *_transfers(max_gap_ms))
 
 
+#: What a duel takes from the controlled samples around it.
+_CONTROLLED = ("ts_ms", "team_key", "player_key", "ball_x", "ball_y", "confidence")
+
+
+def _contest() -> list[Column]:
+    """Sums of a run of contested samples."""
+    nobody = F.expr("cast(array() as array<struct<team_key:string,player_key:string>>)")
+    contenders = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("state") == "contested", F.struct("ts_ms", F.coalesce("contenders", nobody).alias("c"))))), lambda x: x["c"]))
+    return [contenders.alias("contenders"), F.avg("confidence").alias("mean"), *(f(c, "ts_ms").alias(f"{k}_{c}") for c in ("ball_x", "ball_y") for k, f in (("start", F.min_by), ("end", F.max_by)))]
+
+
+def _with_winner(contests: DataFrame) -> DataFrame:
+    follows = F.col("after.player_key").isNotNull()
+    rows = contests.withColumn("winner", F.when(follows, F.struct("after.team_key", "after.player_key")).otherwise(F.get("contenders", F.lit(0))))
+    return rows.withColumn("opponent", F.get(F.filter("contenders", lambda x: x["player_key"] != F.col("winner.player_key")), F.lit(0))["player_key"])
+
+
+def _duel(contested: Column) -> list[Column]:
+    found = contested & F.col("winner.player_key").isNotNull()
+    tags = F.concat(F.array(F.lit("ground_candidate")), F.when(F.col("opponent").isNotNull(), F.array(F.concat(F.lit("opponent_track:"), "opponent"))).otherwise(F.array().cast("array<string>")))
+    won = _event(found, 1, "duel", team_key=F.col("winner.team_key"), player_key=F.col("winner.player_key"), outcome=F.when(F.col("after").isNotNull(), "success").otherwise("unknown"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), confidence=F.col("mean") * 0.78, qualifiers=tags)
+    same = found & (F.col("before.player_key") == F.col("after.player_key"))
+    past = _event(same, 1, "dribble", ts_ms=F.col("after.ts_ms"), sub=F.lit(1), team_key=F.col("after.team_key"), player_key=F.col("after.player_key"), outcome=F.lit("success"), start_x=F.col("before.ball_x"), start_y=F.col("before.ball_y"), end_x=F.col("after.ball_x"), end_y=F.col("after.ball_y"), confidence=F.least("before.confidence", "after.confidence") * 0.75, qualifiers=F.array(F.lit("after_contest")))
+    return [won, past]
+
+
 def duels(samples: DataFrame) -> DataFrame:
     """A duel for each run of contested samples, and a dribble if one player controls the ball before and after."""
     w = ordered(BY, "ts_ms")
-    held = F.when(F.col("state") == "controlled", F.struct("ts_ms", "team_key", "player_key", "ball_x", "ball_y", "confidence"))
+    held = F.when(F.col("state") == "controlled", F.struct(*_CONTROLLED))
     contested = F.col("state") == "contested"
     rows = samples.withColumn("before", F.last(held, True).over(earlier(BY, "ts_ms"))).withColumn("after", F.last(held, True).over(later(BY, "ts_ms")))
     rows = rows.withColumn("run", F.sum((contested & ~F.coalesce(F.lag("state").over(w) == "contested", F.lit(False))).cast("int")).over(w)).where(contested)
-    runs = rows.groupBy("seg", "run").agg(
-        F.min("ts_ms").alias("ts_ms"),
-        F.first("before").alias("before"),
-        F.first("after").alias("after"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", F.coalesce("contenders", F.expr("cast(array() as array<struct<team_key:string,player_key:string>>)")).alias("c")))), lambda x: x["c"])).alias("contenders"),
-        F.avg("confidence").alias("mean"),
-        *(f(c, "ts_ms").alias(f"{k}_{c}") for k, f in (("start", F.min_by), ("end", F.max_by)) for c in ("ball_x", "ball_y")),
-    )
-    follows = F.col("after.player_key").isNotNull()
-    runs = runs.withColumn("winner", F.when(follows, F.struct("after.team_key", "after.player_key")).otherwise(F.get("contenders", F.lit(0)))).where("winner.player_key is not null")
-    runs = runs.withColumn("opponent", F.get(F.filter("contenders", lambda x: x["player_key"] != F.col("winner.player_key")), F.lit(0))["player_key"])
-    tags = F.concat(F.array(F.lit("ground_candidate")), F.when(F.col("opponent").isNotNull(), F.array(F.concat(F.lit("opponent_track:"), "opponent"))).otherwise(F.array().cast("array<string>")))
-    won = _event(F.lit(True), 1, "duel", team_key=F.col("winner.team_key"), player_key=F.col("winner.player_key"), outcome=F.when(F.col("after").isNotNull(), "success").otherwise("unknown"), start_x=F.col("start_ball_x"), start_y=F.col("start_ball_y"), end_x=F.col("end_ball_x"), end_y=F.col("end_ball_y"), confidence=F.col("mean") * 0.78, qualifiers=tags)
-    past = _event(F.col("before.player_key") == F.col("after.player_key"), 1, "dribble", ts_ms=F.col("after.ts_ms"), sub=F.lit(1), team_key=F.col("after.team_key"), player_key=F.col("after.player_key"), outcome=F.lit("success"), start_x=F.col("before.ball_x"), start_y=F.col("before.ball_y"), end_x=F.col("after.ball_x"), end_y=F.col("after.ball_y"), confidence=F.least("before.confidence", "after.confidence") * 0.75, qualifiers=F.array(F.lit("after_contest")))
-    return _emit(runs, won, past)
+    runs = rows.groupBy("seg", "run").agg(F.min("ts_ms").alias("ts_ms"), F.first("before").alias("before"), F.first("after").alias("after"), *_contest())
+    return _emit(_with_winner(runs), *_duel(F.lit(True)))
 
 
 def _with_state_before(samples: DataFrame) -> DataFrame:
@@ -158,11 +180,33 @@ def shots(samples: DataFrame, pitch: bool = False, horizon_ms: int = 2200) -> Da
     return _emit(_with_flight(samples, horizon_ms, pitch), _shot())
 
 
+def _units(samples: DataFrame, pitch: bool, max_gap_ms: int = 3000) -> DataFrame:
+    """One row for each run of an owner, run of contested samples and stretch between them, in one pass over the sorted samples:
+    what the detectors of runs and contests take from it, and in `own` the events of its single samples."""
+    w = ordered(BY, "ts_ms")
+    rows = _with_flight(_with_state_before(_with_runs(samples, max_gap_ms, pitch)), pitch=pitch)
+    kind = F.when(F.col("held"), 0).when(F.col("state") == "contested", 1).otherwise(2)
+    rows = rows.withColumn("kind", kind).withColumn("own", F.array_compact(F.array(_out(), _shot())))
+    begins = F.col("new") | ~F.lag("kind").over(w).eqNullSafe(F.col("kind"))
+    rows = rows.withColumn("run", F.sum(begins.cast("int")).over(w))
+    seen = F.when(F.col("state") == "controlled", F.struct(*_CONTROLLED))
+    ends = [f(c, "ts_ms").alias(f"{name}_{c}") for name, f in (("start", F.min_by), ("end", F.max_by)) for c in ("confidence", "metres")]
+    units = rows.groupBy("seg", "run", "kind").agg(
+        F.first("team_key").alias("team_key"), F.first("player_key").alias("player_key"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("n"), F.min("confidence").alias("confidence"),
+        *_contest(), *ends, F.flatten(F.collect_list("own")).alias("own"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"),
+    )
+    last_run = F.when(F.col("kind") == 0, F.struct("team_key", "player_key", "end_ms", "end_ball_x", "end_ball_y", "end_confidence", "end_metres"))
+    before = earlier(BY, "run")
+    return units.withColumns({"b": F.last(last_run, True).over(before), "before": F.last("last_seen", True).over(before), "after": F.last("first_seen", True).over(later(BY, "run")), "ts_ms": F.col("start_ms")})
+
+
 def candidates(samples: DataFrame, pitch: bool = False) -> DataFrame:
-    """All detectors' events before duplicates go: one pass each over runs, contests and samples."""
-    of_runs = _emit(_with_run_before(controlled_runs(samples, pitch=pitch)), _carry(), *_transfers())
-    of_samples = _emit(_with_flight(_with_state_before(samples), pitch=pitch), _out(), _shot())
-    return of_runs.unionByName(duels(samples)).unionByName(of_samples)
+    """All detectors' events before duplicates go, from one pass over samples and one over their units."""
+    units = _with_winner(_units(samples, pitch))
+    run, contest = F.col("kind") == 0, F.col("kind") == 1
+    of_runs = [F.when(run, e) for e in (_carry(), *_transfers())]
+    found = F.concat("own", F.array_compact(F.array(*of_runs, *_duel(contest))))
+    return units.select("seg", F.explode(found).alias("e")).select("seg", "e.*")
 
 
 def deduplicate(events: DataFrame, within_ms: int = 400, last: int = 6) -> DataFrame:
