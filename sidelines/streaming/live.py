@@ -200,7 +200,8 @@ def live_checks(frames: DataFrame, headers: DataFrame | None = None, schema: str
 
     Rules are those of an import: `header_missing`, `schema` and `engine` by the table headers(match_id, schema, engine),
     where given; `timestamp_missing`, `size_missing`, `out_of_range`; and `duplicate_timestamp` for all but the first good
-    frame of a match's time to come within keep_ms by the cluster's clock, after which its state goes."""
+    frame of a match's time to come within keep_ms by the cluster's clock, after which its state goes. As that clock runs on,
+    the stream does not end by itself under an availableNow trigger."""
     rule = frame_rule(F.col("ts_ms"), F.col("width"), F.col("height"))
     rows = frames
     if headers is not None:

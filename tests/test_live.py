@@ -1,6 +1,7 @@
 """Streams against the same rules on tables, and folds against plain restatements."""
 
 import itertools
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from sidelines.streaming import live
 DATA = "/root/testdata/sf0.001"
 
 
-def drained(spark, rows, parts, tmp_path, make, by="ts_ms", mode="append"):
-    """What `make` of a stream gives when the rows arrive in `parts` batches by the column `by`."""
+def drained(spark, rows, parts, tmp_path, make, by="ts_ms", mode="append", until=None):
+    """What `make` of a stream gives when the rows arrive in `parts` batches by the column `by`; `until` so many rows are there,
+    where state that goes by the cluster's clock keeps the stream going."""
     path = tmp_path / "in"
     edges = rows.approxQuantile(by, [i / parts for i in range(1, parts)], 0.0)
     for i, (low, high) in enumerate(itertools.pairwise([-1.0, *edges, 1e18])):
@@ -23,7 +25,10 @@ def drained(spark, rows, parts, tmp_path, make, by="ts_ms", mode="append"):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
     name = f"sink_{tmp_path.name.replace('-', '_')}"
     query = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    query.awaitTermination(120)
+    began = time.time()
+    while query.isActive and time.time() - began < 120 and not (until and spark.table(name).count() >= until):
+        query.awaitTermination(1)
+    query.stop()
     return spark.table(name)
 
 
@@ -34,7 +39,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 @pytest.fixture
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # each batch starts a worker for each partition
     yield spark
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
@@ -57,7 +64,7 @@ def test_live_possession_puts_late_frames_in_order(rocks, tmp_path, metres):
         people, balls = people.withColumns({c: place(c, "x") for c in ("x", "y")}), balls.withColumns({c: place(c, "ball_x") for c in ("ball_x", "ball_y")})
     balls = balls.withColumn("coordinate_space", F.when(F.col("ts_ms") % 3 != 0, "pitch_meters") if metres else F.lit(None).cast("string"))
     wanted = possession.possession(balls, people)
-    found = drained(spark, disordered(spark, people, balls, ("ball_seen", "coordinate_space")), 5, tmp_path, live.live_possession, by="arrives").where("seg >= 0")
+    found = drained(spark, disordered(spark, people, balls, ("ball_seen", "coordinate_space")), 4, tmp_path, live.live_possession, by="arrives").where("seg >= 0")
     rows = found.selectExpr(*SAMPLE).collect()
     assert sorted(map(str, rows)) == sorted(map(str, wanted.selectExpr(*SAMPLE).collect()))
     seen = {r.state for r in rows}
@@ -88,7 +95,7 @@ def test_live_checks_name_every_bad_frame(rocks, tmp_path):
     frames = [(i, f"m{i % 4}", None if i == 4 else -40 if i == 8 else i % 60 * 40, 0 if i == 12 else None if i == 16 else 1280, 720) for i in range(160)]
     rows = spark.createDataFrame([(*f, "x") for f in frames], "ord long, match_id string, ts_ms long, width long, height long, payload string")
     heads = spark.createDataFrame([("m0", "s/1", "a"), ("m1", "s/1", "a"), ("m2", "s/0", "a")], "match_id string, schema string, engine string")
-    found = drained(spark, rows, 5, tmp_path, lambda s: live.live_checks(s, heads, "s/1", "a"), by="ord")
+    found = drained(spark, rows, 3, tmp_path, lambda s: live.live_checks(s, heads, "s/1", "a"), by="ord", until=len(frames))
     assert found.columns == [*rows.columns, "rule"]
     got = {r.ord: r for r in found.collect()}
     assert len(got) == found.count() == 160 and sorted(map(tuple, found.drop("rule").collect())) == sorted(map(tuple, rows.collect()))
