@@ -19,7 +19,7 @@ _WORD = ~(_SPLIT | (_all == 0x20) | (_all == 0x09))
 #: Bits of a word id within a task, and of those that tell apart the first words of one container.
 ID_BITS, GROUP_BITS = 19, 6
 #: Entries of a container before it bursts; entries of a task's trie before subtrees are spilled; those that a container costs.
-BURST, MOST_ENTRIES, CONTAINER = 4096, 600_000, 4
+BURST, MOST_ENTRIES, CONTAINER = 4096, 400_000, 4
 #: Slots of the table that tells which phrases can't be frequent: 2 ** 27 bits, 16 MiB at any size of the corpus.
 SLOT_BITS = 27
 ROWS_AT_ONCE = 1 << 16
@@ -120,7 +120,7 @@ class Vocabulary:
 
     def __init__(self):
         self.ids: dict[str, dict[bytes, int]] = {}
-        self.words: list[str] = []
+        self.words: list[bytes] = []
         self.langs: list[str] = []
 
     def of(self, lang: str, words: list[bytes]) -> list[int]:
@@ -129,7 +129,7 @@ class Vocabulary:
             at = ids.get(word)
             if at is None:
                 at = ids[word] = len(self.words)
-                self.words.append(word.decode(errors="replace"))
+                self.words.append(word)
                 self.langs.append(lang)
             out.append(at)
         return out
@@ -223,7 +223,8 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
 
         def rows(first: np.ndarray, rest: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             """A sorted run, word by word."""
-            words, langs = pa.array(vocabulary.words, pa.string()), pa.array(vocabulary.langs, pa.string())
+            raw, langs = pa.array(vocabulary.words, pa.binary()), pa.array(vocabulary.langs, pa.string())
+            words = pa.StringArray.from_buffers(len(raw), *raw.buffers()[1:])
             rank = np.zeros(len(words), np.int64)
             rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
             ids = [first, *(rest >> bits * j & (1 << bits) - 1 for j in range(length - 2, -1, -1))]
@@ -239,7 +240,7 @@ def count_phrases(docs: DataFrame, length: int, table: np.ndarray | None = None)
             yield from rows(found, np.zeros(len(found), np.int64), single[found]) if length == 1 else rows(*trie.spill(0))
             vocabulary, trie, single = Vocabulary(), HatTrie(max(length, 2), bits, burst), np.zeros(0, np.int64)
 
-        for batch in parts(batches, most=BYTES_AT_ONCE // 2):
+        for batch in parts(batches, most=BYTES_AT_ONCE // 3):
             b = Batch(batch.column(0), batch.column(1))
             at = np.flatnonzero(b.left >= length)
             if table is not None and len(at):
