@@ -58,7 +58,7 @@ def fit(rows: DataFrame, names: list[str], features: int = 192, ridge: float = 1
     Without rows every score is 0.5; repeated rows count again."""
     part = F.pmod(F.xxhash64(*names, F.lit(11)), F.lit(SUMS))
     rows = cut(rows.select("label", *names, part.alias("part")).repartition(SUMS), "learn")
-    apart = rows.agg(F.count_if("part = 0"), F.count_if("part > 0")).first()
+    apart = rows.agg(F.count_if(F.col("part") == 0), F.count_if(F.col("part") > 0)).first()
     fitted, steps = (rows.where("part > 0"), rows.where("part = 0")) if all(apart) else (rows, rows)
     first = rows.agg(F.count("*").alias("n"), *(f(c).alias(f"{k}_{c}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     rng = np.random.default_rng(seed)
