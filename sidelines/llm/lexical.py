@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelines.llm.common import cut
-from sidelines.llm.text import ALNUM, Words, distinct, lists, parts, ragged
+from sidelines.llm.text import ALNUM, Words, distinct, lists, parts
 
 #: Terms of the queries of one block; cells of documents by accumulators that a task holds at once.
 BLOCK_TERMS, CELLS = 1 << 16, 1 << 22
