@@ -72,14 +72,38 @@ def best_per_track(detections: DataFrame, by: list[str], order: list[str]) -> Da
     return detections.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
-def densify(objects: DataFrame, segments: DataFrame, fps: float) -> DataFrame:
-    """A row for every frame of every segment with its objects, none for frames without; separators' frames have no row."""
-    rows = segments.withColumn("frame", F.explode(F.expr("sequence(composite_start_frame, composite_start_frame + frame_count - 1)")))
-    rows = rows.select("match_id", "seg_index", "frame", source_clock(F.col("frame"), fps).alias("ts_ms"))
+def frame_runs(objects: DataFrame, segments: DataFrame) -> DataFrame:
+    """The frames of every segment as runs: (the segment's columns, frame, frames, objects), a row of frames = 1 for each frame with
+    objects and one for each gap between them, by its first frame. Rows grow with the objects and segments, never with the frames
+    that hold nothing. Segments of a match don't overlap; objects outside all of them go."""
+    part = F.struct("composite_start_frame", "frame_count", "seg_index", "source_start_ms", "source_end_ms")
     packed = objects.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(F.struct(*(c for c in PAYLOAD if c in objects.columns)))).alias("objects"))
-    return rows.join(packed, ["match_id", "frame"], "left")
+    rows = packed.withColumn("filled", F.lit(1)).unionByName(segments.select("match_id", F.col("composite_start_frame").alias("frame"), F.lit(0).alias("filled"), part.alias("part")), allowMissingColumns=True)
+    w = Window.partitionBy("match_id").orderBy("frame", "filled", "part.frame_count")
+    rows = rows.withColumn("next", F.lead("frame").over(w)).withColumn("part", F.last("part", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.select("match_id", "part.*", "frame", "filled", "next", "objects").withColumn("end", F.col("composite_start_frame") + F.col("frame_count")).where("frame < end")
+    first, kind = F.col("frame") + F.col("filled"), rows.schema["objects"].dataType
+    run = lambda frame, n, o: F.struct(frame.cast("long").alias("frame"), n.cast("long").alias("frames"), o.cast(kind).alias("objects"))
+    gap = run(first, F.least("end", F.coalesce("next", "end")) - first, F.lit(None))
+    runs = F.array(F.when(F.col("filled") == 1, run(F.col("frame"), F.lit(1), F.col("objects"))), gap)
+    rows = rows.select("match_id", "seg_index", "composite_start_frame", "source_start_ms", "source_end_ms", F.explode(runs).alias("run"))
+    return rows.where("run.frames > 0").select("match_id", "seg_index", "composite_start_frame", "source_start_ms", "source_end_ms", "run.*")
+
+
+def filled_frames(objects: DataFrame, segments: DataFrame, fps: float) -> DataFrame:
+    """The rows of densify() that hold objects."""
+    rows = frame_runs(objects, segments).where("objects is not null")
+    return rows.select("match_id", "frame", "seg_index", source_clock(F.col("frame"), fps).alias("ts_ms"), "objects")
+
+
+def densify(objects: DataFrame, segments: DataFrame, fps: float) -> DataFrame:
+    """A row for every frame of every segment with its objects, none for frames without; separators' frames have no row. Empty
+    frames are written out where their run is: they are not joined or shuffled."""
+    rows = frame_runs(objects, segments).withColumn("frame", F.explode(F.expr("sequence(frame, frame + frames - 1)")))
+    return rows.select("match_id", "frame", "seg_index", source_clock(F.col("frame"), fps).alias("ts_ms"), "objects")
 
 
 def busiest_frame(frames: DataFrame) -> DataFrame:
+    """The first of the frames with most objects; of frame_runs(), a gap counts by its first frame."""
     n = F.greatest(F.lit(0), F.coalesce(F.size("objects"), F.lit(0)))
     return frames.groupBy("match_id").agg(F.min(F.struct((-n).alias("n"), "frame")).alias("b")).select("match_id", F.col("b.frame").alias("frame"), (-F.col("b.n")).alias("n"))
