@@ -31,25 +31,30 @@ def locate(detections: DataFrame, segments: DataFrame, fps: float) -> DataFrame:
 
 def _finite(c: str) -> Column:
     x = F.col(c).cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return F.when(F.abs(x) < float("inf"), x)  # no number counts as greater than all numbers
 
 
 def clean_detections(detections: DataFrame, width: int = 1920, height: int = 1080) -> DataFrame:
     """Valid rows only: a known role (`role`, else `role_detection`), a track number, and a box within the image; cluster 0
-    as A and 1 as B, jersey numbers of 0 to 99, pitch places with both numbers, confidence within 0 and 1 (1: unknown)."""
-    role = F.coalesce(*(F.when(F.lower(F.trim(c)).isin(*ROLES), F.lower(F.trim(c))) for c in ("role", "role_detection")))
+    as A and 1 as B, jersey numbers of 0 to 99, pitch places with both numbers, confidence within 0 and 1 (1: unknown).
+
+    What a row is judged by is made once and exploded, so that the filter isn't taken below it with a copy of all that it uses:
+    such copies make a method too long for the JVM to compile."""
+    known = F.filter(F.array(F.lower(F.trim("role")), F.lower(F.trim("role_detection"))), lambda r: r.isin(*ROLES))
     edge = lambda c, top: F.greatest(F.lit(0.0), F.least(F.lit(float(top)), c))
     left, up, w, h = (_finite(c) for c in ("left_px", "top_px", "w_px", "h_px"))
-    shirt = F.bround(_finite("jersey_number")).cast("int")
-    both = _finite("pitch_x").isNotNull() & _finite("pitch_y").isNotNull()
-    rows = detections.select(
-        *(c for c in detections.columns if c not in ("role", "role_detection", "left_px", "top_px", "w_px", "h_px", "jersey_number", "pitch_x", "pitch_y", "confidence", "track_id", "team_cluster")),
-        role.alias("role"), F.bround(_finite("track_id")).cast("long").cast("string").alias("track_id"), F.when(_finite("team_cluster") == 0, "A").when(_finite("team_cluster") == 1, "B").alias("cluster"),
-        edge(left, width).alias("x1"), edge(up, height).alias("y1"), edge(left + w, width).alias("x2"), edge(up + h, height).alias("y2"),
-        F.when(_finite("jersey_number").between(0, 99), shirt).alias("shirt_number"), F.when(both, _finite("pitch_x")).alias("pitch_x"), F.when(both, _finite("pitch_y")).alias("pitch_y"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(_finite("confidence"), F.lit(1.0)))).alias("confidence"),
+    made = F.struct(
+        F.get(known, F.lit(0)).alias("role"), F.bround(_finite("track_id")).cast("long").cast("string").alias("track_id"), edge(left, width).alias("x1"), edge(up, height).alias("y1"), edge(left + w, width).alias("x2"), edge(up + h, height).alias("y2"),
+        _finite("team_cluster").alias("team_cluster"), _finite("jersey_number").alias("jersey_number"), _finite("pitch_x").alias("pitch_x"), _finite("pitch_y").alias("pitch_y"), _finite("confidence").alias("confidence"),
+    )
+    kept = [c for c in detections.columns if c not in ("role", "role_detection", "left_px", "top_px", "w_px", "h_px", "jersey_number", "pitch_x", "pitch_y", "confidence", "track_id", "team_cluster")]
+    rows = detections.select(*kept, F.explode(F.array(made)).alias("d")).select(*kept, "d.*").where("role is not null and track_id is not null and x2 > x1 and y2 > y1")
+    both = F.col("pitch_x").isNotNull() & F.col("pitch_y").isNotNull()
+    return rows.select(
+        *kept, "role", "track_id", F.when(F.col("team_cluster") == 0, "A").when(F.col("team_cluster") == 1, "B").alias("cluster"), "x1", "y1", "x2", "y2",
+        F.when(F.col("jersey_number").between(0, 99), F.bround("jersey_number").cast("int")).alias("shirt_number"), F.when(both, F.col("pitch_x")).alias("pitch_x"), F.when(both, F.col("pitch_y")).alias("pitch_y"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(1.0)))).alias("confidence"),
     )
-    return rows.where("role is not null and track_id is not null and x2 > x1 and y2 > y1")
 
 
 def goal_sides(detections: DataFrame, by: list[str]) -> DataFrame:
