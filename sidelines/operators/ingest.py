@@ -2,7 +2,7 @@
 
 Objects arrive as strings or numbers of many spellings, so scalar fields are read as text and cast with try_cast."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,9 @@ def sure(value: Column) -> Column:
 def pitch(value: Column, axis: str) -> Column:
     """x or y of text that holds {x, y}, {x_bottom_middle, y_bottom_middle} or [x, y]; anything else is null."""
     at = {"x": 0, "y": 1}[axis]
-    named = [F.get_json_object(value, f"$.{k}") for k in (axis, f"{axis}_bottom_middle")]
-    return F.coalesce(*named, F.when(F.substring(F.trim(value), 1, 1) == "[", F.get_json_object(value, f"$[{at}]"))).try_cast("double")
+    named = F.coalesce(*(F.get_json_object(value, f"$.{k}") for k in (axis, f"{axis}_bottom_middle")))
+    listed = F.get_json_object(value, f"$[{at}]")
+    return F.when(F.substring(F.trim(value), 1, 1) == "[", listed).when(F.contains(value, F.lit("{")), named).try_cast("double")
 
 
 def header_errors(meta: DataFrame, schema: str, engine: str | None = None) -> DataFrame:
@@ -59,26 +60,30 @@ def frame_rule(ts_ms: Column, width: Column, height: Column) -> Column:
 def validate_frames(raw: DataFrame, meta: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames, objects, errors) of raw frames by match_id, headers meta(match_id, engine, fps) and
     matches(match_id, home_cluster). A frame that breaks a rule goes with its objects; an object that does goes alone."""
-    rows = raw.join(meta.select("match_id", "engine", "fps"), "match_id").join(matches.select("match_id", "home_cluster"), "match_id")
-    rows = rows.withColumn("ts_ms", timestamp_ms(F.col("timestamp_ms"), F.col("frame_index"), F.col("fps")))
+    heads = meta.select("match_id", "engine", "fps").join(matches.select("match_id", "home_cluster"), "match_id")
+    rows = raw.join(heads, "match_id").withColumn("ts_ms", timestamp_ms(F.col("timestamp_ms"), F.col("frame_index"), F.col("fps")))
     rows = rows.withColumn("rule", frame_rule(F.col("ts_ms"), F.col("width"), F.col("height")))
-    good = rows.where("rule is null")
-    twice = good.groupBy("match_id", "ts_ms").agg(F.count("*").alias("n")).where("n > 1").select("match_id", "ts_ms", F.lit("duplicate_timestamp").alias("rule"))
-    good = good.join(twice.select("match_id", "ts_ms"), ["match_id", "ts_ms"], "left_anti")
+    # Windows keep the rows where the join by match has put them; frames without a fault of their own come first.
+    w = Window.partitionBy("match_id", "ts_ms").orderBy(F.asc_nulls_first("rule"))
+    same = F.count(F.when(F.col("rule").isNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("same", same).withColumn("place", F.row_number().over(w))
+    good = rows.where("rule is null and same = 1")
     frames = good.select(
         "match_id", "ts_ms", "width", "height", F.coalesce("field_score", F.lit(1.0)).alias("field_score"), F.coalesce("scene_cut", F.lit(False)).alias("scene_cut"), F.coalesce("replay_probability", F.lit(0.0)).alias("replay_probability"),
         F.coalesce("coordinate_space", F.lit("image_pixels+pitch_meters")).alias("coordinate_space"), "engine",
     )
     checked = check_objects(good.select("match_id", "ts_ms", "width", "height", "home_cluster", F.posexplode("objects").alias("obj_ord", "o")).select("match_id", "ts_ms", "width", "height", "home_cluster", "obj_ord", "o.*"))
     empty = matches.join(frames.select("match_id").distinct(), "match_id", "left_anti").select("match_id", F.lit(None).cast("long").alias("ts_ms"), F.lit("no_frames").alias("rule"))
-    errors = rows.where("rule is not null").select("match_id", "ts_ms", "rule").unionByName(twice).unionByName(empty)
+    broken = F.coalesce("rule", F.when((F.col("same") > 1) & (F.col("place") == 1), "duplicate_timestamp"))
+    errors = rows.select("match_id", "ts_ms", broken.alias("rule")).where("rule is not null").unionByName(empty)
     errors = errors.unionByName(checked.where("rule is not null").select("match_id", "ts_ms", "rule"))
     return frames, checked.where("rule is null").drop("rule"), errors
 
 
 def check_objects(rows: DataFrame) -> DataFrame:
     """Exploded objects of known roles in the library's columns, with `rule` where one is broken. A track_id of 0 counts as
-    missing; as ids are read as text, the text "0" does too."""
+    missing; as ids are read as text, the text "0" does too. What an object is judged by is exploded, so that filters by the
+    rule aren't taken below it with a copy of all that it uses, which the JVM would no longer compile."""
     role = F.lower(F.trim("role"))
     track = F.trim("track_id")
     ltwh = F.when(F.size("bbox_ltwh") == 4, F.expr("array(bbox_ltwh[0], bbox_ltwh[1], bbox_ltwh[0] + bbox_ltwh[2], bbox_ltwh[1] + bbox_ltwh[3])"))
@@ -87,11 +92,14 @@ def check_objects(rows: DataFrame) -> DataFrame:
     x1, y1, x2, y2 = (F.get("box", F.lit(i)) for i in range(4))
     fits = (x1 >= 0) & (x1 < x2) & (x2 <= F.col("width")) & (y1 >= 0) & (y1 < y2) & (y2 <= F.col("height"))
     rule = F.when(track.isNull() | track.isin("", "0"), "track_id").when(F.col("box").isNull(), "box_shape").when(~F.coalesce(fits, F.lit(False)), "box_range")
+    judged = F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), rule.alias("rule"))
+    rows = rows.select(*(c for c in rows.columns if c not in ("box", "bbox_xyxy", "bbox_ltwh")), F.explode(F.array(judged)).alias("j")).select("*", "j.*")
+    x1, x2, y2 = (F.col(c) for c in ("x1", "x2", "y2"))
     place = F.coalesce("pitch_xy", "bbox_pitch")
     return rows.select(
-        "match_id", "ts_ms", "obj_ord", F.concat(F.lit("gsr-"), track).alias("track_id"), role.alias("role"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), sure(F.col("confidence")).alias("confidence"),
+        "match_id", "ts_ms", "obj_ord", F.concat(F.lit("gsr-"), track).alias("track_id"), role.alias("role"), "x1", "y1", "x2", "y2", sure(F.col("confidence")).alias("confidence"),
         team_key(F.coalesce("team_key", "team_cluster", "team"), F.col("home_cluster")).alias("team_key"), shirt(F.coalesce("shirt_number", "jersey_number")).alias("shirt_number"),
-        ((x1 + x2) / 2 / F.col("width")).alias("image_x"), (y2 / F.col("height")).alias("image_y"), pitch(place, "x").alias("pitch_x"), pitch(place, "y").alias("pitch_y"), rule.alias("rule"),
+        ((x1 + x2) / 2 / F.col("width")).alias("image_x"), (y2 / F.col("height")).alias("image_y"), pitch(place, "x").alias("pitch_x"), pitch(place, "y").alias("pitch_y"), "rule",
     )
 
 

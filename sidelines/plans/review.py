@@ -21,12 +21,14 @@ def imported(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
         F.expr("if(l_partkey % 2 = 0, array(cast(l_partkey % 1900 as double), 10.0D, l_partkey % 1900 + 40.0D, 90.0D + l_quantity), null)").alias("bbox_xyxy"),
         F.expr("case when l_partkey % 41 = 1 then array(1.0D, 2.0D) else array(cast(l_partkey % 1900 as double), 10.0D, 40.0D, 80.0D + l_quantity) end").alias("bbox_ltwh"),
     )
-    lines = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("objects"))
+    lines = fx.table(spark, sf_dir, "lineitem").withColumn("match_id", F.expr("concat('m', l_orderkey div 16)"))
+    meta = lines.select("match_id").distinct().selectExpr("match_id", "'external' as engine", "1000.0D as fps")
+    # A match's lines are shuffled once, to where its frames are made and checked.
+    lines = lines.select("match_id", "l_orderkey", one.alias("o")).repartition("match_id").groupBy("match_id", "l_orderkey").agg(F.collect_list("o").alias("objects"))
     raw = lines.selectExpr(
-        "concat('m', l_orderkey div 16) as match_id", "if(l_orderkey % 2 = 0, cast(l_orderkey as double), null) as timestamp_ms", "if(l_orderkey % 29 = 3, null, cast(if(l_orderkey % 37 = 5, l_orderkey - 1, l_orderkey) as double)) as frame_index", "if((l_orderkey div 16) % 31 = 7, 0L, 1920L) as width", "1080L as height",
+        "match_id", "if(l_orderkey % 2 = 0, cast(l_orderkey as double), null) as timestamp_ms", "if(l_orderkey % 29 = 3, null, cast(if(l_orderkey % 37 = 5, l_orderkey - 1, l_orderkey) as double)) as frame_index", "if((l_orderkey div 16) % 31 = 7, 0L, 1920L) as width", "1080L as height",
         "cast(null as double) as field_score", "cast(null as boolean) as scene_cut", "cast(null as double) as replay_probability", "cast(null as string) as coordinate_space", "objects",
     )
-    meta = raw.select("match_id").distinct().selectExpr("match_id", "'external' as engine", "1000.0D as fps")
     return ingest.validate_frames(raw, meta, meta.selectExpr("match_id", "if(cast(substring(match_id, 2) as long) % 2 = 0, 'A', 'B') as home_cluster"))
 
 

@@ -1,9 +1,12 @@
 """Work that follows the rows of a table and not what they span."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sidelines.operators import conversion
+from sidelines.operators import conversion, ingest
+from sidelines.plans.catalog import QUERIES
 
+DATA = "/root/testdata/sf0.001"
 PARTS = "match_id int, seg_index int, composite_start_frame long, frame_count long, source_start_ms long, source_end_ms long"
 
 
@@ -28,3 +31,43 @@ def test_dense_frames_are_every_frame_once(spark):
     ]
     filled = conversion.filled_frames(objects, parts, 5.0).orderBy("frame").collect()
     assert filled == [r for r in rows if r.objects]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan()
+
+
+def shuffles(df):
+    return plan(df).toString().count("Exchange hashpartitioning")
+
+
+def longest_method(spark, df):
+    """Bytes of the longest method that Spark makes for a query: the JVM never compiles those over 8000."""
+    df.collect()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    made = debug.codegenStringSeq(plan(df))
+    return max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size()))
+
+
+@pytest.mark.parametrize("name", ["located_detections", "dense_frames", "dense_objects", "imported_objects", "imported_detections", "import_frame_counts", "import_summaries", "import_errors"])
+def test_methods_are_short_enough_to_be_compiled(spark, name):
+    assert longest_method(spark, QUERIES[name](spark, DATA)) <= 8000
+
+
+@pytest.mark.parametrize("name", ["imported_objects", "imported_detections", "import_frame_counts"])
+def test_frames_are_shuffled_once(spark, name):
+    df = QUERIES[name](spark, DATA)
+    assert plan(df).toString().count("objects#") and shuffles(df) <= 4
+
+
+def test_places_and_repeated_times(spark):
+    values = ['{"x":1,"y":2}', ' {"x_bottom_middle":3,"y_bottom_middle":"4"}', " [5,6]", "none", '"x"', "[7]", "7", None, '{"x":"far","y":1}', '[{"x":1,"y":2}]']
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").select("i", ingest.pitch(F.col("v"), "x"), ingest.pitch(F.col("v"), "y")).orderBy("i").collect()
+    assert [(r[1], r[2]) for r in rows] == [(1, 2), (3, 4), (5, 6), (None, None), (None, None), (7, None), (None, None), (None, None), (None, 1), (None, None)]
+    frame = "match_id string, timestamp_ms double, frame_index double, width long, height long, field_score double, scene_cut boolean, replay_probability double, coordinate_space string"
+    times = [("m", 5.0, 9), ("m", 5.0, 9), ("m", 5.0, 0), ("m", 6.0, 9), ("m", 6.0, 0), ("m", None, 9), ("m", None, 9), ("n", 7.0, 9), ("n", 7.0, 9), ("n", 7.0, 9)]
+    raw = spark.createDataFrame([(m, t, None, w, 9, None, None, None, None) for m, t, w in times], frame).withColumn("objects", F.lit(None).cast(ingest.FRAME["objects"].dataType))
+    heads = spark.createDataFrame([(m, "external", 0.0, "A") for m in "mn"], "match_id string, engine string, fps double, home_cluster string")
+    frames, _, errors = ingest.validate_frames(raw, heads.drop("home_cluster"), heads.select("match_id", "home_cluster"))
+    assert [(r.match_id, r.ts_ms) for r in frames.collect()] == [("m", 6)]
+    assert sorted((r.match_id, r.ts_ms or 0, r.rule) for r in errors.collect()) == [("m", 0, "timestamp_missing"), ("m", 0, "timestamp_missing"), ("m", 5, "duplicate_timestamp"), ("m", 5, "out_of_range"), ("m", 6, "out_of_range"), ("n", 0, "no_frames"), ("n", 7, "duplicate_timestamp")]
