@@ -86,22 +86,33 @@ def estimated_frames(windows: DataFrame, fps: Column | float, by: list[str] = ["
     return windows.groupBy(*by).agg(F.ceil(F.sum(F.col("end_ms") - F.col("start_ms")) / 1000 * rate).alias("frames"))
 
 
+def _nearest(left: DataFrame, right: DataFrame, tolerance_ms: int | str, by: list[str]) -> DataFrame:
+    """Left rows with `found` and the columns of asof_nearest()'s right row as near_*. Each column is carried by itself, so that
+    those that nobody asks for are neither sorted nor kept."""
+    kinds = dict(right.dtypes)
+    rows = left.select("*", F.lit(1).alias("side"), *(F.lit(None).cast(kinds[c]).alias(f"r_{c}") for c in kinds))
+    rows = rows.unionByName(right.select(*by, "ts_ms", F.lit(0).alias("side"), *(F.col(c).alias(f"r_{c}") for c in kinds)), allowMissingColumns=True)
+    held, own = (lambda c: F.when(F.col("side") == 0, F.struct(f"r_{c}")).alias(f"r_{c}")), [c for c in rows.columns if not c.startswith("r_")]
+    rows = rows.select(*own, *(held(c) for c in kinds))
+    w = Window.partitionBy(*by).orderBy("ts_ms", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = f"over (partition by {', '.join(by)} order by ts_ms, side)"  # of one sort with w
+    rows = rows.select("*", *(F.last(f"r_{c}", True).over(w).alias(f"b_{c}") for c in kinds), *(F.expr(f"lead(r_{c}, 1) ignore nulls {after}").alias(f"a_{c}") for c in kinds))
+    rows = rows.select(*own, *(F.col(f"{n}_{c}")[f"r_{c}"].alias(f"{n}_{c}") for n in "ab" for c in kinds))
+    rows = rows.where("side = 1")
+    far = lambda c: F.abs(F.col(f"{c}_ts_ms") - F.col("ts_ms"))
+    ahead = F.col("b_ts_ms").isNull() | (far("a") <= far("b"))
+    most = F.col(tolerance_ms) if isinstance(tolerance_ms, str) else F.lit(tolerance_ms)
+    found = F.coalesce(F.when(ahead, far("a")).otherwise(far("b")) <= most, F.lit(False))
+    return rows.select(*left.columns, found.alias("found"), *(F.when(found, F.when(ahead, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))).alias(f"near_{c}") for c in kinds))
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, tolerance_ms: int | str, by: list[str] = ["seg"]) -> DataFrame:  # noqa: B006
     """Left rows with `near`, a struct of the right row nearest in ts_ms within the tolerance (ties: the later), else null. The
     tolerance is a number or a column of the left rows.
-    Both sides pass through one shuffle; each direction is a running window, so work is linear in a segment's rows."""
-    kept = F.struct(*right.columns)
-    rows = left.select(*by, "ts_ms", F.lit(1).alias("side"), F.struct(*left.columns).alias("l"), F.lit(None).cast(right.select(kept.alias("r")).schema["r"].dataType).alias("r"))
-    rows = rows.unionByName(right.select(*by, "ts_ms", F.lit(0).alias("side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType).alias("l"), kept.alias("r")))
-    seen = (Window.unboundedPreceding, Window.currentRow)
-    back = F.last("r", True).over(Window.partitionBy(*by).orderBy("ts_ms", "side").rowsBetween(*seen))
-    ahead = F.last("r", True).over(Window.partitionBy(*by).orderBy(F.desc("ts_ms"), "side").rowsBetween(*seen))
-    rows = rows.withColumn("b", back).withColumn("a", ahead).where("side = 1")
-    far = lambda c: F.abs(F.col(f"{c}.ts_ms") - F.col("ts_ms"))
-    best = F.when(F.col("b").isNull() | (far("a") <= far("b")), F.col("a")).otherwise(F.col("b"))
-    rows = rows.withColumn("near", best)
-    most = F.col(f"l.{tolerance_ms}") if isinstance(tolerance_ms, str) else F.lit(tolerance_ms)
-    return rows.select("l.*", F.when(far("near") <= most, F.col("near")).alias("near"))
+    Both sides pass through one shuffle and one sort, in which the row before and the row after are looked up, so work is linear
+    in a segment's rows."""
+    rows = _nearest(left, right, tolerance_ms, by)
+    return rows.select(*left.columns, F.when(F.col("found"), F.struct(*(F.col(f"near_{c}").alias(c) for c in right.columns))).alias("near"))
 
 
 def fuse(local: DataFrame, external: DataFrame, tolerance_ms: int | str) -> DataFrame:
@@ -109,19 +120,20 @@ def fuse(local: DataFrame, external: DataFrame, tolerance_ms: int | str) -> Data
     first local ball; `missing` marks frames without an external one, which keep the ball alone. Where both sides have width
     and height, frames whose external one has another size break the `rule` size and take no athlete from it."""
     sizes = ["width", "height"] if {"width", "height"} <= {*local.columns} & {*external.columns} else []
-    athletes = F.filter("near.objects", lambda o: o["role"].isin("player", "goalkeeper", "referee"))
+    athletes = F.filter("objects", lambda o: o["role"].isin("player", "goalkeeper", "referee"))
     ball = F.slice(F.filter("objects", lambda o: o["role"] == "ball"), 1, 1)
-    rows = asof_nearest(local, external.select("seg", "ts_ms", "objects", *sizes), tolerance_ms).withColumn("missing", F.col("near").isNull())
-    other = F.col("near").isNotNull() & ~F.struct(*sizes).eqNullSafe(F.struct(*(f"near.{c}" for c in sizes))) if sizes else F.lit(False)
+    rows = _nearest(local.withColumn("objects", ball), external.select("seg", "ts_ms", athletes.alias("objects"), *sizes), tolerance_ms, ["seg"]).withColumn("missing", ~F.col("found"))
+    other = F.col("found") & ~F.struct(*sizes).eqNullSafe(F.struct(*(F.col(f"near_{c}").alias(c) for c in sizes))) if sizes else F.lit(False)
     rows = rows.withColumn("rule", F.when(other, "size"))
-    taken = F.when(F.col("rule").isNull(), athletes)
-    return rows.withColumn("source_ms", F.col("near.ts_ms")).withColumn("objects", F.concat(F.coalesce(taken, F.slice("objects", 1, 0)), ball)).drop("near")
+    taken = F.when(F.col("rule").isNull(), F.col("near_objects"))
+    rows = rows.withColumn("objects", F.concat(F.coalesce(taken, F.slice("objects", 1, 0)), "objects"))
+    return rows.select(*local.columns, "missing", "rule", F.col("near_ts_ms").alias("source_ms"))
 
 
-def coverage(frames: DataFrame, by: str = "seg", most: float = 0.05) -> DataFrame:
-    """Frames, those without external data, and whether their share fails the run."""
+def coverage(frames: DataFrame, by: str = "seg", most: float = 0.05, *more: Column) -> DataFrame:
+    """Frames, those without external data, and whether their share fails the run; with any other sums, from the same pass."""
     missing = F.count_if("missing")
-    return frames.groupBy(by).agg(F.count("*").alias("frames"), missing.alias("missing_frames"), (missing > most * F.count("*")).alias("failed"))
+    return frames.groupBy(by).agg(F.count("*").alias("frames"), missing.alias("missing_frames"), (missing > most * F.count("*")).alias("failed"), *more)
 
 
 def progress(batches: DataFrame, low: int = 22, high: int = 68) -> DataFrame:

@@ -171,8 +171,7 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FUSED + """ select seg, count(*) as frames, count(*) filter (not hit) as missing_frames, count(*) filter (not hit) > 0.05 * count(*) as failed, (sum(case when ball then 1 else 0 end) + 2 * count(*) filter (hit and not other))::bigint as objects from hits group by seg""")
 def fused_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fused(spark, sf_dir)
-    return clocks.coverage(found).join(found.groupBy("seg").agg(F.sum(F.size("objects").cast("long")).alias("objects")), "seg")
+    return clocks.coverage(fused(spark, sf_dir), "seg", 0.05, F.sum(F.size("objects").cast("long")).alias("objects"))
 
 
 @query(FUSED + " select seg, ts_ms, r_ms as source_ms, 'size' as rule from hits where other")
