@@ -24,11 +24,12 @@ BOX = ("x1", "y1", "x2", "y2")
 
 
 def assign_roles(detections: DataFrame, classes: DataFrame) -> DataFrame:
-    """Detections with the role of classes(class_id, name, role): a given role wins, else its name's, else `other`."""
+    """Detections with the role of classes(class_id, name, role): a given role wins, else its name's, else `other`. A model has
+    few classes: they go to the detections, which would else gather in as many tasks as there are classes."""
     name = F.regexp_replace(F.lower(F.trim("name")), "[ _]", "-")
     alias = F.element_at(F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair)), name)
     named = classes.select("class_id", F.coalesce("role", alias, F.lit("other")).alias("role"))
-    return detections.join(named, "class_id", "left").withColumn("role", F.coalesce("role", F.lit("other")))
+    return detections.join(F.broadcast(named), "class_id", "left").withColumn("role", F.coalesce("role", F.lit("other")))
 
 
 def confident(detections: DataFrame, ball: float = 0.1, athletes: float = 0.25) -> DataFrame:
