@@ -1,6 +1,6 @@
 """Who has the ball: a state for each frame, spans of equal states, and shares of time."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sidelines.functions.columns import changed, clamp, distance, ordered
@@ -97,10 +97,9 @@ def compress(samples: DataFrame, max_gap_ms: int | str = 1000) -> DataFrame:
     gap = F.col("ts_ms") - F.lag("ts_ms").over(w)
     rows = samples.withColumn("gap", gap).withColumn("next_ms", F.lead("ts_ms").over(w))
     rows = rows.withColumn("new", (changed(BY, "ts_ms", "state", "team_key", "player_key") | (F.col("gap") > max_gap_ms)).cast("int"))
-    rows = rows.withColumn("span", F.sum("new").over(w))
-    usual = F.coalesce(F.percentile(F.when((F.col("gap") > 0) & (F.col("gap") <= max_gap_ms), F.col("gap")), F.lit(0.5)).cast("long"), F.lit(0))
-    spans = rows.groupBy("seg", "span", "state", "team_key", "player_key", "max_gap").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.max_by(F.coalesce("next_ms", F.lit(1 << 60)), "ts_ms").alias("next_ms"), F.avg("confidence").alias("confidence"))
-    spans = spans.join(rows.groupBy("seg").agg(usual.alias("usual")), "seg")
+    usual = F.percentile(F.when((F.col("gap") > 0) & (F.col("gap") <= max_gap_ms), F.col("gap")), F.lit(0.5)).over(Window.partitionBy(*BY))
+    rows = rows.withColumn("span", F.sum("new").over(w)).withColumn("usual", F.coalesce(usual.cast("long"), F.lit(0)))
+    spans = rows.groupBy("seg", "span", "state", "team_key", "player_key", "max_gap", "usual").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.max_by(F.coalesce("next_ms", F.lit(1 << 60)), "ts_ms").alias("next_ms"), F.avg("confidence").alias("confidence"))
     end = F.when(F.col("next_ms") - F.col("last_ms") <= max_gap_ms, F.col("next_ms")).otherwise(F.col("last_ms") + F.col("usual"))
     return spans.select("seg", "start_ms", end.alias("end_ms"), "state", "team_key", "player_key", "confidence")
 
@@ -115,9 +114,9 @@ def clip_spans(spans: DataFrame, windows: DataFrame) -> DataFrame:
 def possession_stats(spans: DataFrame, by: str = "seg") -> DataFrame:
     """Seconds in play, and each team's seconds and share of controlled time. A team without any has no row."""
     long = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
-    in_play: Column = F.sum(F.when(F.col("state").isin("controlled", "contested", "loose"), F.col("ms")))
     held = (F.col("state") == "controlled") & F.col("team_key").isNotNull()
     rows = spans.withColumn("ms", long)
-    totals = rows.groupBy(by).agg(in_play.alias("in_play"), F.sum(F.when(held, F.col("ms"))).alias("all"))
-    teams = rows.where(held).groupBy(by, "team_key").agg(F.sum("ms").alias("own"))
-    return teams.join(totals, by).select(by, "team_key", F.round(F.col("in_play") / 1000, 1).alias("ball_in_play_seconds"), F.round(F.col("own") / 1000, 1).alias("possession_seconds"), F.round(100 * F.col("own") / F.greatest(F.lit(1), F.col("all")), 2).alias("possession_pct"))
+    sums = rows.groupBy(by, "team_key").agg(F.sum(F.when(F.col("state").isin("controlled", "contested", "loose"), F.col("ms"))).alias("in_play"), F.sum(F.when(held, F.col("ms"))).alias("own"))
+    whole = Window.partitionBy(by)
+    teams = sums.withColumn("in_play", F.sum("in_play").over(whole)).withColumn("all", F.sum("own").over(whole)).where("own is not null")
+    return teams.select(by, "team_key", F.round(F.col("in_play") / 1000, 1).alias("ball_in_play_seconds"), F.round(F.col("own") / 1000, 1).alias("possession_seconds"), F.round(100 * F.col("own") / F.greatest(F.lit(1), F.col("all")), 2).alias("possession_pct"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sidelines.operators import conversion, ingest
+from sidelines.operators import clocks, conversion, ingest
 from sidelines.plans.catalog import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -71,3 +71,31 @@ def test_places_and_repeated_times(spark):
     frames, _, errors = ingest.validate_frames(raw, heads.drop("home_cluster"), heads.select("match_id", "home_cluster"))
     assert [(r.match_id, r.ts_ms) for r in frames.collect()] == [("m", 6)]
     assert sorted((r.match_id, r.ts_ms or 0, r.rule) for r in errors.collect()) == [("m", 0, "timestamp_missing"), ("m", 0, "timestamp_missing"), ("m", 5, "duplicate_timestamp"), ("m", 5, "out_of_range"), ("m", 6, "out_of_range"), ("n", 0, "no_frames"), ("n", 7, "duplicate_timestamp")]
+
+
+def test_nearest_rows_take_one_sort_and_only_the_columns_asked_for(spark):
+    df = QUERIES["fusion_errors"](spark, DATA)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window [") == 3 and "objects" not in text  # two for the frames of both sides
+    rows = clocks.asof_nearest(spark.createDataFrame([(1, 100), (1, 109), (1, 120), (2, 5)], "seg int, ts_ms long"), spark.createDataFrame([(1, 90, None), (1, 110, "b"), (1, 120, None)], "seg int, ts_ms long, v string"), 10)
+    assert [(r.seg, r.ts_ms, r.near and (r.near.ts_ms, r.near.v)) for r in rows.orderBy("seg", "ts_ms").collect()] == [(1, 100, (110, "b")), (1, 109, (110, "b")), (1, 120, (120, None)), (2, 5, None)]
+
+
+def test_coverage_is_one_pass(spark):
+    assert "Join" not in QUERIES["fused_coverage"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_detections_are_not_gathered_by_class(spark):
+    df = QUERIES["class_counts"](spark, DATA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "hashpartitioning(frame" in plan(df).toString() and "SortMergeJoin" not in plan(QUERIES["class_counts"](spark, DATA)).toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_spans_are_made_in_one_pass(spark):
+    text = QUERIES["possession_spans"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and text.count("Relation [") == 1
+    sheets = QUERIES["team_sheets"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert sheets.count("Relation [") == 4  # teams, events, possession, minutes
